@@ -136,7 +136,6 @@ class ResettingSet:
 
     def effect(self, values):
         """The first new values in order, and the set left behind by a first hit at each of them."""
-        values = values[np.append(True, values[1:] != values[:-1])]
         fresh, at = np.unique(values, return_index=True)
         order = np.argsort(at)[: self.limit + 1]
         fresh, at = fresh[order], at[order]
@@ -262,44 +261,39 @@ def _read(frame: pd.DataFrame) -> Iterator[tuple[int, int, Summary]]:
         yield row.stretch, row.part, Summary(row.first_key, row.last_key, bool(row.whole), state, effect)
 
 
-def _merge_stretches(fold):
-    def merge(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: tuple[int, int, Summary] | None = None
-
-        def out() -> pd.DataFrame:
-            stretch, part, summary = held
-            return pd.DataFrame([{"stretch": stretch, "part": part, **summary._asdict()}])
-
-        for frame in batches:
-            for stretch, part, summary in _read(frame):
-                if held is not None and held[0] == stretch:
-                    held = (stretch, held[1], held[2].followed_by(fold, summary))
-                    continue
-                if held is not None:
-                    yield out()
-                held = (stretch, part, summary)
-        if held is not None:
-            yield out()
+def _merge_stretch(fold):
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        stretch = part = merged = None
+        for stretch, part, summary in _read(frame.sort_values("part")):
+            merged = summary if merged is None else merged.followed_by(fold, summary)
+        return pd.DataFrame([{"stretch": stretch, "part": part, **merged._asdict()}])
 
     return merge
 
 
-def _chain(fold, per_stretch: bool):
-    """Entry key and state of every summary; within a stretch, on from the entry of the stretch."""
+def _entries(fold, frame: pd.DataFrame, key: str | None, state: list[int]):
+    """Entry key and state of every summary in the frame, and what the last one leaves."""
+    entries = []
+    for stretch, part, summary in _read(frame):
+        entries.append((stretch, part, key, state))
+        key, state = summary.leave(fold, key, state)
+    return pd.DataFrame(entries, columns=["stretch", "part", "entry_key", "entry_state"]), key, state
 
+
+def _chain(fold):
     def chain(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state, current = None, fold.start, None
+        key, state = None, fold.start
         for frame in batches:
-            entries = []
-            for at, (stretch, part, summary) in enumerate(_read(frame)):
-                if per_stretch and stretch != current:
-                    current = stretch
-                    key, entry = frame["entry_key"].iat[at], frame["entry_state"].iat[at]
-                    state = fold.start if entry is None else [int(x) for x in entry]
-                entries.append((stretch, part, key, state))
-                key, state = summary.leave(fold, key, state)
-            if entries:
-                yield pd.DataFrame(entries, columns=["stretch", "part", "entry_key", "entry_state"])
+            entries, key, state = _entries(fold, frame, key, state)
+            yield entries
+
+    return chain
+
+
+def _chain_stretch(fold):
+    def chain(frame: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        key, state = entry["entry_key"].iat[0], [int(x) for x in entry["entry_state"].iat[0]]
+        return _entries(fold, frame.sort_values("part"), key, state)[0]
 
     return chain
 
@@ -348,20 +342,10 @@ def split_fold(
         .checkpoint()
     )
     entry = "stretch bigint, part bigint, entry_key string, entry_state array<bigint>"
-    merged = (
-        summaries.repartition("stretch")
-        .sortWithinPartitions("stretch", "part")
-        .mapInPandas(_merge_stretches(fold), SUMMARY_SCHEMA)
-    )
-    stretch_entries = (
-        merged.repartition(1).sortWithinPartitions("stretch").mapInPandas(_chain(fold, False), entry)
-    )
-    entries = (
-        summaries.join(stretch_entries.drop("part"), "stretch")
-        .repartition("stretch")
-        .sortWithinPartitions("stretch", "part")
-        .mapInPandas(_chain(fold, True), entry)
-    )
+    by_stretch = summaries.groupBy("stretch")
+    merged = by_stretch.applyInPandas(_merge_stretch(fold), SUMMARY_SCHEMA)
+    stretch_entries = merged.repartition(1).sortWithinPartitions("stretch").mapInPandas(_chain(fold), entry)
+    entries = by_stretch.cogroup(stretch_entries.groupBy("stretch")).applyInPandas(_chain_stretch(fold), entry)
     # One row per partition of the layout: the size of this broadcast does not grow with a key.
     with_entry = laid.join(F.broadcast(entries.drop("stretch")), "part", "left")
     # Only the first row of a partition needs the entry state.
