@@ -29,61 +29,75 @@ def protocol_stats(packets: DataFrame) -> DataFrame:
     )
 
 
-def connections(packets: DataFrame) -> DataFrame:
-    """Connections: packets of both directions of a 5-tuple without an idle hour between them.
+CONNECTION_KEYS = ["low", "high", "protocol"]
 
-    The sender of the first packet is the source. One row per 5-tuple and hour is aggregated
-    before the connections are told apart, so a busy 5-tuple costs no window over its packets.
-    """
+
+def with_ends(packets: DataFrame) -> DataFrame:
+    """Packets with the two ends of their connection in a fixed order, whatever the direction."""
     source = F.struct(F.col("src_ip").alias("ip"), F.coalesce("src_port", F.lit(-1)).alias("port"))
     target = F.struct(F.col("dst_ip").alias("ip"), F.coalesce("dst_port", F.lit(-1)).alias("port"))
-    forward = source <= target
-    keys = ["low", "high", "protocol"]
-    length = F.col("length").cast("bigint")
-    zero = F.lit(0).cast("bigint")
+    return packets.withColumns(
+        {"low": F.least(source, target), "high": F.greatest(source, target), "forward": source <= target}
+    )
+
+
+def connection_measures() -> list[Column]:
+    """Aggregates of the packets between two ends; all of them can be merged."""
+    length, zero = F.col("length").cast("bigint"), F.lit(0).cast("bigint")
     flags = F.coalesce("flags", F.lit(""))
-    hours = (
-        packets.withColumns({"low": F.least(source, target), "high": F.greatest(source, target)})
-        .groupBy(*keys, hour_of().alias("hour"))
-        .agg(
-            F.min("ts_us").alias("first_us"),
-            F.max("ts_us").alias("last_us"),
-            F.count(F.lit(1)).alias("pkt_count"),
-            F.min(F.struct("ts_us", "pid", forward.alias("forward"))).alias("first"),
-            F.sum(F.when(forward, length).otherwise(zero)).alias("forward_bytes"),
-            F.sum(F.when(forward, zero).otherwise(length)).alias("backward_bytes"),
-            F.max((flags.contains("FIN") | flags.contains("RST")).cast("int")).alias("closed"),
-        )
+    return [
+        F.min("ts_us").alias("first_us"),
+        F.max("ts_us").alias("last_us"),
+        F.count(F.lit(1)).alias("pkt_count"),
+        F.min(F.struct("ts_us", "pid", "forward")).alias("first"),
+        F.sum(F.when(F.col("forward"), length).otherwise(zero)).alias("forward_bytes"),
+        F.sum(F.when(F.col("forward"), zero).otherwise(length)).alias("backward_bytes"),
+        F.max((flags.contains("FIN") | flags.contains("RST")).cast("int")).alias("closed"),
+    ]
+
+
+def connection_rows(measured: DataFrame) -> DataFrame:
+    """Connections as seen from the sender of the first packet."""
+    forward = F.col("first.forward")
+
+    def pick(ahead: str, back: str) -> Column:
+        return F.when(forward, F.col(ahead)).otherwise(F.col(back))
+
+    opener, other = pick("low", "high"), pick("high", "low")
+    return measured.select(
+        F.col("first_us").alias("start_us"),
+        F.col("last_us").alias("end_us"),
+        opener["ip"].alias("src_ip"),
+        other["ip"].alias("dst_ip"),
+        F.nullif(opener["port"], F.lit(-1)).alias("src_port"),
+        F.nullif(other["port"], F.lit(-1)).alias("dst_port"),
+        "protocol",
+        F.when(F.col("closed") == 1, "CLOSED").otherwise("ACTIVE").alias("state"),
+        pick("forward_bytes", "backward_bytes").alias("bytes_sent"),
+        pick("backward_bytes", "forward_bytes").alias("bytes_recv"),
+        "pkt_count",
     )
-    forward_first = F.col("first.forward")
-    return (
-        number_sessions(hours, *keys)
-        .groupBy(*keys, "sid")
+
+
+def connections(packets: DataFrame) -> DataFrame:
+    """Connections: packets of both directions of a 5-tuple without an idle hour between them.
+
+    One row per 5-tuple and hour is aggregated before the connections are told apart, so a busy
+    5-tuple costs no window over its packets.
+    """
+    hours = with_ends(packets).groupBy(*CONNECTION_KEYS, hour_of().alias("hour")).agg(*connection_measures())
+    merged = (
+        number_sessions(hours, *CONNECTION_KEYS)
+        .groupBy(*CONNECTION_KEYS, "sid")
         .agg(
-            F.min("first_us").alias("start_us"),
-            F.max("last_us").alias("end_us"),
+            F.min("first_us").alias("first_us"),
+            F.max("last_us").alias("last_us"),
             F.min("first").alias("first"),
-            F.sum("pkt_count").alias("pkt_count"),
-            F.sum("forward_bytes").alias("forward_bytes"),
-            F.sum("backward_bytes").alias("backward_bytes"),
+            *[F.sum(name).alias(name) for name in ("pkt_count", "forward_bytes", "backward_bytes")],
             F.max("closed").alias("closed"),
         )
-        .withColumn("_from", F.when(forward_first, F.col("low")).otherwise(F.col("high")))
-        .withColumn("_to", F.when(forward_first, F.col("high")).otherwise(F.col("low")))
-        .select(
-            "start_us",
-            "end_us",
-            F.col("_from.ip").alias("src_ip"),
-            F.col("_to.ip").alias("dst_ip"),
-            F.nullif(F.col("_from.port"), F.lit(-1)).alias("src_port"),
-            F.nullif(F.col("_to.port"), F.lit(-1)).alias("dst_port"),
-            "protocol",
-            F.when(F.col("closed") == 1, "CLOSED").otherwise("ACTIVE").alias("state"),
-            F.when(forward_first, F.col("forward_bytes")).otherwise(F.col("backward_bytes")).alias("bytes_sent"),
-            F.when(forward_first, F.col("backward_bytes")).otherwise(F.col("forward_bytes")).alias("bytes_recv"),
-            "pkt_count",
-        )
     )
+    return connection_rows(merged)
 
 
 # Metrics by the way they are computed from the packets of a source, protocol and minute.

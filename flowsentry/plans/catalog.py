@@ -23,6 +23,7 @@ from flowsentry.operators import (
 from flowsentry.plans.views import read_table, view
 from flowsentry.session import ensure_checkpoint_dir
 from flowsentry.sources import tables
+from flowsentry.streaming import jobs, rollups as rollup_streams, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -633,3 +634,78 @@ def d15_build_alerts(spark, sf_dir):
 def d16_build_mitre_events(spark, sf_dir):
     hits = alerting.build_mitre_events(detect.all_findings(_packets(spark, sf_dir)))
     return hits.select("ts_us", "technique_id", "technique_name", "tactic", "confidence")
+
+
+# Streams --------------------------------------------------------------------------------------
+
+
+def _stream(spark, df, table="packets", watermark="1 minute"):
+    """A table, written as files, as a stream."""
+    path = scratch(spark, table)
+    stored = tables.to_table(df, table).drop("dt")
+    stored.repartitionByRange("ts_us").sortWithinPartitions("ts_us").write.parquet(path)
+    if table == "packets":
+        return tables.packet_stream(spark, path, watermark)
+    stream = spark.readStream.schema(stored.schema).parquet(path)
+    return stream.withColumn("ts", scalar.timestamp_of()).withWatermark("ts", watermark)
+
+
+def _streamed(name: str, function, source="packets"):
+    def run(spark, sf_dir):
+        found = function(_stream(spark, view(spark, sf_dir, source)))
+        return jobs.run_available(found, scratch(spark, "out"), scratch(spark, "checkpoint"))
+
+    run.__name__ = name
+    query(run)
+
+
+@query
+def s3_packet_stream(spark, sf_dir):
+    stream = _stream(spark, _packets(spark, sf_dir))
+    path, checkpoint = scratch(spark, "packets"), scratch(spark, "checkpoint")
+    tables.stream_packets_to(stream, path, checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return tables.scan_packets(spark, path).select(*PACKET_COLUMNS)
+
+
+_streamed("r1_stream_row_rules", rollup_streams.stream_row_rules)
+_streamed("r2_stream_rates", state.stream_rates)
+_streamed("r3_stream_counters", state.stream_counters)
+_streamed("r4_stream_port_scan", state.stream_port_scan)
+_streamed("r5_stream_beacon", state.stream_beacon)
+_streamed("r6_state_expiry", rollup_streams.stream_sessions)
+_streamed("r7_stream_protocol_stats", rollup_streams.stream_protocol_stats)
+_streamed("r8_stream_connections", rollup_streams.stream_connections, "two_way_packets")
+
+
+@query
+def r2_stream_rate_windows(spark, sf_dir):
+    stream = _stream(spark, _packets(spark, sf_dir))
+    found = rollup_streams.stream_rate_windows(stream, detect.SYN_FLOOD)
+    return jobs.run_available(found, scratch(spark, "out"), scratch(spark, "checkpoint"))
+
+
+@query
+def r7_stream_perf(spark, sf_dir):
+    packets = _stream(spark, _packets(spark, sf_dir))
+    alerts = _alerts(spark, sf_dir).select("*", F.lit("").alias("description"))
+    counted = rollup_streams.stream_perf(packets, _stream(spark, alerts, "alerts"))
+    return jobs.run_available(counted, scratch(spark, "out"), scratch(spark, "checkpoint"))
+
+
+@query
+def r9_late_data(spark, sf_dir):
+    """With a longer watermark more disorder is tolerated, and results come later."""
+    stream = _stream(spark, _packets(spark, sf_dir), watermark="2 days")
+    counted = rollup_streams.stream_protocol_stats(stream)
+    return jobs.run_available(counted, scratch(spark, "out"), scratch(spark, "checkpoint"))
+
+
+@query
+def r_stream_alerts(spark, sf_dir):
+    stream = _stream(spark, _packets(spark, sf_dir))
+    findings = rollup_streams.stream_row_rules(stream)
+    alerts, hits = scratch(spark, "alerts"), scratch(spark, "hits")
+    writer = jobs.alert_writer(findings, alerts, hits, scratch(spark, "checkpoint"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    linked = lookups.alerts_with_techniques(tables.scan_alerts(spark, alerts), tables.scan_mitre(spark, hits))
+    return linked.select("raw_data", "description", "technique_id", "technique_name", "tactic", "confidence")
