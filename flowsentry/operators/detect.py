@@ -9,6 +9,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from flowsentry.functions import payload as P
 from flowsentry.functions.addresses import is_private
 from flowsentry.functions.scalar import int_div, is_truthy_port
 from flowsentry.operators import gaps, ordered, rates, sessions
+from flowsentry.operators.pruning import settle
 
 FINDING_COLUMNS = [
     "pid",
@@ -32,10 +34,11 @@ FINDING_COLUMNS = [
 ]
 _PACKET_COLUMNS = FINDING_COLUMNS[:5]
 
-# Ports of lateral movement, and the attempt numbers that raise an alert.
+# Ports of lateral movement, attempt numbers that raise an alert, bytes of a source.
 LATERAL_PORTS = [445, 3389, 5985]
 SSH_ATTEMPTS = [5, 20, 50, 100]
 SSH_CRITICAL_ATTEMPTS = 50
+EXFIL_LIMIT = 10_000_000
 
 
 class RateRule(NamedTuple):
@@ -148,10 +151,10 @@ def rate_findings(packets: DataFrame, rules: list[RateRule]) -> DataFrame:
     """Findings of rules on sliding counts, all from one count per source and time."""
     trigger = _either([rule.trigger() for rule in rules])
     minutes = rates.busy_minutes(packets, min(rule.threshold for rule in rules), trigger)
-    counted = rates.within_minutes(packets, minutes)
+    counted = rates.within_minutes(packets.select("src_ip", "ts_us"), minutes)
     windows = sorted({rule.seconds for rule in rules})
     counts = rates.sliding_counts(counted, windows).where(_either([rule.exceeded() for rule in rules]))
-    suspects = packets.where(trigger).join(counts, ["src_ip", "ts_us"])
+    suspects = rates.within_minutes(packets.where(trigger), minutes).join(counts, ["src_ip", "ts_us"])
     candidates = [
         (
             rule.trigger() & rule.exceeded(),
@@ -210,56 +213,94 @@ def c2_beacon(
 # Rules on running counts, sums and sets -------------------------------------------------------
 
 
-def running_count(packets: DataFrame, protocol: str, least: int = 1, pick=None) -> DataFrame:
-    """Packets of a protocol with their number (``measure``) within the session of the source.
+def _protocol_count(protocol: str) -> Column:
+    return F.count_if(F.col("protocol") == protocol)
 
-    ``pick`` selects numbers (an array to a mask); sessions with fewer than ``least`` packets of
-    the protocol are left out.
-    """
-    hours = sessions.sessions_reaching(packets, F.count_if(F.col("protocol") == protocol), least)
+
+def running_count(packets: DataFrame, protocol: str) -> DataFrame:
+    """Packets of a protocol with their number (``measure``) within the session of the source."""
+    hours = sessions.sessions_reaching(packets, count=(_protocol_count(protocol), 1))
     rows = packets.where(F.col("protocol") == protocol).select(*_PACKET_COLUMNS)
     rows = sessions.with_session_ids(rows, hours).withColumn("one", F.lit(1))
-    counted = ordered.split_fold(
-        rows, ordered.RunningCount(pick), ["src_ip", "sid"], ["ts_us", "pid"], "one"
-    )
+    counted = ordered.split_fold(rows, ordered.RunningCount(), ["src_ip", "sid"], ["ts_us", "pid"], "one")
     return counted.drop("one")
 
 
-def dns_recon(packets: DataFrame, every: int = 100) -> DataFrame:
-    """Every hundredth DNS packet of a source."""
-    counted = running_count(packets, "DNS", every, lambda numbers: numbers % every == 0)
-    text = F.format_string("DNS reconnaissance from %s: %d queries", "src_ip", "measure")
-    return as_findings(counted, [(F.lit(True), "dns_recon", F.lit("MEDIUM"), text)])
+# Per counter: the protocol it counts, and the packets of a session below which it cannot fire.
+_COUNTERS = {"dns": ("DNS", 100), "ssh": ("SSH", SSH_ATTEMPTS[0])}
+
+
+def _counter_bounds(counters: list[str]) -> dict[str, tuple[Column, int]]:
+    return {name: (_protocol_count(protocol), least) for name, (protocol, least) in _COUNTERS.items() if name in counters}
 
 
-def ssh_brute_force(packets: DataFrame, attempts: list[int] = SSH_ATTEMPTS) -> DataFrame:
-    """The 5th, 20th, 50th and 100th SSH packet of a source."""
-    counted = running_count(packets, "SSH", min(attempts), _one_of(attempts))
-    severity = F.when(F.col("measure") >= SSH_CRITICAL_ATTEMPTS, F.lit("CRITICAL")).otherwise(F.lit("HIGH"))
-    text = F.format_string("SSH brute force from %s: %d attempts", "src_ip", "measure")
-    return as_findings(counted, [(F.lit(True), "ssh_brute_force", severity, text)])
+def counter_findings(packets: DataFrame, counters: list[str], hours: DataFrame | None = None) -> DataFrame:
+    """Every hundredth DNS packet, and the 5th, 20th, 50th and 100th SSH packet of a session.
 
+    Both are numbered in one fold. ``hours`` are the sessions that reach the bounds, if known.
+    """
+    if hours is None:
+        hours = sessions.sessions_reaching(packets, **_counter_bounds(counters))
+    counted = [
+        (F.col("protocol") == protocol) & (F.col(f"total_{name}") >= least)
+        for name, (protocol, least) in _COUNTERS.items()
+        if name in counters
+    ]
+    protocols = [_COUNTERS[name][0] for name in counters]
+    rows = packets.where(F.col("protocol").isin(protocols)).select(*_PACKET_COLUMNS)
+    rows = (
+        rows.withColumn("hour", sessions.hour_of())
+        .join(hours, ["src_ip", "hour"])
+        .where(_either(counted))
+        .select(*_PACKET_COLUMNS, "sid", F.lit(1).alias("one"))
+    )
+    every = _COUNTERS["dns"][1]
+    pick = _multiple_or_one_of(every, SSH_ATTEMPTS)
+    keys = ["src_ip", "sid", "protocol"]
+    numbered = ordered.split_fold(rows, ordered.RunningCount(pick), keys, ["ts_us", "pid"], "one")
+    number, protocol = F.col("measure"), F.col("protocol")
+    severity = F.when(number >= SSH_CRITICAL_ATTEMPTS, F.lit("CRITICAL")).otherwise(F.lit("HIGH"))
+    dns_text = F.format_string("DNS reconnaissance from %s: %d queries", "src_ip", "measure")
+    ssh_text = F.format_string("SSH brute force from %s: %d attempts", "src_ip", "measure")
+    return as_findings(
+        numbered,
+        [
+            ((protocol == "DNS") & (number % every == 0), "dns_recon", F.lit("MEDIUM"), dns_text),
+            ((protocol == "SSH") & number.isin(SSH_ATTEMPTS), "ssh_brute_force", severity, ssh_text),
+        ],
+    )
 
-def _one_of(values: list[int]):
-    import numpy as np
 
-    return lambda numbers: np.isin(numbers, values)
+def _multiple_or_one_of(every: int, values: list[int]):
+    return lambda numbers: (numbers % every == 0) | np.isin(numbers, values)
 
 
-def running_sum_reset(packets: DataFrame, limit: int = 10_000_000) -> DataFrame:
+def dns_recon(packets: DataFrame) -> DataFrame:
+    return counter_findings(packets, ["dns"])
+
+
+def ssh_brute_force(packets: DataFrame) -> DataFrame:
+    return counter_findings(packets, ["ssh"])
+
+
+def _byte_bound(limit: int) -> dict[str, tuple[Column, int]]:
+    return {"bytes": (F.sum("length"), limit + 1)}
+
+
+def running_sum_reset(packets: DataFrame, limit: int = EXFIL_LIMIT, hours: DataFrame | None = None) -> DataFrame:
     """Packets that lift the bytes of their source above the limit; the sum restarts there.
 
     Sessions that stay within the limit as a whole are left out before the fold.
     """
-    hours = sessions.sessions_reaching(packets, F.sum("length"), limit + 1)
-    rows = sessions.with_session_ids(packets.select(*_PACKET_COLUMNS, "length"), hours)
-    return ordered.split_fold(
-        rows, ordered.ResettingSum(limit), ["src_ip", "sid"], ["ts_us", "pid"], "length"
-    )
+    if hours is None:
+        hours = sessions.sessions_reaching(packets, **_byte_bound(limit))
+    large = hours.where(F.col("total_bytes") > limit)
+    rows = sessions.with_session_ids(packets.select(*_PACKET_COLUMNS, "length"), large)
+    return ordered.split_fold(rows, ordered.ResettingSum(limit), ["src_ip", "sid"], ["ts_us", "pid"], "length")
 
 
-def exfil(packets: DataFrame, limit: int = 10_000_000) -> DataFrame:
-    hits = running_sum_reset(packets, limit)
+def exfil(packets: DataFrame, limit: int = EXFIL_LIMIT, hours: DataFrame | None = None) -> DataFrame:
+    hits = running_sum_reset(packets, limit, hours)
     text = F.format_string(
         "Data exfiltration from %s: %dMB transferred", F.col("src_ip"), int_div("measure", 1_000_000)
     )
@@ -272,7 +313,7 @@ def distinct_set_reset(packets: DataFrame, limit: int = 50) -> DataFrame:
     The set restarts there. Pairs that never see so many ports are left out before the fold.
     """
     tcp = packets.where((F.col("protocol") == "TCP") & is_truthy_port("dst_port"))
-    pairs = (
+    pairs = settle(
         tcp.select("src_ip", "dst_ip", "dst_port")
         .distinct()
         .groupBy("src_ip", "dst_ip")
@@ -293,15 +334,16 @@ def port_scan(packets: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def all_findings(packets: DataFrame) -> DataFrame:
-    """The findings of all rules on packet columns."""
+    """The findings of all rules on packet columns; sessions are found once for all counters."""
+    counters = list(_COUNTERS)
+    hours = sessions.sessions_reaching(packets, **_counter_bounds(counters), **_byte_bound(EXFIL_LIMIT))
     return union_findings(
         row_rules(packets),
         rate_findings(packets, RATE_RULES),
         c2_beacon(packets),
-        dns_recon(packets),
-        ssh_brute_force(packets),
+        counter_findings(packets, counters, hours),
         port_scan(packets),
-        exfil(packets),
+        exfil(packets, EXFIL_LIMIT, hours),
     )
 
 

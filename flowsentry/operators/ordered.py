@@ -22,6 +22,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,17 @@ SUMMARY_SCHEMA = (
     "stretch bigint, part bigint, first_key string, last_key string, whole boolean, "
     "exit_state array<bigint>, effect array<array<bigint>>"
 )
+_SUMMARY_ARROW = pa.schema(
+    [
+        ("stretch", pa.int64()),
+        ("part", pa.int64()),
+        ("first_key", pa.string()),
+        ("last_key", pa.string()),
+        ("whole", pa.bool_()),
+        ("exit_state", pa.list_(pa.int64())),
+        ("effect", pa.list_(pa.list_(pa.int64()))),
+    ]
+)
 
 
 class RunningCount:
@@ -210,29 +223,32 @@ def lay_out(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return laid.withColumn("part", F.spark_partition_id().cast("bigint")).checkpoint()
 
 
-def _runs(frame: pd.DataFrame, keys: list[str]) -> Iterator[tuple[str, int, int]]:
+def _runs(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[str, int, int]]:
     """Stretches of rows with one key."""
-    changed = np.zeros(len(frame), dtype=bool)
+    rows = batch.num_rows
+    changed = np.zeros(rows, dtype=bool)
     changed[0] = True
     for key in keys:
-        values = frame[key].to_numpy()
-        changed[1:] |= values[1:] != values[:-1]
-    starts = np.flatnonzero(changed).tolist()
-    names = list(zip(*[frame[key].to_numpy()[starts].tolist() for key in keys]))
-    for name, start, end in zip(names, starts, [*starts[1:], len(frame)]):
-        yield repr(name), start, end
+        column = batch.column(key)
+        differs = pc.not_equal(column.slice(1), column.slice(0, rows - 1))
+        changed[1:] |= differs.to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(changed)
+    names = batch.select(keys).take(pa.array(starts)).to_pylist()
+    edges = starts.tolist()
+    for name, start, end in zip(names, edges, [*edges[1:], rows]):
+        yield repr(tuple(name.values())), start, end
 
 
 def _summaries(fold, keys: list[str], value: str, stretch: int):
-    def summarise(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def summarise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = first = current = None
         whole, pieces = True, []
-        for frame in batches:
-            if frame.empty:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            part = int(frame["part"].iat[0])
-            values = frame[value].to_numpy()
-            for key, start, end in _runs(frame, keys):
+            part = batch.column("part")[0].as_py()
+            values = batch.column(value).to_numpy()
+            for key, start, end in _runs(batch, keys):
                 if key != current:
                     whole, pieces, current = current is None, [], key
                     first = first or key
@@ -249,7 +265,7 @@ def _summaries(fold, keys: list[str], value: str, stretch: int):
             "exit_state": None if whole else fold.run(fold.start, values)[0],
             "effect": fold.effect(values) if whole else None,
         }
-        yield pd.DataFrame([row])
+        yield pa.RecordBatch.from_pylist([row], schema=_SUMMARY_ARROW)
 
     return summarise
 
@@ -299,24 +315,25 @@ def _chain_stretch(fold):
 
 
 def _hits(fold, keys: list[str], value: str, columns: list[str]):
-    def emit(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = None, fold.start
-        for frame in batches:
-            if frame.empty:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            if current is None and frame["entry_state"].iat[0] is not None:
-                current = frame["entry_key"].iat[0]
-                state = [int(x) for x in frame["entry_state"].iat[0]]
-            values = frame[value].to_numpy()
+            if current is None and batch.column("entry_state")[0].is_valid:
+                current = batch.column("entry_key")[0].as_py()
+                state = batch.column("entry_state")[0].as_py()
+            values = batch.column(value).to_numpy()
             found, measures = [], []
-            for key, start, end in _runs(frame, keys):
+            for key, start, end in _runs(batch, keys):
                 if key != current:
                     current, state = key, fold.start
                 state, hits, measure = fold.run(state, values[start:end])
                 found.append(hits + start)
                 measures.append(measure)
-            picked = frame.iloc[np.concatenate(found)][columns]
-            yield picked.assign(measure=np.concatenate(measures).astype(np.int64))
+            picked = batch.select(columns).take(pa.array(np.concatenate(found), type=pa.int64()))
+            measure = pa.array(np.concatenate(measures), type=pa.int64())
+            yield pa.RecordBatch.from_arrays([*picked.columns, measure], names=[*columns, "measure"])
 
     return emit
 
@@ -338,7 +355,7 @@ def split_fold(
     columns = rows.columns
     summaries = (
         laid.select("part", *keys, value)
-        .mapInPandas(_summaries(fold, keys, value, stretch), SUMMARY_SCHEMA)
+        .mapInArrow(_summaries(fold, keys, value, stretch), SUMMARY_SCHEMA)
         .checkpoint()
     )
     entry = "stretch bigint, part bigint, entry_key string, entry_state array<bigint>"
@@ -355,4 +372,4 @@ def split_fold(
     }
     prepared = with_entry.withColumn("_row", row_number).withColumns(first_only).drop("_row", "part")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return prepared.mapInPandas(_hits(fold, keys, value, columns), f"{kinds}, measure bigint")
+    return prepared.mapInArrow(_hits(fold, keys, value, columns), f"{kinds}, measure bigint")

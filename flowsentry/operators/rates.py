@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsentry.functions.scalar import MICROS, int_div
+from flowsentry.operators.pruning import settle
 
 CELL_SECONDS = 5
 MINUTE_US = 60 * MICROS
@@ -87,7 +88,7 @@ def busy_minutes(packets: DataFrame, more_than: int, trigger: Column) -> DataFra
     before_hot = (neighbour(F.lead, 1, "triggers") > 0) & (
         F.col("n") + neighbour(F.lead, 1, "n") > more_than
     )
-    return minutes.withColumn("_keep", hot | before_hot).where("_keep").select("src_ip", "minute")
+    return settle(minutes.withColumn("_keep", hot | before_hot).where("_keep").select("src_ip", "minute"))
 
 
 def within_minutes(packets: DataFrame, minutes: DataFrame) -> DataFrame:

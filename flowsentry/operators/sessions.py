@@ -6,10 +6,13 @@ small row per source and hour. No window ever runs over the packets themselves.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsentry.functions.scalar import MICROS, int_div
+from flowsentry.operators.pruning import settle
 
 IDLE_SECONDS = 3600
 
@@ -53,12 +56,27 @@ def ip_sessions(packets: DataFrame) -> DataFrame:
 
 def with_session_ids(rows: DataFrame, hours: DataFrame) -> DataFrame:
     """Rows with the ``sid`` of their source; rows without a matching hour are dropped."""
-    ids = hours.select("src_ip", "hour", "sid")
-    return rows.withColumn("hour", hour_of()).join(ids, ["src_ip", "hour"]).drop("hour")
+    keyed = rows.withColumn("hour", hour_of())
+    return keyed.join(hours, ["src_ip", "hour"]).select(*rows.columns, "sid")
+
+
+def sessions_reaching(packets: DataFrame, **bounds: tuple[Column, int]) -> DataFrame:
+    """Hours of the sessions in which a count or sum reaches its bound, as a settled table.
 
+    Every bound is ``name=(aggregate, least)`` with an aggregate that only grows; the session
+    totals come back as ``total_<name>``. A source whose total stays below all bounds has no such
+    session, and sources are far fewer than hours, so those sources go first.
+    """
 
-def sessions_reaching(packets: DataFrame, measure: Column, least) -> DataFrame:
-    """Hours of the sessions whose sum of an aggregate is at least ``least``."""
+    def reached(prefix: str) -> Column:
+        conditions = [F.col(f"{prefix}{name}") >= least for name, (_, least) in bounds.items()]
+        return reduce(lambda left, right: left | right, conditions)
+
+    totals = packets.groupBy("src_ip").agg(*[measure.alias(name) for name, (measure, _) in bounds.items()])
+    sources = settle(totals.where(reached("")).select("src_ip"))
+    hours = session_hours(
+        packets.join(sources, "src_ip", "left_semi"), **{name: measure for name, (measure, _) in bounds.items()}
+    )
     session = Window.partitionBy("src_ip", "sid")
-    hours = session_hours(packets, measure=measure)
-    return hours.withColumn("_total", F.sum("measure").over(session)).where(F.col("_total") >= least)
+    summed = hours.withColumns({f"total_{name}": F.sum(name).over(session) for name in bounds})
+    return settle(summed.where(reached("total_")).select("src_ip", "hour", "sid", *[f"total_{n}" for n in bounds]))

@@ -442,7 +442,8 @@ def w4_running_sum_reset(spark, sf_dir):
 
 @query
 def w5_distinct_set_reset(spark, sf_dir):
-    return detect.distinct_set_reset(_packets(spark, sf_dir), 20).select("pid", F.col("measure").alias("ports"))
+    hits = detect.distinct_set_reset(_packets(spark, sf_dir), 20)
+    return hits.select("pid", F.col("measure").alias("ports"))
 
 
 @query

@@ -24,7 +24,6 @@ from flowsentry.operators.sessions import IDLE_SECONDS
 
 IDLE_US = IDLE_SECONDS * MICROS
 HORIZON_US = HORIZON_SECONDS * MICROS
-EXFIL_LIMIT = 10_000_000
 SCAN_LIMIT = 50
 DNS_EVERY = 100
 
@@ -165,7 +164,7 @@ class SourceProcessor(StatefulProcessor):
             )
             if len(rows):
                 found.append(_hits(ssh_part, rows, "ssh_brute_force", numbers))
-            (total,), rows, sums = ResettingSum(EXFIL_LIMIT).run([total], part["length"].to_numpy(dtype=np.int64))
+            (total,), rows, sums = ResettingSum(detect.EXFIL_LIMIT).run([total], part["length"].to_numpy(dtype=np.int64))
             if len(rows):
                 found.append(_hits(part, rows, "exfil", sums))
         return found, int(dns), int(ssh), int(total)
