@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from flowsentry.functions.scalar import MICROS, int_div, is_truthy_port
 from flowsentry.operators import detect
+from flowsentry.operators.detect import EXFIL_LIMIT, SSH_ATTEMPTS
 from flowsentry.operators.gaps import HORIZON_SECONDS
 from flowsentry.operators.ordered import ResettingSet, ResettingSum, RunningCount
 from flowsentry.operators.sessions import IDLE_SECONDS
@@ -159,12 +160,12 @@ class SourceProcessor(StatefulProcessor):
             (dns,), rows, numbers = RunningCount(lambda n: n % DNS_EVERY == 0).run([dns], dns_part["pid"].to_numpy())
             if len(rows):
                 found.append(_hits(dns_part, rows, "dns_recon", numbers))
-            (ssh,), rows, numbers = RunningCount(lambda n: np.isin(n, detect.SSH_ATTEMPTS)).run(
+            (ssh,), rows, numbers = RunningCount(lambda n: np.isin(n, SSH_ATTEMPTS)).run(
                 [ssh], ssh_part["pid"].to_numpy()
             )
             if len(rows):
                 found.append(_hits(ssh_part, rows, "ssh_brute_force", numbers))
-            (total,), rows, sums = ResettingSum(detect.EXFIL_LIMIT).run([total], part["length"].to_numpy(dtype=np.int64))
+            (total,), rows, sums = ResettingSum(EXFIL_LIMIT).run([total], part["length"].to_numpy(dtype=np.int64))
             if len(rows):
                 found.append(_hits(part, rows, "exfil", sums))
         return found, int(dns), int(ssh), int(total)
