@@ -199,7 +199,7 @@ def c2_beacon(
     longer histories need no look.
     """
     most = int(gaps.HORIZON_SECONDS // min_gap) + 1
-    stats = gaps.interarrival_stats(packets.select(*_PACKET_COLUMNS), most)
+    stats = gaps.sparse_interarrival_stats(packets.select(*_PACKET_COLUMNS), most)
     regular = (F.round("var_gap", 6) < max_variance) & (F.col("avg_gap") > min_gap) & (F.col("avg_gap") < max_gap)
     condition = (F.col("protocol") == "HTTP") & (F.col("n_events") >= min_events) & regular
     text = F.format_string(

@@ -420,14 +420,23 @@ def w1_recent_count(spark, sf_dir):
     return counts.select("pid", "recent_5", "recent_10", "recent_60")
 
 
-@query
-def w2_interarrival_stats(spark, sf_dir):
-    found = gaps.interarrival_stats(_packets(spark, sf_dir).select("pid", "src_ip", "ts_us"), 181)
+def _rounded_gaps(found):
     # The nudge keeps exact halves from rounding by the last bit of a double.
     rounded = [F.round(F.col(name) + 1e-7, 3).alias(name) for name in ("avg_gap", "var_gap")]
     return found.select("pid", "n_events", *rounded)
 
 
+@query
+def w2_interarrival_stats(spark, sf_dir):
+    return _rounded_gaps(gaps.interarrival_stats(_packets(spark, sf_dir).select("pid", "src_ip", "ts_us")))
+
+
+@query
+def w2_sparse_interarrival_stats(spark, sf_dir):
+    packets = _packets(spark, sf_dir).select("pid", "src_ip", "ts_us")
+    return _rounded_gaps(gaps.sparse_interarrival_stats(packets, 181))
+
+
 @query
 def w3_running_count(spark, sf_dir):
     counted = detect.running_count(_packets(spark, sf_dir), "TCP")

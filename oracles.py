@@ -478,11 +478,9 @@ GROUP BY pair, protocol, sid""",
 ORACLES["w1_recent_count"] = packets(
     "SELECT pid, r5 AS recent_5, r10 AS recent_10, r60 AS recent_60 FROM rates", _RATES
 )
-ORACLES["w2_interarrival_stats"] = packets(
-    """SELECT pid, n_events, round(avg_gap + 1e-7, 3) AS avg_gap, round(var_gap + 1e-7, 3) AS var_gap
-FROM gaps WHERE n_events BETWEEN 2 AND 181""",
-    _GAPS,
-)
+_ROUNDED = "SELECT pid, n_events, round(avg_gap + 1e-7, 3) AS avg_gap, round(var_gap + 1e-7, 3) AS var_gap FROM gaps"
+ORACLES["w2_interarrival_stats"] = packets(f"{_ROUNDED} WHERE n_events > 1", _GAPS)
+ORACLES["w2_sparse_interarrival_stats"] = packets(f"{_ROUNDED} WHERE n_events BETWEEN 2 AND 181", _GAPS)
 ORACLES["w3_running_count"] = packets("SELECT pid, src_ip, sid, nth FROM nth WHERE protocol = 'TCP'", _SIDS, _NTH)
 ORACLES["w4_running_sum_reset"] = packets(
     "SELECT pid, src_ip, sid, acc AS bytes FROM sums WHERE acc > 1000000", _SIDS, *_sum_fold(1_000_000)

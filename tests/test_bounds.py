@@ -128,15 +128,19 @@ def test_beacon_gap_bounds_are_strict(packets_of, gap, hits):
     assert detect.c2_beacon(df).count() == hits
 
 
+@pytest.mark.parametrize("limit", [12, None])
 @pytest.mark.parametrize("seed", range(3))
-def test_gaps_match_brute_force(packets_of, seed):
+def test_gaps_match_brute_force(packets_of, seed, limit):
     rng = random.Random(seed)
     busy, quiet = [rng.randrange(HOUR, 2 * HOUR) for _ in range(60)], [rng.randrange(5 * HOUR) for _ in range(40)]
-    times = sorted({*busy, *quiet, HOUR, 2 * HOUR})
-    found = {row["pid"]: row for row in gaps.interarrival_stats(packets_of([{"ts_us": t} for t in times]), 12).collect()}
+    # Some events share a microsecond, some lie exactly an hour apart.
+    times = sorted([*busy, *quiet, HOUR, HOUR, 2 * HOUR, 2 * HOUR, busy[0] + HOUR])
+    packets = packets_of([{"ts_us": t} for t in times])
+    stats = gaps.sparse_interarrival_stats(packets, limit) if limit else gaps.interarrival_stats(packets)
+    found = {row["pid"]: row for row in stats.collect()}
     for pid, now in enumerate(times):
         history = [t for t in times if now - HOUR <= t <= now]
-        if not 2 <= len(history) <= 12:
+        if not 2 <= len(history) <= (limit or len(times)):
             assert pid not in found
             continue
         steps = [(b - a) / SECOND for a, b in zip(history, history[1:])]
