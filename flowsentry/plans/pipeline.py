@@ -1,0 +1,45 @@
+"""The batch job: from packets to all derived tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from flowsentry.functions.scalar import MICROS
+from flowsentry.operators import alerts, detect, lookups, rollups
+from flowsentry.sources import tables
+
+
+def analyze(packets: DataFrame, root: str, run: str, geo_ranges: DataFrame | None = None) -> None:
+    """Detect, and append packets, alerts, technique hits, threats and rollups under ``root``.
+
+    The findings of the run are written first, so detection runs once and its result survives
+    lost executors; everything else reads that table.
+    """
+    spark = packets.sparkSession
+    path = f"{root}/findings/run={run}"
+    detect.all_findings(packets).write.mode("overwrite").parquet(path)
+    findings = spark.read.parquet(path)
+    found = alerts.build_alerts(findings)
+    tables.sink_alerts(found, f"{root}/alerts")
+    tables.sink_mitre(alerts.build_mitre_events(findings), f"{root}/mitre_events")
+    tables.sink_packets(lookups.mark_malicious(packets, findings), f"{root}/packets")
+    _write(alerts.threat_sessions(findings), "threats", root)
+    _write(rollups.protocol_stats(packets), "protocol_stats", root)
+    _write(rollups.connections(packets), "connections", root)
+    minutes = rollups.perf_minutely(packets, found)
+    per_minute = minutes.withColumns({"id": F.col("bucket"), "ts_us": F.col("bucket") * MICROS})
+    tables.append(per_minute, "performance_metrics", f"{root}/performance_metrics")
+    if geo_ranges is not None:
+        placed = lookups.geo_enrich(packets, geo_ranges).withColumnRenamed("pid", "id")
+        tables.sink_geo(placed, f"{root}/geo_traffic")
+
+
+def _write(rows: DataFrame, table: str, root: str) -> None:
+    rows.write.mode("append").parquet(f"{root}/{table}")
+
+
+def acknowledge(spark: SparkSession, root: str, alert_ids: list[int], ts_us: int) -> None:
+    """Append acknowledgements; alerts themselves are never rewritten."""
+    acks = spark.createDataFrame([(key, ts_us) for key in alert_ids], "alert_id long, ts_us long")
+    acks.write.mode("append").parquet(f"{root}/acks")

@@ -1,0 +1,115 @@
+"""The batch job and the dashboard over what it wrote."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from flowsentry.operators import detect, filters
+from flowsentry.plans import catalog
+from flowsentry.plans.dashboard import Dashboard
+from flowsentry.plans.pipeline import acknowledge, analyze
+from flowsentry.plans.views import view
+from flowsentry.sources import tables
+
+SF_DIR = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def root(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("tables"))
+    analyze(view(spark, SF_DIR, "packets"), folder, "first", view(spark, SF_DIR, "geo_ranges"))
+    return folder
+
+
+@pytest.fixture(scope="module")
+def dashboard(spark, root):
+    return Dashboard(spark, root, catalog.latest(view(spark, SF_DIR, "packets")))
+
+
+def test_alerts_and_hits_belong_together(spark, root):
+    alerts, hits = tables.scan_alerts(spark, f"{root}/alerts"), tables.scan_mitre(spark, f"{root}/mitre_events")
+    findings = spark.read.parquet(f"{root}/findings").count()
+    assert alerts.count() == hits.count() == findings == 3423
+    assert alerts.join(hits, alerts["id"] == hits["alert_id"], "left_anti").count() == 0
+
+
+def test_packets_of_findings_are_marked(spark, root):
+    marked = tables.scan_packets(spark, f"{root}/packets")
+    assert marked.count() == 10000
+    found = spark.read.parquet(f"{root}/findings").select("pid").distinct()
+    assert marked.join(found, "pid", "left_semi").where("is_malicious = 0").count() == 0
+
+
+REPORTS = [
+    "overview",
+    "packets_per_minute",
+    "protocol_distribution",
+    "top_talkers",
+    "geo_traffic",
+    "threat_timeline",
+    "severity_breakdown",
+    "recent_alerts",
+    "alerts_by_type",
+    "alerts_hourly",
+    "mitre_techniques",
+    "mitre_heatmap",
+    "recent_events",
+    "search_events",
+    "performance",
+]
+
+
+@pytest.mark.parametrize("report", REPORTS)
+def test_report_has_rows(dashboard, report):
+    assert getattr(dashboard, report)().count() > 0
+
+
+def test_overview_counts(dashboard):
+    row = dashboard.overview().first()
+    assert row["total_packets"] == 10000 and row["unacked_alerts"] == 3423
+
+
+def test_acknowledged_alerts(spark, root, dashboard):
+    ids = [row["id"] for row in dashboard.recent_alerts(3).collect()]
+    acknowledge(spark, root, [*ids, ids[0]], 1)
+    after = Dashboard(spark, root, dashboard.as_of_us, spark.read.parquet(f"{root}/acks"))
+    assert after.overview().first()["unacked_alerts"] == 3420
+    assert [row["acknowledged"] for row in after.recent_alerts(4).collect()] == [1, 1, 1, 0]
+
+
+def test_bound_on_time_prunes_days(spark, root):
+    packets = tables.scan_packets(spark, f"{root}/packets")
+    recent = filters.since(packets, catalog.latest(packets), 86400)
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(dt" in plan and "GreaterThan(ts_us" in plan
+    assert len(recent.inputFiles()) >= 1
+
+
+def test_two_columns_read_two_columns(spark, root):
+    plan = (
+        tables.scan_packets(spark, f"{root}/packets")
+        .groupBy("src_ip")
+        .agg(F.sum("length").alias("bytes"))
+        ._jdf.queryExecution()
+        .executedPlan()
+        .toString()
+    )
+    assert "ReadSchema: struct<src_ip:string,length:int>" in plan
+
+
+def test_row_rules_are_pushed_to_the_scan(spark, root):
+    packets = tables.scan_packets(spark, f"{root}/packets")
+    plan = detect.smtp_large(packets)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(protocol,SMTP)" in plan and "GreaterThan(length,500000)" in plan
+
+
+def test_rank_limits_come_before_the_shuffle(spark, root):
+    packets = tables.scan_packets(spark, f"{root}/packets")
+    plan = detect.c2_beacon(packets)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("row_number(), 181, Partial") == 2
+
+
+def test_defaults_and_missing_columns(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 5, "a", "DE")], "id long, ts_us long, src_ip string, country string")
+    tables.sink_geo(rows.withColumn("city", F.lit("x")), str(tmp_path / "geo"))
+    row = tables.scan_geo(spark, str(tmp_path / "geo")).first()
+    assert (row["pkt_count"], row["is_threat"], row["city"], str(row["dt"])) == (1, 0, None, "1970-01-01")
