@@ -536,8 +536,7 @@ ORACLES["f5_is_encrypted"] = packets(
     "SELECT pid, CASE WHEN protocol IN ('HTTPS','TLS','SSH','QUIC','IMAP+TLS','POP3+TLS') THEN 1 ELSE 0 END AS encrypted FROM packets"
 )
 ORACLES["f6_payload_entropy"] = """
-WITH bytes AS (SELECT doc_id, substr(h, 2*i + 1, 2) AS b
-  FROM (SELECT doc_id, h, unnest(range(length(h) // 2)) AS i FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents))),
+WITH bytes AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS b FROM documents),
 counts AS (SELECT doc_id, b, count(*) AS c FROM bytes GROUP BY 1, 2),
 shares AS (SELECT doc_id, c / sum(c) OVER (PARTITION BY doc_id) AS p FROM counts),
 entropies AS (SELECT doc_id, round(-sum(p * log2(p)), 3) + 0.0 AS entropy FROM shares GROUP BY 1)
