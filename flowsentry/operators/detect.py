@@ -150,7 +150,7 @@ def row_rules(packets: DataFrame) -> DataFrame:
 def rate_findings(packets: DataFrame, rules: list[RateRule]) -> DataFrame:
     """Findings of rules on sliding counts, all from one count per source and time."""
     trigger = _either([rule.trigger() for rule in rules])
-    minutes = rates.busy_minutes(packets, min(rule.threshold for rule in rules), trigger)
+    minutes = rates.busy_minutes(packets, [(rule.trigger(), rule.threshold) for rule in rules])
     counted = rates.within_minutes(packets.select("src_ip", "ts_us"), minutes)
     windows = sorted({rule.seconds for rule in rules})
     counts = rates.sliding_counts(counted, windows).where(_either([rule.exceeded() for rule in rules]))

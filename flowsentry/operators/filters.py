@@ -26,7 +26,7 @@ def since(df: DataFrame, as_of_us: int, seconds: int) -> DataFrame:
     cutoff = as_of_us - seconds * MICROS
     recent = df.where(F.col("ts_us") > cutoff)
     if "dt" in df.columns:
-        recent = recent.where(F.col("dt") >= F.lit(F.timestamp_micros(F.lit(cutoff))).cast("date"))
+        recent = recent.where(F.col("dt") >= F.timestamp_micros(F.lit(cutoff)).cast("date"))
     return recent
 
 

@@ -67,15 +67,17 @@ def recent_count(packets: DataFrame, windows: list[int]) -> DataFrame:
     return packets.join(sliding_counts(packets, windows), ["src_ip", "ts_us"])
 
 
-def busy_minutes(packets: DataFrame, more_than: int, trigger: Column) -> DataFrame:
-    """Minutes of a source in which a sliding count of up to a minute can exceed ``more_than``.
+def busy_minutes(packets: DataFrame, rules: list[tuple[Column, int]]) -> DataFrame:
+    """Minutes of a source in which a rule ``(trigger, threshold)`` on a count of a minute can fire.
 
-    A minute counts if it holds a trigger and has, with the minute before, enough packets; that
-    minute before is kept as well, because its packets are still in the window. Counts of any
-    other minute stay within the bound, so leaving them out changes no hit.
+    A minute counts if it holds a trigger of the rule and has, with the minute before, more
+    packets than the threshold; that minute before is kept as well, because its packets are still
+    in the window. Counts of any other minute stay within the bound, so leaving them out changes no
+    hit.
     """
+    triggers = [F.count_if(trigger).alias(f"triggers_{at}") for at, (trigger, _) in enumerate(rules)]
     minutes = packets.groupBy("src_ip", int_div("ts_us", MINUTE_US).alias("minute")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(trigger).alias("triggers")
+        F.count(F.lit(1)).alias("n"), *triggers
     )
     in_order = Window.partitionBy("src_ip").orderBy("minute")
     here = F.col("minute")
@@ -84,11 +86,14 @@ def busy_minutes(packets: DataFrame, more_than: int, trigger: Column) -> DataFra
         adjacent = function("minute").over(in_order) == here + distance
         return F.coalesce(F.when(adjacent, function(name).over(in_order)), F.lit(0))
 
-    hot = (F.col("triggers") > 0) & (F.col("n") + neighbour(F.lag, -1, "n") > more_than)
-    before_hot = (neighbour(F.lead, 1, "triggers") > 0) & (
-        F.col("n") + neighbour(F.lead, 1, "n") > more_than
-    )
-    return settle(minutes.withColumn("_keep", hot | before_hot).where("_keep").select("src_ip", "minute"))
+    with_before = F.col("n") + neighbour(F.lag, -1, "n")
+    with_after = F.col("n") + neighbour(F.lead, 1, "n")
+    keep = F.lit(False)
+    for at, (_, threshold) in enumerate(rules):
+        hot = (F.col(f"triggers_{at}") > 0) & (with_before > threshold)
+        before_hot = (neighbour(F.lead, 1, f"triggers_{at}") > 0) & (with_after > threshold)
+        keep = keep | hot | before_hot
+    return settle(minutes.withColumn("_keep", keep).where("_keep").select("src_ip", "minute"))
 
 
 def within_minutes(packets: DataFrame, minutes: DataFrame) -> DataFrame:

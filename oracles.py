@@ -284,7 +284,7 @@ ORACLES["s7_sink_geo"] = _query(
     f"""SELECT pid AS id, ts_us, src_ip, country, CAST(NULL AS VARCHAR) AS city, latitude, longitude, is_threat,
   1 AS pkt_count FROM ({_PLACED})""",
 )
-_ACKED = "SELECT DISTINCT event_id - event_id%9 AS alert_id FROM events WHERE event_id%9 < 2"
+_ACKED = "SELECT DISTINCT event_id - event_id%9 AS alert_id FROM events"
 _ACKS = f"CASE WHEN acknowledged = 1 OR id IN ({_ACKED}) THEN 1 ELSE 0 END AS acknowledged"
 ORACLES["s8_ack_alerts"] = _query(["alerts"], f"SELECT id, {_ACKS} FROM alerts")
 ORACLES["j7_ack_overlay"] = _query(["alerts"], f"SELECT id, severity, {_ACKS} FROM alerts")
