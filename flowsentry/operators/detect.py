@@ -195,11 +195,15 @@ def c2_beacon(
 ) -> DataFrame:
     """HTTP packets of a source whose events of the last hour come at regular gaps.
 
-    With a mean gap above ``min_gap`` the hour holds at most ``3600 / min_gap + 1`` events, so
-    longer histories need no look.
+    Sources without HTTP or with too few events at all are left out first. With a mean gap above
+    ``min_gap`` the hour holds at most ``3600 / min_gap + 1`` events, so longer histories need no
+    look.
     """
     most = int(gaps.HORIZON_SECONDS // min_gap) + 1
-    stats = gaps.sparse_interarrival_stats(packets.select(*_PACKET_COLUMNS), most)
+    counts = packets.groupBy("src_ip").agg(_protocol_count("HTTP").alias("http"), F.count(F.lit(1)).alias("events"))
+    sources = settle(counts.where((F.col("http") > 0) & (F.col("events") >= min_events)).select("src_ip"))
+    rows = packets.select(*_PACKET_COLUMNS).join(sources, "src_ip", "left_semi")
+    stats = gaps.sparse_interarrival_stats(rows, most)
     regular = (F.round("var_gap", 6) < max_variance) & (F.col("avg_gap") > min_gap) & (F.col("avg_gap") < max_gap)
     condition = (F.col("protocol") == "HTTP") & (F.col("n_events") >= min_events) & regular
     text = F.format_string(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowsentry import dims
 from flowsentry.functions.addresses import ipv4_number
 from flowsentry.functions.payload import ipv6_anomaly, payload_signature, port_classification
+from flowsentry.operators.pruning import settle
 
 
 def mitre_lookup(df: DataFrame, key: str = "mitre_key") -> DataFrame:
@@ -78,7 +79,7 @@ def ack_overlay(alerts: DataFrame, acks: DataFrame) -> DataFrame:
 
 def mark_malicious(packets: DataFrame, findings: DataFrame) -> DataFrame:
     """Packets flagged where the input flag is set or a finding names them."""
-    hit = findings.select("pid").distinct().withColumn("_hit", F.lit(1))
+    hit = settle(findings.select("pid").distinct().withColumn("_hit", F.lit(1)))
     joined = packets.join(hit, "pid", "left")
     value = F.greatest(F.coalesce("is_malicious", F.lit(0)), F.coalesce("_hit", F.lit(0)))
     return joined.withColumn("is_malicious", value).drop("_hit")
@@ -129,4 +130,4 @@ def geo_enrich(
         .where(F.col("src_ip").isNotNull() & (F.col("number") <= F.col("place.hi")))
         .select("src_ip", "place.country", "place.city", "place.latitude", "place.longitude")
     )
-    return packets.join(places, "src_ip").withColumn("is_threat", threat_country())
+    return packets.join(settle(places), "src_ip").withColumn("is_threat", threat_country())

@@ -16,6 +16,9 @@ from flowsentry import schemas
 from flowsentry.functions.scalar import timestamp_of
 from flowsentry.operators.lookups import ack_overlay
 
+FILES_PER_TRIGGER = 16
+ROWS_PER_TRIGGER = 20_000_000
+
 
 def _at_rest(table: str) -> T.StructType:
     return T.StructType([*schemas.TABLES[table].fields, T.StructField("dt", T.DateType(), True)])
@@ -49,22 +52,22 @@ def packet_stream(
     spark: SparkSession,
     path: str | None = None,
     watermark: str = "1 minute",
-    max_files: int | None = None,
+    max_files: int = FILES_PER_TRIGGER,
     kafka: dict[str, str] | None = None,
 ) -> DataFrame:
     """Packets as a stream with a watermark on ``ts``, from files or from a Kafka topic.
 
-    Kafka values are JSON objects with the packet columns; ``kafka`` holds the reader options.
-    The limit per trigger is what bounds the rows of one source in a micro-batch.
+    Kafka values are JSON objects with the packet columns; ``kafka`` holds the reader options, with
+    ``maxOffsetsPerTrigger`` among them. The limit per trigger bounds the rows that one source can
+    have in a micro-batch, so there always is one.
     """
     if kafka is not None:
-        raw = spark.readStream.format("kafka").options(**kafka).load()
+        options = {"maxOffsetsPerTrigger": str(ROWS_PER_TRIGGER), **kafka}
+        raw = spark.readStream.format("kafka").options(**options).load()
         value = F.from_json(F.col("value").cast("string"), schemas.PACKETS)
         packets = raw.select(value.alias("packet")).select("packet.*")
     else:
-        reader = spark.readStream.schema(schemas.PACKETS)
-        if max_files is not None:
-            reader = reader.option("maxFilesPerTrigger", max_files)
+        reader = spark.readStream.schema(schemas.PACKETS).option("maxFilesPerTrigger", max_files)
         packets = reader.parquet(path)
     return packets.withColumn("ts", timestamp_of()).withWatermark("ts", watermark)
 
