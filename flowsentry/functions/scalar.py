@@ -67,6 +67,8 @@ def alert_key(packet_id, rule) -> Column:
     return F.xxhash64(_col(packet_id), _col(rule))
 
 
-def like_contains(column, text: str) -> Column:
-    """Case-insensitive containment; ``%`` and ``_`` in the text are wildcards."""
-    return _col(column).ilike(f"%{text}%")
+def like_contains(column, text: str, wildcards: bool = True) -> Column:
+    """Case-insensitive containment; ``%`` and ``_`` in the text are wildcards unless switched off."""
+    if wildcards:
+        return _col(column).ilike(f"%{text}%")
+    return F.contains(F.lower(_col(column)), F.lit(text.lower()))

@@ -12,16 +12,24 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Session windows then merge rows before the shuffle, so a busy key sends few.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
 }
 
+PARTITIONS = "spark.sql.shuffle.partitions"
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    context = spark.sparkContext
+    if context.master.startswith("local") and spark.conf.get(PARTITIONS) == "200":
+        # The default is for clusters; streams do not coalesce and would open 200 state stores.
+        spark.conf.set(PARTITIONS, str(context.defaultParallelism))
     return spark
 
 

@@ -271,6 +271,11 @@ def test_wildcards_and_letter_case_in_search(packets_of):
     assert pids(filters.search_events(df, protocol="tcp")) == []
 
 
+def test_literal_search(packets_of):
+    df = packets_of([{"flags": "S_N"}, {"flags": "SYN"}, {"flags": "xs_ny"}])
+    assert pids(df.where(scalar.like_contains("flags", "s_n", wildcards=False))) == [0, 2]
+
+
 def test_since_is_strict_and_prunes_days(spark, packets_of):
     day = 86400 * SECOND
     df = packets_of([{"ts_us": n * day} for n in range(5)])
