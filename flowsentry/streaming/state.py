@@ -1,7 +1,7 @@
 """Stateful detection on packet streams.
 
-State is kept per source (or per source and target for port scans) and holds a few numbers plus
-the times a rule still needs. A micro-batch brings the rows of one key together, so the limit per
+State is kept per source and minute for floods, per source and target for port scans, else per
+source; it holds a few numbers plus the times a rule still needs. A micro-batch brings the rows of one key together, so the limit per
 trigger of the stream is what bounds a task.
 """
 
@@ -21,6 +21,7 @@ from flowsentry.operators import detect
 from flowsentry.operators.detect import EXFIL_LIMIT, SSH_ATTEMPTS
 from flowsentry.operators.gaps import HORIZON_SECONDS
 from flowsentry.operators.ordered import ResettingSet, ResettingSum, RunningCount
+from flowsentry.operators.rates import MINUTE_US
 from flowsentry.operators.sessions import IDLE_SECONDS
 
 IDLE_US = IDLE_SECONDS * MICROS
@@ -52,11 +53,57 @@ def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(["ts_us", "pid"], ignore_index=True)
 
 
+class RateProcessor(StatefulProcessor):
+    """Sliding counts of a source in one minute; packets of the minute before come as context."""
+
+    def __init__(self, rules):
+        self.rules = [rule._asdict() for rule in rules]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.ticks = handle.getValueState("ticks", "times array<bigint>, counts array<bigint>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = _in_order(rows)
+        times, counts = self.ticks.get() if self.ticks.exists() else ([], [])
+        now = frame["ts_us"].to_numpy(dtype=np.int64)
+        all_times = np.concatenate([np.asarray(times, dtype=np.int64), now])
+        weights = np.concatenate([np.asarray(counts, dtype=np.int64), np.ones(len(now), dtype=np.int64)])
+        ticks, at = np.unique(all_times, return_inverse=True)
+        weights = np.bincount(at, weights=weights).astype(np.int64)
+        self.ticks.update((ticks.tolist(), weights.tolist()))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        # Packets that come late, within the watermark, still find the minute.
+        self.handle.registerTimer((int(key[1]) + 1) * 60_000 + 1)
+
+        running = np.concatenate([[0], np.cumsum(weights)])
+        until = np.searchsorted(ticks, now, side="right")
+        own, protocol, flags = (frame[name].to_numpy() for name in ("own", "protocol", "flags"))
+        found = []
+        for rule in self.rules:
+            since = np.searchsorted(ticks, now - rule["seconds"] * MICROS, side="right")
+            recent = running[until] - running[since]
+            mask = own & (protocol == rule["protocol"]) & (recent > rule["threshold"])
+            if rule["flags"] is not None:
+                mask &= flags == rule["flags"]
+            hits = np.flatnonzero(mask)
+            if len(hits):
+                found.append(_hits(frame, hits, rule["rule"], recent[hits]))
+        yield pd.concat(found, ignore_index=True) if found else _NO_HITS
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.ticks.clear()
+        yield _NO_HITS
+
+    def close(self) -> None:
+        pass
+
+
 class SourceProcessor(StatefulProcessor):
-    """Rules on the history of a source: sliding counts, counters and sums, gaps."""
+    """Rules on the history of a source: counters and sums, gaps."""
 
-    def __init__(self, rates=(), counters: bool = False, beacons: bool = False, watermark_us: int = 60 * MICROS):
-        self.rates = [rule._asdict() for rule in rates]
+    def __init__(self, counters: bool = False, beacons: bool = False, watermark_us: int = 60 * MICROS):
         self.counters = counters
         self.beacons = beacons
         self.slack = watermark_us
@@ -64,21 +111,14 @@ class SourceProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState(
-            "history",
-            "times array<bigint>, counts array<bigint>, events array<bigint>, "
-            "dns bigint, ssh bigint, bytes bigint, last_us bigint",
+            "history", "events array<bigint>, dns bigint, ssh bigint, bytes bigint, last_us bigint"
         )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = _in_order(rows)
-        held = self.state.get() if self.state.exists() else None
-        times, counts, events = (held[0], held[1], held[2]) if held else ([], [], [])
-        dns, ssh, total, last = held[3:] if held else (0, 0, 0, None)
+        held = self.state.get() if self.state.exists() else ([], 0, 0, 0, None)
+        events, dns, ssh, total, last = held
         found = []
-
-        if self.rates:
-            hits, times, counts = self._rate_hits(frame, times, counts)
-            found += hits
         if self.beacons:
             hits, events = self._beacon_hits(frame, events)
             found += hits
@@ -88,7 +128,7 @@ class SourceProcessor(StatefulProcessor):
 
         newest = int(frame["ts_us"].iat[-1])
         last = newest if last is None else max(newest, last)
-        self.state.update((list(times), list(counts), list(events), dns, ssh, total, last))
+        self.state.update((list(events), dns, ssh, total, last))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer((last + IDLE_US) // 1000 + 1)
@@ -101,29 +141,6 @@ class SourceProcessor(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _rate_hits(self, frame, times, counts):
-        now = frame["ts_us"].to_numpy(dtype=np.int64)
-        all_times = np.concatenate([np.asarray(times, dtype=np.int64), now])
-        weights = np.concatenate([np.asarray(counts, dtype=np.int64), np.ones(len(now), dtype=np.int64)])
-        ticks, at = np.unique(all_times, return_inverse=True)
-        weights = np.bincount(at, weights=weights).astype(np.int64)
-        running = np.concatenate([[0], np.cumsum(weights)])
-        until = np.searchsorted(ticks, now, side="right")
-        protocol, flags = frame["protocol"].to_numpy(), frame["flags"].to_numpy()
-        found = []
-        for rule in self.rates:
-            recent = running[until] - running[np.searchsorted(ticks, now - rule["seconds"] * MICROS, side="right")]
-            mask = (protocol == rule["protocol"]) & (recent > rule["threshold"])
-            if rule["flags"] is not None:
-                mask &= flags == rule["flags"]
-            rows = np.flatnonzero(mask)
-            if len(rows):
-                found.append(_hits(frame, rows, rule["rule"], recent[rows]))
-        longest = max(rule["seconds"] for rule in self.rates) * MICROS
-        # Packets that come late, within the watermark, still find their history.
-        keep = ticks > ticks[-1] - longest - self.slack
-        return found, ticks[keep].tolist(), weights[keep].tolist()
-
     def _beacon_hits(self, frame, events):
         most = int(HORIZON_SECONDS // 20) + 1
         now = frame["ts_us"].to_numpy(dtype=np.int64)
@@ -209,15 +226,29 @@ def _as_findings(hits: DataFrame) -> DataFrame:
     return detect.as_findings(hits, candidates)
 
 
+def _rows(packets: DataFrame) -> DataFrame:
+    return packets.select(*_PACKET, "length", F.coalesce("flags", F.lit("")).alias("flags"), "ts")
+
+
 def _per_source(packets: DataFrame, processor: SourceProcessor) -> DataFrame:
-    rows = packets.select(*_PACKET, "length", F.coalesce("flags", F.lit("")).alias("flags"), "ts")
-    hits = rows.groupBy("src_ip").transformWithStateInPandas(processor, HIT_SCHEMA, "append", "eventTime")
-    return _as_findings(hits)
+    grouped = _rows(packets).groupBy("src_ip")
+    return _as_findings(grouped.transformWithStateInPandas(processor, HIT_SCHEMA, "append", "eventTime"))
+
 
+def stream_rates(packets: DataFrame) -> DataFrame:
+    """Flood rules on sliding counts of up to a minute.
 
-def stream_rates(packets: DataFrame, watermark_seconds: int = 60) -> DataFrame:
-    """Flood rules on sliding counts."""
-    return _per_source(packets, SourceProcessor(rates=detect.RATE_RULES, watermark_us=watermark_seconds * MICROS))
+    State is kept per source and minute: a packet goes to its own minute, and to the next one as
+    context. A backlog of a busy source so spreads over its minutes.
+    """
+    minute = int_div("ts_us", MINUTE_US)
+    copies = F.array(
+        F.struct(minute.alias("minute"), F.lit(True).alias("own")),
+        F.struct((minute + 1).alias("minute"), F.lit(False).alias("own")),
+    )
+    grouped = _rows(packets).select("*", F.inline(copies)).groupBy("src_ip", "minute")
+    processor = RateProcessor(detect.RATE_RULES)
+    return _as_findings(grouped.transformWithStateInPandas(processor, HIT_SCHEMA, "append", "eventTime"))
 
 
 def stream_counters(packets: DataFrame) -> DataFrame:
@@ -230,9 +261,9 @@ def stream_beacon(packets: DataFrame, watermark_seconds: int = 60) -> DataFrame:
 
 
 def stream_source_rules(packets: DataFrame, watermark_seconds: int = 60) -> DataFrame:
-    """All rules on the history of a source, with one state per source."""
-    processor = SourceProcessor(detect.RATE_RULES, True, True, watermark_seconds * MICROS)
-    return _per_source(packets, processor)
+    """All rules on the history of a source."""
+    history = _per_source(packets, SourceProcessor(True, True, watermark_seconds * MICROS))
+    return stream_rates(packets).unionByName(history)
 
 
 def stream_port_scan(packets: DataFrame) -> DataFrame:

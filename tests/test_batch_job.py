@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from flowsentry.operators import detect, filters
 from flowsentry.plans import catalog
 from flowsentry.plans.dashboard import Dashboard
-from flowsentry.plans.pipeline import acknowledge, analyze
+from flowsentry.plans.batch_job import acknowledge, analyze
 from flowsentry.plans.views import view
 from flowsentry.sources import tables
 
