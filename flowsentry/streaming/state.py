@@ -1,6 +1,6 @@
 """Stateful detection on packet streams.
 
-State is kept per source and minute for floods, per source and target for port scans, else per
+State is kept per source and day for floods, per source and target for port scans, else per
 source; it holds a few numbers plus the times a rule still needs. A micro-batch brings the rows of one key together, so the limit per
 trigger of the stream is what bounds a task.
 """
@@ -21,11 +21,11 @@ from flowsentry.operators import detect
 from flowsentry.operators.detect import EXFIL_LIMIT, SSH_ATTEMPTS
 from flowsentry.operators.gaps import HORIZON_SECONDS
 from flowsentry.operators.ordered import ResettingSet, ResettingSum, RunningCount
-from flowsentry.operators.rates import MINUTE_US
 from flowsentry.operators.sessions import IDLE_SECONDS
 
 IDLE_US = IDLE_SECONDS * MICROS
 HORIZON_US = HORIZON_SECONDS * MICROS
+BLOCK_US = 86_400 * MICROS
 SCAN_LIMIT = 50
 DNS_EVERY = 100
 
@@ -54,10 +54,11 @@ def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 class RateProcessor(StatefulProcessor):
-    """Sliding counts of a source in one minute; packets of the minute before come as context."""
+    """Sliding counts of a source in one block of time; the end of the block before is context."""
 
-    def __init__(self, rules):
+    def __init__(self, rules, watermark_us: int):
         self.rules = [rule._asdict() for rule in rules]
+        self.kept = max(rule.seconds for rule in rules) * MICROS + watermark_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -71,11 +72,12 @@ class RateProcessor(StatefulProcessor):
         weights = np.concatenate([np.asarray(counts, dtype=np.int64), np.ones(len(now), dtype=np.int64)])
         ticks, at = np.unique(all_times, return_inverse=True)
         weights = np.bincount(at, weights=weights).astype(np.int64)
-        self.ticks.update((ticks.tolist(), weights.tolist()))
+        # Packets that come late, within the watermark, still find their history and their block.
+        keep = ticks > ticks[-1] - self.kept
+        self.ticks.update((ticks[keep].tolist(), weights[keep].tolist()))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        # Packets that come late, within the watermark, still find the minute.
-        self.handle.registerTimer((int(key[1]) + 1) * 60_000 + 1)
+        self.handle.registerTimer((int(key[1]) + 1) * BLOCK_US // 1000 + 1)
 
         running = np.concatenate([[0], np.cumsum(weights)])
         until = np.searchsorted(ticks, now, side="right")
@@ -235,19 +237,23 @@ def _per_source(packets: DataFrame, processor: SourceProcessor) -> DataFrame:
     return _as_findings(grouped.transformWithStateInPandas(processor, HIT_SCHEMA, "append", "eventTime"))
 
 
-def stream_rates(packets: DataFrame) -> DataFrame:
-    """Flood rules on sliding counts of up to a minute.
+def stream_rates(packets: DataFrame, watermark_seconds: int = 60) -> DataFrame:
+    """Flood rules on sliding counts.
 
-    State is kept per source and minute: a packet goes to its own minute, and to the next one as
-    context. A backlog of a busy source so spreads over its minutes.
+    State is kept per source and day: a packet goes to its own day, and as context to the next
+    one if it is still in a window there. A backlog of a busy source so spreads over its days.
     """
-    minute = int_div("ts_us", MINUTE_US)
-    copies = F.array(
-        F.struct(minute.alias("minute"), F.lit(True).alias("own")),
-        F.struct((minute + 1).alias("minute"), F.lit(False).alias("own")),
+    longest_us = max(rule.seconds for rule in detect.RATE_RULES) * MICROS
+    block = int_div("ts_us", BLOCK_US)
+    reaches_on = (block + 1) * BLOCK_US - F.col("ts_us") < longest_us
+    copies = F.array_compact(
+        F.array(
+            F.struct(block.alias("block"), F.lit(True).alias("own")),
+            F.when(reaches_on, F.struct((block + 1).alias("block"), F.lit(False).alias("own"))),
+        )
     )
-    grouped = _rows(packets).select("*", F.inline(copies)).groupBy("src_ip", "minute")
-    processor = RateProcessor(detect.RATE_RULES)
+    grouped = _rows(packets).select("*", F.inline(copies)).groupBy("src_ip", "block")
+    processor = RateProcessor(detect.RATE_RULES, watermark_seconds * MICROS)
     return _as_findings(grouped.transformWithStateInPandas(processor, HIT_SCHEMA, "append", "eventTime"))
 
 
@@ -263,7 +269,7 @@ def stream_beacon(packets: DataFrame, watermark_seconds: int = 60) -> DataFrame:
 def stream_source_rules(packets: DataFrame, watermark_seconds: int = 60) -> DataFrame:
     """All rules on the history of a source."""
     history = _per_source(packets, SourceProcessor(True, True, watermark_seconds * MICROS))
-    return stream_rates(packets).unionByName(history)
+    return stream_rates(packets, watermark_seconds).unionByName(history)
 
 
 def stream_port_scan(packets: DataFrame) -> DataFrame:
