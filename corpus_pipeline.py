@@ -5,11 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsentry.llm import common, exact_dedup, mixing
+from flowsentry.llm import bpe, common, exact_dedup, langid, mixing
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+# Documents whose language is less sure than this are rejected.
+SURE = 0.5
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents without a letter or with an uncertain language go."""
+    docs = docs.select(*COLUMNS)
+    model = langid.fit(docs.where(langid.bucket(F.col("doc_id"), 4) != 2))
+    named = langid.predict(docs, model)
+    return named.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("lang_score") >= SURE)).select(*COLUMNS)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact dedup: of equal texts the row with the largest id stays."""
     return exact_dedup.keep_one(docs.select(*COLUMNS))
@@ -20,7 +32,24 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs.select(*COLUMNS), temperature=0.5, seed=29).select(*COLUMNS)
 
 
-STAGES = [("exact_dedup", drop_copies), ("mixing", mix_sources)]
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE: the ids of each copy, and whether they decode to its text."""
+    made = bpe.round_trip(docs.select("doc_id", "source", "text"))
+    return made.select(
+        "doc_id",
+        "source",
+        bpe.n_tokens().alias("n_tokens"),
+        "token_ids",
+        (F.col("decoded") == common.utf8("text").cast("binary")).alias("round_trip"),
+    )
+
+
+STAGES = [
+    ("language_id", keep_known_languages),
+    ("exact_dedup", drop_copies),
+    ("mixing", mix_sources),
+    ("byte_bpe", tokenise),
+]
 
 # Language ID is a trained model, which SQL cannot express.
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsentry.llm import common, exact_dedup, mixing, sharding
+from flowsentry.llm import bpe, common, exact_dedup, langid, mixing, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,40 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.groups(common.read(spark, sf_dir, "documents"))
 
 
+@query
+def op7_byte_bpe(spark, sf_dir):
+    documents = common.read(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.round_trip(documents).select(
+        "doc_id",
+        bpe.n_tokens().alias("n_tokens"),
+        F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op8_quality(spark, sf_dir):
+    documents = common.read(spark, sf_dir, "documents")
+    labels = common.read(spark, sf_dir, "labels").where(F.col("quality").isin(0, 1))
+    stats = common.settle(quality.with_statistics(documents), "quality")
+    held_out = langid.bucket(F.col("doc_id"), 5) == 0
+    labelled = stats.where(~held_out).join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id")
+    scored = quality.score(stats, quality.fit(labelled))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+@query
+def op9_langid(spark, sf_dir):
+    documents = common.read(spark, sf_dir, "documents")
+    held_out = langid.bucket(F.col("doc_id"), 4) == 2
+    model = langid.fit(documents.where(~held_out))
+    return langid.predict(documents.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score")
+    )
+
+
 @query
 def op10_mixing(spark, sf_dir):
     documents = common.read(spark, sf_dir, "documents")
