@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowsentry.llm.common import utf8
+from flowsentry.llm.common import settle, utf8
 
 HOT_SHARE = 256
 SALTS = 64
@@ -48,7 +48,8 @@ def _sorted_runs(
     digest = _digest(df, text, normalise)
     total = df.count()
     counts = df.select(digest.alias("_sha")).groupBy("_sha").count()
-    hot = F.broadcast(counts.where(F.col("count") > max(total // HOT_SHARE, 1000)).select("_sha", F.lit(True).alias("_hot")))
+    frequent = counts.where(F.col("count") > max(total // HOT_SHARE, 1000))
+    hot = F.broadcast(settle(frequent.select("_sha", F.lit(True).alias("_hot")), "hot"))
     rows = df.select(
         df[doc_id].alias("_id"),
         F.struct(*[df[name] for name in carry]).alias("_row") if carry else F.lit(None).cast("string").alias("_row"),
@@ -71,17 +72,20 @@ def _sorted_runs(
         F.first("_id").over(first).alias("_keep"),
         F.row_number().over(first).alias("_place"),
         F.count(F.lit(1)).over(run).alias("_n"),
-        *(["_text"] if not carry else []),
     )
-    # The salted parts of at most 255 hot texts: a few thousand rows.
-    leaders = (
-        parts.where(F.col("_hot") & (F.col("_place") == 1))
-        .select("_sha", "_salt", "_keep", "_n")
-        .withColumn("_best", F.row_number().over(Window.partitionBy("_sha").orderBy(
-            F.col("_keep").desc_nulls_last() if keep == "largest" else F.col("_keep").asc_nulls_last(), "_salt")))
-        .withColumn("_all", F.sum("_n").over(Window.partitionBy("_sha")))
-        .withColumn("_first", F.max(F.when(F.col("_best") == 1, F.col("_keep"))).over(Window.partitionBy("_sha")))
-        .select("_sha", "_salt", "_best", "_all", "_first")
+    # The salted parts of at most 255 hot texts, from ids and digests alone: a few thousand rows.
+    best = F.max if keep == "largest" else F.min
+    salted = rows.where("_hot").select("_sha", salt.alias("_salt"), "_id").groupBy("_sha", "_salt").agg(
+        best("_id").alias("_keep"), F.count(F.lit(1)).alias("_n")
+    )
+    of_text = Window.partitionBy("_sha")
+    by_keep = F.col("_keep").desc_nulls_last() if keep == "largest" else F.col("_keep").asc_nulls_last()
+    leaders = salted.select(
+        "_sha",
+        "_salt",
+        F.row_number().over(of_text.orderBy(by_keep, "_salt")).alias("_best"),
+        F.sum("_n").over(of_text).alias("_all"),
+        best("_keep").over(of_text).alias("_first"),
     )
     return parts.join(F.broadcast(leaders), ["_sha", "_salt"], "left")
 
