@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsentry.llm import bpe, common, exact_dedup, langid, mixing, quality, sharding
+from flowsentry.llm import bpe, common, exact_dedup, langid, mixing, quality, repeats, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,18 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op1_suffix_dedup(spark, sf_dir):
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, span: total + span["end"] - span["start"])
+    return repeats.cut_repeats(common.read(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op2_sharding(spark, sf_dir):
     documents = common.read(spark, sf_dir, "documents")
