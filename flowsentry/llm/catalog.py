@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsentry.llm import bpe, common, exact_dedup, langid, mixing, quality, repeats, sharding
+from flowsentry.llm import bpe, common, exact_dedup, jaccard, langid, mixing, quality, repeats, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +50,11 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.groups(common.read(spark, sf_dir, "documents"))
 
 
+@query
+def op4_ngram_jaccard(spark, sf_dir):
+    return jaccard.similar(common.read(spark, sf_dir, "documents"))
+
+
 @query
 def op7_byte_bpe(spark, sf_dir):
     documents = common.read(spark, sf_dir, "documents").select("doc_id", "text")
