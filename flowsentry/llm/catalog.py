@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsentry.llm import bpe, common, exact_dedup, jaccard, langid, mixing, quality, repeats, sharding
+from flowsentry.llm import bpe, common, exact_dedup, jaccard, langid, mixing, quality, repeats, sharding, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,28 @@ def op4_ngram_jaccard(spark, sf_dir):
     return jaccard.similar(common.read(spark, sf_dir, "documents"))
 
 
+@query
+def op5_impact_topk(spark, sf_dir):
+    embeddings = common.read(spark, sf_dir, "embeddings")
+    return topk.search(embeddings, F.col("vec_id") % 50 == 0)
+
+
+@query
+def op6_warc(spark, sf_dir):
+    pages = common.read(spark, sf_dir, "pages")
+    path = common.folder(spark, "warc")
+    warc.write_archives(warc.planned(pages), path)
+    records = warc.read_archives(spark, path).where("kind = 'record'")
+    response = F.col("record_type") == "response"
+    return records.select(
+        warc.page_of("record_id").cast("long").alias("page_id"),
+        F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("http_length")).alias("payload_bytes"),
+        F.when(response, F.sha2("payload", 256)).otherwise(F.substring("digest", 8, 64)).alias("payload_digest"),
+        "record_type",
+        warc.page_of("refers_to").cast("long").alias("refers_to"),
+    )
+
+
 @query
 def op7_byte_bpe(spark, sf_dir):
     documents = common.read(spark, sf_dir, "documents").select("doc_id", "text")

@@ -10,6 +10,35 @@ ORACLES = {
         FROM documents
         WINDOW run AS (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST)
     """,
+    "op5_impact_topk": """
+        WITH usable AS (
+          SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, row_number() OVER () AS r
+          FROM embeddings
+          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), parts AS (
+          SELECT r, vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM usable
+        ), scores AS (
+          SELECT q.r AS qr, q.vec_id AS query_id, c.r AS cr, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+          FROM parts q JOIN parts c ON q.i = c.i AND q.r <> c.r
+          WHERE q.vec_id % 50 = 0
+          GROUP BY ALL
+        ), ranked AS (
+          SELECT *, row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id) AS n FROM scores
+        )
+        SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM ranked WHERE n <= 5
+    """,
+    "op6_warc": """
+        WITH p AS (
+          SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+        ), f AS (
+          SELECT *, first_value(page_id) OVER w AS first_id, row_number() OVER w AS place FROM p
+          WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id NULLS LAST)
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+          CASE WHEN payload_bytes >= 100 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN payload_bytes >= 100 AND place > 1 THEN first_id END AS refers_to
+        FROM f
+    """,
     "op10_mixing": """
         WITH docs AS (
           SELECT doc_id, source, text, coalesce('=' || source, 'null') AS k, strlen(coalesce(text, '')) + 1 AS b FROM documents
