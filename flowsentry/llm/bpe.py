@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding.
 
-A piece of text is encoded from its longest vocabulary matches: an Aho-Corasick automaton over the
-tokens, read as Latin-1 strings, gives the longest token at each place; tokens are taken left to right,
+A piece of text is encoded from its longest vocabulary matches: the automaton over the tokens, read as
+Latin-1 strings, gives the longest token at a place; tokens are taken left to right,
 and where a token and its predecessor cannot be neighbours in a merge result, a shorter token is tried or
 the predecessor is taken back. Places that were given up are marked, so each is tried once and the work
 is linear. Whether two tokens can be neighbours is decided by undoing their merges and is memoised. The
@@ -18,6 +18,7 @@ Token ids are kept as a binary of little-endian unsigned 32-bit integers.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from flowsentry.llm.common import short_batches, worker_cache
 
-# Bounds on what a worker remembers; a full memo is emptied and fills again.
-WORDS = 300_000
+# Bounds on what a worker remembers.
+WORDS = 200_000
 PAIRS = 1_000_000
 # Characters of text whose pieces are held at once.
 STRETCH = 500_000
@@ -45,27 +46,36 @@ def default_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+UINT32 = "I"
 RUN = re.compile(r"\s\s")
 
 
 class _Memo(dict):
-    """Values by word, made when first asked for; long words are not kept."""
+    """Values by word, made when first asked for.
+
+    A full memo becomes the older one, of which words that are asked for again are taken over. Long words
+    are not kept.
+    """
 
     def __init__(self, make):
         super().__init__()
         self.make = make
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        value = self.make(word)
+        value = self.older.get(word)
+        if value is None:
+            value = self.make(word)
         if len(word) <= 64:
             if len(self) >= WORDS:
+                self.older = dict(self)
                 self.clear()
             self[word] = value
         return value
 
 
 class Vocabulary:
-    """The tables of one rank file."""
+    """The tables of one rank file. Tokens are strings here, a Latin-1 character for each byte."""
 
     def __init__(self, ranks: bytes, pattern: str):
         import base64
@@ -75,25 +85,29 @@ class Vocabulary:
 
         self.pattern = regex.compile(pattern)
         entries = [line.split() for line in ranks.splitlines() if line]
-        self.id_of = {base64.b64decode(token): int(rank) for token, rank in entries}
-        self.bytes_of = {rank: token for token, rank in self.id_of.items()}
-        self.size = max(self.bytes_of) + 1
-        self.automaton = ahocorasick.Automaton()
+        self.id_of = {base64.b64decode(token).decode("latin-1"): int(rank) for token, rank in entries}
+        self.size = max(self.id_of.values()) + 1
+        self.token_of = [""] * self.size
         for token, rank in self.id_of.items():
-            self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
-        self.automaton.make_automaton()
+            self.token_of[rank] = token
+        self.length_of = [len(token) for token in self.token_of]
+        self.spelled = [token.encode("latin-1") for token in self.token_of]
+        self.most = max(self.length_of)
+        self.trie = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for token in self.id_of:
+            self.trie.add_word(token)
         self.prefix_of = self._prefixes()
-        self.merged: dict[tuple[int, int], int] = {}
-        self.parts: dict[int, tuple[int, int]] = {}
+        # By rank: the parts of the last merge; by pair of ranks: the merge; whether a pair can be neighbours.
+        self.left_of, self.right_of = list(range(self.size)), list(range(self.size))
+        self.merged: dict[int, int] = {}
         self.pairs: dict[int, bool] = {}
         self.words = _Memo(self._encode_word)
-        self.spaced = _Memo(lambda word: self._encode_word(" " + word))
+        self.spaced = _Memo(lambda word: self._encode_word(word, " "))
         self._undo_merges()
-        self.spelled = [self.bytes_of.get(rank, b"") for rank in range(self.size)]
 
-    def _prefixes(self) -> dict[int, int]:
-        """The longest shorter token that each token starts with."""
-        found = {}
+    def _prefixes(self) -> list[int]:
+        """The longest shorter token that each token starts with; -1 if there is none."""
+        found = [-1] * self.size
         for token, rank in self.id_of.items():
             for end in range(len(token) - 1, 0, -1):
                 if (shorter := self.id_of.get(token[:end])) is not None:
@@ -103,17 +117,15 @@ class Vocabulary:
 
     def _undo_merges(self) -> None:
         """The last merge of each token, in order of rank; single bytes are their own parts."""
-        for rank in sorted(self.bytes_of):
-            token = self.bytes_of[rank]
-            left = self.prefix_of.get(rank)
-            self.parts[rank] = (rank, rank)
-            while left is not None:
-                right = self.id_of.get(token[len(self.bytes_of[left]) :])
+        for rank, token in enumerate(self.token_of):
+            left = self.prefix_of[rank]
+            while left >= 0:
+                right = self.id_of.get(token[self.length_of[left] :])
                 if right is not None and left < rank and right < rank and self._meet(left, right):
-                    self.parts[rank] = (left, right)
-                    self.merged[left, right] = rank
+                    self.left_of[rank], self.right_of[rank] = left, right
+                    self.merged[left * self.size + right] = rank
                     break
-                left = self.prefix_of.get(left)
+                left = self.prefix_of[left]
 
     def _meet(self, left: int, right: int) -> bool:
         """Whether no merge across the border of the two tokens would have come before their own.
@@ -121,71 +133,80 @@ class Vocabulary:
         The later of the two merges is undone on the side of the border, over and over; any merge over
         the border that ranks below what has been undone would have happened first.
         """
-        limit = self.size
+        size, merged, left_of, right_of = self.size, self.merged, self.left_of, self.right_of
+        limit = size
         while True:
-            across = self.merged.get((left, right))
-            if across is not None and across < limit:
+            if merged.get(left * size + right, limit) < limit:
                 return False
+            inner, outer = right_of[left], left_of[right]
             if left > right:
-                limit, left = left, self.parts[left][1]
-                if left != limit:
-                    continue
-                limit, right = right + 1, self.parts[right][0]
-                if right + 1 == limit:
+                if inner != left:
+                    limit, left = left, inner
+                elif outer != right:
+                    limit, right = right + 1, outer
+                else:
                     return True
+            elif outer != right:
+                limit, right = right + 1, outer
+            elif inner != left:
+                limit, left = left, inner
             else:
-                limit, right = right + 1, self.parts[right][0]
-                if right + 1 != limit:
-                    continue
-                limit, left = left, self.parts[left][1]
-                if left == limit:
-                    return True
-
-    def neighbours(self, left: int, right: int) -> bool:
-        key = left * self.size + right
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self._meet(left, right)
-        return known
-
-    def encode_piece(self, piece: bytes) -> list[int]:
+                return True
+
+    def _longest(self, piece: str, place: int) -> int:
+        """The longest token at a place; the trie bounds its length, as its paths go on to longer tokens."""
+        ahead = piece[place : place + self.most]
+        length = self.trie.longest_prefix(ahead)
+        while (rank := self.id_of.get(ahead[:length])) is None:
+            length -= 1
+        return rank
+
+    def encode_piece(self, text: str) -> list[int]:
+        piece = text if text.isascii() else text.encode().decode("latin-1")
         whole = self.id_of.get(piece)
         if whole is not None:
             return [whole]
-        size = len(piece)
-        longest, width = [0] * size, [0] * size
-        for end, (rank, length) in self.automaton.iter(piece.decode("latin-1")):
-            start = end - length + 1
-            if length > width[start]:
-                width[start], longest[start] = length, rank
-        bytes_of, prefix_of, neighbours = self.bytes_of, self.prefix_of, self.neighbours
-        open_places = bytearray(b"\x01") * (size + 1)
+        size, ranks = len(piece), self.size
+        longest, length_of, prefix_of, pairs = self._longest, self.length_of, self.prefix_of, self.pairs
+        given_up = None  # places that turned out to be dead ends
         tokens: list[int] = []
-        place, token = 0, longest[0]
+        place, last, token = 0, -1, longest(piece, 0)
         while True:
-            last = tokens[-1] if tokens else None
             while True:
-                end = place + len(bytes_of[token])
-                if open_places[end] and (last is None or neighbours(last, token)):
-                    tokens.append(token)
-                    place = end
-                    if place == size:
-                        return tokens
-                    token = longest[place]
-                    break
-                token = prefix_of.get(token)
-                if token is None:
-                    # Nothing fits here: give up this place and shorten the token before it.
-                    open_places[place] = 0
-                    token = tokens.pop()
-                    place -= len(bytes_of[token])
+                end = place + length_of[token]
+                if given_up is None or end not in given_up:
+                    if last < 0:
+                        break
+                    key = last * ranks + token
+                    fits = pairs.get(key)
+                    if fits is None:
+                        if len(pairs) >= PAIRS:
+                            pairs.clear()
+                        fits = pairs[key] = self._meet(last, token)
+                    if fits:
+                        break
+                token = prefix_of[token]
+                if token < 0:
                     break
-
-    def _encode_word(self, word: str) -> bytes:
-        ids = [rank for piece in self.pattern.findall(word) for rank in self.encode_piece(piece.encode())]
-        return np.array(ids, "<u4").tobytes()
+            if token < 0:
+                # Nothing fits here: give up this place and shorten the token before it.
+                if given_up is None:
+                    given_up = set()
+                given_up.add(place)
+                token = tokens.pop()
+                place -= length_of[token]
+                last = tokens[-1] if tokens else -1
+                continue
+            tokens.append(token)
+            if end == size:
+                return tokens
+            place, last, token = end, token, longest(piece, end)
+
+    def _encode_word(self, word: str, before: str = "") -> bytes:
+        if word.isalpha():  # a run of letters, with the space before it, is one piece
+            return array(UINT32, self.encode_piece(before + word)).tobytes()
+        ids = [rank for piece in self.pattern.findall(before + word) for rank in self.encode_piece(piece)]
+        return array(UINT32, ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids, packed.
