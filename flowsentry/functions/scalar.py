@@ -63,12 +63,16 @@ def alert_title(threat_type) -> Column:
 
 
 def alert_key(packet_id, rule) -> Column:
-    """Key of the alert a rule raises on a packet; the same on every replay."""
-    return F.xxhash64(_col(packet_id), _col(rule))
+    """Key of the alert a rule raises on a packet; the same on every replay, 128 bits as hex."""
+    return F.md5(F.concat_ws("|", _col(packet_id).cast("string"), _col(rule)))
 
 
 def like_contains(column, text: str, wildcards: bool = True) -> Column:
-    """Case-insensitive containment; ``%`` and ``_`` in the text are wildcards unless switched off."""
+    """Case-insensitive containment; ``%`` and ``_`` in the text are wildcards unless switched off.
+
+    A backslash is an ordinary character, so it is doubled for Spark, which takes it as an escape.
+    """
     if wildcards:
-        return _col(column).ilike(f"%{text}%")
+        escaped = text.replace("\\", "\\\\")
+        return _col(column).ilike(f"%{escaped}%")
     return F.contains(F.lower(_col(column)), F.lit(text.lower()))

@@ -42,7 +42,7 @@ def build_mitre_events(findings: DataFrame) -> DataFrame:
     """One technique hit per finding, linked to its alert."""
     key = alert_key("pid", "rule")
     return with_confidence(with_techniques(findings)).select(
-        F.xxhash64(key, F.lit("technique")).alias("id"),
+        F.md5(F.concat_ws("|", key, F.lit("technique"))).alias("id"),
         "ts_us",
         "technique_id",
         "technique_name",

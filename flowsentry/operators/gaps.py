@@ -119,20 +119,20 @@ def sparse_interarrival_stats(
 
     That makes a busy source cheap: in a block as long as the horizon only the first
     ``max_events`` can have so short a history, and of the block before only the last
-    ``max_events`` can be in it. If one more was in it, the history has more than ``max_events``
-    even without it. Both limits are applied before the shuffle (a rank filter), so no task sees
-    more than ``2 * max_events`` rows of a source and block per map task.
+    ``max_events`` can be in it. One row more of each is kept, so that a history that was cut, also
+    among rows of one time, still counts too many. Both limits are applied before the shuffle (a rank
+    filter), so no task sees more than ``2 * max_events + 2`` rows of a source and block per map task.
     """
     horizon_us = horizon_seconds * MICROS
     rows = packets.withColumn("block", int_div("ts_us", horizon_us))
     block = Window.partitionBy("src_ip", "block")
     first = block.orderBy("ts_us", "pid")
     last = block.orderBy(F.desc("ts_us"), F.desc("pid"))
-    own = rows.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= max_events)
+    own = rows.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= max_events + 1)
     before = (
         rows.select("src_ip", "block", "ts_us", "pid")
         .withColumn("_rank", F.row_number().over(last))
-        .where(F.col("_rank") <= max_events)
+        .where(F.col("_rank") <= max_events + 1)
         .withColumn("block", F.col("block") + 1)
     )
     both = own.withColumn("_own", F.lit(True)).unionByName(before, allowMissingColumns=True)

@@ -95,8 +95,11 @@ def geo_enrich(
     ranges: DataFrame,
     fraction: float | None = None,
     seed: int = 0,
+    keep_unmatched: bool = True,
 ) -> DataFrame:
-    """Packets with the place of their source address; packets in no range are left out.
+    """Packets with the place of their source address, NULL where it is in no range.
+
+    With ``keep_unmatched`` false, packets in no range and IPv6 sources are left out.
 
     ``ranges`` holds disjoint ``(lo, hi, country, city, latitude, longitude)`` IPv4 ranges.
     Distinct sources are looked up, so a source with many packets is matched once. Ranges are cut
@@ -130,4 +133,5 @@ def geo_enrich(
         .where(F.col("src_ip").isNotNull() & (F.col("number") <= F.col("place.hi")))
         .select("src_ip", "place.country", "place.city", "place.latitude", "place.longitude")
     )
-    return packets.join(settle(places), "src_ip").withColumn("is_threat", threat_country())
+    how = "left" if keep_unmatched else "inner"
+    return packets.join(settle(places), "src_ip", how).withColumn("is_threat", threat_country())

@@ -31,7 +31,7 @@ def analyze(packets: DataFrame, root: str, run: str, geo_ranges: DataFrame | Non
     per_minute = minutes.withColumns({"id": F.col("bucket"), "ts_us": F.col("bucket") * MICROS})
     tables.append(per_minute, "performance_metrics", f"{root}/performance_metrics")
     if geo_ranges is not None:
-        placed = lookups.geo_enrich(packets, geo_ranges).withColumnRenamed("pid", "id")
+        placed = lookups.geo_enrich(packets, geo_ranges, keep_unmatched=False).withColumnRenamed("pid", "id")
         tables.sink_geo(placed, f"{root}/geo_traffic")
 
 
@@ -39,7 +39,7 @@ def _write(rows: DataFrame, table: str, root: str) -> None:
     rows.write.mode("append").parquet(f"{root}/{table}")
 
 
-def acknowledge(spark: SparkSession, root: str, alert_ids: list[int], ts_us: int) -> None:
+def acknowledge(spark: SparkSession, root: str, alert_ids: list[str], ts_us: int) -> None:
     """Append acknowledgements; alerts themselves are never rewritten."""
-    acks = spark.createDataFrame([(key, ts_us) for key in alert_ids], "alert_id long, ts_us long")
+    acks = spark.createDataFrame([(key, ts_us) for key in alert_ids], "alert_id string, ts_us long")
     acks.write.mode("append").parquet(f"{root}/acks")

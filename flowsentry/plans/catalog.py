@@ -122,6 +122,7 @@ def s4_sink_packets(spark, sf_dir):
 
 
 ALERT_COLUMNS = [
+    "id",
     "ts_us",
     "severity",
     "alert_type",
@@ -148,13 +149,14 @@ def s6_sink_mitre(spark, sf_dir):
     alerts = tables.scan_alerts(spark, _stored(spark, alerting.build_alerts(findings), "alerts"))
     hits = _stored(spark, alerting.build_mitre_events(findings), "mitre_events", tables.sink_mitre)
     linked = lookups.alerts_with_techniques(alerts, tables.scan_mitre(spark, hits))
-    return linked.select("raw_data", "description", "technique_id", "technique_name", "tactic", "confidence")
+    return linked.select("id", "raw_data", "description", "technique_id", "technique_name", "tactic", "confidence")
 
 
 @query
 def s7_sink_geo(spark, sf_dir):
     packets = _packets(spark, sf_dir)
-    placed = lookups.geo_enrich(packets, view(spark, sf_dir, "geo_ranges")).withColumnRenamed("pid", "id")
+    places = view(spark, sf_dir, "geo_ranges")
+    placed = lookups.geo_enrich(packets, places, keep_unmatched=False).withColumnRenamed("pid", "id")
     path = _stored(spark, placed, "geo_traffic", tables.sink_geo)
     return tables.scan_geo(spark, path).drop("dt", "ts")
 
@@ -195,7 +197,9 @@ def p3_search_events(spark, sf_dir):
 def p4_like_contains(spark, sf_dir):
     packets = _packets(spark, sf_dir)
     return packets.where(
-        scalar.like_contains("flags", "psh") | scalar.like_contains("src_ip", "85.2_0.3%")
+        scalar.like_contains("flags", "psh")
+        | scalar.like_contains("src_ip", "85.2_0.3%")
+        | scalar.like_contains(F.replace("dst_ip", F.lit("8.8."), F.lit("8\\8.")), "8\\8.4.25")
     ).select("pid", "src_ip", "flags")
 
 
@@ -644,7 +648,7 @@ def d15_build_alerts(spark, sf_dir):
 @query
 def d16_build_mitre_events(spark, sf_dir):
     hits = alerting.build_mitre_events(detect.all_findings(_packets(spark, sf_dir)))
-    return hits.select("ts_us", "technique_id", "technique_name", "tactic", "confidence")
+    return hits.select("id", "alert_id", "ts_us", "technique_id", "technique_name", "tactic", "confidence")
 
 
 # Streams --------------------------------------------------------------------------------------
@@ -719,4 +723,4 @@ def r_stream_alerts(spark, sf_dir):
     writer = jobs.alert_writer(findings, alerts, hits, scratch(spark, "checkpoint"))
     writer.trigger(availableNow=True).start().awaitTermination()
     linked = lookups.alerts_with_techniques(tables.scan_alerts(spark, alerts), tables.scan_mitre(spark, hits))
-    return linked.select("raw_data", "description", "technique_id", "technique_name", "tactic", "confidence")
+    return linked.select("id", "raw_data", "description", "technique_id", "technique_name", "tactic", "confidence")

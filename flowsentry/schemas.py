@@ -32,7 +32,7 @@ PACKETS = _table(
 )
 
 ALERTS = _table(
-    ("id", LONG, False),
+    ("id", STRING, False),
     ("ts_us", LONG, False),
     ("severity", STRING, False),
     ("alert_type", STRING, False),
@@ -77,12 +77,12 @@ GEO_TRAFFIC = _table(
 )
 
 MITRE_EVENTS = _table(
-    ("id", LONG, False),
+    ("id", STRING, False),
     ("ts_us", LONG, False),
     ("technique_id", STRING, False),
     ("technique_name", STRING, False),
     ("tactic", STRING, False),
-    ("alert_id", LONG, True),
+    ("alert_id", STRING, True),
     ("confidence", DOUBLE, False),
 )
 

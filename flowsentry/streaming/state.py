@@ -159,9 +159,11 @@ class SourceProcessor(StatefulProcessor):
                 rows.append(row)
                 measures.append(round(mean))
         found = [_hits(frame, rows, "c2_beacon", measures)] if rows else []
-        keep = all_times[all_times >= all_times[-1] - HORIZON_US - self.slack]
-        # One event more than a beacon can have in its history settles that it is none.
-        return found, keep[-(most + 1) :].tolist()
+        # A packet may still come that is late by the watermark. Its history reaches back from there: of
+        # what lies before that point, one event more than a beacon can have settles that it is none.
+        border = all_times[-1] - self.slack
+        earlier = all_times[(all_times <= border) & (all_times >= border - HORIZON_US)]
+        return found, [*earlier[-(most + 1) :].tolist(), *all_times[all_times > border].tolist()]
 
     def _counter_hits(self, frame, dns, ssh, total, last):
         now = frame["ts_us"].to_numpy(dtype=np.int64)

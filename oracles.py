@@ -43,8 +43,11 @@ _P = "pid, ts_us, src_ip, dst_ip, src_port, dst_port, protocol, length, flags, i
 _SEV = "('CRITICAL','HIGH','MEDIUM','LOW','INFO')"
 
 ORACLES["s1_scan_packets"] = packets(f"SELECT {_P} FROM packets")
+_TEXT_IDS = {"alerts": "id", "mitre": "id, alert_id"}
 for _name, _view in [("alerts", "alerts"), ("geo", "geo_traffic"), ("mitre", "mitre_events"), ("perf", "performance_metrics")]:
-    ORACLES[f"s2_scan_{_name}"] = _query([_view], f"SELECT * FROM {_view}")
+    _texts = [f"CAST({_id} AS VARCHAR) AS {_id}" for _id in _TEXT_IDS.get(_name, "").split(", ") if _id]
+    _replaced = f" REPLACE ({', '.join(_texts)})" if _texts else ""
+    ORACLES[f"s2_scan_{_name}"] = _query([_view], f"SELECT *{_replaced} FROM {_view}")
 ORACLES["s4_sink_packets"] = packets(
     "SELECT CAST(CAST(make_timestamp(ts_us) AS DATE) AS VARCHAR) AS dt, count(*) AS pkt_count,"
     " CAST(sum(length) AS BIGINT) AS byte_count FROM packets GROUP BY 1"
@@ -245,18 +248,20 @@ ORACLES["d14_all_findings"] = findings(
     f"SELECT f.*, {_KNOWN} FROM findings f LEFT JOIN tech t USING (mitre_key)", _ALL, _TECH
 )
 _TITLE = "array_to_string(list_transform(string_split({0}, '_'), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
-_ALERT_ROWS = f"""SELECT f.ts_us, f.severity, {_TITLE.format('f.threat_type')} AS alert_type, f.src_ip, f.dst_ip,
+_KEY = "md5(concat(f.pid, '|', f.rule))"
+_ALERT_ROWS = f"""SELECT {_KEY} AS id, f.ts_us, f.severity, {_TITLE.format('f.threat_type')} AS alert_type, f.src_ip, f.dst_ip,
   f.protocol, f.description, t.technique_id AS mitre_id, t.technique_name AS mitre_name, 0 AS acknowledged,
   concat('{{"pid":', f.pid, ',"rule":"', f.rule, '"}}') AS raw_data
 FROM findings f LEFT JOIN tech t USING (mitre_key)"""
 ORACLES["d15_build_alerts"] = findings(_ALERT_ROWS, _ALL, _TECH)
 ORACLES["s5_sink_alerts"] = findings(_ALERT_ROWS, _ROW, _TECH)
 ORACLES["d16_build_mitre_events"] = findings(
-    "SELECT f.ts_us, t.technique_id, t.technique_name, t.tactic, CAST(r.confidence AS DOUBLE) AS confidence"
+    f"SELECT md5(concat({_KEY}, '|technique')) AS id, {_KEY} AS alert_id, f.ts_us, t.technique_id, t.technique_name,"
+    " t.tactic, CAST(r.confidence AS DOUBLE) AS confidence"
     " FROM findings f JOIN tech t USING (mitre_key) JOIN rules r USING (rule)", _ALL, _TECH, _RULE
 )
 ORACLES["s6_sink_mitre"] = findings(
-    """SELECT concat('{"pid":', f.pid, ',"rule":"', f.rule, '"}') AS raw_data, f.description, t.technique_id,
+    f"SELECT {_KEY} AS id," + """ concat('{"pid":', f.pid, ',"rule":"', f.rule, '"}') AS raw_data, f.description, t.technique_id,
   t.technique_name, t.tactic, CAST(r.confidence AS DOUBLE) AS confidence
 FROM findings f JOIN tech t USING (mitre_key) JOIN rules r USING (rule)""", _ROW, _TECH, _RULE
 )
@@ -264,6 +269,7 @@ _SESSIONS = """SELECT f.src_ip, f.threat_type, min(f.ts_us) AS first_seen, max(f
   CAST(max(r.confidence) AS DOUBLE) AS confidence, count(*) AS packet_count, 0 AS blocked
 FROM findings f JOIN rules r USING (rule) GROUP BY f.src_ip, f.threat_type"""
 ORACLES["a14_threat_sessions"] = findings(_SESSIONS, _ALL, _RULE)
+ORACLES["p11_alert_id"] = findings(f"SELECT f.pid, f.rule, {_KEY} AS alert_id FROM findings f", _ROW)
 ORACLES["f10_describe"] = findings("SELECT pid, rule, description FROM findings", _ROW)
 ORACLES["j8_mark_malicious"] = findings(
     "SELECT pid, CASE WHEN is_malicious = 1 OR pid IN (SELECT pid FROM findings) THEN 1 ELSE 0 END AS is_malicious"
@@ -272,17 +278,23 @@ ORACLES["j8_mark_malicious"] = findings(
 
 # Sinks, filters -------------------------------------------------------------------------------
 
-_PLACED = """SELECT p.*, r.country, r.city, r.latitude, r.longitude,
+
+
+def _placed(how: str) -> str:
+    return """SELECT p.*, r.country, r.city, r.latitude, r.longitude,
   CASE WHEN r.country IN ('KP', 'IR', 'RU') THEN 1 ELSE 0 END AS is_threat
-FROM (SELECT *, """ + _number("src_ip") + """ AS n FROM packets) p JOIN geo_ranges r ON p.n BETWEEN r.lo AND r.hi"""
+FROM (SELECT *, """ + _number("src_ip") + """ AS n FROM packets) p """ + how + """ JOIN geo_ranges r
+  ON p.n BETWEEN r.lo AND r.hi"""
+
+
 ORACLES["j5_geo_enrich"] = _query(
     ["packets", "geo_ranges"],
-    f"SELECT pid, src_ip, country, city, latitude, longitude, is_threat FROM ({_PLACED})",
+    f"SELECT pid, src_ip, country, city, latitude, longitude, is_threat FROM ({_placed('LEFT')})",
 )
 ORACLES["s7_sink_geo"] = _query(
     ["packets", "geo_ranges"],
     f"""SELECT pid AS id, ts_us, src_ip, country, CAST(NULL AS VARCHAR) AS city, latitude, longitude, is_threat,
-  1 AS pkt_count FROM ({_PLACED})""",
+  1 AS pkt_count FROM ({_placed('INNER')})""",
 )
 _ACKED = "SELECT DISTINCT event_id - event_id%9 AS alert_id FROM events"
 _ACKS = f"CASE WHEN acknowledged = 1 OR id IN ({_ACKED}) THEN 1 ELSE 0 END AS acknowledged"
@@ -307,6 +319,7 @@ ORACLES["p3_search_events"] = packets(
 )
 ORACLES["p4_like_contains"] = packets(
     "SELECT pid, src_ip, flags FROM packets WHERE lower(flags) LIKE '%psh%' OR regexp_matches(src_ip, '85[.]2.0[.]3')"
+    " OR dst_ip LIKE '%8.8.4.25%'"
 )
 _RECENT = "pid, ts_us, src_ip, dst_ip, protocol, length, is_malicious, flags"
 ORACLES["p5_project_recent"] = packets(f"SELECT {_RECENT} FROM packets")
