@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsentry.llm import bpe, common, exact_dedup, langid, mixing
+from flowsentry.llm import bpe, common, exact_dedup, jaccard, langid, mixing
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,6 +27,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_one(docs.select(*COLUMNS))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of each group of linked documents the one with the smallest id stays."""
+    docs = docs.select(*COLUMNS)
+    groups = jaccard.similar(docs)
+    dropped = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources weighted by the square root of their size, over one epoch's bytes."""
     return mixing.mix(docs.select(*COLUMNS), temperature=0.5, seed=29).select(*COLUMNS)
@@ -47,6 +55,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language_id", keep_known_languages),
     ("exact_dedup", drop_copies),
+    ("near_duplicates", drop_near_copies),
     ("mixing", mix_sources),
     ("byte_bpe", tokenise),
 ]
