@@ -9,7 +9,6 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +38,7 @@ LATERAL_PORTS = [445, 3389, 5985]
 SSH_ATTEMPTS = [5, 20, 50, 100]
 SSH_CRITICAL_ATTEMPTS = 50
 EXFIL_LIMIT = 10_000_000
+SCAN_PORTS = 50
 
 
 class RateRule(NamedTuple):
@@ -141,7 +141,11 @@ def ntp_amplification(packets: DataFrame, limit: int = 468) -> DataFrame:
 
 def row_rules(packets: DataFrame) -> DataFrame:
     """All rules on a single packet, in one pass. Works on streams as well."""
-    return _row_findings(packets, _lateral_movement(), _icmp_large(), _smtp_large(), _ntp_amplification())
+    return _row_findings(packets, *_row_candidates())
+
+
+def _row_candidates() -> list[tuple[Column, str, Column, Column]]:
+    return [_lateral_movement(), _icmp_large(), _smtp_large(), _ntp_amplification()]
 
 
 # Rules on sliding counts ----------------------------------------------------------------------
@@ -149,12 +153,16 @@ def row_rules(packets: DataFrame) -> DataFrame:
 
 def rate_findings(packets: DataFrame, rules: list[RateRule]) -> DataFrame:
     """Findings of rules on sliding counts, all from one count per source and time."""
-    trigger = _either([rule.trigger() for rule in rules])
     minutes = rates.busy_minutes(packets, [(rule.trigger(), rule.threshold) for rule in rules])
-    counted = rates.within_minutes(packets.select("src_ip", "ts_us"), minutes)
+    return _rate_findings(rates.within_minutes(packets, minutes), rules)
+
+
+def _rate_findings(busy: DataFrame, rules: list[RateRule]) -> DataFrame:
+    """The same, of the packets of busy minutes."""
     windows = sorted({rule.seconds for rule in rules})
-    counts = rates.sliding_counts(counted, windows).where(_either([rule.exceeded() for rule in rules]))
-    suspects = rates.within_minutes(packets.where(trigger), minutes).join(counts, ["src_ip", "ts_us"])
+    counts = rates.sliding_counts(busy.select("src_ip", "ts_us"), windows)
+    counts = counts.where(_either([rule.exceeded() for rule in rules]))
+    suspects = busy.where(_either([rule.trigger() for rule in rules])).join(counts, ["src_ip", "ts_us"])
     candidates = [
         (
             rule.trigger() & rule.exceeded(),
@@ -199,11 +207,20 @@ def c2_beacon(
     ``min_gap`` the hour holds at most ``3600 / min_gap + 1`` events, so longer histories need no
     look.
     """
-    most = int(gaps.HORIZON_SECONDS // min_gap) + 1
     counts = packets.groupBy("src_ip").agg(_protocol_count("HTTP").alias("http"), F.count(F.lit(1)).alias("events"))
     sources = settle(counts.where((F.col("http") > 0) & (F.col("events") >= min_events)).select("src_ip"))
     rows = packets.select(*_PACKET_COLUMNS).join(sources, "src_ip", "left_semi")
-    stats = gaps.sparse_interarrival_stats(rows, most)
+    return _beacons(rows, min_events, min_gap, max_gap, max_variance)
+
+
+def _beacons(
+    rows: DataFrame,
+    min_events: int = 6,
+    min_gap: float = 20,
+    max_gap: float = 300,
+    max_variance: float = 5,
+) -> DataFrame:
+    stats = gaps.sparse_interarrival_stats(rows, int(gaps.HORIZON_SECONDS // min_gap) + 1)
     regular = (F.round("var_gap", 6) < max_variance) & (F.col("avg_gap") > min_gap) & (F.col("avg_gap") < max_gap)
     condition = (F.col("protocol") == "HTTP") & (F.col("n_events") >= min_events) & regular
     text = F.format_string(
@@ -223,11 +240,8 @@ def _protocol_count(protocol: str) -> Column:
 
 def running_count(packets: DataFrame, protocol: str) -> DataFrame:
     """Packets of a protocol with their number (``measure``) within the session of the source."""
-    hours = sessions.sessions_reaching(packets, count=(_protocol_count(protocol), 1))
     rows = packets.where(F.col("protocol") == protocol).select(*_PACKET_COLUMNS)
-    rows = sessions.with_session_ids(rows, hours).withColumn("one", F.lit(1))
-    counted = ordered.split_fold(rows, ordered.RunningCount(), ["src_ip", "sid"], ["ts_us", "pid"], "one")
-    return counted.drop("one")
+    return rates.numbered(sessions.with_session_ids(rows, sessions.session_hours(packets)), ["src_ip", "sid"])
 
 
 # Per counter: the protocol it counts, and the packets of a session below which it cannot fire.
@@ -238,30 +252,27 @@ def _counter_bounds(counters: list[str]) -> dict[str, tuple[Column, int]]:
     return {name: (_protocol_count(protocol), least) for name, (protocol, least) in _COUNTERS.items() if name in counters}
 
 
-def counter_findings(packets: DataFrame, counters: list[str], hours: DataFrame | None = None) -> DataFrame:
-    """Every hundredth DNS packet, and the 5th, 20th, 50th and 100th SSH packet of a session.
+def counter_findings(packets: DataFrame, counters: list[str]) -> DataFrame:
+    """Every hundredth DNS packet, and the 5th, 20th, 50th and 100th SSH packet of a session."""
+    bounds = _counter_bounds(counters)
+    hours = sessions.session_hours(packets, **{name: measure for name, (measure, _) in bounds.items()})
+    long_enough = sessions.reaching(hours, {name: least for name, (_, least) in bounds.items()})
+    protocols = [_COUNTERS[name][0] for name in counters]
+    rows = packets.where(F.col("protocol").isin(protocols)).select(*_PACKET_COLUMNS)
+    rows = rows.withColumn("hour", sessions.hour_of()).join(long_enough, ["src_ip", "hour"])
+    return _counted(rows, counters)
 
-    Both are numbered in one fold. ``hours`` are the sessions that reach the bounds, if known.
-    """
-    if hours is None:
-        hours = sessions.sessions_reaching(packets, **_counter_bounds(counters))
+
+def _counted(rows: DataFrame, counters: list[str]) -> DataFrame:
+    """The same, of packets with their session and its totals."""
     counted = [
         (F.col("protocol") == protocol) & (F.col(f"total_{name}") >= least)
         for name, (protocol, least) in _COUNTERS.items()
         if name in counters
     ]
-    protocols = [_COUNTERS[name][0] for name in counters]
-    rows = packets.where(F.col("protocol").isin(protocols)).select(*_PACKET_COLUMNS)
-    rows = (
-        rows.withColumn("hour", sessions.hour_of())
-        .join(hours, ["src_ip", "hour"])
-        .where(_either(counted))
-        .select(*_PACKET_COLUMNS, "sid", F.lit(1).alias("one"))
-    )
     every = _COUNTERS["dns"][1]
-    pick = _multiple_or_one_of(every, SSH_ATTEMPTS)
-    keys = ["src_ip", "sid", "protocol"]
-    numbered = ordered.split_fold(rows, ordered.RunningCount(pick), keys, ["ts_us", "pid"], "one")
+    rows = rows.where(_either(counted)).select(*_PACKET_COLUMNS, "sid")
+    numbered = rates.numbered(rows, ["src_ip", "sid", "protocol"])
     number, protocol = F.col("measure"), F.col("protocol")
     severity = F.when(number >= SSH_CRITICAL_ATTEMPTS, F.lit("CRITICAL")).otherwise(F.lit("HIGH"))
     dns_text = F.format_string("DNS reconnaissance from %s: %d queries", "src_ip", "measure")
@@ -275,10 +286,6 @@ def counter_findings(packets: DataFrame, counters: list[str], hours: DataFrame |
     )
 
 
-def _multiple_or_one_of(every: int, values: list[int]):
-    return lambda numbers: (numbers % every == 0) | np.isin(numbers, values)
-
-
 def dns_recon(packets: DataFrame) -> DataFrame:
     return counter_findings(packets, ["dns"])
 
@@ -291,33 +298,46 @@ def _byte_bound(limit: int) -> dict[str, tuple[Column, int]]:
     return {"bytes": (F.sum("length"), limit + 1)}
 
 
-def running_sum_reset(packets: DataFrame, limit: int = EXFIL_LIMIT, hours: DataFrame | None = None) -> DataFrame:
+def running_sum_reset(packets: DataFrame, limit: int = EXFIL_LIMIT) -> DataFrame:
     """Packets that lift the bytes of their source above the limit; the sum restarts there.
 
     Sessions that stay within the limit as a whole are left out before the fold.
     """
-    if hours is None:
-        hours = sessions.sessions_reaching(packets, **_byte_bound(limit))
-    large = hours.where(F.col("total_bytes") > limit)
-    rows = sessions.with_session_ids(packets.select(*_PACKET_COLUMNS, "length"), large)
+    hours = sessions.sessions_reaching(packets, **_byte_bound(limit))
+    return _byte_sums(sessions.with_session_ids(packets.select(*_PACKET_COLUMNS, "length"), hours), limit)
+
+
+def _byte_sums(rows: DataFrame, limit: int) -> DataFrame:
     return ordered.split_fold(rows, ordered.ResettingSum(limit), ["src_ip", "sid"], ["ts_us", "pid"], "length")
 
 
-def exfil(packets: DataFrame, limit: int = EXFIL_LIMIT, hours: DataFrame | None = None) -> DataFrame:
-    hits = running_sum_reset(packets, limit, hours)
+def exfil(packets: DataFrame, limit: int = EXFIL_LIMIT) -> DataFrame:
+    return _exfil(running_sum_reset(packets, limit))
+
+
+def _exfil(hits: DataFrame) -> DataFrame:
     text = F.format_string(
         "Data exfiltration from %s: %dMB transferred", F.col("src_ip"), int_div("measure", 1_000_000)
     )
     return as_findings(hits, [(F.lit(True), "exfil", F.lit("HIGH"), text)])
 
 
-def distinct_set_reset(packets: DataFrame, limit: int = 50) -> DataFrame:
+def distinct_set_reset(packets: DataFrame, limit: int = SCAN_PORTS) -> DataFrame:
     """TCP packets that bring the distinct ports of a source and target above the limit.
 
     The set restarts there. Pairs that never see so many ports are left out before the fold.
     """
-    tcp = packets.where((F.col("protocol") == "TCP") & is_truthy_port("dst_port"))
-    pairs = settle(
+    tcp = packets.where(_is_probe())
+    pairs = settle(_probed_pairs(tcp, limit))
+    return _port_sets(tcp.select(*_PACKET_COLUMNS, "dst_port").join(pairs, ["src_ip", "dst_ip"], "left_semi"), limit)
+
+
+def _is_probe() -> Column:
+    return (F.col("protocol") == "TCP") & is_truthy_port("dst_port")
+
+
+def _probed_pairs(tcp: DataFrame, limit: int) -> DataFrame:
+    return (
         tcp.select("src_ip", "dst_ip", "dst_port")
         .distinct()
         .groupBy("src_ip", "dst_ip")
@@ -325,29 +345,78 @@ def distinct_set_reset(packets: DataFrame, limit: int = 50) -> DataFrame:
         .where(F.col("ports") > limit)
         .select("src_ip", "dst_ip")
     )
-    rows = tcp.select(*_PACKET_COLUMNS, "dst_port").join(pairs, ["src_ip", "dst_ip"], "left_semi")
+
+
+def _port_sets(rows: DataFrame, limit: int) -> DataFrame:
     return ordered.split_fold(
         rows, ordered.ResettingSet(limit), ["src_ip", "dst_ip"], ["ts_us", "pid"], "dst_port"
     )
 
 
-def port_scan(packets: DataFrame, limit: int = 50) -> DataFrame:
-    hits = distinct_set_reset(packets, limit)
+def port_scan(packets: DataFrame, limit: int = SCAN_PORTS) -> DataFrame:
+    return _port_scan(distinct_set_reset(packets, limit))
+
+
+def _port_scan(hits: DataFrame) -> DataFrame:
     text = F.format_string("Port scan from %s: %d ports probed", "src_ip", "measure")
     return as_findings(hits, [(F.lit(True), "port_scan", F.lit("HIGH"), text)])
 
 
+def activity(packets: DataFrame) -> DataFrame:
+    """One row per source and minute: packets, times, bytes and what the rules count."""
+    return packets.groupBy("src_ip", int_div("ts_us", rates.MINUTE_US).alias("minute")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("ts_us").alias("first_us"),
+        F.max("ts_us").alias("last_us"),
+        F.sum("length").alias("bytes"),
+        _protocol_count("HTTP").alias("http"),
+        *[_protocol_count(protocol).alias(name) for name, (protocol, _) in _COUNTERS.items()],
+        *rates.minute_triggers([rule.trigger() for rule in RATE_RULES]),
+    )
+
+
 def all_findings(packets: DataFrame) -> DataFrame:
-    """The findings of all rules on packet columns; sessions are found once for all counters."""
-    counters = list(_COUNTERS)
-    hours = sessions.sessions_reaching(packets, **_counter_bounds(counters), **_byte_bound(EXFIL_LIMIT))
+    """The findings of all rules on packet columns, from three reads of the packets.
+
+    The first makes the activity table, from which busy minutes, long sessions and possible beacons
+    follow; the second finds probed pairs; the third keeps the packets that any rule can need. The rules
+    then read those.
+    """
+    minutes = settle(activity(packets))
+    busy = settle(rates.busy_of(minutes, [rule.threshold for rule in RATE_RULES]).withColumn("_busy", F.lit(True)))
+    bounds = {name: least for name, (_, least) in _COUNTERS.items()} | {"bytes": EXFIL_LIMIT + 1}
+    hours = minutes.groupBy("src_ip", int_div("minute", 60).alias("hour")).agg(
+        F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), *[F.sum(name).alias(name) for name in bounds]
+    )
+    long_enough = settle(sessions.reaching(sessions.number_sessions(hours, "src_ip"), bounds))
+    sums = minutes.groupBy("src_ip").agg(F.sum("http").alias("http"), F.sum("n").alias("n"))
+    regular = settle(sums.where("http > 0 AND n >= 6").select("src_ip", F.lit(True).alias("_regular")))
+    probed = settle(_probed_pairs(packets.where(_is_probe()), SCAN_PORTS).withColumn("_probed", F.lit(True)))
+
+    on_rows = _either([condition for condition, *_ in _row_candidates()])
+    totals = [f"total_{name}" for name in bounds]
+    counted = _either(
+        [(F.col("protocol") == protocol) & (F.col(f"total_{name}") >= least) for name, (protocol, least) in _COUNTERS.items()]
+    )
+    large, scans = F.col("total_bytes") > EXFIL_LIMIT, F.col("_probed") & _is_probe()
+    kept = settle(
+        packets.select(*_PACKET_COLUMNS, "dst_port", "length", "flags")
+        .withColumns({"minute": int_div("ts_us", rates.MINUTE_US), "hour": sessions.hour_of()})
+        .join(busy, ["src_ip", "minute"], "left")
+        .join(long_enough, ["src_ip", "hour"], "left")
+        .join(regular, "src_ip", "left")
+        .join(probed, ["src_ip", "dst_ip"], "left")
+        .where(on_rows | F.col("_busy") | F.col("_regular") | scans | counted | large)
+        .select(*_PACKET_COLUMNS, "dst_port", "length", "flags", "_busy", "sid", *totals, "_regular", "_probed"),
+        broadcast_rows=-1,
+    )
     return union_findings(
-        row_rules(packets),
-        rate_findings(packets, RATE_RULES),
-        c2_beacon(packets),
-        counter_findings(packets, counters, hours),
-        port_scan(packets),
-        exfil(packets, EXFIL_LIMIT, hours),
+        row_rules(kept),
+        _rate_findings(kept.where("_busy"), RATE_RULES),
+        _beacons(kept.where("_regular").select(*_PACKET_COLUMNS)),
+        _counted(kept, list(_COUNTERS)),
+        _port_scan(_port_sets(kept.where(scans).select(*_PACKET_COLUMNS, "dst_port"), SCAN_PORTS)),
+        _exfil(_byte_sums(kept.where(large).select(*_PACKET_COLUMNS, "length", "sid"), EXFIL_LIMIT)),
     )
 
 

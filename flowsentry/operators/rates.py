@@ -67,18 +67,44 @@ def recent_count(packets: DataFrame, windows: list[int]) -> DataFrame:
     return packets.join(sliding_counts(packets, windows), ["src_ip", "ts_us"])
 
 
+def numbered(rows: DataFrame, keys: list[str], cell_seconds: int = CELL_SECONDS) -> DataFrame:
+    """Rows with their number (``measure``, from 1) within ``keys``, in order of time and packet.
+
+    Rows are numbered within cells of a few seconds; the cells' counts, one row each, give where a cell
+    starts. So a busy key spreads over its cells.
+    """
+    placed = rows.withColumn("_cell", int_div("ts_us", cell_seconds * MICROS))
+    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        placed.groupBy(*keys, "_cell")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select(*keys, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    )
+    within = Window.partitionBy(*keys, "_cell").orderBy("ts_us", "pid")
+    number = F.col("_start") + F.row_number().over(within)
+    return placed.join(starts, [*keys, "_cell"]).withColumn("measure", number).drop("_cell", "_start")
+
+
 def busy_minutes(packets: DataFrame, rules: list[tuple[Column, int]]) -> DataFrame:
-    """Minutes of a source in which a rule ``(trigger, threshold)`` on a count of a minute can fire.
+    """Minutes of a source in which a rule ``(trigger, threshold)`` on a count of a minute can fire."""
+    minutes = packets.groupBy("src_ip", int_div("ts_us", MINUTE_US).alias("minute")).agg(
+        F.count(F.lit(1)).alias("n"), *minute_triggers([trigger for trigger, _ in rules])
+    )
+    return settle(busy_of(minutes, [threshold for _, threshold in rules]))
+
+
+def minute_triggers(triggers: list[Column]) -> list[Column]:
+    return [F.count_if(trigger).alias(f"triggers_{at}") for at, trigger in enumerate(triggers)]
+
+
+def busy_of(minutes: DataFrame, thresholds: list[int]) -> DataFrame:
+    """The busy ones of minutes with their packets ``n`` and ``triggers_<i>`` per rule.
 
     A minute counts if it holds a trigger of the rule and has, with the minute before, more
     packets than the threshold; that minute before is kept as well, because its packets are still
     in the window. Counts of any other minute stay within the bound, so leaving them out changes no
     hit.
     """
-    triggers = [F.count_if(trigger).alias(f"triggers_{at}") for at, (trigger, _) in enumerate(rules)]
-    minutes = packets.groupBy("src_ip", int_div("ts_us", MINUTE_US).alias("minute")).agg(
-        F.count(F.lit(1)).alias("n"), *triggers
-    )
     in_order = Window.partitionBy("src_ip").orderBy("minute")
     here = F.col("minute")
 
@@ -89,11 +115,11 @@ def busy_minutes(packets: DataFrame, rules: list[tuple[Column, int]]) -> DataFra
     with_before = F.col("n") + neighbour(F.lag, -1, "n")
     with_after = F.col("n") + neighbour(F.lead, 1, "n")
     keep = F.lit(False)
-    for at, (_, threshold) in enumerate(rules):
+    for at, threshold in enumerate(thresholds):
         hot = (F.col(f"triggers_{at}") > 0) & (with_before > threshold)
         before_hot = (neighbour(F.lead, 1, f"triggers_{at}") > 0) & (with_after > threshold)
         keep = keep | hot | before_hot
-    return settle(minutes.withColumn("_keep", keep).where("_keep").select("src_ip", "minute"))
+    return minutes.withColumn("_keep", keep).where("_keep").select("src_ip", "minute")
 
 
 def within_minutes(packets: DataFrame, minutes: DataFrame) -> DataFrame:

@@ -60,6 +60,15 @@ def with_session_ids(rows: DataFrame, hours: DataFrame) -> DataFrame:
     return keyed.join(hours, ["src_ip", "hour"]).select(*rows.columns, "sid")
 
 
+def reaching(hours: DataFrame, bounds: dict[str, int]) -> DataFrame:
+    """Hours of the sessions in which a measure reaches its bound, with the totals of the session."""
+    session = Window.partitionBy("src_ip", "sid")
+    summed = hours.withColumns({f"total_{name}": F.sum(name).over(session) for name in bounds})
+    conditions = [F.col(f"total_{name}") >= least for name, least in bounds.items()]
+    kept = summed.where(reduce(lambda left, right: left | right, conditions))
+    return kept.select("src_ip", "hour", "sid", *[f"total_{name}" for name in bounds])
+
+
 def sessions_reaching(packets: DataFrame, **bounds: tuple[Column, int]) -> DataFrame:
     """Hours of the sessions in which a count or sum reaches its bound, as a settled table.
 
@@ -68,15 +77,10 @@ def sessions_reaching(packets: DataFrame, **bounds: tuple[Column, int]) -> DataF
     session, and sources are far fewer than hours, so those sources go first.
     """
 
-    def reached(prefix: str) -> Column:
-        conditions = [F.col(f"{prefix}{name}") >= least for name, (_, least) in bounds.items()]
-        return reduce(lambda left, right: left | right, conditions)
-
+    reached = reduce(lambda left, right: left | right, [F.col(name) >= least for name, (_, least) in bounds.items()])
     totals = packets.groupBy("src_ip").agg(*[measure.alias(name) for name, (measure, _) in bounds.items()])
-    sources = settle(totals.where(reached("")).select("src_ip"))
+    sources = settle(totals.where(reached).select("src_ip"))
     hours = session_hours(
         packets.join(sources, "src_ip", "left_semi"), **{name: measure for name, (measure, _) in bounds.items()}
     )
-    session = Window.partitionBy("src_ip", "sid")
-    summed = hours.withColumns({f"total_{name}": F.sum(name).over(session) for name in bounds})
-    return settle(summed.where(reached("total_")).select("src_ip", "hour", "sid", *[f"total_{n}" for n in bounds]))
+    return settle(reaching(hours, {name: least for name, (_, least) in bounds.items()}))
