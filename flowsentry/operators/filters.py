@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -35,10 +36,33 @@ def eq_filters(df: DataFrame, **values) -> DataFrame:
     return df.where(all_of([F.col(name) == value for name, value in values.items()]))
 
 
+def last_days(df: DataFrame, rows: int) -> DataFrame:
+    """The newest days of a table partitioned by ``dt`` that hold at least ``rows`` rows.
+
+    The span doubles until it holds enough, so what is read stays near what is asked for. Days come from the
+    folder names; rows without a time are in none and are left out only if the days hold enough.
+    """
+    newest_day = df.select(F.max("dt")).first()[0]
+    if newest_day is None or rows == 0:
+        return df
+    oldest_day = df.select(F.min("dt")).first()[0]
+    days = 1
+    while True:
+        first = newest_day - timedelta(days=days - 1)
+        if first <= oldest_day:
+            return df
+        recent = df.where(F.col("dt") >= F.lit(first))
+        if recent.limit(rows).count() >= rows:
+            return recent
+        days *= 2
+
+
 def newest(df: DataFrame, limit: int, key: str) -> DataFrame:
-    """The latest rows, ties by descending key."""
+    """The latest rows, ties by descending key. Of a table partitioned by ``dt`` only the last days are read."""
     if limit < 0:
         raise ValueError("limit must not be negative")
+    if "dt" in df.columns and not df.isStreaming:
+        df = last_days(df, limit)
     return df.orderBy(F.desc("ts_us"), F.desc(key)).limit(limit)
 
 
@@ -90,7 +114,7 @@ def project_recent(packets: DataFrame) -> DataFrame:
 
 
 def recent_events(packets: DataFrame, limit: int = 100) -> DataFrame:
-    return newest(project_recent(packets), limit, "pid")
+    return project_recent(newest(packets, limit, "pid"))
 
 
 def perf_history(performance: DataFrame, limit: int = 60) -> DataFrame:

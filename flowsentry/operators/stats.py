@@ -22,17 +22,25 @@ def overview_stats(
     mitre_events: DataFrame,
     performance: DataFrame,
     as_of_us: int,
+    packet_counts: DataFrame | None = None,
 ) -> DataFrame:
-    """One row of key figures: one row per table, stacked and folded into one."""
+    """One row of key figures: one row per table, stacked and folded into one.
+
+    ``packet_counts`` is the rollup per minute and protocol (``pkt_count``), if there is one: the total then comes
+    from it. The last hour and day are read through ``since``, which opens only their days.
+    """
 
     def younger(seconds: int):
         return F.col("ts_us") > as_of_us - seconds * MICROS
 
     unacked = F.col("acknowledged") == 0
-    packet_row = packets.agg(
-        count_rows().alias("total_packets"),
-        F.count_if(younger(3600)).alias("packets_last_hour"),
-        F.count_if(younger(3600) & (F.col("is_malicious") == 1)).alias("malicious_pkt_hour"),
+    if packet_counts is None:
+        total = packets.agg(count_rows().alias("total_packets"))  # no column: row counts of the files' footers
+    else:
+        total = packet_counts.agg(F.coalesce(F.sum("pkt_count"), F.lit(0)).alias("total_packets"))
+    packet_row = since(packets, as_of_us, 3600).agg(
+        count_rows().alias("packets_last_hour"),
+        F.count_if(F.col("is_malicious") == 1).alias("malicious_pkt_hour"),
     )
     alert_row = alerts.agg(
         F.count_if(younger(86400)).alias("alerts_24h"),
@@ -49,7 +57,7 @@ def overview_stats(
         round_half_even(rate).cast("bigint").alias("packets_per_min")
     )
     rows = packet_row
-    for other in (alert_row, threat_row, mitre_row, performance_row):
+    for other in (total, alert_row, threat_row, mitre_row, performance_row):
         rows = rows.unionByName(other, allowMissingColumns=True)
     figures = [
         "total_packets",

@@ -37,6 +37,7 @@ class Dashboard:
             self._scan("mitre_events"),
             self._scan("performance_metrics"),
             self.as_of_us,
+            self.spark.read.schema(schemas.PROTOCOL_STATS).parquet(f"{self.root}/protocol_stats"),
         )
 
     def packets_per_minute(self, minutes: int = 30) -> DataFrame:

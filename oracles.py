@@ -511,7 +511,9 @@ ORACLES["w6_session_ids"] = packets("SELECT pid, sid FROM sids", _SIDS)
 # Sorts ----------------------------------------------------------------------------------------
 
 ORACLES["t1_recent_alerts"] = _query(
-    ["alerts"], "SELECT * FROM alerts WHERE severity = 'HIGH' ORDER BY ts_us DESC, id DESC LIMIT 50"
+    ["alerts"],
+    """SELECT * REPLACE (CAST(id AS VARCHAR) AS id) FROM alerts WHERE severity = 'HIGH'
+ORDER BY ts_us DESC, CAST(id AS VARCHAR) DESC LIMIT 50""",
 )
 ORACLES["t2_recent_events"] = packets(f"SELECT {_RECENT} FROM packets ORDER BY ts_us DESC, pid DESC LIMIT 100")
 ORACLES["t3_perf_history"] = _query(

@@ -331,7 +331,10 @@ def test_geo_ranges_at_their_ends(spark, packets_of):
         "lo long, hi long, country string, city string, latitude double, longitude double",
     )
     ips = ["9.255.255.255", "10.0.0.0", "10.0.0.1", "10.0.0.2", "10.0.0.3", "10.1.0.0", "10.3.13.64", "10.3.13.67", "bad"]
-    placed = lookups.geo_enrich(packets_of([{"src_ip": ip} for ip in ips]), ranges)
+    packets = packets_of([{"src_ip": ip} for ip in ips])
+    everything = lookups.geo_enrich(packets, ranges).collect()
+    assert len(everything) == len(ips) and sum(row["country"] is None for row in everything) == 4
+    placed = lookups.geo_enrich(packets, ranges, keep_unmatched=False)
     found = {row["src_ip"]: (row["country"], row["is_threat"]) for row in placed.collect()}
     assert found == {
         "10.0.0.0": ("RU", 1),
@@ -348,3 +351,57 @@ def test_alerts_and_hits_share_keys(packets_of):
     ids = {row["id"] for row in alerts.build_alerts(findings).collect()}
     hits = alerts.build_mitre_events(findings).collect()
     assert {row["alert_id"] for row in hits} == ids and len({row["id"] for row in hits}) == 2
+
+
+def test_ties_at_the_rank_border(packets_of):
+    """Histories that a rank limit cuts among packets of one time must not look shorter."""
+    times = [0, 5, 5, 5, 5, 9, 9, 9, 20, 20, 20, 20, 20, 20, 20, 31]
+    df = packets_of([{"ts_us": t * SECOND} for t in times])
+    for most in range(2, 9):
+        want = gaps.interarrival_stats(df).where(F.col("n_events").between(2, most)).select("pid", "n_events")
+        got = gaps.sparse_interarrival_stats(df, most).select("pid", "n_events")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_backslashes_in_search_are_characters(packets_of):
+    df = packets_of([{"flags": "a\\b"}, {"flags": "ab"}, {"flags": "a\\"}, {"flags": "a%"}])
+    assert pids(filters.search_events(df, query="a\\b")) == [0]
+    assert pids(filters.search_events(df, query="a\\")) == [0, 2]
+
+
+def test_running_numbers_match_brute_force(packets_of):
+    rng = random.Random(5)
+    rows = [{"ts_us": rng.randrange(60) * SECOND // 2, "src_ip": f"s{rng.randrange(2)}"} for _ in range(200)]
+    found = {row["pid"]: row["measure"] for row in rates.numbered(packets_of(rows), ["src_ip"]).collect()}
+    for source in ("s0", "s1"):
+        own = sorted((r["ts_us"], pid) for pid, r in enumerate(rows) if r["src_ip"] == source)
+        assert [found[pid] for _, pid in own] == list(range(1, len(own) + 1))
+
+
+def test_all_findings_read_the_packets_three_times(spark, packets_of):
+    """Counted by the rows that leave the input; a shuffle that samples would show as well."""
+    rows = [{"ts_us": n * 10_000, "flags": "SYN", "dst_port": 1 + n % 70} for n in range(1000)]
+    rows += [{"ts_us": n * SECOND, "protocol": p, "src_ip": "b"} for n in range(300) for p in ("DNS", "SSH")]
+    passed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            passed.add(batch.num_rows)
+            yield batch
+
+    packets = packets_of(rows)
+    assert detect.all_findings(packets.mapInArrow(count, packets.schema)).count() > 0
+    assert passed.value == 3 * len(rows)
+
+
+def test_newest_rows_come_from_the_last_days(spark, packets_of, tmp_path):
+    from flowsentry.sources import tables
+
+    day = 86400 * SECOND
+    tables.append(packets_of([{"ts_us": n * day + k} for n in range(20) for k in range(5)]), "packets", str(tmp_path))
+    stored = tables.scan_packets(spark, str(tmp_path))
+    for limit in (0, 3, 5, 12, 1000):
+        found = filters.recent_events(stored, limit)
+        assert sorted(pids(found)) == sorted(range(100))[max(0, 100 - limit) :]
+    plan = filters.recent_events(stored, 3)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(dt" in plan
