@@ -138,7 +138,7 @@ def _keys_of(text: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
 def repeated_windows(text: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
     """Which of the windows, given by their places in one shard's text, equal another of them."""
     order, rank = suffix.suffix_array(text)
-    shared = suffix.common_prefixes(text, order, rank, length)
+    shared = suffix.common_prefixes(text, order, rank, length, exact=False)
     group = np.cumsum(shared < length)  # suffixes that share ``length`` bytes are one group
     own = group[rank[windows]]
     return np.bincount(own)[own] >= 2

@@ -52,14 +52,29 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, rank
 
 
-BLOCK = 256
+BLOCK = 128
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, rank: np.ndarray, most: int) -> np.ndarray:
+def _lanes(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of neighbouring places, cut at ``BLOCK``, the longest first."""
+    new = np.ones(len(places), bool)
+    new[1:] = places[1:] != places[:-1] + 1
+    first = np.flatnonzero(new)
+    sizes = np.diff(np.append(first, len(places)))
+    cuts = -(-sizes // BLOCK)
+    number = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+    starts = np.repeat(places[first], cuts) + number * BLOCK
+    lengths = np.minimum(np.repeat(sizes, cuts) - number * BLOCK, BLOCK)
+    order = np.argsort(-lengths, kind="stable")
+    return starts[order], lengths[order]
+
+
+def common_prefixes(text: np.ndarray, order: np.ndarray, rank: np.ndarray, most: int, exact: bool = True) -> np.ndarray:
     """For each slot the bytes, ``most`` at most, that its suffix shares with that of the slot before.
 
     Kasai's walk in text order: one place further on, the shared prefix is at most one shorter. The walk
-    runs over all blocks of the text side by side, one step of each at a time.
+    runs over many stretches of the text side by side, one step of each at a time. Unless ``exact``, places
+    where a few probes show that less than ``most`` bytes are shared are left out and get 0.
     """
     n = len(text)
     if not n:
@@ -68,25 +83,27 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, rank: np.ndarray, most:
     before[order[1:]] = order[:-1]
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     loads = np.ndarray((n,), "<u8", padded, strides=(1,)).astype(np.uint64)
+    places = np.flatnonzero(before >= 0)
+    if not exact:
+        for probe in sorted({0, max(0, most // 2 - 8), max(0, most - 8)}):
+            places = places[np.maximum(places, before[places]) + probe < n]
+            places = places[loads[places + probe] == loads[before[places] + probe]] if probe + 8 <= most else places
     shared = np.zeros(n, np.int64)
-    starts = np.arange(0, n, BLOCK)
+    starts, lengths = _lanes(places)
     height = np.zeros(len(starts), np.int64)
     for step in range(BLOCK):
-        place = starts + step
-        if place[-1] >= n:
-            starts, height, place = starts[:-1], height[:-1], place[:-1]
-            if not len(place):
-                break
+        lanes = int(np.searchsorted(-lengths, -step, "left"))  # those longer than ``step``
+        if not lanes:
+            break
+        place, height = starts[:lanes] + step, np.maximum(height[:lanes] - 1, 0)
         other = before[place]
-        height = np.where(other >= 0, np.maximum(height - 1, 0), 0)
-        active = np.flatnonzero((other >= 0) & (height < most))
+        active = np.flatnonzero(height < most)
         while len(active):
             a, b = place[active] + height[active], other[active] + height[active]
             room = n - np.maximum(a, b)
             inside = room > 0
-            active, a, b, room = active[inside], a[inside], b[inside], room[inside]
-            if not len(active):
-                break
+            if not inside.all():
+                active, a, b, room = active[inside], a[inside], b[inside], room[inside]
             differ = loads[a] ^ loads[b]
             low = differ & (~differ + np.uint64(1))
             equal = np.where(differ == 0, 8, np.log2(np.maximum(low, np.uint64(1)).astype(np.float64)).astype(np.int64) // 8)
