@@ -1,7 +1,7 @@
 """Suffix-array dedup: removes every byte covered by a string of ``length`` bytes that starts anywhere else.
 
 Equal strings are brought together by content. Each window of ``length`` bytes has an anchor, the place
-in it whose 16 bytes have the smallest hash (the leftmost of equals); equal windows have equal anchors at
+in it whose 48 bytes have the smallest hash (the leftmost of equals); equal windows have equal anchors at
 equal distance. The windows that share an anchor form a piece of text, about one piece in 90 bytes.
 
 1. Each document gives its pieces as (anchor hash, fingerprint, place, windows). Anchors that occur once
@@ -33,22 +33,22 @@ from flowsentry.llm import suffix
 from flowsentry.llm.common import buffers, settle, short_batches, utf8, worker_cache
 
 LENGTH = 200
-GRAM = 16  # bytes whose hash chooses the anchor
+GRAM = 48  # bytes whose hash chooses the anchor; short ones are shared by unrelated texts
 STRETCH = 1 << 21  # bytes worked on at once; a place in a stretch takes the lower bits of a sort key
 SHARD = 1 << 19  # bytes of a suffix array
 
 
 def _hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the 16 bytes from each place."""
+    """A 64-bit hash of the ``GRAM`` bytes from each place."""
     n = len(data) - GRAM + 1
     loads = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
-    h = loads[:n] * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    h += loads[8 : 8 + n]
+    h = np.full(n, np.uint64(GRAM))
+    for low in range(0, GRAM, 8):
+        h ^= loads[low : low + n]
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    return h ^ (h >> np.uint64(29))
 
 
 def _smallest(keys: np.ndarray, width: int) -> np.ndarray:
