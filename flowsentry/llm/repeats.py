@@ -38,12 +38,19 @@ STRETCH = 1 << 21  # bytes worked on at once; a place in a stretch takes the low
 SHARD = 1 << 19  # bytes of a suffix array
 
 
-def _hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the ``GRAM`` bytes from each place."""
-    n = len(data) - GRAM + 1
+def _gram(length: int) -> int:
+    """The bytes of an anchor in windows of ``length`` bytes."""
+    if length < 32:
+        raise ValueError("strings of less than 32 bytes repeat everywhere")
+    return GRAM if length >= 2 * GRAM else length // 32 * 8
+
+
+def _hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A 64-bit hash of the ``gram`` bytes from each place."""
+    n = len(data) - gram + 1
     loads = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
-    h = np.full(n, np.uint64(GRAM))
-    for low in range(0, GRAM, 8):
+    h = np.full(n, np.uint64(gram))
+    for low in range(0, gram, 8):
         h ^= loads[low : low + n]
         h *= np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
@@ -97,6 +104,7 @@ def _stretches(offsets: np.ndarray, length: int) -> Iterator[list[tuple[int, int
 def pieces(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH) -> Iterator[tuple[np.ndarray, ...]]:
     """Arrays of (document, anchor hash, fingerprint, first window's place, windows)."""
     powers, inverses = _powers()
+    gram = _gram(length)
     for group in _stretches(offsets, length):
         joined = np.concatenate([data[low:high] for _, _, low, high in group])
         sizes = np.array([high - low for _, _, low, high in group])
@@ -106,10 +114,10 @@ def pieces(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH) -> Itera
         np.add.at(valid, starts, 1)
         np.add.at(valid, ends - length + 1, -1)
         windows = np.flatnonzero(np.cumsum(valid[:-1], dtype=np.int8))
-        h = _hashes(joined)
+        h = _hashes(joined, gram)
         places = np.uint64((1 << 22) - 1)
         keys = (h & ~places) | np.arange(len(h), dtype=np.uint64)
-        anchor = (_smallest(keys, length - GRAM + 1)[windows] & places).astype(np.int64)
+        anchor = (_smallest(keys, length - gram + 1)[windows] & places).astype(np.int64)
         del keys
         new = np.ones(len(windows), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (windows[1:] != windows[:-1] + 1)
@@ -118,7 +126,7 @@ def pieces(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH) -> Itera
         count = np.diff(np.append(head, len(windows)))
         first = windows[head]
         sums = np.concatenate([[np.uint64(0)], np.cumsum(h * powers[: len(h)], dtype=np.uint64)])
-        mark = (sums[first + count - 1 + length - GRAM + 1] - sums[first]) * inverses[first]
+        mark = (sums[first + count - 1 + length - gram + 1] - sums[first]) * inverses[first]
         mark ^= mark >> np.uint64(32)
         mark = mark * np.uint64(0xD6E8FEB86659FD93) + count.astype(np.uint64)
         part = np.searchsorted(ends, first, "right")
@@ -130,9 +138,10 @@ def pieces(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH) -> Itera
 def _keys_of(text: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
     """A 64-bit key of the ``length`` bytes from each place."""
     powers, inverses = _powers()
-    h = _hashes(np.concatenate([text, np.zeros(GRAM, np.uint8)]))[: len(text)]
+    gram = _gram(length)
+    h = _hashes(np.concatenate([text, np.zeros(gram, np.uint8)]), gram)[: len(text)]
     sums = np.concatenate([[np.uint64(0)], np.cumsum(h * powers[: len(h)], dtype=np.uint64)])
-    return (sums[windows + length - GRAM + 1] - sums[windows]) * inverses[windows]
+    return (sums[windows + length - gram + 1] - sums[windows]) * inverses[windows]
 
 
 def repeated_windows(text: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
@@ -180,7 +189,7 @@ def _judge(rows: list[tuple], length: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _runs(rows: list[tuple], repeated: np.ndarray, length: int) -> Iterator[tuple]:
-    """(id, text hash, first window's place, windows) of the runs of repeated windows of each piece.
+    """(key, text hash, first window's place, windows) of the runs of repeated windows of each piece.
 
     A piece that occurs elsewhere as a whole has been marked already.
     """
@@ -197,7 +206,7 @@ def _runs(rows: list[tuple], repeated: np.ndarray, length: int) -> Iterator[tupl
 
 
 def judge_stream(rows: Iterator[tuple], length: int = LENGTH) -> Iterator[tuple]:
-    """Rows (id, text hash, anchor, whole, place, text), sorted by anchor, to runs of repeated windows."""
+    """Rows (key, text hash, anchor, whole, place, text), sorted by anchor, to runs of repeated windows."""
     shard, held, spanning, waiting = [], 0, None, []
 
     def close(last_anchor):
@@ -258,13 +267,18 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def repeated_runs(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH):
-    """The keyed documents ``(_id, _mark, _text)`` and their runs of repeated windows ``(_id, _mark, _place, _n)``."""
+    """The keyed documents ``(_id, _key, _mark, _text)`` and their runs of repeated windows ``(_key, _mark, _place, _n)``."""
     import pyarrow as pa
 
     short_batches(df.sparkSession)
-    kind = df.schema[doc_id].dataType.simpleString()
     bytes_of = utf8(df[text]).cast("binary")
-    keyed = df.select(df[doc_id].alias("_id"), F.xxhash64(bytes_of).alias("_mark"), bytes_of.alias("_text"))
+    # Rows with one id and text share their key: what holds for one holds for the other.
+    keyed = df.select(
+        df[doc_id].alias("_id"),
+        F.xxhash64(df[doc_id]).alias("_key"),
+        F.xxhash64(bytes_of).alias("_mark"),
+        bytes_of.alias("_text"),
+    )
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,33 +286,31 @@ def repeated_runs(df: DataFrame, text: str = "text", doc_id: str = "doc_id", len
                 at = pa.array(document)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(at), batch.column(1).take(at), *[pa.array(x) for x in numbers]],
-                    ["_id", "_mark", "_anchor", "_print", "_place", "_n"],
+                    ["_key", "_mark", "_anchor", "_print", "_place", "_n"],
                 )
 
-    long_enough = keyed.where(F.octet_length("_text") >= length)
+    long_enough = keyed.where(F.octet_length("_text") >= length).select("_key", "_mark", "_text")
     emitted = long_enough.mapInArrow(
-        emit, f"_id {kind}, _mark long, _anchor long, _print long, _place long, _n long"
+        emit, "_key long, _mark long, _anchor long, _print long, _place long, _n long"
     )
     anchor, same = Window.partitionBy("_anchor"), Window.partitionBy("_anchor", "_print")
     tagged = settle(
         emitted.withColumn("_all", F.count(F.lit(1)).over(anchor))
         .where("_all > 1")
         .withColumn("_copies", F.count(F.lit(1)).over(same))
-        .withColumn("_first", F.row_number().over(same.orderBy("_id", "_mark", "_place")) == 1)
-        .select("_id", "_mark", "_anchor", "_place", "_n", "_first", (F.col("_copies") > 1).alias("_whole"), (F.col("_copies") < F.col("_all")).alias("_several")),
+        .withColumn("_first", F.row_number().over(same.orderBy("_key", "_mark", "_place")) == 1)
+        .select("_key", "_mark", "_anchor", "_place", "_n", "_first", (F.col("_copies") > 1).alias("_whole"), (F.col("_copies") < F.col("_all")).alias("_several")),
         "pieces",
     )
-    whole = tagged.where("_whole").select("_id", "_mark", "_place", "_n")
+    whole = tagged.where("_whole").select("_key", "_mark", "_place", "_n")
     wanted = (
         tagged.where("_first AND _several")
-        .groupBy("_id", "_mark")
+        .groupBy("_key", "_mark")
         .agg(F.collect_list(F.struct("_anchor", "_whole", "_place", "_n")).alias("_wanted"))
     )
-    documents = keyed.repartition("_id", "_mark")
-    # Of rows equal in id and text, one gives the texts.
-    found = wanted.join(documents, (documents["_id"].eqNullSafe(wanted["_id"])) & (documents["_mark"] == wanted["_mark"])).select(
-        documents["_id"], documents["_mark"], documents["_text"], "_wanted"
-    )
+    # Both joins with the texts need the same columns in the same partitions, so one shuffle serves both.
+    documents = keyed.repartition("_key", "_mark")
+    found = wanted.join(documents, ["_key", "_mark"]).select("_key", "_mark", "_text", "_wanted", "_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,11 +322,11 @@ def repeated_runs(df: DataFrame, text: str = "text", doc_id: str = "doc_id", len
                 row = pa.array([i] * len(texts), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(row), batch.column(1).take(row), own.field("_anchor"), own.field("_whole"), own.field("_place"), pa.array(texts, pa.binary())],
-                    ["_id", "_mark", "_anchor", "_whole", "_place", "_piece"],
+                    ["_key", "_mark", "_anchor", "_whole", "_place", "_piece"],
                 )
 
     texts = found.mapInArrow(
-        cut, f"_id {kind}, _mark long, _anchor long, _whole boolean, _place long, _piece binary"
+        cut, "_key long, _mark long, _anchor long, _whole boolean, _place long, _piece binary"
     )
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,14 +344,11 @@ def repeated_runs(df: DataFrame, text: str = "text", doc_id: str = "doc_id", len
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
 
-    names = ["_id", "_mark", "_place", "_n"]
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    types = [to_arrow_type(df.schema[doc_id].dataType), pa.int64(), pa.int64(), pa.int64()]
+    names, types = ["_key", "_mark", "_place", "_n"], [pa.int64()] * 4
     judged = (
         texts.repartition("_anchor")
-        .sortWithinPartitions("_anchor", "_id", "_mark", "_place")
-        .mapInArrow(judge, f"_id {kind}, _mark long, _place long, _n long")
+        .sortWithinPartitions("_anchor", "_key", "_mark", "_place")
+        .mapInArrow(judge, "_key long, _mark long, _place long, _n long")
     )
     return documents, whole.unionByName(judged)
 
@@ -349,10 +358,8 @@ def cut_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", lengt
     import pyarrow as pa
 
     documents, runs = repeated_runs(df, text, doc_id, length)
-    spans = runs.groupBy("_id", "_mark").agg(F.collect_list(F.struct("_place", "_n")).alias("_runs"))
-    found = documents.join(
-        spans, documents["_id"].eqNullSafe(spans["_id"]) & (documents["_mark"] == spans["_mark"]), "left"
-    ).select(documents["_id"], documents["_text"], "_runs")
+    spans = runs.groupBy("_key", "_mark").agg(F.collect_list(F.struct("_place", "_n")).alias("_runs"))
+    found = documents.join(spans, ["_key", "_mark"], "left").select("_id", "_text", "_runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
