@@ -380,7 +380,7 @@ def all_findings(packets: DataFrame) -> DataFrame:
 
     The first makes the activity table, from which busy minutes, long sessions and possible beacons
     follow; the second finds probed pairs; the third keeps the packets that any rule can need. The rules
-    then read those.
+    then read those. Rules on payloads, whose reads come on top, take part if the packets carry them.
     """
     minutes = settle(activity(packets))
     busy = settle(rates.busy_of(minutes, [rule.threshold for rule in RATE_RULES]).withColumn("_busy", F.lit(True)))
@@ -417,32 +417,47 @@ def all_findings(packets: DataFrame) -> DataFrame:
         _counted(kept, list(_COUNTERS)),
         _port_scan(_port_sets(kept.where(scans).select(*_PACKET_COLUMNS, "dst_port"), SCAN_PORTS)),
         _exfil(_byte_sums(kept.where(large).select(*_PACKET_COLUMNS, "length", "sid"), EXFIL_LIMIT)),
+        *([payload_findings(packets)] if set(PAYLOAD_COLUMNS) <= set(packets.columns) else []),
     )
 
 
 # Rules on payloads (our semantics) ------------------------------------------------------------
 
+PAYLOAD_COLUMNS = ["payload", "qname", "src_mac"]
+
 
 def sqli(packets: DataFrame) -> DataFrame:
     """HTTP packets with a pattern of SQL injection in the payload."""
+    return _row_findings(packets, _sqli())
+
+
+def _sqli() -> tuple[Column, str, Column, Column]:
     condition = (F.col("protocol") == "HTTP") & P.has_sql_injection("payload")
     text = F.format_string("SQL injection attempt from %s detected in HTTP payload", "src_ip")
-    return _row_findings(packets, (condition, "sqli", F.lit("HIGH"), text))
+    return condition, "sqli", F.lit("HIGH"), text
 
 
 def dns_tunnel(packets: DataFrame, limit: int = 50) -> DataFrame:
     """DNS packets that ask for a name with a label longer than the limit."""
+    return _row_findings(packets, _dns_tunnel(limit))
+
+
+def _dns_tunnel(limit: int = 50) -> tuple[Column, str, Column, Column]:
     label = P.longest_label("qname")
     condition = (F.col("protocol") == "DNS") & (label > limit)
     text = F.format_string("DNS tunneling suspected from %s: label length %d chars", F.col("src_ip"), label)
-    return _row_findings(packets, (condition, "dns_tunnel", F.lit("HIGH"), text))
+    return condition, "dns_tunnel", F.lit("HIGH"), text
 
 
 def tls_old_version(packets: DataFrame) -> DataFrame:
     """TLS packets whose ServerHello settles on a version below TLS 1.2."""
+    return _row_findings(packets, _tls_old_version())
+
+
+def _tls_old_version() -> tuple[Column, str, Column, Column]:
     condition = (F.col("protocol") == "TLS") & P.is_old_tls_hello("payload")
     text = F.format_string("TLS anomaly from %s: outdated protocol version", "src_ip")
-    return _row_findings(packets, (condition, "tls_old_version", F.lit("HIGH"), text))
+    return condition, "tls_old_version", F.lit("HIGH"), text
 
 
 def ftp_auth_fail(packets: DataFrame, least: int = 5) -> DataFrame:
@@ -474,6 +489,9 @@ def arp_spoof(packets: DataFrame) -> DataFrame:
 
 def payload_findings(packets: DataFrame) -> DataFrame:
     """The findings of all rules on payload packets."""
-    return union_findings(
-        sqli(packets), dns_tunnel(packets), tls_old_version(packets), ftp_auth_fail(packets), arp_spoof(packets)
-    )
+    return union_findings(payload_row_rules(packets), ftp_auth_fail(packets), arp_spoof(packets))
+
+
+def payload_row_rules(packets: DataFrame) -> DataFrame:
+    """The rules on a single payload packet, in one pass. Works on streams as well."""
+    return _row_findings(packets, _sqli(), _dns_tunnel(), _tls_old_version())

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 from flowsentry.session import ensure_checkpoint_dir
 
+# Entry states of up to this many partitions are broadcast, a few hundred bytes each.
+BROADCAST_ENTRIES = 20_000
 SUMMARY_SCHEMA = (
     "stretch bigint, part bigint, first_key string, last_key string, whole boolean, "
     "exit_state array<bigint>, effect array<array<bigint>>"
@@ -217,10 +219,11 @@ class Summary(NamedTuple):
 
 
 def lay_out(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Rows in even, ordered partitions that stay as they are, numbered by ``part``."""
+    """Rows in even, ordered partitions that stay as they are, numbered by ``part``; ``first`` marks their first row."""
     ensure_checkpoint_dir(rows.sparkSession)
     laid = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-    return laid.withColumn("part", F.spark_partition_id().cast("bigint")).checkpoint()
+    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    return laid.withColumns({"part": F.spark_partition_id().cast("bigint"), "first": row == 0}).checkpoint()
 
 
 def _runs(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[str, int, int]]:
@@ -320,17 +323,20 @@ def _hits(fold, keys: list[str], value: str, columns: list[str]):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if current is None and batch.column("entry_state")[0].is_valid:
-                current = batch.column("entry_key")[0].as_py()
-                state = batch.column("entry_state")[0].as_py()
             values = batch.column(value).to_numpy()
             found, measures = [], []
-            for key, start, end in _runs(batch, keys):
-                if key != current:
-                    current, state = key, fold.start
-                state, hits, measure = fold.run(state, values[start:end])
-                found.append(hits + start)
-                measures.append(measure)
+            parts = np.flatnonzero(batch.column("first").to_numpy(zero_copy_only=False)).tolist()
+            edges = sorted({0, *parts, batch.num_rows})
+            for low, high in zip(edges, edges[1:]):
+                if low in parts:  # a partition of the layout starts here, with its entry state if it has one
+                    current = batch.column("entry_key")[low].as_py()
+                    state = batch.column("entry_state")[low].as_py()
+                for key, start, end in _runs(batch.slice(low, high - low), keys):
+                    if key != current:
+                        current, state = key, fold.start
+                    state, hits, measure = fold.run(state, values[low + start : low + end])
+                    found.append(hits + low + start)
+                    measures.append(measure)
             picked = batch.select(columns).take(pa.array(np.concatenate(found), type=pa.int64()))
             measure = pa.array(np.concatenate(measures), type=pa.int64())
             yield pa.RecordBatch.from_arrays([*picked.columns, measure], names=[*columns, "measure"])
@@ -338,6 +344,25 @@ def _hits(fold, keys: list[str], value: str, columns: list[str]):
     return emit
 
 
+_ENTRY = "stretch bigint, part bigint, entry_key string, entry_state array<bigint>"
+
+
+def _entry_states(fold, summaries: DataFrame, stretch: int, parts: int) -> DataFrame:
+    """The entry state of every summary. No task takes more than ``stretch`` summaries.
+
+    Stretches are merged to one summary each, level by level until one stretch is left; entry states go
+    back down the same way.
+    """
+    if parts <= stretch:
+        return summaries.repartition(1).sortWithinPartitions("part").mapInPandas(_chain(fold), _ENTRY)
+    by_stretch = summaries.groupBy("stretch")
+    merged = by_stretch.applyInPandas(_merge_stretch(fold), SUMMARY_SCHEMA)
+    upper = merged.withColumns({"part": F.col("stretch"), "stretch": F.floor(F.col("stretch") / stretch)}).checkpoint()
+    above = _entry_states(fold, upper, stretch, -(-parts // stretch))
+    handed = above.select(F.col("part").alias("stretch"), "part", "entry_key", "entry_state")
+    return by_stretch.cogroup(handed.groupBy("stretch")).applyInPandas(_chain_stretch(fold), _ENTRY)
+
+
 def split_fold(
     rows: DataFrame,
     fold,
@@ -358,18 +383,15 @@ def split_fold(
         .mapInArrow(_summaries(fold, keys, value, stretch), SUMMARY_SCHEMA)
         .checkpoint()
     )
-    entry = "stretch bigint, part bigint, entry_key string, entry_state array<bigint>"
-    by_stretch = summaries.groupBy("stretch")
-    merged = by_stretch.applyInPandas(_merge_stretch(fold), SUMMARY_SCHEMA)
-    stretch_entries = merged.repartition(1).sortWithinPartitions("stretch").mapInPandas(_chain(fold), entry)
-    entries = by_stretch.cogroup(stretch_entries.groupBy("stretch")).applyInPandas(_chain_stretch(fold), entry)
-    # One row per partition of the layout: the size of this broadcast does not grow with a key.
-    with_entry = laid.join(F.broadcast(entries.drop("stretch")), "part", "left")
+    parts = summaries.agg(F.max("part")).first()[0]
+    entries = _entry_states(fold, summaries, stretch, 0 if parts is None else parts + 1).drop("stretch")
+    entries = entries.checkpoint()
+    small = entries.count() <= BROADCAST_ENTRIES
+    with_entry = laid.join(F.broadcast(entries) if small else entries, "part", "left")
+    if not small:  # the join has moved the rows: put each partition's together and in order again
+        with_entry = with_entry.repartition("part").sortWithinPartitions("part", *keys, *order)
     # Only the first row of a partition needs the entry state.
-    row_number = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    first_only = {
-        name: F.when(F.col("_row") == 0, F.col(name)) for name in ("entry_key", "entry_state")
-    }
-    prepared = with_entry.withColumn("_row", row_number).withColumns(first_only).drop("_row", "part")
+    first_only = {name: F.when(F.col("first"), F.col(name)) for name in ("entry_key", "entry_state")}
+    prepared = with_entry.withColumns(first_only).drop("part")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return prepared.mapInArrow(_hits(fold, keys, value, columns), f"{kinds}, measure bigint")

@@ -22,6 +22,12 @@ def perf_minutely(packets: DataFrame, alerts: DataFrame) -> DataFrame:
     return joined.na.fill(0, ["packets_pm", "alerts_pm"])
 
 
+def merged_protocol_stats(stats: DataFrame) -> DataFrame:
+    """Rollups of several runs as one: a row per minute and protocol."""
+    sums = [F.sum(name).alias(name) for name in ("pkt_count", "byte_count")]
+    return stats.groupBy("bucket", "protocol").agg(*sums)
+
+
 def protocol_stats(packets: DataFrame) -> DataFrame:
     """Packets and bytes per minute and protocol."""
     return packets.groupBy(time_bucket("ts_us", 60).alias("bucket"), "protocol").agg(

@@ -11,32 +11,35 @@ from flowsentry.sources import tables
 
 
 def analyze(packets: DataFrame, root: str, run: str, geo_ranges: DataFrame | None = None) -> None:
-    """Detect, and append packets, alerts, technique hits, threats and rollups under ``root``.
+    """Detect, and write packets, alerts, technique hits, threats and rollups of the run under ``root``.
 
-    The findings of the run are written first, so detection runs once and its result survives
-    lost executors; everything else reads that table.
+    Every table has a folder per run, which a repeated run replaces, so a replay changes nothing. The
+    findings are written first, so detection runs once and its result survives lost executors;
+    everything else reads that table. A run starts without the state of earlier ones.
     """
     spark = packets.sparkSession
-    path = f"{root}/findings/run={run}"
-    detect.all_findings(packets).write.mode("overwrite").parquet(path)
-    findings = spark.read.parquet(path)
+
+    def path(table: str) -> str:
+        return f"{root}/{table}/run={run}"
+
+    detect.all_findings(packets).write.mode("overwrite").parquet(path("findings"))
+    findings = spark.read.parquet(path("findings"))
     found = alerts.build_alerts(findings)
-    tables.sink_alerts(found, f"{root}/alerts")
-    tables.sink_mitre(alerts.build_mitre_events(findings), f"{root}/mitre_events")
-    tables.sink_packets(lookups.mark_malicious(packets, findings), f"{root}/packets")
-    _write(alerts.threat_sessions(findings), "threats", root)
-    _write(rollups.protocol_stats(packets), "protocol_stats", root)
-    _write(rollups.connections(packets), "connections", root)
+    tables.sink_alerts(found, path("alerts"), "overwrite")
+    tables.sink_mitre(alerts.build_mitre_events(findings), path("mitre_events"), "overwrite")
+    tables.sink_packets(lookups.mark_malicious(packets, findings), path("packets"), "overwrite")
+    for table, rows in (
+        ("threats", alerts.threat_sessions(findings)),
+        ("protocol_stats", rollups.protocol_stats(packets)),
+        ("connections", rollups.connections(packets)),
+    ):
+        rows.write.mode("overwrite").parquet(path(table))
     minutes = rollups.perf_minutely(packets, found)
     per_minute = minutes.withColumns({"id": F.col("bucket"), "ts_us": F.col("bucket") * MICROS})
-    tables.append(per_minute, "performance_metrics", f"{root}/performance_metrics")
+    tables.append(per_minute, "performance_metrics", path("performance_metrics"), "overwrite")
     if geo_ranges is not None:
         placed = lookups.geo_enrich(packets, geo_ranges, keep_unmatched=False).withColumnRenamed("pid", "id")
-        tables.sink_geo(placed, f"{root}/geo_traffic")
-
-
-def _write(rows: DataFrame, table: str, root: str) -> None:
-    rows.write.mode("append").parquet(f"{root}/{table}")
+        tables.sink_geo(placed, path("geo_traffic"), "overwrite")
 
 
 def acknowledge(spark: SparkSession, root: str, alert_ids: list[str], ts_us: int) -> None:

@@ -639,6 +639,18 @@ _detector("d20_arp_spoof", detect.arp_spoof, _payloads)
 _detector("d21_tls_old_version", detect.tls_old_version, _payloads)
 
 
+@query
+def d22_stored_payload_findings(spark, sf_dir):
+    """All payload rules over the packet table as it is stored."""
+    return detect.payload_findings(tables.scan_packets(spark, _stored(spark, _payloads(spark, sf_dir), "packets")))
+
+
+@query
+def r1_stream_payload_rules(spark, sf_dir):
+    found = detect.payload_row_rules(_stream(spark, _payloads(spark, sf_dir)))
+    return jobs.run_available(found, scratch(spark, "out"), scratch(spark, "checkpoint"))
+
+
 @query
 def d14_all_findings(spark, sf_dir):
     return alerting.with_techniques(detect.all_findings(_packets(spark, sf_dir)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from flowsentry import schemas
-from flowsentry.operators import filters, lookups, stats
+from flowsentry.operators import filters, lookups, rollups, stats
 from flowsentry.sources import tables
 
 
@@ -22,7 +22,12 @@ class Dashboard:
         self.acks = acks
 
     def _scan(self, table: str) -> DataFrame:
-        return tables.scan(self.spark, table, f"{self.root}/{table}")
+        return tables.scan(self.spark, table, f"{self.root}/{table}").drop("run")
+
+    def protocol_stats(self) -> DataFrame:
+        """The rollup with one row per minute and protocol, also where runs share a minute."""
+        stored = self.spark.read.schema(schemas.PROTOCOL_STATS).parquet(f"{self.root}/protocol_stats")
+        return rollups.merged_protocol_stats(stored)
 
     def alerts(self) -> DataFrame:
         alerts = self._scan("alerts")
@@ -37,7 +42,7 @@ class Dashboard:
             self._scan("mitre_events"),
             self._scan("performance_metrics"),
             self.as_of_us,
-            self.spark.read.schema(schemas.PROTOCOL_STATS).parquet(f"{self.root}/protocol_stats"),
+            self.protocol_stats(),
         )
 
     def packets_per_minute(self, minutes: int = 30) -> DataFrame:

@@ -29,6 +29,12 @@ PACKETS = _table(
     ("flags", STRING, True),
     ("payload_hex", STRING, True),
     ("is_malicious", INT, True),
+    ("qname", STRING, True),
+    ("src_mac", STRING, True),
+    ("ip_version", INT, True),
+    ("flow_label", INT, True),
+    ("next_header", INT, True),
+    ("l4", STRING, True),
 )
 
 ALERTS = _table(

@@ -29,7 +29,8 @@ def scan(spark: SparkSession, table: str, path: str) -> DataFrame:
 
 
 def scan_packets(spark: SparkSession, path: str) -> DataFrame:
-    return scan(spark, "packets", path)
+    """The packet table, with the ``payload`` as bytes."""
+    return scan(spark, "packets", path).withColumn("payload", F.unhex("payload_hex"))
 
 
 def scan_alerts(spark: SparkSession, path: str) -> DataFrame:
@@ -69,12 +70,15 @@ def packet_stream(
     else:
         reader = spark.readStream.schema(schemas.PACKETS).option("maxFilesPerTrigger", max_files)
         packets = reader.parquet(path)
+    packets = packets.withColumn("payload", F.unhex("payload_hex"))
     return packets.withColumn("ts", timestamp_of()).withWatermark("ts", watermark)
 
 
 def to_table(df: DataFrame, table: str) -> DataFrame:
     """The columns of a table plus ``dt``; columns the DataFrame lacks get their default or NULL."""
     defaults = schemas.DEFAULTS[table]
+    if table == "packets" and "payload" in df.columns and "payload_hex" not in df.columns:
+        df = df.withColumn("payload_hex", F.hex("payload"))
     columns = []
     for field in schemas.TABLES[table].fields:
         if field.name in df.columns:
@@ -87,29 +91,32 @@ def to_table(df: DataFrame, table: str) -> DataFrame:
     return df.select(*columns).withColumn("dt", F.to_date(timestamp_of()))
 
 
-def append(df: DataFrame, table: str, path: str) -> None:
-    """Append rows; one task writes one range of time, so a busy day is many files."""
+def append(df: DataFrame, table: str, path: str, mode: str = "append") -> None:
+    """Append rows, or with mode ``overwrite`` replace those under the path.
+
+    One task writes one range of time, so a busy day is many files.
+    """
     rows = to_table(df, table)
-    rows.repartitionByRange("dt", "ts_us").sortWithinPartitions("dt", "ts_us").write.mode("append").partitionBy(
+    rows.repartitionByRange("dt", "ts_us").sortWithinPartitions("dt", "ts_us").write.mode(mode).partitionBy(
         "dt"
     ).parquet(path)
 
 
-def sink_packets(packets: DataFrame, path: str) -> None:
-    append(packets, "packets", path)
+def sink_packets(packets: DataFrame, path: str, mode: str = "append") -> None:
+    append(packets, "packets", path, mode)
 
 
-def sink_alerts(alerts: DataFrame, path: str) -> None:
-    append(alerts, "alerts", path)
+def sink_alerts(alerts: DataFrame, path: str, mode: str = "append") -> None:
+    append(alerts, "alerts", path, mode)
 
 
-def sink_mitre(hits: DataFrame, path: str) -> None:
-    append(hits, "mitre_events", path)
+def sink_mitre(hits: DataFrame, path: str, mode: str = "append") -> None:
+    append(hits, "mitre_events", path, mode)
 
 
-def sink_geo(geo: DataFrame, path: str) -> None:
+def sink_geo(geo: DataFrame, path: str, mode: str = "append") -> None:
     """Append geo rows: one packet each, without the city."""
-    append(geo.drop("city", "pkt_count"), "geo_traffic", path)
+    append(geo.drop("city", "pkt_count"), "geo_traffic", path, mode)
 
 
 def stream_packets_to(packets: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:

@@ -586,8 +586,12 @@ ORACLES["f14_http_method"] = _query(
 # Payload rules --------------------------------------------------------------------------------
 
 
+_PAYLOAD_RULES: dict[str, str] = {}
+
+
 def _payload_rule(rule: str, severity: str, text: str, source: str, threat: str) -> str:
-    return _query(["payload_packets"], _finding(rule, severity, text, source, threat))
+    _PAYLOAD_RULES[rule] = _finding(rule, severity, text, source, threat)
+    return _query(["payload_packets"], _PAYLOAD_RULES[rule])
 
 
 _DECODED = "CASE WHEN protocol = 'HTTP' THEN decode(payload) END"
@@ -620,6 +624,11 @@ ORACLES["d21_tls_old_version"] = _payload_rule(
     "malware_callback",
 )
 
+ORACLES["d22_stored_payload_findings"] = _query(["payload_packets"], " UNION ALL ".join(_PAYLOAD_RULES.values()))
+ORACLES["r1_stream_payload_rules"] = _query(
+    ["payload_packets"], " UNION ALL ".join(_PAYLOAD_RULES[rule] for rule in ("sqli", "dns_tunnel", "tls_old_version"))
+)
+
 # Streams: as in batch ------------------------------------------------------------------------
 
 ORACLES["s3_packet_stream"] = ORACLES["s1_scan_packets"]

@@ -42,7 +42,7 @@ def packets_of(spark):
         data = []
         for number, row in enumerate(rows):
             full = {**base, **extra, "pid": number, "ts_us": number * 1_000_000, **row}
-            data.append(tuple(full[name] for name in names))
+            data.append(tuple(full.get(name) for name in names))
         df = spark.createDataFrame(data, PACKETS)
         return df.withColumn("payload", F.unhex("payload_hex"))
 

@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from flowsentry.operators import ordered
 from flowsentry.operators.ordered import ResettingSet, ResettingSum, RunningCount, split_fold
 
 KEYS, ORDER = ["src_ip", "sid"], ["ts_us", "pid"]
@@ -74,7 +75,9 @@ def rows_of(seed, rows):
 @pytest.mark.parametrize("partitions", [1, 3, 40])
 @pytest.mark.parametrize("stretch", [2, 64])
 @pytest.mark.parametrize("kind", ["sum", "set", "count"])
-def test_split_fold(spark, kind, partitions, stretch):
+def test_split_fold(spark, kind, partitions, stretch, monkeypatch):
+    if stretch == 2:  # entry states that are too many to broadcast
+        monkeypatch.setattr(ordered, "BROADCAST_ENTRIES", 0)
     data = rows_of(partitions, 3000)
     schema = "pid long, ts_us long, src_ip string, sid long, value int"
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
@@ -109,3 +112,26 @@ def test_split_fold(spark, kind, partitions, stretch):
 def test_no_rows(spark):
     rows = spark.createDataFrame([], "pid long, ts_us long, src_ip string, sid long, value int")
     assert split_fold(rows, ResettingSum(1), KEYS, ORDER, "value").count() == 0
+
+
+def test_no_task_chains_more_than_a_stretch(spark, monkeypatch):
+    """40 summaries in stretches of 2: every task that merges or chains sees two at most."""
+    most = spark.sparkContext.accumulator(0)
+    seen = spark.sparkContext.accumulator(0)
+    read = ordered._read
+
+    def counted(frame):
+        seen.add(1)
+        most.add(max(0, len(frame) - 2))
+        return read(frame)
+
+    monkeypatch.setattr(ordered, "_read", counted)
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.createDataFrame(rows_of(1, 3000), "pid long, ts_us long, src_ip string, sid long, value int")
+        assert split_fold(rows, ResettingSum(100), KEYS, ORDER, "value", 2).count() > 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert seen.value > 20 and most.value == 0
