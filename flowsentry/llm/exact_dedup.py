@@ -44,7 +44,7 @@ def _sorted_runs(
     normalise: Callable[[Column], Column],
     carry: list[str],
 ) -> DataFrame:
-    """``_id, _row, _text, _sha, _keep, _n, _stays`` for each row; ``_row`` holds the carried columns."""
+    """Per row the id, digest, run and place in it; ``_row`` holds the carried columns, ``_text`` the sorted text."""
     digest = _digest(df, text, normalise)
     total = df.count()
     counts = df.select(digest.alias("_sha")).groupBy("_sha").count()
@@ -72,6 +72,7 @@ def _sorted_runs(
         F.first("_id").over(first).alias("_keep"),
         F.row_number().over(first).alias("_place"),
         F.count(F.lit(1)).over(run).alias("_n"),
+        *(["_text"] if carry else []),
     )
     # The salted parts of at most 255 hot texts, from ids and digests alone: a few thousand rows.
     best = F.max if keep == "largest" else F.min
@@ -117,6 +118,13 @@ def keep_one(
     normalise: Callable[[Column], Column] = unchanged,
 ) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns."""
-    found = _sorted_runs(df, text, doc_id, keep, normalise, df.columns)
+    if normalise is unchanged:  # the sorted text is the text itself, which so is shuffled once
+        marked = df.withColumn("_is_null", df[text].isNull())
+        found = _sorted_runs(marked, text, doc_id, keep, normalise, [c for c in marked.columns if c != text])
+        whole = F.when(~F.col("_row._is_null"), F.col("_text"))
+    else:
+        found = _sorted_runs(df, text, doc_id, keep, normalise, df.columns)
+        whole = F.col("_row")[text]
     stays = (F.col("_place") == 1) & F.coalesce(F.col("_best") == 1, F.lit(True))
-    return found.where(stays).select("_row.*")
+    columns = [(whole if name == text else F.col("_row")[name]).alias(name) for name in df.columns]
+    return found.where(stays).select(*columns)

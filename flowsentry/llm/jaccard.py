@@ -5,22 +5,24 @@ numbers of shingles per group are the document's point. Two sets share at most t
 their counts in each group, so that sum bounds the overlap, for points as for the bounding boxes of leaves.
 
 One tree over all points would compare all leaves of one size: points of unrelated documents lie close
-together in every dimension. So the tree's upper level routes by exact cells: two sets that are similar
-enough share one of their lowest ``n - ceil(0.8 n) + 1`` hashes, the outermost cells that a set occupies. Each cell
-that several sets share is a subtree: its points, in order of size, are packed into leaves; pairs of leaves are
-pruned by their boxes, pairs of points by their counts, and what survives is verified on the whole texts.
-
-* Equal sets are one node (pre-aggregated before any join), so copies cost nothing further on.
-* In a group of many near copies not all pairs are tried. First each cell's most connected node, the one
-  that shares cells with the most others, is compared with the rest of the cell. Links found make
+together in every dimension. So the tree's upper level routes by exact cells. In any order of hashes that all
+documents share, two sets that are similar enough share one of their first ``n - ceil(0.8 n) + 1`` hashes; those
+are a set's cells. The order puts hashes of rarely used ranges first, by counts over all documents, so that
+passages which many documents share make few cells. Each cell that several sets share is a subtree: its
+points, in order of size, are packed into leaves; pairs of leaves are pruned by their boxes, pairs of points by
+their counts, and what survives is verified on the whole texts.
+
+* Equal sets are one node, so copies cost nothing further on.
+* In a group of many near copies not all pairs are tried. First each node is compared with one other, the
+  most connected of those in its cells, which shares cells with the most others. Links found make
   components; the tree is then joined only for pairs of nodes of different components, so that every pair that
   could still join two components is tried and no link between them is lost.
 * Verification streams: the texts that are compared with one node follow its own text, in bounded stretches.
 
-Hashes have 64 bits; sets, bounds and similarity are computed over them. Null texts and texts without words have an
-empty set and link with nothing; with fewer than five words the whole sequence is the one shingle. Rows that share an id
-are one document for links, whatever their texts; a row without an id links with nothing and has no component. An empty
-table gives an empty result. Other columns may have any names.
+Hashes and the fingerprints that stand for sets have 64 bits. Null texts and texts without words have an
+empty set and link with nothing; with fewer than five words the whole sequence is the one shingle. Rows that
+share an id are one document for links, whatever their texts; a row without an id links with nothing and has no
+component. An empty table gives an empty result. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -37,7 +39,10 @@ from flowsentry.llm.components import components
 
 LEAF = 128  # points of a leaf
 STRETCH = 200  # texts that follow one node's text in verification
-LEAST_GROUPS, MOST_GROUPS = 8, 256
+BROADCAST_NODES = 50_000  # rows of four short columns, some megabytes
+LEAST_GROUPS, MOST_GROUPS = 8, 4096
+RANGE_BITS = 17  # hash ranges whose use is counted: a table of fixed size, half a megabyte
+KNOWN = 100_000  # sets that a task remembers to have emitted
 
 
 def sets(offsets: np.ndarray, data: np.ndarray) -> Iterator[np.ndarray]:
@@ -53,7 +58,7 @@ def sets(offsets: np.ndarray, data: np.ndarray) -> Iterator[np.ndarray]:
 def point(hashes: np.ndarray) -> np.ndarray:
     """The counts of a set per group; the number of groups, a power of two, follows its size."""
     bits = LEAST_GROUPS.bit_length() - 1
-    while (1 << bits) < min(MOST_GROUPS, len(hashes) / 4):
+    while (1 << bits) < min(MOST_GROUPS, len(hashes) / 2):
         bits += 1
     return np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
 
@@ -77,32 +82,106 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
 
 
-def _profiles(df: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """``_id, _n, _fa, _fb, _cells, _point`` of each row."""
+def fingerprint(hashes: np.ndarray) -> int:
+    """A set's fingerprint, as a signed 64-bit integer; 0 is the empty set's."""
+    return int(words._mixed(hashes + np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).astype(np.int64)) if len(hashes) else 0
+
+
+def _ranges(hashes: np.ndarray) -> np.ndarray:
+    # Not the bits that make the groups of points.
+    return ((hashes >> np.uint64(16)) & np.uint64((1 << RANGE_BITS) - 1)).astype(np.int64)
+
+
+def cells_of(hashes: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """The first hashes of a set, rarely used ranges first, of which similar enough sets share one."""
+    count = len(hashes) - (4 * len(hashes) + 4) // 5 + 1
+    return hashes[np.lexsort((hashes, use[_ranges(hashes)]))[:count]]
+
+
+def _profiles(documents: DataFrame) -> DataFrame:
+    """Of ``documents (_id, _text)`` rows of kind 0 ``(_id, _n, _print)``, and of kind 1 the use of hash ranges."""
     import pyarrow as pa
 
+    names = ["_kind", "_id", "_n", "_print"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use = np.zeros(1 << RANGE_BITS, np.int64)
         for batch in batches:
-            n, fa, fb, cells, points = [], [], [], [], []
+            n, prints, held = [], [], []
             for own in sets(*buffers(batch.column(1))):
                 n.append(len(own))
-                fa.append(int(own.sum(dtype=np.uint64)))
-                fb.append(int(words._mixed(own).sum(dtype=np.uint64)))
-                cells.append(own[: len(own) - (4 * len(own) + 4) // 5 + 1].view(np.int64) if len(own) else [])
-                points.append(point(own).astype("<u2" if len(own) < 1 << 16 else "<u4").tobytes() if len(own) else b"")
-            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fa, fb)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), *signed, pa.array(cells, pa.list_(pa.int64())), pa.array(points, pa.binary())],
-                ["_id", "_n", "_fa", "_fb", "_cells", "_point"],
-            )
-
-    return df.select(df[doc_id].cast("long").alias("_id"), utf8(df[text]).alias("_text")).mapInArrow(
-        run, "_id long, _n long, _fa long, _fb long, _cells array<long>, _point binary"
-    )
+                prints.append(fingerprint(own))
+                held.append(_ranges(own))
+            if held:
+                use += np.bincount(np.concatenate(held), minlength=len(use))
+            kind = pa.array(np.zeros(len(n), np.int32))
+            yield pa.RecordBatch.from_arrays([kind, batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.int64())], names)
+        used = np.flatnonzero(use)
+        columns = [pa.array(np.ones(len(used), np.int32)), pa.array(used), pa.array(use[used]), pa.array(np.zeros(len(used), np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+    return documents.mapInArrow(run, "_kind int, _id long, _n long, _print long")
+
+
+def _cells(documents: DataFrame, use: np.ndarray) -> DataFrame:
+    """``_cell, _node, _k`` of each cell that ``_k`` > 1 sets share."""
+    import pyarrow as pa
+
+    sent = documents.sparkSession.sparkContext.broadcast(use)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
+        for batch in batches:
+            cells, nodes = [], []
+            for own in sets(*buffers(batch.column(1))):
+                node = fingerprint(own)
+                if not len(own) or node in known:
+                    continue
+                if len(known) >= KNOWN:
+                    known.clear()
+                known.add(node)
+                cells.append(cells_of(own, sent.value))
+                nodes.append(np.full(len(cells[-1]), node))
+            if cells:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(cells).view(np.int64)), pa.array(np.concatenate(nodes))], ["_cell", "_node"]
+                )
+
+    emitted = documents.where("_id IS NOT NULL").mapInArrow(run, "_cell long, _node long")
+    # Copies in other tasks meet in the cell; one shuffle serves to drop them and to count.
+    sets_of = emitted.repartition("_cell").dropDuplicates(["_cell", "_node"])
+    return sets_of.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy("_cell"))).where("_k > 1")
+
+
+def _involved(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """``_node, _n, _point, _text`` of the nodes in ``ids (_node, _first)``."""
+    import pyarrow as pa
+
+    names = ["_node", "_n", "_point", "_text"]
+    if ids.count() <= BROADCAST_NODES:
+        ids = F.broadcast(ids)
+    found = documents.join(ids, documents["_id"] == ids["_first"]).select("_node", "_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column(0).to_pylist()
+            own = [(i, x) for i, x in enumerate(sets(*buffers(batch.column(1)))) if fingerprint(x) == nodes[i]]
+            at = pa.array([i for i, _ in own], pa.int64())
+            sizes = pa.array([len(x) for _, x in own], pa.int64())
+            points = pa.array([point(x).astype(_kind(len(x))).tobytes() for _, x in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), sizes, points, batch.column(1).take(at)], names)
+
+    made = found.mapInArrow(run, "_node long, _n long, _point binary, _text string")
+    return made.dropDuplicates(["_node"])
+
+
+def _kind(n: int) -> str:
+    """The type of counts of a set of ``n`` members."""
+    return "u1" if n < 1 << 8 else "<u2" if n < 1 << 16 else "<u4"
 
 
 def _counts(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, "<u2" if n < 1 << 16 else "<u4").astype(np.int64)
+    return np.frombuffer(raw, _kind(n)).astype(np.int32)
 
 
 def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -128,9 +207,10 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` whose whole texts, from ``texts (_id, _text)``, are similar enough."""
+    """The pairs ``(a, b)`` whose whole texts, from ``texts (_node, _text)``, are similar enough."""
     import pyarrow as pa
 
+    # Few documents are broadcast, so that the texts of all others need no shuffle.
     asked = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_k")).select("a", F.ceil(F.col("_k") / STRETCH).cast("int").alias("_parts"))
     followers = pairs.join(asked, "a").select(
         F.col("a").alias("_lead"), F.pmod(F.xxhash64("b"), F.col("_parts")).cast("int").alias("_part"), F.col("b").alias("_node")
@@ -138,9 +218,11 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     leaders = asked.select(
         F.col("a").alias("_lead"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.col("a").alias("_node")
     )
-    wanted = followers.unionByName(leaders)
+    wanted = settle(followers.unionByName(leaders), "wanted")
+    if wanted.count() <= BROADCAST_NODES:
+        wanted = F.broadcast(wanted)
     found = (
-        texts.join(wanted, texts["_id"] == wanted["_node"])
+        texts.join(wanted, "_node")
         .select("_lead", "_part", (F.col("_lead") != F.col("_node")).alias("_follows"), "_node", "_text")
         .repartition("_lead", "_part")
         .sortWithinPartitions("_lead", "_part", "_follows")
@@ -220,33 +302,37 @@ def _tree_pairs(cells: DataFrame, points: DataFrame) -> DataFrame:
 def similar(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of ``df``: ``doc_id, n_shingles, component_id``."""
     short_batches(df.sparkSession)
-    profiles = settle(_profiles(df, text, doc_id), "profiles")
-    same = ["_fa", "_fb", "_n"]
-    known = profiles.where("_id IS NOT NULL AND _n > 0")
-    nodes = settle(
-        known.groupBy(*same).agg(F.min("_id").alias("_node"), F.first("_cells").alias("_cells"), F.first("_point").alias("_point")),
-        "nodes",
-    )
-    points = nodes.select("_node", "_n", "_point")
-    texts = df.where(df[doc_id].isNotNull()).select(df[doc_id].cast("long").alias("_id"), utf8(df[text]).alias("_text"))
+    documents = df.select(df[doc_id].cast("long").alias("_id"), utf8(df[text]).alias("_text"))
+    profiles = settle(_profiles(documents), "profiles")
+    rows = profiles.where("_kind = 0").select("_id", "_n", "_print")
+    known = rows.where("_id IS NOT NULL AND _n > 0").withColumnRenamed("_print", "_node")
+    use = np.zeros(1 << RANGE_BITS, np.int64)
+    ranges = profiles.where("_kind = 1").groupBy(F.col("_id").alias("_range")).agg(F.sum("_n").alias("_use"))
+    for place, number in ranges.collect():  # a row per range, however many documents
+        use[place] = number
+
+    cells = settle(_cells(documents, use), "cells")
+    firsts = settle(known.groupBy("_node").agg(F.min("_id").alias("_first")), "firsts")
+    ids = settle(cells.select("_node").distinct().join(firsts, "_node"), "ids")
+    involved = settle(_involved(documents, ids), "involved")
+    points, texts = involved.drop("_text"), involved.select("_node", "_text")
 
-    spread = nodes.select(F.explode("_cells").alias("_cell"), "_node")
-    in_cell = Window.partitionBy("_cell")
-    cells = settle(spread.withColumn("_k", F.count(F.lit(1)).over(in_cell)).where("_k > 1"), "cells")
     reach = cells.groupBy("_node").agg(F.sum("_k").alias("_reach"))
-    central = in_cell.orderBy(F.desc("_reach"), "_node")
-    stars = cells.join(reach, "_node").select("_node", F.first("_node").over(central).alias("_lead")).where("_node <> _lead")
-    pairs = settle(_bounded(stars.select(F.col("_lead").alias("a"), F.col("_node").alias("b")).distinct(), points), "pairs")
+    reached = cells.join(reach, "_node").select("_cell", "_node", F.struct("_reach", "_node").alias("_rank"))
+    # Each node is compared with the most connected one that it shares a cell with: one pair a node.
+    best = reached.groupBy("_cell").agg(F.max("_rank").alias("_lead"))
+    stars = reached.join(best, "_cell").groupBy("_node").agg(F.max("_lead").alias("_lead"))
+    tried = stars.select(F.col("_lead._node").alias("a"), F.col("_node").alias("b")).where("a <> b")
+    pairs = settle(_bounded(tried, points), "pairs")
     links = settle(_verified(pairs, texts), "links")
 
-    # A node that stands for an id with several texts joins their sets.
-    ids = known.join(nodes.select(*same, "_node"), same).select("_id", "_node")
-    several = ids.groupBy("_id").agg(F.min("_node").alias("a"), F.max("_node").alias("b")).where("a <> b")
-    more = ids.join(several.select("_id", "a"), "_id").where("_node <> a").select("a", F.col("_node").alias("b"))
-    links = links.unionByName(more)
+    # An id with several texts joins their sets.
+    several = known.groupBy("_id").agg(F.min("_node").alias("a"), F.max("_node").alias("_other")).where("a <> _other")
+    more = known.join(several.select("_id", "a"), "_id").where("_node <> a").select("a", F.col("_node").alias("b"))
+    grouped = settle(components(links.unionByName(more)), "components")
 
-    grouped = settle(components(links), "components")
-    placed = cells.select("_cell", "_node").join(grouped, cells["_node"] == grouped["node"], "left").select(
+    in_cell = Window.partitionBy("_cell")
+    placed = cells.join(grouped, cells["_node"] == grouped["node"], "left").select(
         "_cell", "_node", F.coalesce("component", "_node").alias("_component")
     )
     mixed = (
@@ -255,22 +341,20 @@ def similar(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
         .where("_from <> _to")
         .select("_cell", "_node", "_component")
     )
-    rest = settle(_tree_pairs(mixed, points).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
+    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = settle(_tree_pairs(mixed, points).join(done, ["a", "b"], "left_anti"), "rest")
     late = settle(_verified(rest, texts), "late")
-    if late.isEmpty():
-        final = grouped
-    else:
+    if not late.isEmpty():
         joined = grouped.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(late)
-        final = settle(components(joined), "components")
-    of_set = nodes.select(*same, "_node").join(final, F.col("_node") == F.col("node"), "left").select(
-        *same, F.coalesce("component", "_node").alias("_component")
+        grouped = settle(components(joined), "components")
+
+    of_node = firsts.join(grouped, F.col("_node") == F.col("node"), "left").select(
+        "_node", "_first", F.coalesce("component", "_node").alias("_component")
     )
-    return (
-        profiles.select("_id", *same)
-        .join(of_set.distinct(), same, "left")
-        .select(
-            F.col("_id").alias("doc_id"),
-            F.col("_n").alias("n_shingles"),
-            F.when(F.col("_id").isNotNull(), F.coalesce("_component", "_id")).alias("component_id"),
-        )
+    least = of_node.groupBy("_component").agg(F.min("_first").alias("component_id"))
+    named = of_node.join(least, "_component").select(F.col("_node").alias("_print"), "component_id")
+    return rows.join(named, "_print", "left").select(
+        F.col("_id").alias("doc_id"),
+        F.col("_n").alias("n_shingles"),
+        F.when(F.col("_id").isNotNull(), F.when(F.col("_n") > 0, F.col("component_id")).otherwise(F.col("_id"))).alias("component_id"),
     )
