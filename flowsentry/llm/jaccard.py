@@ -40,7 +40,7 @@ from flowsentry.llm.components import components
 LEAF = 128  # points of a leaf
 STRETCH = 200  # texts that follow one node's text in verification
 BROADCAST_NODES = 50_000  # rows of four short columns, some megabytes
-LEAST_GROUPS, MOST_GROUPS = 8, 4096
+COARSE, FINE = (4, 256), (1, 4096)  # members per group, and most groups, of the two points of a set
 RANGE_BITS = 17  # hash ranges whose use is counted: a table of fixed size, half a megabyte
 KNOWN = 100_000  # sets that a task remembers to have emitted
 
@@ -55,10 +55,11 @@ def sets(offsets: np.ndarray, data: np.ndarray) -> Iterator[np.ndarray]:
         yield words.shingles(hashes[first[i] : first[i + 1]])
 
 
-def point(hashes: np.ndarray) -> np.ndarray:
+def point(hashes: np.ndarray, scale: tuple[int, int]) -> np.ndarray:
     """The counts of a set per group; the number of groups, a power of two, follows its size."""
-    bits = LEAST_GROUPS.bit_length() - 1
-    while (1 << bits) < min(MOST_GROUPS, len(hashes) / 2):
+    per_group, most = scale
+    bits = 3
+    while (1 << bits) < min(most, len(hashes) / per_group):
         bits += 1
     return np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
 
@@ -124,7 +125,7 @@ def _profiles(documents: DataFrame) -> DataFrame:
 
 
 def _cells(documents: DataFrame, use: np.ndarray) -> DataFrame:
-    """``_cell, _node, _k`` of each cell that ``_k`` > 1 sets share."""
+    """``_cell, _node`` of each cell that sets of similar size share."""
     import pyarrow as pa
 
     sent = documents.sparkSession.sparkContext.broadcast(use)
@@ -132,7 +133,7 @@ def _cells(documents: DataFrame, use: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
         for batch in batches:
-            cells, nodes = [], []
+            cells, nodes, sizes = [], [], []
             for own in sets(*buffers(batch.column(1))):
                 node = fingerprint(own)
                 if not len(own) or node in known:
@@ -142,37 +143,45 @@ def _cells(documents: DataFrame, use: np.ndarray) -> DataFrame:
                 known.add(node)
                 cells.append(cells_of(own, sent.value))
                 nodes.append(np.full(len(cells[-1]), node))
+                sizes.append(np.full(len(cells[-1]), len(own)))
             if cells:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(cells).view(np.int64)), pa.array(np.concatenate(nodes))], ["_cell", "_node"]
-                )
+                made = [np.concatenate(cells).view(np.int64), np.concatenate(nodes), np.concatenate(sizes)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["_cell", "_node", "_n"])
 
-    emitted = documents.where("_id IS NOT NULL").mapInArrow(run, "_cell long, _node long")
-    # Copies in other tasks meet in the cell; one shuffle serves to drop them and to count.
-    sets_of = emitted.repartition("_cell").dropDuplicates(["_cell", "_node"])
-    return sets_of.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy("_cell"))).where("_k > 1")
+    emitted = documents.where("_id IS NOT NULL").mapInArrow(run, "_cell long, _node long, _n long")
+    # Copies in other tasks meet in the cell; one shuffle serves to drop them and to look at neighbours: in
+    # order of size, a set that is no quarter away from the one before or after has no partner in the cell.
+    by_size = Window.partitionBy("_cell").orderBy("_n", "_node")
+    near = (4 * F.col("_n") <= 5 * F.lag("_n").over(by_size)) | (4 * F.lead("_n").over(by_size) <= 5 * F.col("_n"))
+    sets_of = emitted.repartition("_cell").dropDuplicates(["_cell", "_node", "_n"])
+    return sets_of.withColumn("_near", near).where("_near").select("_cell", "_node")
 
 
 def _involved(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """``_node, _n, _point, _text`` of the nodes in ``ids (_node, _first)``."""
+    """``_node, _n, _point, _fine, _text`` of the nodes in ``ids (_node, _first)``; repeated rows may give a node twice."""
     import pyarrow as pa
 
-    names = ["_node", "_n", "_point", "_text"]
+    names = ["_node", "_n", "_point", "_fine", "_text"]
     if ids.count() <= BROADCAST_NODES:
         ids = F.broadcast(ids)
     found = documents.join(ids, documents["_id"] == ids["_first"]).select("_node", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
         for batch in batches:
-            nodes = batch.column(0).to_pylist()
-            own = [(i, x) for i, x in enumerate(sets(*buffers(batch.column(1)))) if fingerprint(x) == nodes[i]]
+            nodes, own = batch.column(0).to_pylist(), []
+            for i, x in enumerate(sets(*buffers(batch.column(1)))):
+                if fingerprint(x) == nodes[i] and nodes[i] not in known:
+                    if len(known) >= KNOWN:
+                        known.clear()
+                    known.add(nodes[i])
+                    own.append((i, x))
             at = pa.array([i for i, _ in own], pa.int64())
             sizes = pa.array([len(x) for _, x in own], pa.int64())
-            points = pa.array([point(x).astype(_kind(len(x))).tobytes() for _, x in own], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), sizes, points, batch.column(1).take(at)], names)
+            points = [pa.array([point(x, scale).astype(_kind(len(x))).tobytes() for _, x in own], pa.binary()) for scale in (COARSE, FINE)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), sizes, *points, batch.column(1).take(at)], names)
 
-    made = found.mapInArrow(run, "_node long, _n long, _point binary, _text string")
-    return made.dropDuplicates(["_node"])
+    return found.mapInArrow(run, "_node long, _n long, _point binary, _fine binary, _text string")
 
 
 def _kind(n: int) -> str:
@@ -185,9 +194,14 @@ def _counts(raw: bytes, n: int) -> np.ndarray:
 
 
 def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` whose points allow enough overlap."""
+    """The pairs ``(a, b)`` whose points, from ``points (_node, _n, _point)``, allow enough overlap."""
     import pyarrow as pa
 
+    asked = settle(pairs.select(F.col("a").alias("_node")).unionByName(pairs.select(F.col("b").alias("_node"))).distinct(), "asked")
+    if asked.count() <= BROADCAST_NODES:
+        asked = F.broadcast(asked)
+    points = points.join(asked, "_node")
+
     sides = pairs.join(points.select(F.col("_node").alias("a"), F.col("_n").alias("na"), F.col("_point").alias("pa")), "a").join(
         points.select(F.col("_node").alias("b"), F.col("_n").alias("nb"), F.col("_point").alias("pb")), "b"
     )
@@ -315,9 +329,10 @@ def similar(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     firsts = settle(known.groupBy("_node").agg(F.min("_id").alias("_first")), "firsts")
     ids = settle(cells.select("_node").distinct().join(firsts, "_node"), "ids")
     involved = settle(_involved(documents, ids), "involved")
-    points, texts = involved.drop("_text"), involved.select("_node", "_text")
+    points, texts = involved.select("_node", "_n", "_point"), involved.select("_node", "_text")
+    fine = involved.select("_node", "_n", F.col("_fine").alias("_point"))
 
-    reach = cells.groupBy("_node").agg(F.sum("_k").alias("_reach"))
+    reach = cells.groupBy("_node").agg(F.count(F.lit(1)).alias("_reach"))
     reached = cells.join(reach, "_node").select("_cell", "_node", F.struct("_reach", "_node").alias("_rank"))
     # Each node is compared with the most connected one that it shares a cell with: one pair a node.
     best = reached.groupBy("_cell").agg(F.max("_rank").alias("_lead"))
@@ -342,7 +357,8 @@ def similar(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
         .select("_cell", "_node", "_component")
     )
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = settle(_tree_pairs(mixed, points).join(done, ["a", "b"], "left_anti"), "rest")
+    near = settle(_tree_pairs(mixed, points).join(done, ["a", "b"], "left_anti"), "near")
+    rest = settle(_bounded(near, fine), "rest")
     late = settle(_verified(rest, texts), "late")
     if not late.isEmpty():
         joined = grouped.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(late)
