@@ -131,6 +131,16 @@ def _local_table(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> D
     return spark.createDataFrame(pa.table(columns, schema=schema))
 
 
+# Text and severity of findings that batch and streams share.
+FINDING_TEXTS = {
+    "port_scan": ("Port scan from %s: %d ports probed", "HIGH"),
+    "c2_beacon": ("C2 beaconing pattern from %s: regular %ds intervals", "CRITICAL"),
+    "dns_recon": ("DNS reconnaissance from %s: %d queries", "MEDIUM"),
+    "ssh_brute_force": ("SSH brute force from %s: %d attempts", "HIGH"),
+    "exfil": ("Data exfiltration from %s: %dMB transferred", "HIGH"),
+}
+
+
 def technique_table(spark: SparkSession) -> DataFrame:
     """Detector keys and the techniques they stand for."""
     names = ["mitre_key", "technique_id", "technique_name", "tactic"]

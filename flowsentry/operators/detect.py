@@ -224,7 +224,7 @@ def _beacons(
     regular = (F.round("var_gap", 6) < max_variance) & (F.col("avg_gap") > min_gap) & (F.col("avg_gap") < max_gap)
     condition = (F.col("protocol") == "HTTP") & (F.col("n_events") >= min_events) & regular
     text = F.format_string(
-        "C2 beaconing pattern from %s: regular %ds intervals",
+        dims.FINDING_TEXTS["c2_beacon"][0],
         F.col("src_ip"),
         F.bround("avg_gap").cast("bigint"),
     )
@@ -275,8 +275,8 @@ def _counted(rows: DataFrame, counters: list[str]) -> DataFrame:
     numbered = rates.numbered(rows, ["src_ip", "sid", "protocol"])
     number, protocol = F.col("measure"), F.col("protocol")
     severity = F.when(number >= SSH_CRITICAL_ATTEMPTS, F.lit("CRITICAL")).otherwise(F.lit("HIGH"))
-    dns_text = F.format_string("DNS reconnaissance from %s: %d queries", "src_ip", "measure")
-    ssh_text = F.format_string("SSH brute force from %s: %d attempts", "src_ip", "measure")
+    dns_text = F.format_string(dims.FINDING_TEXTS["dns_recon"][0], "src_ip", "measure")
+    ssh_text = F.format_string(dims.FINDING_TEXTS["ssh_brute_force"][0], "src_ip", "measure")
     return as_findings(
         numbered,
         [
@@ -316,9 +316,7 @@ def exfil(packets: DataFrame, limit: int = EXFIL_LIMIT) -> DataFrame:
 
 
 def _exfil(hits: DataFrame) -> DataFrame:
-    text = F.format_string(
-        "Data exfiltration from %s: %dMB transferred", F.col("src_ip"), int_div("measure", 1_000_000)
-    )
+    text = F.format_string(dims.FINDING_TEXTS["exfil"][0], F.col("src_ip"), int_div("measure", 1_000_000))
     return as_findings(hits, [(F.lit(True), "exfil", F.lit("HIGH"), text)])
 
 
@@ -358,7 +356,7 @@ def port_scan(packets: DataFrame, limit: int = SCAN_PORTS) -> DataFrame:
 
 
 def _port_scan(hits: DataFrame) -> DataFrame:
-    text = F.format_string("Port scan from %s: %d ports probed", "src_ip", "measure")
+    text = F.format_string(dims.FINDING_TEXTS["port_scan"][0], "src_ip", "measure")
     return as_findings(hits, [(F.lit(True), "port_scan", F.lit("HIGH"), text)])
 
 

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from flowsentry import schemas
 from flowsentry.functions.scalar import timestamp_of
+from flowsentry.operators.filters import all_of, split_rows
 from flowsentry.operators.lookups import ack_overlay
 
 FILES_PER_TRIGGER = 16
@@ -49,6 +50,14 @@ def scan_perf(spark: SparkSession, path: str) -> DataFrame:
     return scan(spark, "performance_metrics", path)
 
 
+def parse_messages(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Packets from JSON messages in ``value``, and the messages that are none or lack a required column."""
+    packet = F.from_json(F.col("value").cast("string"), schemas.PACKETS)
+    required = all_of([F.col(f"packet.{name}").isNotNull() for name in schemas.required_columns("packets")])
+    valid, broken = split_rows(raw.withColumn("packet", packet), required)
+    return valid.select("packet.*"), broken.drop("packet")
+
+
 def packet_stream(
     spark: SparkSession,
     path: str | None = None,
@@ -58,15 +67,15 @@ def packet_stream(
 ) -> DataFrame:
     """Packets as a stream with a watermark on ``ts``, from files or from a Kafka topic.
 
-    Kafka values are JSON objects with the packet columns; ``kafka`` holds the reader options, with
+    Kafka values are JSON objects with the packet columns; broken ones are left out, see
+    ``parse_messages`` for a stream of them to quarantine. ``kafka`` holds the reader options, with
     ``maxOffsetsPerTrigger`` among them. The limit per trigger bounds the rows that one source can
     have in a micro-batch, so there always is one.
     """
     if kafka is not None:
         options = {"maxOffsetsPerTrigger": str(ROWS_PER_TRIGGER), **kafka}
         raw = spark.readStream.format("kafka").options(**options).load()
-        value = F.from_json(F.col("value").cast("string"), schemas.PACKETS)
-        packets = raw.select(value.alias("packet")).select("packet.*")
+        packets, _ = parse_messages(raw)
     else:
         reader = spark.readStream.schema(schemas.PACKETS).option("maxFilesPerTrigger", max_files)
         packets = reader.parquet(path)

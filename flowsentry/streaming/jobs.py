@@ -13,17 +13,19 @@ from flowsentry.sources.tables import to_table
 def alert_writer(findings: DataFrame, alerts_path: str, mitre_path: str, checkpoint: str) -> DataStreamWriter:
     """Alerts and technique hits of a finding stream, written together per micro-batch.
 
-    Every micro-batch has its own folder, so a replayed batch replaces what it wrote before.
+    Every micro-batch has its own folder under that of the query, so a replayed batch replaces what it wrote
+    before, and a query with a new checkpoint, whose batches count from 0 again, erases nothing.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         batch = batch.persist()
         try:
             for table, rows, path in (
                 ("alerts", build_alerts(batch), alerts_path),
                 ("mitre_events", build_mitre_events(batch), mitre_path),
             ):
-                to_table(rows, table).write.mode("overwrite").partitionBy("dt").parquet(f"{path}/batch={batch_id}")
+                to_table(rows, table).write.mode("overwrite").partitionBy("dt").parquet(f"{path}/query={query}/batch={batch_id}")
         finally:
             batch.unpersist()
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from flowsentry import dims
 from flowsentry.functions.scalar import MICROS, int_div, is_truthy_port
 from flowsentry.operators import detect
 from flowsentry.operators.detect import EXFIL_LIMIT, SSH_ATTEMPTS
@@ -26,7 +27,6 @@ from flowsentry.operators.sessions import IDLE_SECONDS
 IDLE_US = IDLE_SECONDS * MICROS
 HORIZON_US = HORIZON_SECONDS * MICROS
 BLOCK_US = 86_400 * MICROS
-SCAN_LIMIT = 50
 DNS_EVERY = 100
 
 # A hit: the packet, the rule, and up to two numbers for the description.
@@ -201,7 +201,7 @@ class PortScanProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = _in_order(rows)
         held = list(self.ports.get()[0]) if self.ports.exists() else []
-        state, hits, measure = ResettingSet(SCAN_LIMIT).run(held, frame["dst_port"].to_numpy(dtype=np.int64))
+        state, hits, measure = ResettingSet(detect.SCAN_PORTS).run(held, frame["dst_port"].to_numpy(dtype=np.int64))
         self.ports.update(([int(port) for port in state],))
         yield _hits(frame, hits, "port_scan", measure)
 
@@ -213,13 +213,7 @@ def _as_findings(hits: DataFrame) -> DataFrame:
     """Findings with the texts of the batch rules."""
     number, src = F.col("measure"), F.col("src_ip")
     texts = {rule.rule: (rule.text, rule.severity) for rule in detect.RATE_RULES}
-    texts |= {
-        "dns_recon": ("DNS reconnaissance from %s: %d queries", "MEDIUM"),
-        "ssh_brute_force": ("SSH brute force from %s: %d attempts", "HIGH"),
-        "exfil": ("Data exfiltration from %s: %dMB transferred", "HIGH"),
-        "port_scan": ("Port scan from %s: %d ports probed", "HIGH"),
-        "c2_beacon": ("C2 beaconing pattern from %s: regular %ds intervals", "CRITICAL"),
-    }
+    texts |= dims.FINDING_TEXTS
     candidates = []
     for rule, (text, severity) in texts.items():
         level = F.lit(severity)

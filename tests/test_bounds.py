@@ -405,3 +405,13 @@ def test_newest_rows_come_from_the_last_days(spark, packets_of, tmp_path):
         assert sorted(pids(found)) == sorted(range(100))[max(0, 100 - limit) :]
     plan = filters.recent_events(stored, 3)._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(dt" in plan
+
+
+def test_broken_messages_go_to_quarantine(spark):
+    from flowsentry.sources import tables
+
+    good = '{"pid": 1, "ts_us": 5, "src_ip": "a", "dst_ip": "b", "protocol": "TCP", "length": 7}'
+    raw = spark.createDataFrame([(good.encode(),), (b"not json",), (b'{"pid": 2}',), (None,)], "value binary")
+    packets, broken = tables.parse_messages(raw)
+    assert [(row["pid"], row["length"], row["flags"]) for row in packets.collect()] == [(1, 7, None)]
+    assert broken.columns == ["value"] and broken.count() == 3
