@@ -30,6 +30,7 @@ LEAST = 100
 RECORDS = 1_000  # records of an archive
 END = b"\r\n\r\n"
 VERSION = b"WARC/1."
+CHUNK = 1 << 16
 MAGIC = b"\x1f\x8b\x08"
 HEADER_LIMIT = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -66,8 +67,13 @@ def planned(df: DataFrame, page_id: str = "page_id", url: str = "url", payload:
     )
 
 
-def write_archives(rows: DataFrame, path: str, date: str = DATE, records: int = RECORDS) -> None:
-    """Write what ``planned`` gives as archives of at most ``records`` records under ``path``."""
+def write_archives(
+    rows: DataFrame, path: str, date: str = DATE, records: int = RECORDS, compression: str = "gzip"
+) -> None:
+    """Write what ``planned`` gives as archives of at most ``records`` records under ``path``.
+
+    With ``gzip`` an archive is one member, with ``none`` it is plain.
+    """
     url = F.regexp_replace(F.regexp_replace("_url", "\r", "%0D"), "\n", "%0A")
     page = F.coalesce(F.col("_id").cast("string"), F.lit(""))
     head = F.concat(
@@ -94,7 +100,7 @@ def write_archives(rows: DataFrame, path: str, date: str = DATE, records: int =
         F.lit("\r\n\r\n"),
         block,
     )
-    rows.select(record.alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", records).text(path)
+    rows.select(record.alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", records).option("compression", compression).text(path)
 
 
 @dataclass
@@ -176,22 +182,30 @@ def _plain(data: bytes, base: int = 0) -> Iterator[Record]:
             yield Record("gap", base + start, at - start, str(error))
 
 
-def _member(data: bytes, start: int) -> tuple[bytes, int]:
-    """The content of the gzip member at ``start`` and where it ends; ValueError if it is damaged."""
-    machine = zlib.decompressobj(31)
-    try:
-        content = machine.decompress(data[start:])
-    except zlib.error as error:
-        raise ValueError(f"gzip: {error}") from None
-    if not machine.eof:
-        raise ValueError("gzip: truncated")
-    return content, len(data) - len(machine.unused_data)
+def _member(data: bytes, start: int, step: int = CHUNK) -> tuple[bytes, int, str]:
+    """What the gzip member at ``start`` holds, where it ends, and what is wrong with it, if anything.
+
+    Of a damaged member the content up to the damage is given.
+    """
+    machine, out = zlib.decompressobj(31), bytearray()
+    for low in range(start, len(data), step):
+        piece = data[low : low + step]
+        try:
+            out += machine.decompress(piece)
+        except zlib.error as error:
+            if step > 1:  # byte by byte nothing before the damage is lost
+                return _member(data, start, 1)
+            return bytes(out), start, f"gzip: {error}"
+        if machine.eof:
+            return bytes(out), low + len(piece) - len(machine.unused_data), ""
+    return bytes(out), start, "gzip: truncated"
 
 
 def salvage(data: bytes) -> Iterator[Record]:
     """All records that can be recovered, in order, and the gaps; offsets are of the file's bytes.
 
-    In a compressed file a gap inside a member has the member's offset.
+    In a compressed file records and gaps have the place of their member; of a damaged member the records
+    before the damage are recovered and the member is logged as a gap.
     """
     at = 0
     plain_until = data.find(MAGIC) if not data.startswith(VERSION) else -1
@@ -199,28 +213,19 @@ def salvage(data: bytes) -> Iterator[Record]:
         yield from _plain(data)
         return
     while at < len(data):
-        try:
-            if not data.startswith(MAGIC, at):
-                raise ValueError("no gzip member")
-            content, end = _member(data, at)
-        except ValueError as error:
-            start, following = at, at
-            while True:
-                following = data.find(MAGIC, following + 1)
-                if following < 0:
-                    at = len(data)
-                    break
-                try:
-                    _member(data, following)
-                except ValueError:
-                    continue
-                at = following
-                break
-            yield Record("gap", start, at - start, str(error))
-            continue
+        content, end, wrong = _member(data, at) if data.startswith(MAGIC, at) else (b"", at, "no gzip member")
+        if wrong:
+            # Whole records from before the damage pass their own checks.
+            end = at + 1
+            while (end := data.find(MAGIC, end)) >= 0 and _member(data, end)[2]:
+                end += 1
+            end = len(data) if end < 0 else end
         for record in _plain(content):
-            record.offset, record.length = at, end - at
-            yield record
+            if not wrong or record.kind == "record":
+                record.offset, record.length = at, end - at
+                yield record
+        if wrong:
+            yield Record("gap", at, end - at, wrong)
         at = end
 
 

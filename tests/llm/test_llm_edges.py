@@ -292,11 +292,12 @@ def test_impact_index_prunes_only_what_it_can_prove():
 # WARC -----------------------------------------------------------------------------------------
 
 
-def test_warc_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_warc_round_trip(spark, tmp_path, compression):
     long = "p" * 300 + "é\r\n\r\nWARC/1.1\r\n"
     rows = [(5, "u5", long), (2, "u\r\n2", long), (9, None, long), (1, "u1", "short"), (3, "u3", "short"), (4, "u4", None), (2, "again", long), (None, "n", long)]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, kind int")
-    warc.write_archives(warc.planned(pages), str(tmp_path / "w"), records=3)
+    warc.write_archives(warc.planned(pages), str(tmp_path / "w"), records=3, compression=compression)
     got = warc.read_archives(spark, str(tmp_path / "w")).collect()
     assert len(got) == len(rows) and {r.kind for r in got} == {"record"}
     held = [r for r in got if r.record_type == "response"]
@@ -334,3 +335,7 @@ def test_salvage_of_damaged_archives():
     hurt = zipped[1][:30] + b"\xff\xff" + zipped[1][32:]
     assert names(warc.salvage(zipped[0] + hurt + zipped[2])) == ["<urn:page:1>", (len(zipped[0]), len(hurt)), "<urn:page:3>"]
     assert names(warc.salvage(zipped[0] + zipped[1][:40])) == ["<urn:page:1>", (len(zipped[0]), 40)]
+    whole = gzip.compress(a + b + c)
+    assert names(warc.salvage(whole)) == ["<urn:page:1>", "<urn:page:2>", "<urn:page:3>"]
+    crc = whole[:-8] + b"\0\0\0\0" + whole[-4:]
+    assert names(warc.salvage(crc)) == ["<urn:page:1>", "<urn:page:2>", "<urn:page:3>", (0, len(whole))]
