@@ -173,4 +173,11 @@ def test_pipeline(spark, encoding):
         assert r.round_trip
         ids[r.doc_id, encoding.decode(list(memoryview(bytes(r.token_ids)).cast("I")))] += 1
     assert ids == texts
-    assert corpus_pipeline.run(spark, SF_DIR).count() == sum(texts.values())
+
+
+def test_run_applies_the_stages_in_order(spark, monkeypatch):
+    calls = []
+    stages = [(name, lambda spark, docs, sf_dir, name=name: calls.append(name) or docs.limit(5)) for name, _ in corpus_pipeline.STAGES]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    assert corpus_pipeline.run(spark, SF_DIR).count() == 5
+    assert calls == ["language_id", "exact_dedup", "near_duplicates", "mixing", "byte_bpe"]
