@@ -157,6 +157,14 @@ def _cells(documents: DataFrame, use: np.ndarray) -> DataFrame:
     return sets_of.withColumn("_near", near).where("_near").select("_cell", "_node")
 
 
+def _different(cells: DataFrame) -> DataFrame:
+    """One of the cells that hold the same nodes, as the cells of a passage or of two copies do."""
+    marks = [F.bit_xor(F.xxhash64(F.lit(seed), F.col("_node"))).alias(f"_mark{seed}") for seed in (1, 2)]
+    signed = cells.groupBy("_cell").agg(*marks, F.count(F.lit(1)).alias("_size"))
+    kept = signed.groupBy("_mark1", "_mark2", "_size").agg(F.min("_cell").alias("_cell")).select("_cell")
+    return cells.join(kept, "_cell", "left_semi")
+
+
 def _involved(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """``_node, _n, _point, _fine, _text`` of the nodes in ``ids (_node, _first)``; repeated rows may give a node twice."""
     import pyarrow as pa
@@ -272,11 +280,15 @@ def _tree_pairs(cells: DataFrame, points: DataFrame) -> DataFrame:
         F.struct("_node", "_component", "_n", "_point").alias("_member"),
         F.col("_n").alias("_size"),
         F.floor((F.row_number().over(within.orderBy("_n", "_node")) - 1) / LEAF).cast("int").alias("_leaf"),
+        (F.count(F.lit(1)).over(within) > LEAF).alias("_split"),
     )
     leaves = members.groupBy("_cell", "_leaf").agg(
-        F.collect_list("_member").alias("_members"), F.min("_size").alias("_low"), F.max("_size").alias("_high")
+        F.collect_list("_member").alias("_members"), F.min("_size").alias("_low"), F.max("_size").alias("_high"), F.first("_split").alias("_split")
     )
     leaves = settle(leaves, "leaves")
+    # Most cells are one leaf, which meets itself without a join.
+    alone = leaves.where("NOT _split").select(F.col("_members").alias("_members_a"), F.col("_members").alias("_members_b"))
+    leaves = leaves.where("_split")
     left = leaves.select("_cell", *[F.col(c).alias(c + "_a") for c in ("_leaf", "_members", "_low", "_high")])
     right = leaves.select("_cell", *[F.col(c).alias(c + "_b") for c in ("_leaf", "_members", "_low", "_high")])
     # Leaves are in order of size: the later one may be larger, by a quarter at most.
@@ -310,7 +322,8 @@ def _tree_pairs(cells: DataFrame, points: DataFrame) -> DataFrame:
             both = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in both], ["a", "b"])
 
-    return pairs.select("_members_a", "_members_b").mapInArrow(run, "a long, b long").distinct()
+    met = alone.unionByName(pairs.select("_members_a", "_members_b"))
+    return met.mapInArrow(run, "a long, b long").distinct()
 
 
 def similar(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -325,14 +338,15 @@ def similar(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     for place, number in ranges.collect():  # a row per range, however many documents
         use[place] = number
 
-    cells = settle(_cells(documents, use), "cells")
+    found = settle(_cells(documents, use), "cells")
+    cells = settle(_different(found), "cells")
     firsts = settle(known.groupBy("_node").agg(F.min("_id").alias("_first")), "firsts")
     ids = settle(cells.select("_node").distinct().join(firsts, "_node"), "ids")
     involved = settle(_involved(documents, ids), "involved")
     points, texts = involved.select("_node", "_n", "_point"), involved.select("_node", "_text")
     fine = involved.select("_node", "_n", F.col("_fine").alias("_point"))
 
-    reach = cells.groupBy("_node").agg(F.count(F.lit(1)).alias("_reach"))
+    reach = found.groupBy("_node").agg(F.count(F.lit(1)).alias("_reach"))
     reached = cells.join(reach, "_node").select("_cell", "_node", F.struct("_reach", "_node").alias("_rank"))
     # Each node is compared with the most connected one that it shares a cell with: one pair a node.
     best = reached.groupBy("_cell").agg(F.max("_rank").alias("_lead"))
