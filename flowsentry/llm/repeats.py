@@ -4,8 +4,9 @@ Equal strings are brought together by content. Each window of ``length`` bytes h
 in it whose 48 bytes have the smallest hash (the leftmost of equals); equal windows have equal anchors at
 equal distance. The windows that share an anchor form a piece of text, about one piece in 90 bytes.
 
-1. Each document gives its pieces as (anchor hash, fingerprint, place, windows). Anchors that occur once
-   drop out. Pieces with an equal fingerprint repeat each other whole; only one of them goes on.
+1. Each document gives its pieces as (anchor hash, fingerprint, place, windows). Equal pieces of a batch are
+   collapsed before the shuffle. Anchors that occur once drop out. Pieces with an equal fingerprint repeat each
+   other whole; only one of them goes on.
 2. Where an anchor has several different pieces, one text of each is routed by its anchor hash, so that all
    windows that could be equal reach one task. There texts are put together to shards; each shard gets a
    suffix array (Larsson and Sadakane) and its common prefixes (Kasai), in which windows that share
@@ -101,6 +102,22 @@ def _stretches(offsets: np.ndarray, length: int) -> Iterator[list[tuple[int, int
         yield group
 
 
+def collapsed(anchor: np.ndarray, mark: np.ndarray, place: np.ndarray, document: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors of which each equal piece but the first has one of its own, and which pieces have equals.
+
+    Equal pieces repeat each other, so one is enough to meet others; the rest would only crowd its anchor.
+    """
+    order = np.lexsort((mark, anchor))
+    new = np.ones(len(order), bool)
+    new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (mark[order][1:] != mark[order][:-1])
+    sizes = np.diff(np.append(np.flatnonzero(new), len(order)))
+    twice, extra = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    twice[order] = np.repeat(sizes > 1, sizes)
+    extra[order] = ~new
+    own = (anchor ^ (place + 1) * np.int64(0x2545F4914F6CDD1D)) * np.int64(0x9E3779B97F4A7C1) + document
+    return np.where(extra, own, anchor), twice
+
+
 def pieces(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH) -> Iterator[tuple[np.ndarray, ...]]:
     """Arrays of (document, anchor hash, fingerprint, first window's place, windows)."""
     powers, inverses = _powers()
@@ -282,24 +299,27 @@ def repeated_runs(df: DataFrame, text: str = "text", doc_id: str = "doc_id", len
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for document, *numbers in pieces(*buffers(batch.column(2)), length):
+            marks = batch.column(1).to_numpy()
+            for document, anchor, mark, place, n in pieces(*buffers(batch.column(2)), length):
+                anchor, twice = collapsed(anchor, mark, place, marks[document])
+                numbers = (anchor, mark, place, n, twice)
                 at = pa.array(document)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(at), batch.column(1).take(at), *[pa.array(x) for x in numbers]],
-                    ["_key", "_mark", "_anchor", "_print", "_place", "_n"],
+                    ["_key", "_mark", "_anchor", "_print", "_place", "_n", "_twice"],
                 )
 
     long_enough = keyed.where(F.octet_length("_text") >= length).select("_key", "_mark", "_text")
     emitted = long_enough.mapInArrow(
-        emit, "_key long, _mark long, _anchor long, _print long, _place long, _n long"
+        emit, "_key long, _mark long, _anchor long, _print long, _place long, _n long, _twice boolean"
     )
     anchor, same = Window.partitionBy("_anchor"), Window.partitionBy("_anchor", "_print")
     tagged = settle(
         emitted.withColumn("_all", F.count(F.lit(1)).over(anchor))
-        .where("_all > 1")
+        .where("_all > 1 OR _twice")
         .withColumn("_copies", F.count(F.lit(1)).over(same))
         .withColumn("_first", F.row_number().over(same.orderBy("_key", "_mark", "_place")) == 1)
-        .select("_key", "_mark", "_anchor", "_place", "_n", "_first", (F.col("_copies") > 1).alias("_whole"), (F.col("_copies") < F.col("_all")).alias("_several")),
+        .select("_key", "_mark", "_anchor", "_place", "_n", "_first", ((F.col("_copies") > 1) | F.col("_twice")).alias("_whole"), (F.col("_copies") < F.col("_all")).alias("_several")),
         "pieces",
     )
     whole = tagged.where("_whole").select("_key", "_mark", "_place", "_n")
