@@ -130,9 +130,10 @@ def test_port_windows(spark, packets_of, tmp_path):
 def test_a_late_packet_after_a_burst_finds_its_history(spark, packets_of, tmp_path):
     """A burst just before the newest event must not push a late beacon's history out."""
     http = {"protocol": "HTTP"}
-    regular = [{**http, "ts_us": n * 25 * SECOND} for n in range(8)]
-    burst = [{"ts_us": 201 * SECOND + n * 90_000} for n in range(190)]
-    late = [{**http, "ts_us": 200 * SECOND, "pid": 1000}]
+    start = 1000 * SECOND
+    regular = [{**http, "ts_us": start + n * 25 * SECOND} for n in range(8)]
+    burst = [{"ts_us": start + 201 * SECOND + n * 90_000} for n in range(190)]
+    late = [{**http, "ts_us": start + 200 * SECOND, "pid": 1000}]
     path = files_of(spark, tmp_path, [packets_of(regular + burst), packets_of(late)])
     found = run(state.stream_beacon(tables.packet_stream(spark, path, max_files=1)), tmp_path)
     expected = detect.c2_beacon(packets_of(regular + burst).unionByName(packets_of(late)))
