@@ -170,8 +170,6 @@ def _involved(documents: DataFrame, ids: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     names = ["_node", "_n", "_point", "_fine", "_text"]
-    if ids.count() <= BROADCAST_NODES:
-        ids = F.broadcast(ids)
     found = documents.join(ids, documents["_id"] == ids["_first"]).select("_node", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,9 +203,7 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` whose points, from ``points (_node, _n, _point)``, allow enough overlap."""
     import pyarrow as pa
 
-    asked = settle(pairs.select(F.col("a").alias("_node")).unionByName(pairs.select(F.col("b").alias("_node"))).distinct(), "asked")
-    if asked.count() <= BROADCAST_NODES:
-        asked = F.broadcast(asked)
+    asked = pairs.select(F.col("a").alias("_node")).unionByName(pairs.select(F.col("b").alias("_node"))).distinct()
     points = points.join(asked, "_node")
 
     sides = pairs.join(points.select(F.col("_node").alias("a"), F.col("_n").alias("na"), F.col("_point").alias("pa")), "a").join(
