@@ -170,6 +170,8 @@ def _involved(documents: DataFrame, ids: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     names = ["_node", "_n", "_point", "_fine", "_text"]
+    # One way at every size: a small table of ids would be broadcast, and shuffles then grow by a jump.
+    ids = ids.hint("merge")
     found = documents.join(ids, documents["_id"] == ids["_first"]).select("_node", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,8 +369,7 @@ def similar(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
         .select("_cell", "_node", "_component")
     )
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    near = settle(_tree_pairs(mixed, points).join(done, ["a", "b"], "left_anti"), "near")
-    rest = settle(_bounded(near, fine), "rest")
+    rest = settle(_tree_pairs(mixed, fine).join(done, ["a", "b"], "left_anti"), "rest")
     late = settle(_verified(rest, texts), "late")
     if not late.isEmpty():
         joined = grouped.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(late)
