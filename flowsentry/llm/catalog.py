@@ -34,7 +34,10 @@ def op1_suffix_dedup(spark, sf_dir):
 @query
 def op2_sharding(spark, sf_dir):
     documents = common.read(spark, sf_dir, "documents")
-    return sharding.scatter(sharding.manifest(documents), "doc_id", 8, seed=17).select(
+    path = common.folder(spark, "shards")
+    sharding.write_shards(documents, path, "doc_id", 8, seed=17)
+    written = sharding.read_shards(documents, path)
+    return sharding.manifest(written, "text", "doc_id", *sharding.ADDED).select(
         "doc_id",
         "size",
         "text_crc32",

@@ -104,6 +104,33 @@ def test_written_shards_hold_all_records(spark, tmp_path):
     assert sorted(r.text for r in back.collect()) == sorted(t for _, t in rows)
 
 
+def test_buckets_are_cut_by_bytes(spark):
+    rows = [(0, i % 2, i, 1, 30_000 if i % 10 < 2 else 10) for i in range(200)]
+    placed = spark.createDataFrame(rows, "shard int, _bucket long, _h long, _copy long, _size long")
+    parts = sharding.cut_buckets(placed, 50_000).groupBy("_bucket", "_part")
+    held = parts.agg(F.sum("_size").alias("n"), F.max_by("_size", "_h").alias("last")).collect()
+    assert sum(r.n for r in held) == sum(r[-1] for r in rows) and max(r.n - r["last"] for r in held) <= 50_000
+
+
+def test_long_and_repeated_records_are_dealt_whole(spark):
+    rows = [(i, "x" * (20_000 if i % 10 == 0 else 10)) for i in range(200)] + [(1000, "hot" * 500)] * 300
+    got = sharding.scatter(docs(spark, rows), shards=2, seed=1, bucket_bytes=30_000).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted(rows)
+    for shard in range(2):
+        own = sorted(r.slot for r in got if r.shard == shard)
+        assert own == list(range(len(own)))
+
+
+def test_the_sharding_query_writes_whole_documents(spark, tmp_path, monkeypatch):
+    from flowsentry.llm import catalog, common
+
+    monkeypatch.setattr(common, "folder", lambda spark, name: str(tmp_path / name))
+    catalog.op2_sharding(spark, "/root/testdata/sf0.001")
+    written = spark.read.parquet(str(tmp_path / "shards"))
+    given = common.read(spark, "/root/testdata/sf0.001", "documents")
+    assert pairs(written, *given.columns) == pairs(given, *given.columns)
+
+
 def test_exact_dedup_edges(spark, monkeypatch):
     rows = [(1, "a"), (5, "a"), (5, "a"), (2, None), (9, ""), (None, "a"), (4, "b"), (None, "c")]
     got = exact_dedup.groups(docs(spark, rows))
