@@ -13,10 +13,13 @@ equal distance. The windows that share an anchor form a piece of text, about one
    ``length`` bytes are neighbours.
 3. An anchor with more texts than fit a shard spans several: their sorted window keys are merged shard by
    shard with binary searches, which marks windows that equal one of another shard.
+   The texts of a crowded anchor are dealt over many tasks instead. Each shard marks what repeats within it and gives
+   each different window once, and equal windows of different shards then meet by their key.
+   Crowded anchors are found on a sample; that only decides who meets where, not what is found.
 4. The marked windows of a document become byte spans that are cut out.
 
-Nothing is sampled or capped; strings are judged on the input. A task holds one shard at a time, besides
-the keys of the one anchor that spans shards. Texts of any length are read in stretches that overlap by
+No string is sampled or capped; strings are judged on the input. A task holds one shard at a time, besides
+the texts and keys of the one anchor that spans shards and was not found to be crowded. Texts of any length are read in stretches that overlap by
 ``length - 1`` bytes. Null texts are empty; texts shorter than ``length`` stay whole; rows that are equal,
 id included, are separate places, so they repeat each other. An empty table gives an empty result. Other
 columns may have any names.
@@ -25,6 +28,7 @@ columns may have any names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -37,6 +41,9 @@ LENGTH = 200
 GRAM = 48  # bytes whose hash chooses the anchor; short ones are shared by unrelated texts
 STRETCH = 1 << 21  # bytes worked on at once; a place in a stretch takes the lower bits of a sort key
 SHARD = 1 << 19  # bytes of a suffix array
+SAMPLE = 64  # one document in so many is looked at for crowded anchors
+CROWD = 32  # pieces in the sample that make an anchor crowded; they are dealt by as many salts
+CROWDED = 1 << 16  # anchors, the most crowded ones, that are dealt by salts
 
 
 def _gram(length: int) -> int:
@@ -273,6 +280,49 @@ def judge_stream(rows: Iterator[tuple], length: int = LENGTH) -> Iterator[tuple]
         yield from settle_spanning()
 
 
+def asked_windows(rows: Iterator[tuple], length: int = LENGTH) -> Iterator[tuple]:
+    """Rows as for ``judge_stream`` whose anchors are dealt over several tasks, to (key, text hash, place, windows, anchor, window key).
+
+    Runs that repeat within a shard have no anchor. Besides them each different window of the shard is given once, with no
+    windows if it is marked already: those given by several shards are repeated.
+    """
+
+    def close(shard):
+        text, windows, repeated = _judge(shard, length)
+        yield from ((*run, None, None) for run in _runs(shard, repeated, length))
+        keys = _keys_of(text, windows, length).view(np.int64)
+        counts = np.array([len(row[-1]) - length + 1 for row in shard])
+        ends = np.cumsum(counts)
+        # Equal windows have equal anchors, so one of each key is enough.
+        _, first = np.unique(keys, return_index=True)
+        part = np.searchsorted(ends, first, "right")
+        places = first - (ends - counts)[part]
+        for i, low, key, marked in zip(part.tolist(), places.tolist(), keys[first].tolist(), repeated[first].tolist()):
+            doc, mark, (anchor, _), whole, place, _ = shard[i]
+            yield doc, mark, place + low, int(not (whole or marked)), anchor, key
+
+    shard, held = [], 0
+    for row in rows:
+        if shard and held + len(row[-1]) > SHARD:
+            yield from close(shard)
+            shard, held = [], 0
+        shard.append(row)
+        held += len(row[-1])
+    if shard:
+        yield from close(shard)
+
+
+def met_windows(judged: DataFrame) -> DataFrame:
+    """The runs of ``judged``, and the windows that several shards gave."""
+    equal = Window.partitionBy("_anchor", "_window")
+    met = (
+        judged.where("_window IS NOT NULL")
+        .withColumn("_shards", F.count(F.lit(1)).over(equal))
+        .where("_shards > 1 AND _n > 0")
+    )
+    return judged.where("_window IS NULL").unionByName(met.drop("_shards")).select("_key", "_mark", "_place", "_n")
+
+
 def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The maximal runs of bytes that the spans cover."""
     order = np.argsort(starts, kind="stable")
@@ -298,35 +348,51 @@ def repeated_runs(df: DataFrame, text: str = "text", doc_id: str = "doc_id", len
     )
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crowded, salts = sent.value if sent else (np.zeros(0, np.int64), np.zeros(0, np.int32))
         for batch in batches:
             marks = batch.column(1).to_numpy()
             for document, anchor, mark, place, n in pieces(*buffers(batch.column(2)), length):
                 anchor, twice = collapsed(anchor, mark, place, marks[document])
-                numbers = (anchor, mark, place, n, twice)
+                dealt = np.zeros(len(anchor), np.int32)
+                if len(crowded):
+                    at = np.minimum(np.searchsorted(crowded, anchor), len(crowded) - 1)
+                    dealt = np.where(crowded[at] == anchor, salts[at], 0).astype(np.int32)
+                numbers = (anchor, mark, place, n, twice, dealt)
                 at = pa.array(document)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(at), batch.column(1).take(at), *[pa.array(x) for x in numbers]],
-                    ["_key", "_mark", "_anchor", "_print", "_place", "_n", "_twice"],
+                    ["_key", "_mark", "_anchor", "_print", "_place", "_n", "_twice", "_salts"],
                 )
 
     long_enough = keyed.where(F.octet_length("_text") >= length).select("_key", "_mark", "_text")
-    emitted = long_enough.mapInArrow(
-        emit, "_key long, _mark long, _anchor long, _print long, _place long, _n long, _twice boolean"
+    emitted_as = "_key long, _mark long, _anchor long, _print long, _place long, _n long, _twice boolean, _salts int"
+    sent = None
+    looked_at = long_enough.where(F.pmod(F.xxhash64("_key", "_mark"), F.lit(SAMPLE)) == 0).mapInArrow(emit, emitted_as)
+    crowd = looked_at.groupBy("_anchor").count().where(F.col("count") >= CROWD).orderBy(F.desc("count"), "_anchor").limit(CROWDED).collect()
+    crowd = sorted((row[0], row[1]) for row in crowd)
+    if crowd:
+        sent = df.sparkSession.sparkContext.broadcast(
+            (np.array([a for a, _ in crowd], np.int64), np.array([min(n, 1 << 30) for _, n in crowd], np.int32))
+        )
+    # Of a crowded anchor only equal pieces need to meet here.
+    emitted = long_enough.mapInArrow(emit, emitted_as).withColumn(
+        "_part", F.when(F.col("_salts") > 0, F.col("_print")).otherwise(F.lit(0))
     )
-    anchor, same = Window.partitionBy("_anchor"), Window.partitionBy("_anchor", "_print")
+    anchor, same = Window.partitionBy("_anchor", "_part"), Window.partitionBy("_anchor", "_part", "_print")
+    dealt = F.col("_salts") > 0
     tagged = settle(
         emitted.withColumn("_all", F.count(F.lit(1)).over(anchor))
-        .where("_all > 1 OR _twice")
+        .where("_salts > 0 OR _all > 1 OR _twice")
         .withColumn("_copies", F.count(F.lit(1)).over(same))
         .withColumn("_first", F.row_number().over(same.orderBy("_key", "_mark", "_place")) == 1)
-        .select("_key", "_mark", "_anchor", "_place", "_n", "_first", ((F.col("_copies") > 1) | F.col("_twice")).alias("_whole"), (F.col("_copies") < F.col("_all")).alias("_several")),
+        .select("_key", "_mark", "_anchor", "_place", "_n", "_first", ((F.col("_copies") > 1) | F.col("_twice")).alias("_whole"), (dealt | (F.col("_copies") < F.col("_all"))).alias("_several"), F.when(dealt, F.pmod("_print", "_salts")).otherwise(F.lit(-1)).cast("int").alias("_deal")),
         "pieces",
     )
     whole = tagged.where("_whole").select("_key", "_mark", "_place", "_n")
     wanted = (
         tagged.where("_first AND _several")
         .groupBy("_key", "_mark")
-        .agg(F.collect_list(F.struct("_anchor", "_whole", "_place", "_n")).alias("_wanted"))
+        .agg(F.collect_list(F.struct("_anchor", "_whole", "_place", "_n", "_deal")).alias("_wanted"))
     )
     # Both joins with the texts need the same columns in the same partitions, so one shuffle serves both.
     documents = keyed.repartition("_key", "_mark")
@@ -341,22 +407,29 @@ def repeated_runs(df: DataFrame, text: str = "text", doc_id: str = "doc_id", len
                 texts = [whole_text[p : p + n - 1 + length] for p, n in zip(places, counts)]
                 row = pa.array([i] * len(texts), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(row), batch.column(1).take(row), own.field("_anchor"), own.field("_whole"), own.field("_place"), pa.array(texts, pa.binary())],
-                    ["_key", "_mark", "_anchor", "_whole", "_place", "_piece"],
+                    [batch.column(0).take(row), batch.column(1).take(row), own.field("_anchor"), own.field("_whole"), own.field("_place"), pa.array(texts, pa.binary()), own.field("_deal")],
+                    ["_key", "_mark", "_anchor", "_whole", "_place", "_piece", "_deal"],
                 )
 
     texts = found.mapInArrow(
-        cut, "_key long, _mark long, _anchor long, _whole boolean, _place long, _piece binary"
+        cut, "_key long, _mark long, _anchor long, _whole boolean, _place long, _piece binary, _deal int"
     )
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
-                a, b, c, d, e, g = (column.to_pylist() for column in batch.columns)
-                yield from zip(a, b, c, d, e, g)
+                a, b, c, d, e, g, deal = (column.to_pylist() for column in batch.columns)
+                yield from zip(a, b, zip(c, deal), d, e, g)
+
+        def runs():
+            for crowded, group in groupby(rows(), lambda row: row[2][1] >= 0):
+                if crowded:
+                    yield from asked_windows(group, length)
+                else:
+                    yield from ((*run, None, None) for run in judge_stream(group, length))
 
         out = []
-        for row in judge_stream(rows(), length):
+        for row in runs():
             out.append(row)
             if len(out) >= 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
@@ -364,12 +437,13 @@ def repeated_runs(df: DataFrame, text: str = "text", doc_id: str = "doc_id", len
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
 
-    names, types = ["_key", "_mark", "_place", "_n"], [pa.int64()] * 4
+    names, types = ["_key", "_mark", "_place", "_n", "_anchor", "_window"], [pa.int64()] * 6
     judged = (
-        texts.repartition("_anchor")
-        .sortWithinPartitions("_anchor", "_key", "_mark", "_place")
-        .mapInArrow(judge, "_key long, _mark long, _place long, _n long")
+        texts.repartition("_anchor", "_deal")
+        .sortWithinPartitions(F.col("_deal") >= 0, "_anchor", "_deal", "_key", "_mark", "_place")
+        .mapInArrow(judge, ", ".join(f"{name} long" for name in names))
     )
+    judged = met_windows(settle(judged, "judged")) if crowd else judged.select("_key", "_mark", "_place", "_n")
     return documents, whole.unionByName(judged)
 
 

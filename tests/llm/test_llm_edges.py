@@ -73,6 +73,27 @@ def test_an_anchor_that_spans_shards(spark, monkeypatch):
     assert sorted(repeats.judge_stream(iter(rows), 40)) == whole and whole
 
 
+def test_a_crowded_anchor_is_dealt_over_tasks(spark, monkeypatch):
+    """Many contexts of one line, some of them shared: dealt by salts the result is the same, and no anchor is left whole."""
+    monkeypatch.setattr(repeats, "SAMPLE", 1)
+    monkeypatch.setattr(repeats, "CROWD", 8)
+    settled, settle = {}, repeats.settle
+    monkeypatch.setattr(repeats, "settle", lambda df, name: settled.setdefault(name, settle(df, name)))
+    rng = random.Random(9)
+    line = "One line of a licence, which is the same line in every document."
+    around = lambda: "".join(rng.choice("xyz ") for _ in range(rng.randint(20, 60)))
+    ends = [around() for _ in range(6)]
+    texts = [around() + line + (rng.choice(ends) if i % 3 else around()) for i in range(300)]
+    texts += [texts[0], texts[1][:90], ""]
+    got = repeats.cut_repeats(docs(spark, list(enumerate(texts))).repartition(4), length=64).collect()
+    raw = [t.encode() for t in texts]
+    assert [bytes(r.kept) for r in sorted(got, key=lambda r: r.doc_id)] == brute(raw, 64)
+    pieces = settled["pieces"].where("_first AND _several").groupBy("_anchor").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("_deal").alias("units"))
+    crowded = pieces.orderBy(F.desc("n")).first()
+    assert crowded.n > 100 and crowded.units > 20
+    assert "judged" in settled
+
+
 def test_repeats_across_stretches(spark, monkeypatch):
     monkeypatch.setattr(repeats, "STRETCH", 300)
     text = bytes(random.Random(2).choice(b"abcd") for _ in range(900))
