@@ -17,6 +17,7 @@ records. Other columns may have any names.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,7 +33,7 @@ END = b"\r\n\r\n"
 VERSION = b"WARC/1."
 CHUNK = 1 << 16
 MAGIC = b"\x1f\x8b\x08"
-HEADER_LIMIT = 1 << 16
+VERSION_LINE = re.compile(rb"WARC/1\.\d+\r\n")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -116,24 +117,31 @@ class Record:
     payload: bytes = b""
 
 
-def _headers(raw: bytes) -> dict[str, str]:
-    out = {}
-    for line in raw.split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
-        if not colon:
-            raise ValueError("header line without a colon")
-        out[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
-    return out
+def _header(line: bytes) -> tuple[str, str]:
+    name, colon, value = line.partition(b":")
+    if not colon:
+        raise ValueError("header line without a colon")
+    return name.decode("utf-8", "replace").strip().lower(), value.decode("utf-8", "replace").strip()
+
+
+def _headers(data: bytes, start: int) -> tuple[dict[str, str], int]:
+    """The headers behind the first line and where they end, however long they are; the first bad line stops the search."""
+    out, at = {}, data.find(b"\r\n", start)
+    while at >= 0 and not data.startswith(END, at):
+        low, at = at + 2, data.find(b"\r\n", at + 2)
+        if at >= 0:
+            name, value = _header(data[low:at])
+            out[name] = value
+    if at < 0:
+        raise ValueError("headers do not end")
+    return out, at
 
 
 def _record(data: bytes, start: int) -> Record:
     """The record at ``start``; ValueError if a check fails."""
-    if not data.startswith(VERSION, start):
+    if not VERSION_LINE.match(data, start):
         raise ValueError("no version line")
-    stop = data.find(END, start, start + HEADER_LIMIT)
-    if stop < 0:
-        raise ValueError("headers do not end")
-    headers = _headers(data[start:stop])
+    headers, stop = _headers(data, start)
     size = headers.get("content-length", "")
     if not size.isdigit():
         raise ValueError("no length")
@@ -146,10 +154,8 @@ def _record(data: bytes, start: int) -> Record:
     block, http = data[body:end], {}
     payload = block
     if headers.get("content-type", "").startswith("application/http"):
-        raw, mark, payload = block.partition(END)
-        if not mark:
-            raise ValueError("HTTP headers do not end")
-        http = _headers(raw)
+        http, mark = _headers(block, 0)
+        payload = block[mark + len(END) :]
     digest = headers.get("warc-payload-digest", "")
     if headers.get("warc-type") == "response" and digest.startswith("sha256:"):
         if hashlib.sha256(payload).hexdigest() != digest[7:]:

@@ -387,3 +387,12 @@ def test_salvage_of_damaged_archives():
     assert names(warc.salvage(whole)) == ["<urn:page:1>", "<urn:page:2>", "<urn:page:3>"]
     crc = whole[:-8] + b"\0\0\0\0" + whole[-4:]
     assert names(warc.salvage(crc)) == ["<urn:page:1>", "<urn:page:2>", "<urn:page:3>", (0, len(whole))]
+
+
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_warc_of_a_very_long_url(spark, tmp_path, compression):
+    url = "data:text/html;base64," + "A" * 200_000
+    pages = spark.createDataFrame([(1, url, "p" * 200), (2, "u", "p" * 200)], "page_id long, url string, html string")
+    warc.write_archives(warc.planned(pages), str(tmp_path / "w"), compression=compression)
+    got = {r.record_id: r for r in warc.read_archives(spark, str(tmp_path / "w")).collect()}
+    assert got["<urn:page:1>"].uri == url and got["<urn:page:2>"].refers_to == "<urn:page:1>" and len(got) == 2
