@@ -2,8 +2,8 @@
 
 Writing: each row gives one record; of records with equal payloads of at least ``least`` bytes that of the
 smallest id holds the payload, the others are revisits of it. Records are built from built-in functions and written
-by Spark's text writer whose line separator is the end of a WARC record, so archives go to whatever store Spark
-writes to, and a lost task leaves nothing behind.
+by Spark's text writer, so archives go to whatever store Spark writes to, and a lost task leaves nothing behind. Its line
+separator is the end of a WARC record, or, as each record is a gzip member, the last byte of a member.
 
 Reading: archives come as whole files of a bounded number of records. The reader checks each record (version
 line, headers, length, end mark, SHA-256 of the payload). After a failed check it searches for the next valid gzip
@@ -16,6 +16,7 @@ records. Other columns may have any names.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import zlib
@@ -73,7 +74,7 @@ def write_archives(
 ) -> None:
     """Write what ``planned`` gives as archives of at most ``records`` records under ``path``.
 
-    With ``gzip`` an archive is one member, with ``none`` it is plain.
+    With ``gzip`` each record is a member, with ``none`` an archive is plain.
     """
     url = F.regexp_replace(F.regexp_replace("_url", "\r", "%0D"), "\n", "%0A")
     page = F.coalesce(F.col("_id").cast("string"), F.lit(""))
@@ -101,7 +102,32 @@ def write_archives(
         F.lit("\r\n\r\n"),
         block,
     )
-    rows.select(record.alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", records).option("compression", compression).text(path)
+    if compression not in ("gzip", "none"):
+        raise ValueError(f"unknown compression {compression}")
+    made, mark = rows.select(record.alias("value")), END.decode()
+    if compression == "gzip":
+        made, mark = _members(made), "\0"
+    made.write.option("lineSep", mark).option("maxRecordsPerFile", records).option("compression", "none").text(path)
+
+
+def _zip(record: bytes) -> bytes:
+    """The record as a gzip member. Its last byte is the top one of its length: from 16 MB on an empty member follows, so it is 0."""
+    made = gzip.compress(record, 6, mtime=0)
+    return made if made.endswith(b"\0") else made + gzip.compress(b"", mtime=0)
+
+
+def _members(records: DataFrame) -> DataFrame:
+    """The gzip members of the records without the last byte, which is 0."""
+    import pyarrow as pa
+
+    short_batches(records.sparkSession, 100)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [_zip(value.as_py() + END)[:-1] for value in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["value"])
+
+    return records.select(F.col("value").cast("binary")).mapInArrow(run, "value binary").select(F.col("value").cast("string"))
 
 
 @dataclass

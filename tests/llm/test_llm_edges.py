@@ -396,3 +396,25 @@ def test_warc_of_a_very_long_url(spark, tmp_path, compression):
     warc.write_archives(warc.planned(pages), str(tmp_path / "w"), compression=compression)
     got = {r.record_id: r for r in warc.read_archives(spark, str(tmp_path / "w")).collect()}
     assert got["<urn:page:1>"].uri == url and got["<urn:page:2>"].refers_to == "<urn:page:1>" and len(got) == 2
+
+
+def test_salvage_of_a_damaged_archive_of_the_writer(spark, tmp_path):
+    """One overwritten block costs the records in it, none of those behind."""
+    rng = random.Random(3)
+    rows = [(i, f"u{i}", "".join(rng.choice("abcdefgh ") for _ in range(3_000))) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(warc.planned(pages).coalesce(1), str(tmp_path / "w"))
+    (file,) = (tmp_path / "w").glob("part-*")
+    data = file.read_bytes()
+    whole = [r for r in warc.salvage(data) if r.kind == "record"]
+    assert len(whole) == 40 and len({r.offset for r in whole}) == 40 and gzip.decompress(data).count(b"WARC/1.1\r\n") == 40
+    at = whole[10].offset + 300
+    hurt = data[:at] + b"\xff" * 500 + data[at + 500 :]
+    left = [r for r in warc.salvage(hurt) if r.kind == "record"]
+    assert [r.payload for r in left] == [r.payload for i, r in enumerate(whole) if i != 10]
+
+
+def test_members_of_any_length_end_in_a_zero():
+    for size in (0, 1, 1 << 24, (1 << 24) + 5):
+        made = warc._zip(b"x" * size)
+        assert made.endswith(b"\0") and gzip.decompress(made) == b"x" * size
