@@ -6,8 +6,8 @@ by Spark's text writer, so archives go to whatever store Spark writes to, and a
 separator is the end of a WARC record, or, as each record is a gzip member, the last byte of a member.
 
 Reading: archives come as whole files of a bounded number of records. The reader checks each record (version
-line, headers, length, end mark, SHA-256 of the payload). After a failed check it searches for the next valid gzip
-member or version line, goes on there, and logs the bytes between as a quarantined gap.
+line, headers, length, end mark, SHA-256 of the payload). After a failed check it searches for the nearest of a valid gzip
+member and a valid version line, whatever the file began with, goes on there, and logs the bytes between as a quarantined gap.
 
 Null payloads are empty; a null id is written as an empty one and never the smallest; of rows equal in id and payload one
 holds the payload. Control characters in a URL are escaped; a null URL is left out. Empty tables give no archives and no
@@ -189,14 +189,13 @@ def _record(data: bytes, start: int) -> Record:
     return Record("record", start, min(end + len(END), len(data)) - start, "", headers, http, payload)
 
 
-def _plain(data: bytes, base: int = 0) -> Iterator[Record]:
+def _plain(data: bytes) -> Iterator[Record]:
     """The records of uncompressed bytes and the gaps between them."""
     at = 0
     while at < len(data):
         try:
             record = _record(data, at)
             at += record.length
-            record.offset += base
             yield record
         except ValueError as error:
             start, following = at, at
@@ -211,13 +210,13 @@ def _plain(data: bytes, base: int = 0) -> Iterator[Record]:
                     continue
                 at = following
                 break
-            yield Record("gap", base + start, at - start, str(error))
+            yield Record("gap", start, at - start, str(error))
 
 
-def _member(data: bytes, start: int, step: int = CHUNK) -> tuple[bytes, int, str]:
+def _member(data: bytes, start: int, step: int = CHUNK, rescue: bool = True) -> tuple[bytes, int, str]:
     """What the gzip member at ``start`` holds, where it ends, and what is wrong with it, if anything.
 
-    Of a damaged member the content up to the damage is given.
+    Of a damaged member the content up to the damage is given, unless ``rescue`` is off.
     """
     machine, out = zlib.decompressobj(31), bytearray()
     for low in range(start, len(data), step):
@@ -225,7 +224,7 @@ def _member(data: bytes, start: int, step: int = CHUNK) -> tuple[bytes, int, str
         try:
             out += machine.decompress(piece)
         except zlib.error as error:
-            if step > 1:  # byte by byte nothing before the damage is lost
+            if step > 1 and rescue:  # byte by byte nothing before the damage is lost
                 return _member(data, start, 1)
             return bytes(out), start, f"gzip: {error}"
         if machine.eof:
@@ -233,29 +232,59 @@ def _member(data: bytes, start: int, step: int = CHUNK) -> tuple[bytes, int, str
     return bytes(out), start, "gzip: truncated"
 
 
+def _holds_record(data: bytes, start: int) -> bool:
+    """Whether a whole gzip member with a valid record starts here; an archived .gz payload holds none."""
+    content, _, wrong = _member(data, start, rescue=False)
+    return not wrong and any(record.kind == "record" for record in _plain(content))
+
+
+def _restart(data: bytes, start: int, known: list[Record]) -> int:
+    """The nearest place from ``start`` with a valid record or a valid gzip member, else the end.
+
+    A deflate stream may hold records as they are: those recovered already (``known``) are passed over.
+    """
+    line, magic = data.find(VERSION, start), data.find(MAGIC, start)
+    while line >= 0 or magic >= 0:
+        if magic < 0 or 0 <= line < magic:
+            try:
+                record = _record(data, line)
+                if not any((record.headers, record.payload) == (r.headers, r.payload) for r in known):
+                    return line
+            except ValueError:
+                pass
+            line = data.find(VERSION, line + 1)
+        else:
+            if _holds_record(data, magic):
+                return magic
+            magic = data.find(MAGIC, magic + 1)
+    return len(data)
+
+
 def salvage(data: bytes) -> Iterator[Record]:
     """All records that can be recovered, in order, and the gaps; offsets are of the file's bytes.
 
-    In a compressed file records and gaps have the place of their member; of a damaged member the records
-    before the damage are recovered and the member is logged as a gap.
+    Plain records and gzip members may follow each other. Records and gaps within a member have its place; of a
+    damaged member the records before the damage are recovered and the member is logged as a gap.
     """
     at = 0
-    plain_until = data.find(MAGIC) if not data.startswith(VERSION) else -1
-    if plain_until < 0:
-        yield from _plain(data)
-        return
     while at < len(data):
-        content, end, wrong = _member(data, at) if data.startswith(MAGIC, at) else (b"", at, "no gzip member")
-        if wrong:
+        known = []
+        if data.startswith(MAGIC, at):
+            content, end, wrong = _member(data, at)
+            found = list(_plain(content))
             # Whole records from before the damage pass their own checks.
-            end = at + 1
-            while (end := data.find(MAGIC, end)) >= 0 and _member(data, end)[2]:
-                end += 1
-            end = len(data) if end < 0 else end
-        for record in _plain(content):
-            if not wrong or record.kind == "record":
+            known = [record for record in found if record.kind == "record"] if wrong else []
+            end = _restart(data, at + 1, known) if wrong else end
+            for record in known if wrong else found:
                 record.offset, record.length = at, end - at
                 yield record
+        else:
+            try:
+                record, wrong = _record(data, at), ""
+                end = at + record.length
+                yield record
+            except ValueError as error:
+                end, wrong = _restart(data, at + 1, known), str(error)
         if wrong:
             yield Record("gap", at, end - at, wrong)
         at = end

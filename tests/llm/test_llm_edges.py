@@ -418,3 +418,18 @@ def test_members_of_any_length_end_in_a_zero():
     for size in (0, 1, 1 << 24, (1 << 24) + 5):
         made = warc._zip(b"x" * size)
         assert made.endswith(b"\0") and gzip.decompress(made) == b"x" * size
+
+
+def test_salvage_looks_for_both_kinds_of_restart():
+    a, b = record(1, b"first"), record(2, b"second payload")
+    packed = record(3, gzip.compress(b"an archived file", mtime=0))
+    hurt = b"xARC" + a[4:]
+    assert names(warc.salvage(hurt + packed + b)) == [(0, len(a)), "<urn:page:3>", "<urn:page:2>"]
+    broken = packed.replace(b"WARC-Type: response", b"WARC-Type- response")
+    assert names(warc.salvage(a + broken + b)) == ["<urn:page:1>", (len(a), len(broken)), "<urn:page:2>"]
+    members = gzip.compress(b) + gzip.compress(packed)
+    assert names(warc.salvage(a + members)) == ["<urn:page:1>", "<urn:page:2>", "<urn:page:3>"]
+    assert names(warc.salvage(a + hurt + members)) == ["<urn:page:1>", (len(a), len(a)), "<urn:page:2>", "<urn:page:3>"]
+    stored = gzip.compress(a + b, 0)
+    cut = stored[:-8] + b"\0" * 8
+    assert names(warc.salvage(cut + packed)) == ["<urn:page:1>", "<urn:page:2>", (0, len(cut)), "<urn:page:3>"]
