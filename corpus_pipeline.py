@@ -10,16 +10,12 @@ from flowsentry.llm import bpe, common, exact_dedup, jaccard, langid, mixing
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-# Documents whose language is less sure than this are rejected.
-SURE = 0.5
-
-
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without a letter or with an uncertain language go."""
+    """Language ID: documents without a letter go, whatever their language and however sure it is."""
     docs = docs.select(*COLUMNS)
-    model = langid.fit(docs.where(langid.bucket(F.col("doc_id"), 4) != 2))
+    model = langid.fit(docs.where(langid.bucket(F.col("doc_id"), 4) != 2), max_languages=None)
     named = langid.predict(docs, model)
-    return named.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("lang_score") >= SURE)).select(*COLUMNS)
+    return named.where(F.col("lang_pred") != langid.UNDETERMINED).select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ with elastic-net penalties, so most stay zero; the logits are then divided by a
 rows kept out of the training.
 
 The model (weights, document frequencies, temperature) is fitted on a bounded sample: at most
-``per_language`` labelled rows of each of the ``max_languages`` most frequent languages, chosen by a hash of
-the text. Feature counts of those rows are made on the executors; the training itself is one task over them.
+``per_language`` labelled rows of each of the ``max_languages`` most frequent languages (None: of every language),
+chosen by a hash of the text. Feature counts of those rows are made on the executors; the training itself is one task over them.
 
 A text that is null, empty or without a letter is ``und`` with score 0. Long texts are read whole, in
 stretches. Equal texts get equal answers. An empty table gives an empty result; without labelled rows
@@ -180,9 +180,10 @@ def temperature_of(logits: np.ndarray, answers: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
-def _sample(labelled: DataFrame, text: str, lang: str, per_language: int, max_languages: int) -> DataFrame:
+def _sample(labelled: DataFrame, text: str, lang: str, per_language: int, max_languages: int | None) -> DataFrame:
     """At most about ``per_language`` rows of each frequent language, by a hash of the text."""
-    frequent = labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(max_languages).collect()
+    frequent = labelled.groupBy(lang).count().orderBy(F.desc("count"), lang)
+    frequent = (frequent if max_languages is None else frequent.limit(max_languages)).collect()
     if not frequent:
         raise ValueError("no labelled rows to learn from")
     share = F.create_map(*[F.lit(x) for row in frequent for x in (row[0], min(1.0, per_language / row[1]))])
@@ -195,7 +196,7 @@ def fit(
     text: str = "text",
     lang: str = "lang",
     per_language: int = 1500,
-    max_languages: int = 100,
+    max_languages: int | None = 100,
     alpha: float = 1.0,
     beta: float = 1.0,
     l1: float = 0.002,

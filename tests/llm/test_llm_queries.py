@@ -175,6 +175,19 @@ def test_pipeline(spark, encoding):
     assert ids == texts
 
 
+def test_language_id_keeps_clean_documents(spark):
+    """Every document with a letter stays: labelled clean ones, rare languages, texts between two languages."""
+    docs = common.read(spark, SF_DIR, "documents")
+    kept = {r.doc_id for r in corpus_pipeline.keep_known_languages(spark, docs, SF_DIR).collect()}
+    clean = docs.join(common.read(spark, SF_DIR, "labels").where("quality = 1"), "doc_id").collect()
+    assert clean and {r.doc_id for r in clean} <= kept
+    assert {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")} == kept
+    mine = [(k * 10 + i, f"{chr(0x4E00 + k)}{chr(0x5000 + k)} {i}", f"l{k:03}", "s", 5) for k in range(110) for i in range(4)]
+    mine += [(9000 + i, "".join(chr(0x4E00 + k + i) for k in range(3)), None, "s", 3) for i in range(20)] + [(9999, "12 !", None, "s", 4)]
+    got = corpus_pipeline.keep_known_languages(spark, spark.createDataFrame(mine, docs.select(*corpus_pipeline.COLUMNS).schema), SF_DIR)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r[0] for r in mine[:-1])
+
+
 def test_run_applies_the_stages_in_order(spark, monkeypatch):
     calls = []
     stages = [(name, lambda spark, docs, sf_dir, name=name: calls.append(name) or docs.limit(5)) for name, _ in corpus_pipeline.STAGES]
