@@ -13,7 +13,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without a letter go, whatever their language and however sure it is."""
     docs = docs.select(*COLUMNS)
-    model = langid.fit(docs.where(langid.bucket(F.col("doc_id"), 4) != 2), max_languages=None)
+    model = langid.fit_if_labelled(docs.where(langid.bucket(F.col("doc_id"), 4) != 2), max_languages=None)
+    if not model.languages:  # nothing is named, so the letters decide alone
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     named = langid.predict(docs, model)
     return named.where(F.col("lang_pred") != langid.UNDETERMINED).select(*COLUMNS)
 

@@ -12,7 +12,7 @@ chosen by a hash of the text. Feature counts of those rows are made on the execu
 
 A text that is null, empty or without a letter is ``und`` with score 0. Long texts are read whole, in
 stretches. Equal texts get equal answers. An empty table gives an empty result; without labelled rows
-``fit`` raises ValueError. Other columns may have any names.
+``fit`` raises ValueError, and ``fit_if_labelled`` gives a model that answers ``und``. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsentry.llm.common import settle, short_batches, utf8, worker_cache
@@ -121,7 +121,7 @@ class Model:
 
     def answer(self, text: str | None) -> tuple[str, float]:
         logits = self.logits(text or "")
-        if logits is None:
+        if logits is None or not self.languages:
             return UNDETERMINED, 0.0
         logits = logits / self.temperature
         p = np.exp(logits - logits.max())
@@ -180,15 +180,20 @@ def temperature_of(logits: np.ndarray, answers: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
+class NoLabels(ValueError):
+    """There is nothing to learn from."""
+
+
 def _sample(labelled: DataFrame, text: str, lang: str, per_language: int, max_languages: int | None) -> DataFrame:
-    """At most about ``per_language`` rows of each frequent language, by a hash of the text."""
-    frequent = labelled.groupBy(lang).count().orderBy(F.desc("count"), lang)
-    frequent = (frequent if max_languages is None else frequent.limit(max_languages)).collect()
-    if not frequent:
-        raise ValueError("no labelled rows to learn from")
-    share = F.create_map(*[F.lit(x) for row in frequent for x in (row[0], min(1.0, per_language / row[1]))])
-    draw = F.pmod(F.xxhash64(F.lit(7), F.col(text)), F.lit(1 << 20)) / float(1 << 20)
-    return labelled.where(draw < share[F.col(lang)])
+    """At most ``per_language`` different texts of each frequent language: those with the smallest hashes."""
+    hashed = labelled.withColumn("_h", F.xxhash64(F.lit(7), F.col(text)))
+    if max_languages is not None:
+        frequent = labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(max_languages).select(lang)
+        hashed = hashed.join(F.broadcast(frequent), lang, "left_semi")
+    # Ranked on hashes alone; of each language no task sends on more than that many.
+    smallest = Window.partitionBy(lang).orderBy("_h")
+    drawn = hashed.select(lang, "_h").distinct().withColumn("_n", F.row_number().over(smallest)).where(F.col("_n") <= per_language)
+    return hashed.join(F.broadcast(drawn.drop("_n")), [lang, "_h"], "left_semi").dropDuplicates([lang, "_h"]).select(text, lang)
 
 
 def fit(
@@ -208,6 +213,8 @@ def fit(
     import pyarrow as pa
 
     short_batches(df.sparkSession)
+    if lang not in df.columns:
+        raise NoLabels("no labelled rows to learn from")
     labelled = df.where(F.col(lang).isNotNull()).select(utf8(df[text]).alias("text"), F.col(lang).cast("string").alias("lang"))
     sample = _sample(labelled, "text", "lang", per_language, max_languages)
 
@@ -264,12 +271,20 @@ def fit(
     # One task over the bounded sample.
     fitted = features.coalesce(1).mapInArrow(learn, "languages string, weights binary, bias binary, temperature double").collect()
     if not fitted:
-        raise ValueError("no labelled rows to learn from")
+        raise NoLabels("no labelled rows to learn from")
     languages = fitted[0]["languages"].split("\0")
     table = np.frombuffer(fitted[0]["weights"], np.float32).reshape(DIMENSIONS, len(languages))
     return Model(languages, table, np.frombuffer(fitted[0]["bias"]), fitted[0]["temperature"])
 
 
+def fit_if_labelled(df: DataFrame, **options) -> Model:
+    """``fit``; without labelled rows a model without languages."""
+    try:
+        return fit(df, **options)
+    except NoLabels:
+        return Model([], np.zeros((DIMENSIONS, 0), np.float32), np.zeros(0), 1.0)
+
+
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``df`` with ``lang_pred`` and ``lang_score``."""
     import pyarrow as pa

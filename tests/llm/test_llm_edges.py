@@ -282,6 +282,29 @@ def test_langid_edges(spark):
         langid.fit(table.where("false"))
 
 
+def test_the_language_sample_draws_different_texts(spark):
+    few = [(f"un texte {i}", "fr") for i in range(3) for _ in range(400)]
+    many = [(f"text {i}", "en") for i in range(900)] + [("hot", "en")] * 900
+    table = spark.createDataFrame(few + many, "text string, lang string")
+    got = langid._sample(table, "text", "lang", 50, 100).collect()
+    assert sorted(r.text for r in got if r.lang == "fr") == [f"un texte {i}" for i in range(3)]
+    assert len({r.text for r in got if r.lang == "en"}) == len([r for r in got if r.lang == "en"]) == 50
+
+
+def test_langid_without_labelled_rows(spark, tmp_path):
+    import corpus_pipeline
+    from flowsentry.llm import catalog
+
+    table = docs(spark, [(1, "abc"), (2, "12")], "doc_id long, text string, lang string, source string, n_chars long")
+    table.write.parquet(str(tmp_path / "some" / "documents.parquet"))
+    table.where("false").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    got = catalog.op9_langid(spark, str(tmp_path / "some"))
+    assert pairs(got, "doc_id", "lang_pred", "score") == [(1, "und", 0.0), (2, "und", 0.0)]
+    assert catalog.op9_langid(spark, str(tmp_path / "none")).count() == 0
+    assert [r.doc_id for r in corpus_pipeline.keep_known_languages(spark, table, "").collect()] == [1]
+    assert corpus_pipeline.keep_known_languages(spark, table.where("false"), "").count() == 0
+
+
 def test_ngrams_of_long_texts_are_counted_once(monkeypatch):
     text = "ab cd " * 50
     whole = langid.counts(text)
