@@ -7,7 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsentry.llm import bpe, common, exact_dedup, jaccard, langid, mixing, quality, repeats, sharding, topk, warc
+from flowsentry.llm import (
+    bpe,
+    centroids,
+    common,
+    exact_dedup,
+    jaccard,
+    langid,
+    mixing,
+    quality,
+    repeats,
+    sharding,
+    simhash,
+    topk,
+    warc,
+    whitening,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -124,3 +139,30 @@ def op10_mixing(spark, sf_dir):
         F.col("_mix_order").alias("order_key"),
         F.sha2(common.utf8("text").cast("binary"), 256).alias("text_sha256"),
     )
+
+
+@query
+def op11_simhash(spark, sf_dir):
+    """Fingerprints and likenesses; every 20th id also asks for the documents within the radius."""
+    marked = simhash.with_edited(common.read(spark, sf_dir, "documents"))
+    searched = simhash.with_near(marked, F.col("_id") % 20 == 0)
+    return searched.select(
+        F.col("_id").alias("doc_id"),
+        "n_chars",
+        "edited_sha256",
+        simhash.text_of("hi", "lo").alias("fingerprint"),
+        simhash.text_of("edited_hi", "edited_lo").alias("edited_fingerprint"),
+        simhash.likeness("hi", "lo", "edited_hi", "edited_lo").alias("near_edited"),
+        simhash.likeness("hi", "lo", "next_hi", "next_lo").alias("near_next"),
+        "n_near",
+    )
+
+
+@query
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(common.read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_centroids(spark, sf_dir):
+    return centroids.cluster(common.read(spark, sf_dir, "embeddings"))

@@ -66,3 +66,47 @@ ORACLES = {
         FROM copies
     """,
 }
+
+_FIRST = """
+        WITH v AS MATERIALIZED (
+          SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+          FROM embeddings
+          WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), c0 AS MATERIALIZED (
+          SELECT j, v AS c
+          FROM (SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), 'null')), v) - 1 AS j, v FROM v)
+          WHERE j < 8
+        )"""
+
+_ASSIGN = """, a{0} AS MATERIALIZED (
+          SELECT r, j, d FROM (
+            SELECT r, j, d, row_number() OVER (PARTITION BY r ORDER BY d, j) AS place FROM (
+              SELECT r, j, CAST(list_sum(list_transform(generate_series(1, 64), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS BIGINT) AS d
+              FROM v, c{0}
+            )
+          ) WHERE place = 1
+        )"""
+
+_MOVE = """, s{0} AS MATERIALIZED (
+          SELECT j, i, CAST(sum(x) AS BIGINT) AS s, CAST(count(*) AS BIGINT) AS n
+          FROM (SELECT j, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{0} JOIN v USING (r))
+          GROUP BY j, i
+        ), c{1} AS MATERIALIZED (
+          SELECT c{0}.j, coalesce(m.c, c{0}.c) AS c
+          FROM c{0} LEFT JOIN (SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{0} GROUP BY j) m USING (j)
+        )"""
+
+_ROUNDS = 10
+
+ORACLES["op13_centroids"] = (
+    _FIRST
+    + "".join(_ASSIGN.format(i) + _MOVE.format(i, i + 1) for i in range(_ROUNDS))
+    + _ASSIGN.format(_ROUNDS)
+    + f"""
+        SELECT vec_id, CAST(j AS INTEGER) AS cluster, d AS distance,
+          CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia,
+          CAST(sum(d) OVER () AS BIGINT) AS inertia,
+          sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a{_ROUNDS} JOIN v USING (r) JOIN c{_ROUNDS} USING (j)
+    """
+)
