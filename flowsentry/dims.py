@@ -141,6 +141,20 @@ FINDING_TEXTS = {
 }
 
 
+# Texts of the other findings.
+ROW_TEXTS = {
+    "lateral_movement": "Lateral movement: %s -> %s:%d",
+    "icmp_large": "ICMP large packet from %s: %d bytes",
+    "smtp_large": "Large SMTP attachment from %s: %dKB",
+    "ntp_amplification": "NTP amplification from %s: %d byte response",
+    "sqli": "SQL injection attempt from %s detected in HTTP payload",
+    "dns_tunnel": "DNS tunneling suspected from %s: label length %d chars",
+    "tls_old_version": "TLS anomaly from %s: outdated protocol version",
+    "ftp_auth_fail": "FTP authentication failure from %s",
+    "arp_spoof": "ARP spoofing attempt detected from %s",
+}
+
+
 def technique_table(spark: SparkSession) -> DataFrame:
     """Detector keys and the techniques they stand for."""
     names = ["mitre_key", "technique_id", "technique_name", "tactic"]

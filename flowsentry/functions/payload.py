@@ -36,11 +36,17 @@ def _hex_bytes(digits: str) -> Column:
     return F.to_binary(F.lit(digits), F.lit("hex"))
 
 
-@F.pandas_udf(T.DoubleType())
-def payload_entropy(payload: pd.Series) -> pd.Series:
+def payload_entropy(payload) -> Column:
     """Shannon entropy of the bytes in bits, three decimals; 0 for empty payloads.
 
-    One count of (payload, byte) pairs serves many payloads; they are taken together by the thousand, so the
+    The user function is made per call: once used it holds a handle of the driver, and this module travels to
+    workers with functions of others.
+    """
+    return F.pandas_udf(_entropies, T.DoubleType())(_col(payload))
+
+
+def _entropies(payload: pd.Series) -> pd.Series:
+    """One count of (payload, byte) pairs serves many payloads; they are taken together by the thousand, so the
     counts stay at two megabytes.
     """
     found = []

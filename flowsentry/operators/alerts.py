@@ -65,3 +65,14 @@ def threat_sessions(findings: DataFrame) -> DataFrame:
         )
         .withColumn("blocked", F.lit(0))
     )
+
+
+def merged_threats(threats: DataFrame) -> DataFrame:
+    """Threat sessions of several runs as one row per source and threat type."""
+    return threats.groupBy("src_ip", "threat_type").agg(
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+        F.max("confidence").alias("confidence"),
+        F.sum("packet_count").alias("packet_count"),
+        F.max("blocked").alias("blocked"),
+    )

@@ -16,7 +16,7 @@ from flowsentry import dims
 from flowsentry.functions import payload as P
 from flowsentry.functions.addresses import is_private
 from flowsentry.functions.scalar import int_div, is_truthy_port
-from flowsentry.operators import gaps, ordered, rates, sessions
+from flowsentry.operators import carry, gaps, ordered, rates, sessions
 from flowsentry.operators.pruning import settle
 
 FINDING_COLUMNS = [
@@ -68,6 +68,10 @@ ICMP_FLOOD = RateRule("icmp_flood", "ICMP", 10, 100, "HIGH", "ICMP flood from %s
 RATE_RULES = [SYN_FLOOD, UDP_FLOOD, HTTP_FLOOD, ICMP_FLOOD]
 
 
+def _text(rule: str) -> str:
+    return dims.ROW_TEXTS[rule]
+
+
 def _either(conditions: list[Column]) -> Column:
     return reduce(lambda left, right: left | right, conditions)
 
@@ -96,25 +100,25 @@ def union_findings(*findings: DataFrame) -> DataFrame:
 def _lateral_movement() -> tuple[Column, str, Column, Column]:
     internal = is_private("src_ip") & is_private("dst_ip")
     condition = (F.col("protocol") == "TCP") & F.col("dst_port").isin(LATERAL_PORTS) & internal
-    text = F.format_string("Lateral movement: %s -> %s:%d", "src_ip", "dst_ip", "dst_port")
+    text = F.format_string(_text("lateral_movement"), "src_ip", "dst_ip", "dst_port")
     return condition, "lateral_movement", F.lit("HIGH"), text
 
 
 def _icmp_large(limit: int = 1000) -> tuple[Column, str, Column, Column]:
     condition = (F.col("protocol") == "ICMP") & (F.col("length") > limit)
-    text = F.format_string("ICMP large packet from %s: %d bytes", "src_ip", "length")
+    text = F.format_string(_text("icmp_large"), "src_ip", "length")
     return condition, "icmp_large", F.lit("MEDIUM"), text
 
 
 def _smtp_large(limit: int = 500_000) -> tuple[Column, str, Column, Column]:
     condition = (F.col("protocol") == "SMTP") & (F.col("length") > limit)
-    text = F.format_string("Large SMTP attachment from %s: %dKB", F.col("src_ip"), int_div("length", 1024))
+    text = F.format_string(_text("smtp_large"), F.col("src_ip"), int_div("length", 1024))
     return condition, "smtp_large", F.lit("HIGH"), text
 
 
 def _ntp_amplification(limit: int = 468) -> tuple[Column, str, Column, Column]:
     condition = (F.col("protocol") == "NTP") & (F.col("length") > limit)
-    text = F.format_string("NTP amplification from %s: %d byte response", "src_ip", "length")
+    text = F.format_string(_text("ntp_amplification"), "src_ip", "length")
     return condition, "ntp_amplification", F.lit("HIGH"), text
 
 
@@ -157,10 +161,11 @@ def rate_findings(packets: DataFrame, rules: list[RateRule]) -> DataFrame:
     return _rate_findings(rates.within_minutes(packets, minutes), rules)
 
 
-def _rate_findings(busy: DataFrame, rules: list[RateRule]) -> DataFrame:
-    """The same, of the packets of busy minutes."""
+def _rate_findings(busy: DataFrame, rules: list[RateRule], earlier: DataFrame | None = None) -> DataFrame:
+    """The same, of the packets of busy minutes; ``earlier`` ones count but raise nothing."""
     windows = sorted({rule.seconds for rule in rules})
-    counts = rates.sliding_counts(busy.select("src_ip", "ts_us"), windows)
+    times = busy.select("src_ip", "ts_us")
+    counts = rates.sliding_counts(times if earlier is None else times.unionByName(earlier), windows)
     counts = counts.where(_either([rule.exceeded() for rule in rules]))
     suspects = busy.where(_either([rule.trigger() for rule in rules])).join(counts, ["src_ip", "ts_us"])
     candidates = [
@@ -194,35 +199,40 @@ def icmp_flood(packets: DataFrame, threshold: int = ICMP_FLOOD.threshold) -> Dat
 # Rules on gaps --------------------------------------------------------------------------------
 
 
-def c2_beacon(
-    packets: DataFrame,
-    min_events: int = 6,
-    min_gap: float = 20,
-    max_gap: float = 300,
-    max_variance: float = 5,
-) -> DataFrame:
+class Beacon(NamedTuple):
+    """Regular gaps: enough events in the hour, mean gap and variance within bounds."""
+
+    min_events: int = 6
+    min_gap: float = 20
+    max_gap: float = 300
+    max_variance: float = 5
+
+    def most_events(self) -> int:
+        """Events that an hour can hold with a longer mean gap."""
+        return int(gaps.HORIZON_SECONDS // self.min_gap) + 1
+
+
+BEACON = Beacon()
+
+
+def c2_beacon(packets: DataFrame, **bounds: float) -> DataFrame:
     """HTTP packets of a source whose events of the last hour come at regular gaps.
 
     Sources without HTTP or with too few events at all are left out first. With a mean gap above
     ``min_gap`` the hour holds at most ``3600 / min_gap + 1`` events, so longer histories need no
     look.
     """
+    rule = Beacon(**bounds)
     counts = packets.groupBy("src_ip").agg(_protocol_count("HTTP").alias("http"), F.count(F.lit(1)).alias("events"))
-    sources = settle(counts.where((F.col("http") > 0) & (F.col("events") >= min_events)).select("src_ip"))
-    rows = packets.select(*_PACKET_COLUMNS).join(sources, "src_ip", "left_semi")
-    return _beacons(rows, min_events, min_gap, max_gap, max_variance)
-
-
-def _beacons(
-    rows: DataFrame,
-    min_events: int = 6,
-    min_gap: float = 20,
-    max_gap: float = 300,
-    max_variance: float = 5,
-) -> DataFrame:
-    stats = gaps.sparse_interarrival_stats(rows, int(gaps.HORIZON_SECONDS // min_gap) + 1)
-    regular = (F.round("var_gap", 6) < max_variance) & (F.col("avg_gap") > min_gap) & (F.col("avg_gap") < max_gap)
-    condition = (F.col("protocol") == "HTTP") & (F.col("n_events") >= min_events) & regular
+    sources = settle(counts.where((F.col("http") > 0) & (F.col("events") >= rule.min_events)).select("src_ip"))
+    return _beacons(packets.select(*_PACKET_COLUMNS).join(sources, "src_ip", "left_semi"), rule)
+
+
+def _beacons(rows: DataFrame, rule: Beacon = BEACON) -> DataFrame:
+    stats = gaps.sparse_interarrival_stats(rows, rule.most_events())
+    mean = F.col("avg_gap")
+    regular = (F.round("var_gap", 6) < rule.max_variance) & (mean > rule.min_gap) & (mean < rule.max_gap)
+    condition = (F.col("protocol") == "HTTP") & (F.col("n_events") >= rule.min_events) & regular
     text = F.format_string(
         dims.FINDING_TEXTS["c2_beacon"][0],
         F.col("src_ip"),
@@ -263,8 +273,8 @@ def counter_findings(packets: DataFrame, counters: list[str]) -> DataFrame:
     return _counted(rows, counters)
 
 
-def _counted(rows: DataFrame, counters: list[str]) -> DataFrame:
-    """The same, of packets with their session and its totals."""
+def _counted(rows: DataFrame, counters: list[str], earlier: DataFrame | None = None) -> DataFrame:
+    """The same, of packets with their session and its totals; ``earlier`` rows weigh as much as all before them."""
     counted = [
         (F.col("protocol") == protocol) & (F.col(f"total_{name}") >= least)
         for name, (protocol, least) in _COUNTERS.items()
@@ -272,7 +282,11 @@ def _counted(rows: DataFrame, counters: list[str]) -> DataFrame:
     ]
     every = _COUNTERS["dns"][1]
     rows = rows.where(_either(counted)).select(*_PACKET_COLUMNS, "sid")
+    if earlier is not None:
+        rows = rows.withColumn("weight", F.lit(1).cast("long")).unionByName(earlier, allowMissingColumns=True)
     numbered = rates.numbered(rows, ["src_ip", "sid", "protocol"])
+    if earlier is not None:
+        numbered = numbered.where(F.col("dst_ip").isNotNull())  # packets have a target, rows from before have none
     number, protocol = F.col("measure"), F.col("protocol")
     severity = F.when(number >= SSH_CRITICAL_ATTEMPTS, F.lit("CRITICAL")).otherwise(F.lit("HIGH"))
     dns_text = F.format_string(dims.FINDING_TEXTS["dns_recon"][0], "src_ip", "measure")
@@ -373,6 +387,21 @@ def activity(packets: DataFrame) -> DataFrame:
     )
 
 
+class Run(NamedTuple):
+    """The findings of a run over packets, and what its state at the end follows from."""
+
+    findings: DataFrame
+    packets: DataFrame
+    minutes: DataFrame
+    hours: DataFrame
+    byte_hits: DataFrame
+    port_hits: DataFrame
+    failures: DataFrame | None
+    speakers: DataFrame | None
+    border_us: int | None
+    entry: carry.Carried | None
+
+
 def all_findings(packets: DataFrame) -> DataFrame:
     """The findings of all rules on packet columns, from three reads of the packets.
 
@@ -380,16 +409,44 @@ def all_findings(packets: DataFrame) -> DataFrame:
     follow; the second finds probed pairs; the third keeps the packets that any rule can need. The rules
     then read those. Rules on payloads, whose reads come on top, take part if the packets carry them.
     """
+    return run_findings(packets).findings
+
+
+def run_findings(
+    packets: DataFrame, entry: carry.Carried | None = None, goes_on: bool = False, until_us: int | None = None
+) -> Run:
+    """All findings of packets that come after those behind ``entry``.
+
+    With ``goes_on`` the rules on whole minutes leave the minute of the border to the next run. The border is the time of
+    the last packet, or ``until_us`` if no packet up to there can still come.
+    """
     minutes = settle(activity(packets))
-    busy = settle(rates.busy_of(minutes, [rule.threshold for rule in RATE_RULES]).withColumn("_busy", F.lit(True)))
+    border_us = None
+    if entry is not None or goes_on:
+        first_us, last_us = minutes.agg(F.min("first_us"), F.max("last_us")).first()
+        if entry is not None and first_us is not None and first_us <= entry.border_us:
+            raise ValueError("the run holds packets that are not later than those of the run before")
+        border_us = max(x for x in (last_us, until_us, entry.border_us if entry else None, -1) if x is not None)
+    triggers = [f"triggers_{at}" for at in range(len(RATE_RULES))]
+    per_minute = minutes.select("src_ip", "minute", "n", *triggers)
     bounds = {name: least for name, (_, least) in _COUNTERS.items()} | {"bytes": EXFIL_LIMIT + 1}
     hours = minutes.groupBy("src_ip", int_div("minute", 60).alias("hour")).agg(
         F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), *[F.sum(name).alias(name) for name in bounds]
     )
-    long_enough = settle(sessions.reaching(sessions.number_sessions(hours, "src_ip"), bounds))
     sums = minutes.groupBy("src_ip").agg(F.sum("http").alias("http"), F.sum("n").alias("n"))
-    regular = settle(sums.where("http > 0 AND n >= 6").select("src_ip", F.lit(True).alias("_regular")))
-    probed = settle(_probed_pairs(packets.where(_is_probe()), SCAN_PORTS).withColumn("_probed", F.lit(True)))
+    probes = packets.where(_is_probe()).select("src_ip", "dst_ip", "dst_port", "ts_us", "pid")
+    if entry is not None:
+        both = per_minute.unionByName(entry.minutes(triggers)).groupBy("src_ip", "minute")
+        per_minute = both.agg(*[F.sum(name).alias(name) for name in ("n", *triggers)])
+        hours = hours.withColumn("carried", F.lit(False)).unionByName(entry.hours(list(bounds)))
+        events = entry.events.groupBy("src_ip").agg(F.lit(0).cast("long").alias("http"), F.count(F.lit(1)).alias("n"))
+        sums = sums.unionByName(events).groupBy("src_ip").agg(F.sum("http").alias("http"), F.sum("n").alias("n"))
+        probes = probes.unionByName(entry.probes())
+    busy = settle(rates.busy_of(per_minute, [rule.threshold for rule in RATE_RULES]).withColumn("_busy", F.lit(True)))
+    hours = sessions.number_sessions(hours, "src_ip")
+    long_enough = settle(sessions.reaching(hours, bounds))
+    regular = settle(sums.where((F.col("http") > 0) & (F.col("n") >= BEACON.min_events)).select("src_ip", F.lit(True).alias("_regular")))
+    probed = settle(_probed_pairs(probes, SCAN_PORTS).withColumn("_probed", F.lit(True)))
 
     on_rows = _either([condition for condition, *_ in _row_candidates()])
     totals = [f"total_{name}" for name in bounds]
@@ -408,14 +465,55 @@ def all_findings(packets: DataFrame) -> DataFrame:
         .select(*_PACKET_COLUMNS, "dst_port", "length", "flags", "_busy", "sid", *totals, "_regular", "_probed"),
         broadcast_rows=-1,
     )
-    return union_findings(
+    timed, probing = kept.where("_regular").select(*_PACKET_COLUMNS), kept.where(scans).select(*_PACKET_COLUMNS, "dst_port")
+    sending = kept.where(large).select(*_PACKET_COLUMNS, "length", "sid")
+    earlier = weighed = None
+    if entry is not None:
+        earlier = rates.within_minutes(entry.recent, busy)
+        weighed = entry.counted({name: protocol for name, (protocol, _) in _COUNTERS.items()})
+        timed = timed.unionByName(entry.events.join(regular, "src_ip", "left_semi"), allowMissingColumns=True)
+        probing = probing.unionByName(entry.probes().join(probed, ["src_ip", "dst_ip"], "left_semi"), allowMissingColumns=True)
+        # A session that goes on has number 0.
+        long_sums = long_enough.where((F.col("sid") == 0) & large).select("src_ip")
+        sending = sending.unionByName(entry.byte_rows().join(long_sums, "src_ip", "left_semi"), allowMissingColumns=True)
+    port_hits, byte_hits = _port_sets(probing, SCAN_PORTS), _byte_sums(sending, EXFIL_LIMIT)
+    if goes_on:
+        port_hits, byte_hits = settle(port_hits, broadcast_rows=-1), settle(byte_hits, broadcast_rows=-1)
+    failures = speakers = None
+    on_payloads = []
+    if set(PAYLOAD_COLUMNS) <= set(packets.columns):
+        failures = _failures(packets, entry and entry.failures)
+        speakers = _speakers(packets, entry and entry.speakers)
+        closed = F.col("minute") < border_us // rates.MINUTE_US if goes_on else F.lit(True)
+        on_payloads = [payload_row_rules(packets), ftp_findings(failures.where(closed)), arp_findings(speakers.where(closed))]
+    findings = union_findings(
         row_rules(kept),
-        _rate_findings(kept.where("_busy"), RATE_RULES),
-        _beacons(kept.where("_regular").select(*_PACKET_COLUMNS)),
-        _counted(kept, list(_COUNTERS)),
-        _port_scan(_port_sets(kept.where(scans).select(*_PACKET_COLUMNS, "dst_port"), SCAN_PORTS)),
-        _exfil(_byte_sums(kept.where(large).select(*_PACKET_COLUMNS, "length", "sid"), EXFIL_LIMIT)),
-        *([payload_findings(packets)] if set(PAYLOAD_COLUMNS) <= set(packets.columns) else []),
+        _rate_findings(kept.where("_busy"), RATE_RULES, earlier),
+        _beacons(timed),
+        _counted(kept, list(_COUNTERS), weighed),
+        _port_scan(port_hits),
+        _exfil(byte_hits),
+        *on_payloads,
+    )
+    return Run(findings, packets, minutes, hours, byte_hits, port_hits, failures, speakers, border_us, entry)
+
+
+def leaves(run: Run, connections: DataFrame, port_idle_seconds: int | None = None) -> carry.Carried:
+    """What a run that goes on leaves to the next one; ``connections`` are the open ones."""
+    packets, entry, border_us = run.packets, run.entry, run.border_us
+    spark = packets.sparkSession
+    probes = packets.where(_is_probe()).select("src_ip", "dst_ip", "dst_port", "ts_us", "pid")
+    probes = probes if entry is None else probes.unionByName(entry.probes())
+    empty = {name: spark.createDataFrame([], carry.SCHEMAS[name]) for name in ("failures", "speakers")}
+    return carry.Carried(
+        border_us,
+        carry.recent(packets, entry and entry.recent, border_us),
+        carry.events(packets, entry and entry.events, border_us, BEACON.most_events() + 1),
+        carry.sources(run.hours, run.byte_hits, border_us),
+        carry.ports(probes, run.port_hits, border_us, port_idle_seconds),
+        empty["failures"] if run.failures is None else carry.open_minutes(run.failures, border_us),
+        empty["speakers"] if run.speakers is None else carry.open_minutes(run.speakers, border_us),
+        connections,
     )
 
 
@@ -431,7 +529,7 @@ def sqli(packets: DataFrame) -> DataFrame:
 
 def _sqli() -> tuple[Column, str, Column, Column]:
     condition = (F.col("protocol") == "HTTP") & P.has_sql_injection("payload")
-    text = F.format_string("SQL injection attempt from %s detected in HTTP payload", "src_ip")
+    text = F.format_string(_text("sqli"), "src_ip")
     return condition, "sqli", F.lit("HIGH"), text
 
 
@@ -443,7 +541,7 @@ def dns_tunnel(packets: DataFrame, limit: int = 50) -> DataFrame:
 def _dns_tunnel(limit: int = 50) -> tuple[Column, str, Column, Column]:
     label = P.longest_label("qname")
     condition = (F.col("protocol") == "DNS") & (label > limit)
-    text = F.format_string("DNS tunneling suspected from %s: label length %d chars", F.col("src_ip"), label)
+    text = F.format_string(_text("dns_tunnel"), F.col("src_ip"), label)
     return condition, "dns_tunnel", F.lit("HIGH"), text
 
 
@@ -454,7 +552,7 @@ def tls_old_version(packets: DataFrame) -> DataFrame:
 
 def _tls_old_version() -> tuple[Column, str, Column, Column]:
     condition = (F.col("protocol") == "TLS") & P.is_old_tls_hello("payload")
-    text = F.format_string("TLS anomaly from %s: outdated protocol version", "src_ip")
+    text = F.format_string(_text("tls_old_version"), "src_ip")
     return condition, "tls_old_version", F.lit("HIGH"), text
 
 
@@ -463,25 +561,64 @@ def ftp_auth_fail(packets: DataFrame, least: int = 5) -> DataFrame:
 
     The finding carries the last failure of the minute.
     """
-    failures = packets.where((F.col("protocol") == "FTP") & P.is_ftp_auth_failure("payload"))
+    return ftp_findings(_failures(packets), least)
+
+
+def ftp_failures(packets: DataFrame) -> DataFrame:
+    return packets.where((F.col("protocol") == "FTP") & P.is_ftp_auth_failure("payload"))
+
+
+def failure_measures() -> list[Column]:
+    return [F.count(F.lit(1)).alias("measure"), F.max(F.struct("ts_us", "pid", "protocol")).alias("last")]
+
+
+def _failures(packets: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    """Login failures per peers and minute: their number and the last one."""
     minute = int_div("ts_us", rates.MINUTE_US).alias("minute")
-    last = F.max(F.struct("ts_us", "pid", "protocol")).alias("last")
-    grouped = failures.groupBy("src_ip", "dst_ip", minute).agg(F.count(F.lit(1)).alias("measure"), last)
+    grouped = ftp_failures(packets).groupBy("src_ip", "dst_ip", minute).agg(*failure_measures())
+    if earlier is None:
+        return grouped
+    both = grouped.unionByName(earlier).groupBy("src_ip", "dst_ip", "minute")
+    return both.agg(F.sum("measure").alias("measure"), F.max("last").alias("last"))
+
+
+def ftp_findings(grouped: DataFrame, least: int = 5) -> DataFrame:
     rows = grouped.where(F.col("measure") >= least).select("src_ip", "dst_ip", "measure", "last.*")
-    text = F.format_string("FTP authentication failure from %s", "src_ip")
+    text = F.format_string(_text("ftp_auth_fail"), "src_ip")
     return as_findings(rows, [(F.lit(True), "ftp_auth_fail", F.lit("MEDIUM"), text)])
 
 
 def arp_spoof(packets: DataFrame) -> DataFrame:
     """Minutes in which one address speaks with several hardware addresses; one finding each."""
-    arp = packets.where((F.col("protocol") == "ARP") & F.col("src_mac").isNotNull())
-    minute = int_div("ts_us", rates.MINUTE_US).alias("minute")
+    return arp_findings(_speakers(packets))
+
+
+def arp_packets(packets: DataFrame) -> DataFrame:
+    return packets.where((F.col("protocol") == "ARP") & F.col("src_mac").isNotNull())
+
+
+def speaker_measures() -> list[Column]:
+    """The least and the greatest hardware address, and the last packet.
+
+    More than one distinct value is a minimum below a maximum: no set of values is kept.
+    """
     last = F.max(F.struct("ts_us", "pid", "protocol", "dst_ip")).alias("last")
-    # More than one distinct value is a minimum below a maximum: no set of values is kept.
-    spread = [F.min("src_mac").alias("least_mac"), F.max("src_mac").alias("most_mac")]
-    grouped = arp.groupBy("src_ip", minute).agg(*spread, last)
+    return [F.min("src_mac").alias("least_mac"), F.max("src_mac").alias("most_mac"), last]
+
+
+def _speakers(packets: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    """ARP packets per address and minute."""
+    minute = int_div("ts_us", rates.MINUTE_US).alias("minute")
+    grouped = arp_packets(packets).groupBy("src_ip", minute).agg(*speaker_measures())
+    if earlier is None:
+        return grouped
+    both = grouped.unionByName(earlier).groupBy("src_ip", "minute")
+    return both.agg(F.min("least_mac").alias("least_mac"), F.max("most_mac").alias("most_mac"), F.max("last").alias("last"))
+
+
+def arp_findings(grouped: DataFrame) -> DataFrame:
     rows = grouped.where("least_mac < most_mac").select("src_ip", "last.*")
-    text = F.format_string("ARP spoofing attempt detected from %s", "src_ip")
+    text = F.format_string(_text("arp_spoof"), "src_ip")
     return as_findings(rows, [(F.lit(True), "arp_spoof", F.lit("MEDIUM"), text)])
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -36,34 +36,29 @@ def eq_filters(df: DataFrame, **values) -> DataFrame:
     return df.where(all_of([F.col(name) == value for name, value in values.items()]))
 
 
-def last_days(df: DataFrame, rows: int) -> DataFrame:
-    """The newest days of a table partitioned by ``dt`` that hold at least ``rows`` rows.
+# A page of results up to this long is gathered day by day.
+PAGE = 10_000
 
-    The span doubles until it holds enough, so what is read stays near what is asked for. Days come from the
-    folder names; rows without a time are in none and are left out only if the days hold enough.
+
+def newest(df: DataFrame, limit: int, key: str, days: list[date] | None = None) -> DataFrame:
+    """The latest rows, ties by descending key.
+
+    ``days`` are those of a table partitioned by ``dt``, from a listing of its folders. A page of rows then comes from the last
+    days that hold enough, one job if the last day does: the span doubles, and a day that was read is not read again.
+    Without them, or beyond a page, it is a top-n over the table.
     """
-    newest_day = df.select(F.max("dt")).first()[0]
-    if newest_day is None or rows == 0:
-        return df
-    oldest_day = df.select(F.min("dt")).first()[0]
-    days = 1
-    while True:
-        first = newest_day - timedelta(days=days - 1)
-        if first <= oldest_day:
-            return df
-        recent = df.where(F.col("dt") >= F.lit(first))
-        if recent.limit(rows).count() >= rows:
-            return recent
-        days *= 2
-
-
-def newest(df: DataFrame, limit: int, key: str) -> DataFrame:
-    """The latest rows, ties by descending key. Of a table partitioned by ``dt`` only the last days are read."""
     if limit < 0:
         raise ValueError("limit must not be negative")
-    if "dt" in df.columns and not df.isStreaming:
-        df = last_days(df, limit)
-    return df.orderBy(F.desc("ts_us"), F.desc(key)).limit(limit)
+    order = [F.desc("ts_us"), F.desc(key)]
+    if days is None or limit > PAGE:
+        return df.orderBy(*order).limit(limit)
+    found, end, span = [], len(days), 1
+    while end and len(found) < limit:
+        start = max(0, end - span)
+        within = F.col("dt").between(F.lit(days[start]), F.lit(days[end - 1]))
+        found += df.where(within).orderBy(*order).limit(limit - len(found)).collect()
+        end, span = start, 2 * span
+    return df.sparkSession.createDataFrame(found, df.schema)
 
 
 def top_k(df: DataFrame, measure: str, k: int, keys: list[str]) -> DataFrame:
@@ -84,6 +79,7 @@ def search_events(
     src_ip: str = "",
     dst_ip: str = "",
     limit: int = 100,
+    days: list[date] | None = None,
 ) -> DataFrame:
     """Newest packets that meet every given condition; empty conditions are left out.
 
@@ -100,21 +96,25 @@ def search_events(
         columns = ["src_ip", "dst_ip", "protocol", "flags"]
         hits = [F.coalesce(like_contains(name, query), F.lit(False)) for name in columns]
         conditions.append(reduce(lambda left, right: left | right, hits))
-    return newest(packets.where(all_of(conditions)), limit, "pid")
+    return newest(packets.where(all_of(conditions)), limit, "pid", days)
 
 
-def recent_alerts(alerts: DataFrame, limit: int = 50, severity: str | None = None) -> DataFrame:
+def recent_alerts(
+    alerts: DataFrame, limit: int = 50, severity: str | None = None, days: list[date] | None = None
+) -> DataFrame:
     if severity:
         alerts = alerts.where(F.col("severity") == severity)
-    return newest(alerts, limit, "id")
+    return newest(alerts, limit, "id", days)
 
 
 def project_recent(packets: DataFrame) -> DataFrame:
     return packets.select(*RECENT_EVENT_COLUMNS)
 
 
-def recent_events(packets: DataFrame, limit: int = 100) -> DataFrame:
-    return project_recent(newest(packets, limit, "pid"))
+def recent_events(packets: DataFrame, limit: int = 100, days: list[date] | None = None) -> DataFrame:
+    return newest(project_recent(packets) if days is None else packets.select(*RECENT_EVENT_COLUMNS, "dt"), limit, "pid", days).select(
+        *RECENT_EVENT_COLUMNS
+    )
 
 
 def perf_history(performance: DataFrame, limit: int = 60) -> DataFrame:

@@ -90,6 +90,30 @@ def threat_country(country="country") -> Column:
     return F.coalesce(column.isin(dims.THREAT_COUNTRIES), F.lit(False)).cast("int")
 
 
+def geo_lookup(packets: DataFrame, ranges: DataFrame, keep_unmatched: bool = True) -> DataFrame:
+    """As ``geo_enrich``, by a join of packets with ranges on the /16: works on streams, with the ranges at rest.
+
+    Ranges are disjoint and cut at /16 borders, so a packet meets those of its /16, and one at most holds its address.
+    Spark broadcasts the cut ranges if they are small; a stream has no distinct sources to look up instead.
+    """
+    first, last = F.shiftleft("prefix", 16), F.shiftleft("prefix", 16) + 65_535
+    cut = ranges.select(
+        F.explode(F.sequence(F.shiftright("lo", 16), F.shiftright("hi", 16))).alias("prefix"), "*"
+    ).select(
+        F.col("prefix").alias("_prefix"),
+        F.greatest("lo", first).alias("_lo"),
+        F.least("hi", last).alias("_hi"),
+        *["country", "city", "latitude", "longitude"],
+    )
+    number = ipv4_number("src_ip")
+    numbered = packets.withColumn("_number", number).withColumn("_prefix", F.shiftright("_number", 16))
+    held = F.col("_number").between(F.col("_lo"), F.col("_hi"))
+    joined = numbered.alias("p").join(
+        cut.alias("r"), (F.col("p._prefix") == F.col("r._prefix")) & held, "left" if keep_unmatched else "inner"
+    )
+    return joined.drop("_prefix", "_number", "_lo", "_hi").withColumn("is_threat", threat_country())
+
+
 def geo_enrich(
     packets: DataFrame,
     ranges: DataFrame,

@@ -71,17 +71,20 @@ def numbered(rows: DataFrame, keys: list[str], cell_seconds: int = CELL_SECONDS)
     """Rows with their number (``measure``, from 1) within ``keys``, in order of time and packet.
 
     Rows are numbered within cells of a few seconds; the cells' counts, one row each, give where a cell
-    starts. So a busy key spreads over its cells.
+    starts. So a busy key spreads over its cells. A row with a ``weight`` counts as so many rows.
     """
+    weighs = "weight" in rows.columns
+    size = F.sum("weight") if weighs else F.count(F.lit(1))
     placed = rows.withColumn("_cell", int_div("ts_us", cell_seconds * MICROS))
     before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         placed.groupBy(*keys, "_cell")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(size.alias("_n"))
         .select(*keys, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     )
     within = Window.partitionBy(*keys, "_cell").orderBy("ts_us", "pid")
-    number = F.col("_start") + F.row_number().over(within)
+    upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    number = F.col("_start") + (F.sum("weight").over(upto) if weighs else F.row_number().over(within))
     return placed.join(starts, [*keys, "_cell"]).withColumn("measure", number).drop("_cell", "_start")
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsentry import dims
-from flowsentry.functions.scalar import time_bucket
-from flowsentry.operators.sessions import hour_of, number_sessions
+from flowsentry.functions.scalar import MICROS, time_bucket
+from flowsentry.operators.sessions import IDLE_SECONDS, hour_of, number_sessions
 
 
 def perf_minutely(packets: DataFrame, alerts: DataFrame) -> DataFrame:
@@ -35,6 +35,20 @@ def protocol_stats(packets: DataFrame) -> DataFrame:
     )
 
 
+def source_stats(packets: DataFrame) -> DataFrame:
+    """Packets, bytes and malicious packets per day and source, of a table partitioned by ``dt``."""
+    return packets.groupBy(F.col("dt").alias("day"), "src_ip").agg(
+        F.count(F.lit(1)).alias("pkt_count"), F.sum("length").alias("bytes"), F.sum("is_malicious").alias("threat_count")
+    )
+
+
+def merged_perf(minutes: DataFrame) -> DataFrame:
+    """Key figures of several runs as one row per minute: counts add up, of gauges the highest stays."""
+    counts = [F.sum(name).cast("int").alias(name) for name in ("packets_pm", "alerts_pm")]
+    gauges = [F.max(name).alias(name) for name in ("db_query_ms", "cpu_pct", "mem_mb", "drop_pct")]
+    return minutes.groupBy("id", "ts_us", "dt").agg(*counts, *gauges)
+
+
 CONNECTION_KEYS = ["low", "high", "protocol"]
 
 
@@ -85,25 +99,50 @@ def connection_rows(measured: DataFrame) -> DataFrame:
     )
 
 
+def _merged(parts: DataFrame, *keys: str) -> DataFrame:
+    return parts.groupBy(*CONNECTION_KEYS, *keys).agg(
+        F.min("first_us").alias("first_us"),
+        F.max("last_us").alias("last_us"),
+        F.min("first").alias("first"),
+        *[F.sum(name).alias(name) for name in ("pkt_count", "forward_bytes", "backward_bytes")],
+        F.max("closed").alias("closed"),
+    )
+
+
 def connections(packets: DataFrame) -> DataFrame:
     """Connections: packets of both directions of a 5-tuple without an idle hour between them.
 
     One row per 5-tuple and hour is aggregated before the connections are told apart, so a busy
     5-tuple costs no window over its packets.
     """
+    return connection_rows(connection_parts(packets))
+
+
+def connection_parts(packets: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """What the packets add to each connection; ``before`` are the ones that an earlier run has left open.
+
+    A part holds the first packet of its connection, also where an earlier run has seen it; parts without packets
+    of their own belong to connections that only stay open.
+    """
     hours = with_ends(packets).groupBy(*CONNECTION_KEYS, hour_of().alias("hour")).agg(*connection_measures())
-    merged = (
-        number_sessions(hours, *CONNECTION_KEYS)
-        .groupBy(*CONNECTION_KEYS, "sid")
-        .agg(
-            F.min("first_us").alias("first_us"),
-            F.max("last_us").alias("last_us"),
-            F.min("first").alias("first"),
-            *[F.sum(name).alias(name) for name in ("pkt_count", "forward_bytes", "backward_bytes")],
-            F.max("closed").alias("closed"),
-        )
-    )
-    return connection_rows(merged)
+    if before is not None:
+        zero = F.lit(0).cast("bigint")
+        names = ["pkt_count", "forward_bytes", "backward_bytes"]
+        at_last = {"first_us": F.col("last_us"), "hour": hour_of("last_us"), "closed": F.lit(0), **{n: zero for n in names}}
+        hours = hours.unionByName(before.withColumns(at_last))
+    return _merged(number_sessions(hours, *CONNECTION_KEYS), "sid")
+
+
+def open_connections(parts: DataFrame, border_us: int) -> DataFrame:
+    """Connections that a packet after the border can still belong to."""
+    return parts.where(F.col("last_us") >= border_us - IDLE_SECONDS * MICROS).select(*CONNECTION_KEYS, "first", "last_us")
+
+
+def merged_connections(parts: DataFrame) -> DataFrame:
+    """Connections from the parts of all runs; those with the same first packet are one."""
+    own = parts.drop("sid", "first_us", "run").withColumnRenamed("first", "opened")
+    opened = own.withColumns({"first": F.col("opened"), "first_us": F.col("opened.ts_us")})
+    return connection_rows(_merged(opened, "opened"))
 
 
 # Metrics by the way they are computed from the packets of a source, protocol and minute.

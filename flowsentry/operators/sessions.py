@@ -22,8 +22,11 @@ def hour_of(ts_us="ts_us") -> Column:
 
 
 def number_sessions(hours: DataFrame, *keys: str) -> DataFrame:
-    """Number the sessions of rows that hold ``first_us`` and ``last_us`` per key and hour."""
-    in_order = Window.partitionBy(*keys).orderBy("hour")
+    """Number the sessions of rows that hold ``first_us`` and ``last_us`` per key and hour.
+
+    An hour may have a row before its own that stands for what an earlier run has carried on.
+    """
+    in_order = Window.partitionBy(*keys).orderBy("hour", "first_us")
     gap = F.col("first_us") - F.lag("last_us").over(in_order)
     starts = F.coalesce((gap > IDLE_SECONDS * MICROS).cast("int"), F.lit(0))
     running = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -61,11 +64,15 @@ def with_session_ids(rows: DataFrame, hours: DataFrame) -> DataFrame:
 
 
 def reaching(hours: DataFrame, bounds: dict[str, int]) -> DataFrame:
-    """Hours of the sessions in which a measure reaches its bound, with the totals of the session."""
+    """Hours of the sessions in which a measure reaches its bound, with the totals of the session.
+
+    Rows marked ``carried`` count in the totals and are no hours of their own.
+    """
     session = Window.partitionBy("src_ip", "sid")
     summed = hours.withColumns({f"total_{name}": F.sum(name).over(session) for name in bounds})
     conditions = [F.col(f"total_{name}") >= least for name, least in bounds.items()]
     kept = summed.where(reduce(lambda left, right: left | right, conditions))
+    kept = kept.where("NOT carried") if "carried" in hours.columns else kept
     return kept.select("src_ip", "hour", "sid", *[f"total_{name}" for name in bounds])
 
 

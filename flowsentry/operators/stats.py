@@ -93,6 +93,17 @@ def top_talkers(packets: DataFrame, k: int = 10) -> DataFrame:
     return top_k(talkers, "pkt_count", k, ["src_ip"])
 
 
+def protocols_of_rollup(protocol_stats: DataFrame, k: int = 16) -> DataFrame:
+    """The same as ``protocol_distribution``, from packets per minute and protocol."""
+    return top_k(protocol_stats.groupBy("protocol").agg(F.sum("pkt_count").alias("cnt")), "cnt", k, ["protocol"])
+
+
+def talkers_of_rollup(source_stats: DataFrame, k: int = 10) -> DataFrame:
+    """The same as ``top_talkers``, from sums per day and source."""
+    sums = [F.sum(name).alias(name) for name in ("pkt_count", "bytes", "threat_count")]
+    return top_k(source_stats.groupBy("src_ip").agg(*sums), "pkt_count", k, ["src_ip"])
+
+
 def geo_traffic(geo: DataFrame) -> DataFrame:
     return (
         geo.groupBy("country")

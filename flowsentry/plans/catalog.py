@@ -20,10 +20,11 @@ from flowsentry.operators import (
     sessions,
     stats,
 )
+from flowsentry.plans.batch_job import analyze
 from flowsentry.plans.views import read_table, view
 from flowsentry.session import ensure_checkpoint_dir
-from flowsentry.sources import tables
-from flowsentry.streaming import jobs, rollups as rollup_streams, state
+from flowsentry.sources import capture, tables
+from flowsentry.streaming import jobs, live, rollups as rollup_streams, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +62,13 @@ def _row_findings(spark, sf_dir):
     return detect.row_rules(_packets(spark, sf_dir))
 
 
+def _live_findings(spark, sf_dir):
+    """The findings of all rules over packets with and without payloads, written once."""
+    path = scratch(spark, "findings")
+    detect.all_findings(view(spark, sf_dir, "live_packets")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 # Scans and sinks ------------------------------------------------------------------------------
 
 PACKET_COLUMNS = [
@@ -139,13 +147,13 @@ ALERT_COLUMNS = [
 
 @query
 def s5_sink_alerts(spark, sf_dir):
-    alerts = alerting.build_alerts(_row_findings(spark, sf_dir))
+    alerts = alerting.build_alerts(_live_findings(spark, sf_dir))
     return tables.scan_alerts(spark, _stored(spark, alerts, "alerts", tables.sink_alerts)).select(*ALERT_COLUMNS)
 
 
 @query
 def s6_sink_mitre(spark, sf_dir):
-    findings = _row_findings(spark, sf_dir)
+    findings = _live_findings(spark, sf_dir)
     alerts = tables.scan_alerts(spark, _stored(spark, alerting.build_alerts(findings), "alerts"))
     hits = _stored(spark, alerting.build_mitre_events(findings), "mitre_events", tables.sink_mitre)
     linked = lookups.alerts_with_techniques(alerts, tables.scan_mitre(spark, hits))
@@ -187,9 +195,11 @@ def p2_eq_filters(spark, sf_dir):
 
 @query
 def p3_search_events(spark, sf_dir):
-    packets = _packets(spark, sf_dir)
-    found = filters.search_events(packets, query="push", protocol="TCP", src_ip="10.0.1", dst_ip="192.168")
-    more = filters.search_events(packets, query="psh", protocol="TCP", src_ip="10.0.1", dst_ip="192.168")
+    """Over the stored table, day by day from the last one."""
+    path = _stored(spark, _packets(spark, sf_dir), "packets")
+    packets, days = tables.scan_packets(spark, path), tables.days(spark, path)
+    found = filters.search_events(packets, query="push", protocol="TCP", src_ip="10.0.1", dst_ip="192.168", days=days)
+    more = filters.search_events(packets, query="psh", protocol="TCP", src_ip="10.0.1", dst_ip="192.168", days=days)
     return more.unionByName(found).select("pid", "ts_us", "src_ip", "dst_ip", "flags")
 
 
@@ -327,7 +337,8 @@ def j7_ack_overlay(spark, sf_dir):
 
 @query
 def j8_mark_malicious(spark, sf_dir):
-    marked = lookups.mark_malicious(_packets(spark, sf_dir), _row_findings(spark, sf_dir))
+    packets = view(spark, sf_dir, "live_packets")
+    marked = lookups.mark_malicious(packets, detect.all_findings(packets))
     return marked.select("pid", "is_malicious")
 
 
@@ -358,6 +369,23 @@ def a4_top_talkers(spark, sf_dir):
     return stats.top_talkers(_packets(spark, sf_dir))
 
 
+@query
+def a3_protocols_of_rollup(spark, sf_dir):
+    """From the rollup per minute and protocol, as the dashboard reads it."""
+    path = scratch(spark, "protocol_stats")
+    rollups.protocol_stats(_packets(spark, sf_dir)).write.parquet(path)
+    return stats.protocols_of_rollup(rollups.merged_protocol_stats(spark.read.parquet(path)))
+
+
+@query
+def a4_talkers_of_rollup(spark, sf_dir):
+    """From the sums per day and source, as the dashboard reads them."""
+    path = scratch(spark, "source_stats")
+    stored = tables.scan_packets(spark, _stored(spark, _packets(spark, sf_dir), "packets"))
+    rollups.source_stats(stored).write.parquet(path)
+    return stats.talkers_of_rollup(spark.read.parquet(path))
+
+
 @query
 def a5_geo_traffic(spark, sf_dir):
     return stats.geo_traffic(view(spark, sf_dir, "geo_traffic"))
@@ -478,14 +506,15 @@ def w6_session_ids(spark, sf_dir):
 def t1_recent_alerts(spark, sf_dir):
     """Over the stored table, whose days prune the read; its keys are texts, so ties go by text."""
     alerts = _alerts(spark, sf_dir)
-    stored = tables.scan_alerts(spark, _stored(spark, alerts, "alerts"))
-    return filters.recent_alerts(stored, 50, "HIGH").select(*alerts.columns)
+    path = _stored(spark, alerts, "alerts")
+    stored = tables.scan_alerts(spark, path)
+    return filters.recent_alerts(stored, 50, "HIGH", tables.days(spark, path)).select(*alerts.columns)
 
 
 @query
 def t2_recent_events(spark, sf_dir):
-    stored = tables.scan_packets(spark, _stored(spark, _packets(spark, sf_dir), "packets"))
-    return filters.recent_events(stored)
+    path = _stored(spark, _packets(spark, sf_dir), "packets")
+    return filters.recent_events(tables.scan_packets(spark, path), days=tables.days(spark, path))
 
 
 @query
@@ -656,6 +685,46 @@ def d14_all_findings(spark, sf_dir):
     return alerting.with_techniques(detect.all_findings(_packets(spark, sf_dir)))
 
 
+def _stretches(df, parts: int):
+    """The rows cut into stretches of time with about the same number of rows each, cuts inside attacks included."""
+    cuts = df.approxQuantile("ts_us", [part / parts for part in range(1, parts)], 0.001)
+    edges = [None, *[int(cut) for cut in cuts], None]
+    for low, high in zip(edges, edges[1:]):
+        later = F.lit(True) if low is None else F.col("ts_us") > low
+        yield df.where(later if high is None else later & (F.col("ts_us") <= high))
+
+
+def in_runs(df, root: str, parts: int = 3, **options) -> None:
+    """The batch job over stretches of time, each run going on from the one before."""
+    for number, part in enumerate(_stretches(df, parts)):
+        before = f"{number - 1}" if number else None
+        analyze(part, root, f"{number}", after=before, goes_on=number < parts - 1, **options)
+
+
+@query
+def d23_findings_over_runs(spark, sf_dir):
+    """All findings, from three runs of the batch job."""
+    root = scratch(spark, "runs")
+    in_runs(_packets(spark, sf_dir), root)
+    return alerting.with_techniques(spark.read.parquet(f"{root}/findings").drop("run"))
+
+
+@query
+def a15_connections_over_runs(spark, sf_dir):
+    """Connections that go on over the borders of three runs."""
+    root, before = scratch(spark, "connection_parts"), None
+    for number, part in enumerate(_stretches(view(spark, sf_dir, "two_way_packets"), 3)):
+        rollups.connection_parts(part, before).write.parquet(f"{root}/run={number}")
+        written = spark.read.parquet(f"{root}/run={number}")
+        before = rollups.open_connections(written, written.agg(F.max("last_us")).first()[0])
+    return rollups.merged_connections(spark.read.parquet(root).where("pkt_count > 0"))
+
+
+@query
+def d24_findings_of_all_rules(spark, sf_dir):
+    return alerting.with_techniques(detect.all_findings(view(spark, sf_dir, "live_packets")))
+
+
 @query
 def d15_build_alerts(spark, sf_dir):
     return alerting.build_alerts(detect.all_findings(_packets(spark, sf_dir))).select(*ALERT_COLUMNS)
@@ -710,6 +779,35 @@ def s3_packet_stream(spark, sf_dir):
     return tables.scan_packets(spark, path).select(*PACKET_COLUMNS)
 
 
+def _capture(spark, sf_dir):
+    """Capture files of the packets, and their folder."""
+    bits = F.when(F.col("flags") == "SYN", 2).when(F.col("flags") == "ACK", 16).when(F.col("flags") == "PSH|ACK", 24).otherwise(0)
+    l4 = F.when(F.col("protocol").isin("ICMP", "ARP"), F.col("protocol")).otherwise(F.col("l4"))
+    path = scratch(spark, "capture")
+    frames = _transport(_packets(spark, sf_dir)).withColumns({"flag_bits": bits, "l4": l4, "payload": F.lit(None).cast("binary")})
+    capture.write_capture(frames.repartition(3, "pid"), path)
+    return path
+
+
+CAPTURED = ["ts_us", "src_ip", "dst_ip", "src_port", "dst_port", "l4", "length", "flags"]
+
+
+@query
+def s3_capture_files(spark, sf_dir):
+    """Packets written as capture files and read back by ranges of bytes."""
+    path = _capture(spark, sf_dir)
+    packets, broken = capture.split_broken(spark.read.format("capture").option("splitBytes", 30_000).load(path))
+    return packets.select(*CAPTURED).unionByName(broken.select(*CAPTURED[:-1]), allowMissingColumns=True)
+
+
+@query
+def s3_capture_stream(spark, sf_dir):
+    """The same as a stream of files."""
+    stream = spark.readStream.format("capture").option("path", _capture(spark, sf_dir)).load()
+    found = capture.split_broken(stream)[0].select(*CAPTURED)
+    return jobs.run_available(found, scratch(spark, "out"), scratch(spark, "checkpoint"))
+
+
 _streamed("r1_stream_row_rules", rollup_streams.stream_row_rules)
 _streamed("r2_stream_rates", state.stream_rates)
 _streamed("r3_stream_counters", state.stream_counters)
@@ -751,12 +849,60 @@ def r9_late_data(spark, sf_dir):
     return jobs.run_available(counted, scratch(spark, "out"), scratch(spark, "checkpoint"))
 
 
+@query
+def s7_stream_geo(spark, sf_dir):
+    """Geo rows written from a packet stream."""
+    rows = rollup_streams.stream_geo(_stream(spark, _packets(spark, sf_dir)), view(spark, sf_dir, "geo_ranges"))
+    path = scratch(spark, "geo_traffic")
+    tables.stream_to(rows, path, scratch(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return tables.scan_geo(spark, path).drop("dt", "ts")
+
+
+@query
+def j4_stream_orphan_hits(spark, sf_dir):
+    """Hits whose alert has not come within the time that the join waits for it."""
+    alerts = _alerts(spark, sf_dir).select("*", F.lit("").alias("description"))
+    hits = _stream(spark, view(spark, sf_dir, "mitre_events"), "mitre_events", closing=True)
+    orphans = rollup_streams.stream_orphan_hits(_stream(spark, alerts, "alerts", closing=True), hits, "1 day")
+    found = jobs.run_available(orphans, scratch(spark, "out"), scratch(spark, "checkpoint"))
+    return found.select("id", "alert_id", "technique_id")
+
+
+def _files_in_order(spark, packets, watermark="1 minute", closing=False):
+    """A stream of three files, a micro-batch each, in the order of time."""
+    source = scratch(spark, "packets")
+    stored = tables.to_table(packets, "packets").drop("dt")
+    for part in [*_stretches(stored, 3), *([_closing_row(stored)] if closing else [])]:
+        part.coalesce(1).write.mode("append").parquet(source)
+    return tables.packet_stream(spark, source, watermark, max_files=1)
+
+
+@query
+def r_stream_runs(spark, sf_dir):
+    """The live job as runs of the batch rules: alerts with their hits, as committed over several micro-batches."""
+    stream = _files_in_order(spark, view(spark, sf_dir, "live_packets"), closing=True)
+    root = scratch(spark, "live")
+    live.runs_writer(stream, root, scratch(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    linked = lookups.alerts_with_techniques(*[live.read_committed(spark, root, name) for name in ("alerts", "mitre_events")])
+    return linked.select("id", "raw_data", "description", "technique_id", "technique_name", "tactic", "confidence")
+
+
+@query
+def r7_rollup_upsert(spark, sf_dir):
+    """The rollup per minute and protocol as it is at rest after several micro-batches in update mode."""
+    stream = _files_in_order(spark, _packets(spark, sf_dir), "40 days")
+    path = scratch(spark, "rollup")
+    writer = jobs.rollup_writer(rollup_streams.stream_protocol_stats(stream), path, scratch(spark, "checkpoint"), ["bucket", "protocol"])
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return jobs.read_rollup(spark, path)
+
+
 @query
 def r_stream_alerts(spark, sf_dir):
-    stream = _stream(spark, _packets(spark, sf_dir))
-    findings = rollup_streams.stream_row_rules(stream)
-    alerts, hits = scratch(spark, "alerts"), scratch(spark, "hits")
-    writer = jobs.alert_writer(findings, alerts, hits, scratch(spark, "checkpoint"))
+    """The live job over all rules: alerts with their hits, as committed."""
+    stream = _stream(spark, view(spark, sf_dir, "live_packets"), closing=True)
+    root = scratch(spark, "live")
+    writer = live.live_writer(live.stream_findings(stream), root, scratch(spark, "checkpoint"))
     writer.trigger(availableNow=True).start().awaitTermination()
-    linked = lookups.alerts_with_techniques(tables.scan_alerts(spark, alerts), tables.scan_mitre(spark, hits))
+    linked = lookups.alerts_with_techniques(*[live.read_committed(spark, root, name) for name in ("alerts", "mitre_events")])
     return linked.select("id", "raw_data", "description", "technique_id", "technique_name", "tactic", "confidence")

@@ -148,6 +148,17 @@ PAYLOAD_HEX = {
     "client_hello": "160301004A010000460301AABB",
 }
 
+# Plain packets and those with payloads in one table, so that every rule has its packets.
+LIVE_PACKETS = """
+SELECT pid, ts_us, src_ip, dst_ip, src_port, dst_port, protocol, length, flags, is_malicious,
+  CAST(NULL AS BINARY) AS payload, CAST(NULL AS STRING) AS qname, CAST(NULL AS STRING) AS src_mac
+FROM {packets}
+UNION ALL
+SELECT pid + 1000000000, ts_us, src_ip, dst_ip, src_port, dst_port, protocol,
+  CAST(coalesce(octet_length(payload), 28) AS INT), '', 0, payload, qname, src_mac
+FROM {payload_packets}
+"""
+
 VIEWS = {
     "packets": PACKETS,
     "alerts": ALERTS,
@@ -157,6 +168,7 @@ VIEWS = {
     "two_way_packets": TWO_WAY_PACKETS,
     "geo_ranges": GEO_RANGES,
     "payload_packets": PAYLOAD_PACKETS,
+    "live_packets": LIVE_PACKETS,
 }
 
 
@@ -176,6 +188,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame over the tables in ``sf_dir``."""
     if name == "two_way_packets":
         tables = {"packets": view(spark, sf_dir, "packets")}
+    elif name == "live_packets":
+        tables = {part: view(spark, sf_dir, part) for part in ("packets", "payload_packets")}
     elif name == "payload_packets":
         tables = {"pages": read_table(spark, sf_dir, "pages")}
     else:

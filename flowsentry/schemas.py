@@ -70,6 +70,14 @@ PROTOCOL_STATS = _table(
     ("byte_count", LONG, True),
 )
 
+SOURCE_STATS = _table(
+    ("day", T.DateType(), True),
+    ("src_ip", STRING, False),
+    ("pkt_count", LONG, True),
+    ("bytes", LONG, True),
+    ("threat_count", LONG, True),
+)
+
 GEO_TRAFFIC = _table(
     ("id", LONG, False),
     ("ts_us", LONG, False),

@@ -2,11 +2,14 @@
 
 A scan takes the columns from the schema constants and never infers. ``dt`` comes from the folder
 names, so a bound on it prunes whole days; inside a day files are sorted by time and the row-group
-statistics of ``ts_us`` prune the rest.
+statistics of ``ts_us`` prune the rest. Packets also carry Bloom filters of their addresses, which prune row groups for
+a filter on one address.
 """
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +24,39 @@ FILES_PER_TRIGGER = 16
 ROWS_PER_TRIGGER = 20_000_000
 
 
+# Columns whose equality filters an index helps, per table; the filters grow with the values up to a megabyte each.
+INDEXED = {"packets": ["src_ip", "dst_ip"]}
+
+
+def _folder(spark: SparkSession, path: str):
+    """A path and its file system, wherever the table lies."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, path = _folder(spark, path)
+    return files.exists(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library has written."""
+    files, path = _folder(spark, path)
+    files.delete(path, True)
+
+
+def days(spark: SparkSession, path: str) -> list[date]:
+    """The days of a table, from the names of its folders: no job, no file is opened. Runs may have folders of their own."""
+    found = set()
+    for pattern in ("dt=*", "*=*/dt=*"):
+        files, glob = _folder(spark, f"{path}/{pattern}")
+        for status in files.globStatus(glob) or []:
+            name = status.getPath().getName().removeprefix("dt=")
+            if name[:1].isdigit():
+                found.add(date.fromisoformat(name))
+    return sorted(found)
+
+
 def _at_rest(table: str) -> T.StructType:
     return T.StructType([*schemas.TABLES[table].fields, T.StructField("dt", T.DateType(), True)])
 
@@ -64,21 +100,22 @@ def packet_stream(
     watermark: str = "1 minute",
     max_files: int = FILES_PER_TRIGGER,
     kafka: dict[str, str] | None = None,
+    max_bytes: str | None = None,
 ) -> DataFrame:
     """Packets as a stream with a watermark on ``ts``, from files or from a Kafka topic.
 
     Kafka values are JSON objects with the packet columns; broken ones are left out, see
     ``parse_messages`` for a stream of them to quarantine. ``kafka`` holds the reader options, with
     ``maxOffsetsPerTrigger`` among them. The limit per trigger bounds the rows that one source can
-    have in a micro-batch, so there always is one.
+    have in a micro-batch, so there always is one: of files their number or, instead, their ``max_bytes`` (such as "4g").
     """
     if kafka is not None:
         options = {"maxOffsetsPerTrigger": str(ROWS_PER_TRIGGER), **kafka}
         raw = spark.readStream.format("kafka").options(**options).load()
         packets, _ = parse_messages(raw)
     else:
-        reader = spark.readStream.schema(schemas.PACKETS).option("maxFilesPerTrigger", max_files)
-        packets = reader.parquet(path)
+        limit = ("maxFilesPerTrigger", max_files) if max_bytes is None else ("maxBytesPerTrigger", max_bytes)
+        packets = spark.readStream.schema(schemas.PACKETS).option(*limit).parquet(path)
     packets = packets.withColumn("payload", F.unhex("payload_hex"))
     return packets.withColumn("ts", timestamp_of()).withWatermark("ts", watermark)
 
@@ -106,9 +143,10 @@ def append(df: DataFrame, table: str, path: str, mode: str = "append") -> None:
     One task writes one range of time, so a busy day is many files.
     """
     rows = to_table(df, table)
-    rows.repartitionByRange("dt", "ts_us").sortWithinPartitions("dt", "ts_us").write.mode(mode).partitionBy(
-        "dt"
-    ).parquet(path)
+    writer = rows.repartitionByRange("dt", "ts_us").sortWithinPartitions("dt", "ts_us").write.mode(mode).partitionBy("dt")
+    for name in INDEXED.get(table, []):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
+    writer.option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path)
 
 
 def sink_packets(packets: DataFrame, path: str, mode: str = "append") -> None:
@@ -128,17 +166,23 @@ def sink_geo(geo: DataFrame, path: str, mode: str = "append") -> None:
     append(geo.drop("city", "pkt_count"), "geo_traffic", path, mode)
 
 
-def stream_packets_to(packets: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """A writer that appends a packet stream, exactly once per packet."""
+def geo_rows(placed: DataFrame) -> DataFrame:
+    """Placed packets as rows of the geo table: one packet each, without the city."""
+    return to_table(placed.drop("city", "pkt_count"), "geo_traffic")
+
+
+def stream_to(rows: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """A writer that appends a stream of table rows, exactly once per row."""
     return (
-        to_table(packets, "packets")
-        .writeStream.format("parquet")
-        .partitionBy("dt")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
+        rows.writeStream.format("parquet").partitionBy("dt").option("path", path).option("checkpointLocation", checkpoint)
     )
 
 
+def stream_packets_to(packets: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """A writer that appends a packet stream, exactly once per packet."""
+    return stream_to(to_table(packets, "packets"), path, checkpoint)
+
+
 def ack_alerts(alerts: DataFrame, acks: DataFrame) -> DataFrame:
     """Alerts as they read after the acknowledgements; the acks are an append-only table."""
     return ack_overlay(alerts, acks)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from flowsentry.operators.alerts import build_alerts, build_mitre_events
+from flowsentry.sources import tables
 from flowsentry.sources.tables import to_table
 
 
@@ -32,20 +33,39 @@ def alert_writer(findings: DataFrame, alerts_path: str, mitre_path: str, checkpo
     return findings.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def rollup_writer(rollup: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """A rollup in update mode: every micro-batch appends the rows it changed, with its number."""
+def rollup_writer(rollup: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataStreamWriter:
+    """A rollup in update mode with one row per key at rest, partitioned by the day of its ``bucket``.
+
+    A micro-batch replaces the rows it changed by rewriting the days they are in. The new days are written aside first, so
+    that a replay after a crash in the middle takes them from there; a query with a new checkpoint ends at the same table.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        staged = f"{path}-staged/{query}/{batch_id}"
+        if not tables.exists(spark, f"{staged}/_SUCCESS"):
+            changed = batch.withColumn("dt", F.to_date(F.timestamp_seconds("bucket"))).persist()
+            try:
+                touched = [row["dt"] for row in changed.select("dt").distinct().collect()]
+                rows = changed
+                if touched and tables.exists(spark, path):
+                    stored = spark.read.schema(changed.schema).parquet(path).where(F.col("dt").isin(touched))
+                    rows = stored.join(changed.select(*keys), keys, "left_anti").unionByName(changed)
+                rows.repartition("dt").write.mode("overwrite").parquet(staged)
+            finally:
+                changed.unpersist()
+        merged = spark.read.schema(batch.withColumn("dt", F.current_date()).schema).parquet(staged)
+        writer = merged.repartition("dt").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("dt").parquet(path)
+        tables.remove(spark, staged)
 
     return rollup.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def read_rollup(changes: DataFrame, keys: list[str]) -> DataFrame:
-    """The newest version of every row of a table written by ``rollup_writer``."""
-    values = [name for name in changes.columns if name not in (*keys, "batch")]
-    newest = F.max_by(F.struct(*values), "batch").alias("newest")
-    return changes.groupBy(*keys).agg(newest).select(*keys, "newest.*")
+def read_rollup(spark: SparkSession, path: str) -> DataFrame:
+    """A table written by ``rollup_writer``."""
+    return spark.read.parquet(path).drop("dt")
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsentry.functions.scalar import MICROS
-from flowsentry.operators import detect
+from flowsentry.operators import detect, lookups
 from flowsentry.operators.rollups import CONNECTION_KEYS, connection_measures, connection_rows, with_ends
 from flowsentry.operators.sessions import IDLE_SECONDS
+from flowsentry.sources import tables
 
 # Sessions end after more than an idle hour, so a gap of exactly an hour still belongs to one.
 IDLE_GAP = f"{IDLE_SECONDS * MICROS + 1} microseconds"
@@ -27,6 +28,14 @@ def stream_row_rules(packets: DataFrame) -> DataFrame:
     return detect.row_rules(packets)
 
 
+def stream_minute_rules(packets: DataFrame) -> DataFrame:
+    """Rules on whole minutes, FTP login failures and ARP spoofing, once the watermark has passed the minute."""
+    minute = F.window("ts", "1 minute")
+    failures = detect.ftp_failures(packets).groupBy("src_ip", "dst_ip", minute).agg(*detect.failure_measures())
+    speakers = detect.arp_packets(packets).groupBy("src_ip", minute).agg(*detect.speaker_measures())
+    return detect.ftp_findings(failures).unionByName(detect.arp_findings(speakers))
+
+
 def stream_protocol_stats(packets: DataFrame) -> DataFrame:
     return (
         packets.groupBy(F.window("ts", "1 minute"), "protocol")
@@ -69,6 +78,31 @@ def stream_port_windows(packets: DataFrame, limit: int = 50, window: str = "1 mi
     )
 
 
+def stream_geo(packets: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Geo rows of the packets whose source is in a range; the ranges are at rest."""
+    placed = lookups.geo_lookup(packets, ranges, keep_unmatched=False).withColumnRenamed("pid", "id")
+    return tables.geo_rows(placed)
+
+
+def stream_hits(alerts: DataFrame, hits: DataFrame, within: str) -> DataFrame:
+    """Technique hits with the severity of their alert, NULL for those that have none.
+
+    Alert and hit lie at most ``within`` apart. Both sides keep their rows that long, by their watermarks; a hit
+    without an alert comes out when the watermark has passed the time in which one could come. Hits that name no alert
+    are none of these.
+    """
+    reach = F.expr(f"INTERVAL {within}")
+    named = hits.where(F.col("alert_id").isNotNull())
+    mine = alerts.select(F.col("id").alias("_alert"), F.col("ts").alias("_ts"), "severity")
+    near = (F.col("_ts") >= F.col("ts") - reach) & (F.col("_ts") <= F.col("ts") + reach)
+    return named.join(mine, (F.col("alert_id") == F.col("_alert")) & near, "left")
+
+
+def stream_orphan_hits(alerts: DataFrame, hits: DataFrame, within: str) -> DataFrame:
+    """Technique hits whose alert does not exist."""
+    return stream_hits(alerts, hits, within).where(F.col("_alert").isNull()).select(*hits.columns)
+
+
 def stream_sessions(packets: DataFrame) -> DataFrame:
     """Sessions of a source whose idle hour is over, which is when their state is dropped."""
     return (

@@ -1,6 +1,6 @@
 """Stateful detection on packet streams.
 
-State is kept per source and day for floods, per source and target for port scans, else per
+State is kept per source and block of five minutes for floods, per source and target for port scans, else per
 source; it holds a few numbers plus the times a rule still needs. A micro-batch brings the rows of one key together, so the limit per
 trigger of the stream is what bounds a task.
 """
@@ -19,14 +19,16 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from flowsentry import dims
 from flowsentry.functions.scalar import MICROS, int_div, is_truthy_port
 from flowsentry.operators import detect
-from flowsentry.operators.detect import EXFIL_LIMIT, SSH_ATTEMPTS
+from flowsentry.operators.detect import BEACON, EXFIL_LIMIT, SCAN_PORTS, SSH_ATTEMPTS, Beacon
 from flowsentry.operators.gaps import HORIZON_SECONDS
 from flowsentry.operators.ordered import ResettingSet, ResettingSum, RunningCount
+from flowsentry.operators.rates import CELL_SECONDS
 from flowsentry.operators.sessions import IDLE_SECONDS
 
 IDLE_US = IDLE_SECONDS * MICROS
 HORIZON_US = HORIZON_SECONDS * MICROS
-BLOCK_US = 86_400 * MICROS
+BLOCK_US = 300 * MICROS
+CELL_US = CELL_SECONDS * MICROS
 DNS_EVERY = 100
 
 # A hit: the packet, the rule, and up to two numbers for the description.
@@ -54,7 +56,10 @@ def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 class RateProcessor(StatefulProcessor):
-    """Sliding counts of a source in one block of time; the end of the block before is context."""
+    """Sliding counts of a source in one block of time; the end of the block before is context.
+
+    Times and their packets are kept per cell of a few seconds, so a micro-batch writes the cells of its own rows only.
+    """
 
     def __init__(self, rules, watermark_us: int):
         self.rules = [rule._asdict() for rule in rules]
@@ -62,22 +67,28 @@ class RateProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.ticks = handle.getValueState("ticks", "times array<bigint>, counts array<bigint>")
+        self.cells = handle.getMapState("cells", "cell bigint", "times array<bigint>, counts array<bigint>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = _in_order(rows)
-        times, counts = self.ticks.get() if self.ticks.exists() else ([], [])
         now = frame["ts_us"].to_numpy(dtype=np.int64)
-        all_times = np.concatenate([np.asarray(times, dtype=np.int64), now])
-        weights = np.concatenate([np.asarray(counts, dtype=np.int64), np.ones(len(now), dtype=np.int64)])
-        ticks, at = np.unique(all_times, return_inverse=True)
+        held = {cell: value for (cell,), value in self.cells.iterator()}
+        if not held:
+            self.handle.registerTimer((int(key[1]) + 1) * BLOCK_US // 1000 + 1)
+        times = [np.asarray(value[0], dtype=np.int64) for value in held.values()]
+        counts = [np.asarray(value[1], dtype=np.int64) for value in held.values()]
+        weights = np.concatenate([*counts, np.ones(len(now), dtype=np.int64)])
+        ticks, at = np.unique(np.concatenate([*times, now]), return_inverse=True)
         weights = np.bincount(at, weights=weights).astype(np.int64)
         # Packets that come late, within the watermark, still find their history and their block.
-        keep = ticks > ticks[-1] - self.kept
-        self.ticks.update((ticks[keep].tolist(), weights[keep].tolist()))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer((int(key[1]) + 1) * BLOCK_US // 1000 + 1)
+        passed = (ticks[-1] - self.kept) // CELL_US
+        for cell in set((now // CELL_US).tolist()):
+            if cell >= passed:
+                part = slice(*np.searchsorted(ticks, [cell * CELL_US, (cell + 1) * CELL_US]).tolist())
+                self.cells.updateValue((cell,), (ticks[part].tolist(), weights[part].tolist()))
+        for cell in held:
+            if cell < passed:
+                self.cells.removeKey((cell,))
 
         running = np.concatenate([[0], np.cumsum(weights)])
         until = np.searchsorted(ticks, now, side="right")
@@ -95,7 +106,7 @@ class RateProcessor(StatefulProcessor):
         yield pd.concat(found, ignore_index=True) if found else _NO_HITS
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.ticks.clear()
+        self.cells.clear()
         yield _NO_HITS
 
     def close(self) -> None:
@@ -105,9 +116,9 @@ class RateProcessor(StatefulProcessor):
 class SourceProcessor(StatefulProcessor):
     """Rules on the history of a source: counters and sums, gaps."""
 
-    def __init__(self, counters: bool = False, beacons: bool = False, watermark_us: int = 60 * MICROS):
+    def __init__(self, counters: bool = False, beacon: Beacon | None = None, watermark_us: int = 60 * MICROS):
         self.counters = counters
-        self.beacons = beacons
+        self.beacon = None if beacon is None else {**beacon._asdict(), "most": beacon.most_events()}
         self.slack = watermark_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -121,7 +132,7 @@ class SourceProcessor(StatefulProcessor):
         held = self.state.get() if self.state.exists() else ([], 0, 0, 0, None)
         events, dns, ssh, total, last = held
         found = []
-        if self.beacons:
+        if self.beacon is not None:
             hits, events = self._beacon_hits(frame, events)
             found += hits
         if self.counters:
@@ -144,18 +155,18 @@ class SourceProcessor(StatefulProcessor):
         pass
 
     def _beacon_hits(self, frame, events):
-        most = int(HORIZON_SECONDS // 20) + 1
+        rule, most = self.beacon, self.beacon["most"]
         now = frame["ts_us"].to_numpy(dtype=np.int64)
         all_times = np.sort(np.concatenate([np.asarray(events, dtype=np.int64), now]))
         gaps = np.diff(all_times) / MICROS
         rows, measures = [], []
         start = np.searchsorted(all_times, now - HORIZON_US, side="left")
         end = np.searchsorted(all_times, now, side="right")
-        candidates = (frame["protocol"].to_numpy() == "HTTP") & (end - start >= 6) & (end - start <= most)
+        candidates = (frame["protocol"].to_numpy() == "HTTP") & (end - start >= rule["min_events"]) & (end - start <= most)
         for row in np.flatnonzero(candidates):
             history = gaps[start[row] : end[row] - 1]
             mean = float(history.mean())
-            if round(float(history.var()), 6) < 5 and 20 < mean < 300:
+            if round(float(history.var()), 6) < rule["max_variance"] and rule["min_gap"] < mean < rule["max_gap"]:
                 rows.append(row)
                 measures.append(round(mean))
         found = [_hits(frame, rows, "c2_beacon", measures)] if rows else []
@@ -193,17 +204,52 @@ class SourceProcessor(StatefulProcessor):
 
 
 class PortScanProcessor(StatefulProcessor):
-    """Distinct ports per source and target, cleared when there are too many. Never idle-reset."""
+    """Distinct ports per source and target, cleared when there are too many.
+
+    Each port is an entry of its own, so a micro-batch writes new ports only. Sets end when their pair is idle for longer
+    than ``idle_us``, if that is given.
+    """
+
+    def __init__(self, limit: int, idle_us: int | None = None):
+        self.limit = limit
+        self.idle = idle_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ports = handle.getValueState("ports", "ports array<bigint>")
+        self.handle = handle
+        self.ports = handle.getMapState("ports", "port bigint", "seen boolean")
+        self.last = handle.getValueState("last", "last_us bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = _in_order(rows)
-        held = list(self.ports.get()[0]) if self.ports.exists() else []
-        state, hits, measure = ResettingSet(detect.SCAN_PORTS).run(held, frame["dst_port"].to_numpy(dtype=np.int64))
-        self.ports.update(([int(port) for port in state],))
-        yield _hits(frame, hits, "port_scan", measure)
+        now, probed = (frame[name].to_numpy(dtype=np.int64) for name in ("ts_us", "dst_port"))
+        held = [port for (port,) in self.ports.keys()]
+        edges, cleared, state, hits, measures = [0, len(now)], False, held, [], []
+        if self.idle is not None:
+            before = np.concatenate([[self.last.get()[0] if self.last.exists() else now[0]], now[:-1]])
+            pauses = np.flatnonzero(now - before > self.idle).tolist()
+            edges = [0, *pauses, len(now)]
+            newest = max(int(now[-1]), int(before[0]))
+            self.last.update((newest,))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer((newest + self.idle) // 1000 + 1)
+        for part, (start, end) in enumerate(zip(edges, edges[1:])):
+            if part:  # after a pause
+                state, cleared = [], True
+            state, found, measure = ResettingSet(self.limit).run(state, probed[start:end])
+            cleared = cleared or bool(len(found))
+            hits.append(found + start)
+            measures.append(measure)
+        if cleared:
+            self.ports.clear()
+        for port in set(state) - (set() if cleared else set(held)):
+            self.ports.updateValue((int(port),), (True,))
+        yield _hits(frame, np.concatenate(hits), "port_scan", np.concatenate(measures))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.ports.clear()
+        self.last.clear()
+        yield _NO_HITS
 
     def close(self) -> None:
         pass
@@ -236,8 +282,8 @@ def _per_source(packets: DataFrame, processor: SourceProcessor) -> DataFrame:
 def stream_rates(packets: DataFrame, watermark_seconds: int = 60) -> DataFrame:
     """Flood rules on sliding counts.
 
-    State is kept per source and day: a packet goes to its own day, and as context to the next
-    one if it is still in a window there. A backlog of a busy source so spreads over its days.
+    State is kept per source and block of five minutes: a packet goes to its own block, and as context to the next
+    one if it is still in a window there. A backlog of a busy source so spreads over its blocks.
     """
     longest_us = max(rule.seconds for rule in detect.RATE_RULES) * MICROS
     block = int_div("ts_us", BLOCK_US)
@@ -258,21 +304,23 @@ def stream_counters(packets: DataFrame) -> DataFrame:
     return _per_source(packets, SourceProcessor(counters=True))
 
 
-def stream_beacon(packets: DataFrame, watermark_seconds: int = 60) -> DataFrame:
-    return _per_source(packets, SourceProcessor(beacons=True, watermark_us=watermark_seconds * MICROS))
+def stream_beacon(packets: DataFrame, watermark_seconds: int = 60, beacon: Beacon = BEACON) -> DataFrame:
+    return _per_source(packets, SourceProcessor(beacon=beacon, watermark_us=watermark_seconds * MICROS))
 
 
 def stream_source_rules(packets: DataFrame, watermark_seconds: int = 60) -> DataFrame:
     """All rules on the history of a source."""
-    history = _per_source(packets, SourceProcessor(True, True, watermark_seconds * MICROS))
+    history = _per_source(packets, SourceProcessor(True, BEACON, watermark_seconds * MICROS))
     return stream_rates(packets, watermark_seconds).unionByName(history)
 
 
-def stream_port_scan(packets: DataFrame) -> DataFrame:
+def stream_port_scan(packets: DataFrame, limit: int = SCAN_PORTS, idle_seconds: int | None = None) -> DataFrame:
+    """Port sets never end, as in batch; ``idle_seconds`` ends those of pairs idle for longer, which bounds the state."""
+    processor = PortScanProcessor(limit, None if idle_seconds is None else idle_seconds * MICROS)
     tcp = packets.where((F.col("protocol") == "TCP") & is_truthy_port("dst_port"))
     hits = (
         tcp.select(*_PACKET, "dst_port", "ts")
         .groupBy("src_ip", "dst_ip")
-        .transformWithStateInPandas(PortScanProcessor(), HIT_SCHEMA, "append", "eventTime")
+        .transformWithStateInPandas(processor, HIT_SCHEMA, "append", "eventTime")
     )
     return _as_findings(hits)

@@ -247,6 +247,7 @@ _KNOWN = (
 ORACLES["d14_all_findings"] = findings(
     f"SELECT f.*, {_KNOWN} FROM findings f LEFT JOIN tech t USING (mitre_key)", _ALL, _TECH
 )
+ORACLES["d23_findings_over_runs"] = ORACLES["d14_all_findings"]
 _TITLE = "array_to_string(list_transform(string_split({0}, '_'), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
 _KEY = "md5(concat(f.pid, '|', f.rule))"
 _ALERT_ROWS = f"""SELECT {_KEY} AS id, f.ts_us, f.severity, {_TITLE.format('f.threat_type')} AS alert_type, f.src_ip, f.dst_ip,
@@ -254,26 +255,23 @@ _ALERT_ROWS = f"""SELECT {_KEY} AS id, f.ts_us, f.severity, {_TITLE.format('f.th
   concat('{{"pid":', f.pid, ',"rule":"', f.rule, '"}}') AS raw_data
 FROM findings f LEFT JOIN tech t USING (mitre_key)"""
 ORACLES["d15_build_alerts"] = findings(_ALERT_ROWS, _ALL, _TECH)
-ORACLES["s5_sink_alerts"] = findings(_ALERT_ROWS, _ROW, _TECH)
 ORACLES["d16_build_mitre_events"] = findings(
     f"SELECT md5(concat({_KEY}, '|technique')) AS id, {_KEY} AS alert_id, f.ts_us, t.technique_id, t.technique_name,"
     " t.tactic, CAST(r.confidence AS DOUBLE) AS confidence"
     " FROM findings f JOIN tech t USING (mitre_key) JOIN rules r USING (rule)", _ALL, _TECH, _RULE
 )
-ORACLES["s6_sink_mitre"] = findings(
-    f"SELECT {_KEY} AS id," + """ concat('{"pid":', f.pid, ',"rule":"', f.rule, '"}') AS raw_data, f.description, t.technique_id,
+_LINKED = f"SELECT {_KEY} AS id," + """ concat('{"pid":', f.pid, ',"rule":"', f.rule, '"}') AS raw_data, f.description, t.technique_id,
   t.technique_name, t.tactic, CAST(r.confidence AS DOUBLE) AS confidence
-FROM findings f JOIN tech t USING (mitre_key) JOIN rules r USING (rule)""", _ROW, _TECH, _RULE
-)
+FROM findings f JOIN tech t USING (mitre_key) JOIN rules r USING (rule)"""
 _SESSIONS = """SELECT f.src_ip, f.threat_type, min(f.ts_us) AS first_seen, max(f.ts_us) AS last_seen,
   CAST(max(r.confidence) AS DOUBLE) AS confidence, count(*) AS packet_count, 0 AS blocked
 FROM findings f JOIN rules r USING (rule) GROUP BY f.src_ip, f.threat_type"""
 ORACLES["a14_threat_sessions"] = findings(_SESSIONS, _ALL, _RULE)
 ORACLES["p11_alert_id"] = findings(f"SELECT f.pid, f.rule, {_KEY} AS alert_id FROM findings f", _ROW)
 ORACLES["f10_describe"] = findings("SELECT pid, rule, description FROM findings", _ROW)
-ORACLES["j8_mark_malicious"] = findings(
+_MARKED = (
     "SELECT pid, CASE WHEN is_malicious = 1 OR pid IN (SELECT pid FROM findings) THEN 1 ELSE 0 END AS is_malicious"
-    " FROM packets", _ROW
+    " FROM packets"
 )
 
 # Sinks, filters -------------------------------------------------------------------------------
@@ -435,7 +433,8 @@ WHERE ts_us > (SELECT max(ts_us) FROM packets) - 86400000000 GROUP BY 1"""
 ORACLES["a3_protocol_distribution"] = packets(
     "SELECT protocol, count(*) AS cnt FROM packets GROUP BY 1 ORDER BY cnt DESC, protocol LIMIT 16"
 )
-ORACLES["a4_top_talkers"] = packets(_TALKERS)
+ORACLES["a3_protocols_of_rollup"] = ORACLES["a3_protocol_distribution"]
+ORACLES["a4_top_talkers"] = ORACLES["a4_talkers_of_rollup"] = packets(_TALKERS)
 ORACLES["a5_geo_traffic"] = _query(
     ["geo_traffic"],
     """SELECT country, CAST(sum(pkt_count) AS BIGINT) AS total, CAST(sum(is_threat) AS BIGINT) AS threats,
@@ -486,6 +485,8 @@ FROM (SELECT *, first_value(me) OVER (PARTITION BY pair, protocol, sid ORDER BY
 GROUP BY pair, protocol, sid""",
 )
 
+ORACLES["a15_connections_over_runs"] = ORACLES["a15_connections"]
+
 # Windows --------------------------------------------------------------------------------------
 
 ORACLES["w1_recent_count"] = packets(
@@ -624,6 +625,24 @@ ORACLES["d21_tls_old_version"] = _payload_rule(
     "malware_callback",
 )
 
+
+
+def live(body: str, *more: tuple[str, str]) -> str:
+    """SQL over the findings of all rules, those on payloads included, on packets with and without payloads."""
+    names = {"events": "events", "pages": "pages", "packets": "plain", "payload_packets": "loaded"}
+    texts = {"plain": "packets", "loaded": "payload_packets", "packets": "live_packets"}
+    parts = [(name, view_text(text, DUCK_WORDS, names)) for name, text in texts.items()]
+    needed: dict[str, str] = {}
+    for ctes, _ in _RULES.values():
+        needed |= dict(ctes)
+    selects = [select for _, select in _RULES.values()] + [text.replace("payload_packets", "packets") for text in _PAYLOAD_RULES.values()]
+    return _query([], body, [*parts, *needed.items(), ("findings", " UNION ALL ".join(selects)), *more])
+
+
+ORACLES["s5_sink_alerts"] = live(_ALERT_ROWS, _TECH)
+ORACLES["s6_sink_mitre"] = live(_LINKED, _TECH, _RULE)
+ORACLES["j8_mark_malicious"] = live(_MARKED)
+ORACLES["d24_findings_of_all_rules"] = live(f"SELECT f.*, {_KNOWN} FROM findings f LEFT JOIN tech t USING (mitre_key)", _TECH)
 ORACLES["d22_stored_payload_findings"] = _query(["payload_packets"], " UNION ALL ".join(_PAYLOAD_RULES.values()))
 ORACLES["r1_stream_payload_rules"] = _query(
     ["payload_packets"], " UNION ALL ".join(_PAYLOAD_RULES[rule] for rule in ("sqli", "dns_tunnel", "tls_old_version"))
@@ -632,12 +651,27 @@ ORACLES["r1_stream_payload_rules"] = _query(
 # Streams: as in batch ------------------------------------------------------------------------
 
 ORACLES["s3_packet_stream"] = ORACLES["s1_scan_packets"]
+_L4 = "CASE WHEN protocol IN ('UDP', 'DNS', 'NTP') THEN 'UDP' WHEN protocol IN ('ICMP', 'ARP') THEN protocol ELSE 'TCP' END"
+ORACLES["s3_capture_files"] = ORACLES["s3_capture_stream"] = packets(
+    """SELECT ts_us, src_ip, dst_ip, CASE WHEN l4 IN ('TCP', 'UDP') THEN src_port END AS src_port,
+  CASE WHEN l4 IN ('TCP', 'UDP') THEN coalesce(dst_port, 0) END AS dst_port, l4,
+  greatest(length, CASE l4 WHEN 'TCP' THEN 54 ELSE 42 END) AS length,
+  CASE WHEN l4 <> 'TCP' OR flags = '' THEN 'NONE' WHEN flags = 'PSH|ACK' THEN 'ACK|PSH' ELSE flags END AS flags
+FROM (SELECT *, """ + _L4 + """ AS l4 FROM packets)"""
+)
 ORACLES["r1_stream_row_rules"] = findings("SELECT * FROM findings", _ROW)
 ORACLES["r2_stream_rates"] = findings("SELECT * FROM findings", ["syn_flood", "udp_flood", "http_flood", "icmp_flood"])
 ORACLES["r3_stream_counters"] = findings("SELECT * FROM findings", ["dns_recon", "ssh_brute_force", "exfil"])
 ORACLES["r4_stream_port_scan"] = ORACLES["d1_port_scan"]
 ORACLES["r5_stream_beacon"] = ORACLES["d6_c2_beacon"]
-ORACLES["r_stream_alerts"] = ORACLES["s6_sink_mitre"]
+ORACLES["r_stream_alerts"] = ORACLES["r_stream_runs"] = ORACLES["s6_sink_mitre"]
+ORACLES["s7_stream_geo"] = ORACLES["s7_sink_geo"]
+ORACLES["r7_rollup_upsert"] = ORACLES["a13_protocol_stats"]
+ORACLES["j4_stream_orphan_hits"] = _query(
+    ["alerts", "mitre_events"],
+    """SELECT CAST(id AS VARCHAR) AS id, CAST(alert_id AS VARCHAR) AS alert_id, technique_id FROM mitre_events m
+WHERE alert_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM alerts a WHERE a.id = m.alert_id AND abs(a.ts_us - m.ts_us) <= 86400000000)""",
+)
 ORACLES["r2_stream_rate_windows"] = packets(
     """SELECT bucket, src_ip, count(*) AS packets, count(*) FILTER (protocol = 'TCP' AND flags = 'SYN') AS triggers
 FROM (SELECT *, unnest(range(ts_us // 1000000 - 9, ts_us // 1000000 + 1)) AS bucket FROM packets)
