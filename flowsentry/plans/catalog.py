@@ -745,7 +745,7 @@ CLOSING_US = 3 * 86400 * scalar.MICROS
 def _closing_row(stored):
     """A row days after the last one: it moves the watermark past all others, and its own window stays open."""
     end = F.lit(latest(stored) + CLOSING_US)
-    marks = {"pid": F.lit(-1), "id": F.lit("-1"), "protocol": F.lit("END"), "src_ip": F.lit("0.0.0.0"), "dst_ip": F.lit("0.0.0.0")}
+    marks = {"pid": F.lit(-1), "id": F.lit("-1"), "protocol": F.lit("END"), "src_ip": F.lit("0.0.0.0"), "dst_ip": F.lit("0.0.0.0"), "alert_id": F.lit("-1")}
     return stored.limit(1).withColumns({"ts_us": end, **{k: v for k, v in marks.items() if k in stored.columns}})
 
 
@@ -868,11 +868,11 @@ def j4_stream_orphan_hits(spark, sf_dir):
     return found.select("id", "alert_id", "technique_id")
 
 
-def _files_in_order(spark, packets, watermark="1 minute", closing=False):
-    """A stream of three files, a micro-batch each, in the order of time."""
+def _files_in_order(spark, packets, watermark="1 minute", closing=False, parts=3):
+    """A stream of files, a micro-batch each, in the order of time."""
     source = scratch(spark, "packets")
     stored = tables.to_table(packets, "packets").drop("dt")
-    for part in [*_stretches(stored, 3), *([_closing_row(stored)] if closing else [])]:
+    for part in [*_stretches(stored, parts), *([_closing_row(stored)] if closing else [])]:
         part.coalesce(1).write.mode("append").parquet(source)
     return tables.packet_stream(spark, source, watermark, max_files=1)
 
@@ -880,7 +880,7 @@ def _files_in_order(spark, packets, watermark="1 minute", closing=False):
 @query
 def r_stream_runs(spark, sf_dir):
     """The live job as runs of the batch rules: alerts with their hits, as committed over several micro-batches."""
-    stream = _files_in_order(spark, view(spark, sf_dir, "live_packets"), closing=True)
+    stream = _files_in_order(spark, view(spark, sf_dir, "live_packets"), closing=True, parts=2)
     root = scratch(spark, "live")
     live.runs_writer(stream, root, scratch(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
     linked = lookups.alerts_with_techniques(*[live.read_committed(spark, root, name) for name in ("alerts", "mitre_events")])

@@ -33,6 +33,11 @@ def alert_writer(findings: DataFrame, alerts_path: str, mitre_path: str, checkpo
     return findings.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def consume(batch: DataFrame) -> None:
+    """Compute a micro-batch without a result: state stores want all of it computed, also on a replay that writes nothing."""
+    batch.write.format("noop").mode("overwrite").save()
+
+
 def rollup_writer(rollup: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataStreamWriter:
     """A rollup in update mode with one row per key at rest, partitioned by the day of its ``bucket``.
 
@@ -44,7 +49,9 @@ def rollup_writer(rollup: DataFrame, path: str, checkpoint: str, keys: list[str]
         spark = batch.sparkSession
         query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
         staged = f"{path}-staged/{query}/{batch_id}"
-        if not tables.exists(spark, f"{staged}/_SUCCESS"):
+        if tables.exists(spark, f"{staged}/_SUCCESS"):
+            consume(batch)
+        else:
             changed = batch.withColumn("dt", F.to_date(F.timestamp_seconds("bucket"))).persist()
             try:
                 touched = [row["dt"] for row in changed.select("dt").distinct().collect()]

@@ -27,6 +27,7 @@ from flowsentry.operators.alerts import build_alerts, build_mitre_events
 from flowsentry.sources import tables
 from flowsentry.sources.tables import to_table
 from flowsentry.streaming import rollups, state
+from flowsentry.streaming.jobs import consume
 
 _ATTEMPT = T.StructType(
     [T.StructField("query", T.StringType()), T.StructField("batch", T.LongType()), T.StructField("attempt", T.StringType())]
@@ -77,6 +78,7 @@ def live_writer(findings: DataFrame, root: str, checkpoint: str) -> DataStreamWr
         spark = batch.sparkSession
         place, attempt = _place(spark, batch_id), uuid.uuid4().hex
         if _is_committed(spark, root, place):
+            consume(batch)
             return
         batch = batch.persist()
         try:

@@ -2,6 +2,7 @@
 
 import ipaddress
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -403,9 +404,10 @@ def test_newest_rows_come_from_the_last_days(spark, packets_of, tmp_path):
     assert len(days) == 20 and days == sorted(days) and tables.days(spark, str(tmp_path / "none")) == []
 
     def jobs_of(function):
-        spark.sparkContext.setJobGroup("newest", "newest rows")
+        group = f"newest-{uuid.uuid4()}"
+        spark.sparkContext.setJobGroup(group, "newest rows")
         found = function()
-        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("newest"))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
         return found, jobs
 
@@ -426,7 +428,12 @@ def test_a_filter_on_an_address_skips_row_groups(spark, packets_of, tmp_path):
 
     rows = [{"ts_us": n * 1000, "src_ip": f"10.0.{n // 1000}.{n % 7}"} for n in range(8000)]
     path = str(tmp_path / "packets")
-    tables.append(packets_of(rows).repartition(8), "packets", path)
+    coalesced = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesced, "false")  # so few rows would be one file
+    try:
+        tables.append(packets_of(rows), "packets", path)
+    finally:
+        spark.conf.set(coalesced, "true")
     wanted = tables.scan_packets(spark, path).where(F.col("src_ip") == "10.0.3.5")
     assert wanted.count() == 143
     plan = wanted.select("pid")
@@ -435,6 +442,13 @@ def test_a_filter_on_an_address_skips_row_groups(spark, packets_of, tmp_path):
     assert 143 <= scanned <= 3000
 
 
+def test_prepare_resets_the_batches_that_another_operator_has_bounded(spark):
+    from flowsentry.session import prepare
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    assert prepare(spark).conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
 def test_broken_messages_go_to_quarantine(spark):
     from flowsentry.sources import tables
 
