@@ -39,7 +39,6 @@ from flowsentry.llm.components import components
 
 LEAF = 128  # points of a leaf
 STRETCH = 200  # texts that follow one node's text in verification
-BROADCAST_NODES = 50_000  # rows of four short columns, some megabytes
 COARSE, FINE = (4, 256), (1, 4096)  # members per group, and most groups, of the two points of a set
 RANGE_BITS = 17  # hash ranges whose use is counted: a table of fixed size, half a megabyte
 KNOWN = 100_000  # sets that a task remembers to have emitted
@@ -230,7 +229,6 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` whose whole texts, from ``texts (_node, _text)``, are similar enough."""
     import pyarrow as pa
 
-    # Few documents are broadcast, so that the texts of all others need no shuffle.
     asked = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_k")).select("a", F.ceil(F.col("_k") / STRETCH).cast("int").alias("_parts"))
     followers = pairs.join(asked, "a").select(
         F.col("a").alias("_lead"), F.pmod(F.xxhash64("b"), F.col("_parts")).cast("int").alias("_part"), F.col("b").alias("_node")
@@ -238,9 +236,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     leaders = asked.select(
         F.col("a").alias("_lead"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.col("a").alias("_node")
     )
-    wanted = settle(followers.unionByName(leaders), "wanted")
-    if wanted.count() <= BROADCAST_NODES:
-        wanted = F.broadcast(wanted)
+    # One way at every size, as in the join by ids.
+    wanted = settle(followers.unionByName(leaders), "wanted").hint("merge")
     found = (
         texts.join(wanted, "_node")
         .select("_lead", "_part", (F.col("_lead") != F.col("_node")).alias("_follows"), "_node", "_text")
