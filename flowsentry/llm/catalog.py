@@ -123,7 +123,7 @@ def op8_quality(spark, sf_dir):
 def op9_langid(spark, sf_dir):
     documents = common.read(spark, sf_dir, "documents")
     held_out = langid.bucket(F.col("doc_id"), 4) == 2
-    model = langid.fit_if_labelled(documents.where(~held_out))
+    model = langid.fit_if_labelled(documents.where(~held_out), max_languages=None)
     return langid.predict(documents.select("doc_id", "text"), model).select(
         "doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score")
     )

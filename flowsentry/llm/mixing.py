@@ -43,7 +43,7 @@ def rates(
     """``_mix_key, _mix_rate``: the mean repetition rate of each source.
 
     The budget is ``epochs`` times the bytes of ``df``. Without ``weights`` a source's weight is its size
-    to the power ``temperature``; sources that ``weights`` leaves out get none.
+    to the power ``temperature``; sources that ``weights`` leaves out or gives 0 get none, also if all are 0.
     """
     sizes = df.select(_key(df[source]).alias("_mix_key"), (size_of(df[text]) + 1).alias("_b")).groupBy("_mix_key").agg(
         F.sum("_b").cast("double").alias("_bytes")
@@ -57,10 +57,11 @@ def rates(
         )
         weighted = sizes.join(given, "_mix_key")
     whole = Window.partitionBy(F.lit(1))  # one row a source
+    given_weight = F.nullif(F.sum("_w").over(whole), F.lit(0.0))
     total = sizes.agg(F.sum("_bytes").alias("_total"))
     return weighted.join(F.broadcast(total)).select(
         "_mix_key",
-        (F.lit(epochs) * F.col("_total") * F.col("_w") / F.sum("_w").over(whole) / F.col("_bytes")).alias("_mix_rate"),
+        F.coalesce(F.lit(epochs) * F.col("_total") * F.col("_w") / given_weight / F.col("_bytes"), F.lit(0.0)).alias("_mix_rate"),
     )
 
 

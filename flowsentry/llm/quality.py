@@ -160,6 +160,16 @@ class Discriminant:
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50)))
 
 
+@dataclass
+class Share:
+    """Without labelled rows of both classes: the share of label 1 among those there are, one half without any."""
+
+    share: float
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return np.full(len(x), self.share)
+
+
 def discriminant(sums: list[tuple[float, np.ndarray, np.ndarray]], shrink: float, pooled: float) -> Discriminant:
     """From each class's count, sum and sum of outer products."""
     counts = np.array([count for count, _, _ in sums])
@@ -178,8 +188,11 @@ def discriminant(sums: list[tuple[float, np.ndarray, np.ndarray]], shrink: float
     return Discriminant(np.log(counts / counts.sum()), means, np.array(factors), np.array(half_logs))
 
 
-def fit(stats: DataFrame, label: str = "label", shrink: float = 0.002, pooled: float = 0.3) -> Discriminant:
-    """Learn from ``stats`` and a 0/1 ``label``; the sums of all rows are made by Spark."""
+def fit(stats: DataFrame, label: str = "label", shrink: float = 0.002, pooled: float = 0.3) -> Discriminant | Share:
+    """Learn from ``stats`` and a 0/1 ``label``; the sums of all rows are made by Spark.
+
+    Empty tables, and labels of one class only, give a constant score.
+    """
     d = len(STATISTICS)
     rows = stats.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("k"), "stats")
     pair = F.flatten(F.transform("stats", lambda a: F.transform("stats", lambda b: a * b)))
@@ -187,10 +200,12 @@ def fit(stats: DataFrame, label: str = "label", shrink: float = 0.002, pooled: f
     sums = np.zeros((2, 1 + d + d * d))
     for k, i, v in parts.groupBy("k", "i").agg(F.sum("v")).collect():  # 2 x 273 numbers, however many rows
         sums[k, i] = v
+    if (sums[:, 0] < 1).any():
+        return Share(float(sums[1, 0] / sums[:, 0].sum()) if sums[:, 0].any() else 0.5)
     return discriminant([(s[0], s[1 : 1 + d], s[1 + d :].reshape(d, d)) for s in sums], shrink, pooled)
 
 
-def score(stats: DataFrame, model: Discriminant, temper: float = 1.0) -> DataFrame:
+def score(stats: DataFrame, model: Discriminant | Share, temper: float = 1.0) -> DataFrame:
     """``doc_id, score`` with ``score`` in [0, 1]."""
     import pyarrow as pa
 

@@ -12,7 +12,7 @@ broadcast or collected. Blocks are bounded, so is a task's memory.
 
 A vector that is null or holds a null or a component that is not finite takes no part, neither as query nor as
 candidate. Shorter vectors count as followed by zeros. Rows that are equal, id included, are separate candidates, and each
-row with a query id is a query of its own. Scores beyond a 64-bit integer are cut to its range. A null id takes no part.
+row with a query id is a query of its own. Scores beyond a 64-bit integer are cut to its range, integers beyond 1e300 to that. A null id takes no part.
 Other columns may have any names; an empty table gives an empty result.
 """
 
@@ -31,6 +31,7 @@ CHUNK = 512  # queries of a chunk
 LEVELS = 8
 SPARE = 8
 EXACT = float(1 << 53)  # integers up to here are exact in doubles
+HUGE = 1e300  # integers beyond are cut to this
 
 _PACKED = "_rows binary, _ids binary, _width long, _vectors binary"
 
@@ -47,7 +48,8 @@ def _pack(df: DataFrame, rows: int) -> DataFrame:
                 sizes = np.diff(lists.offsets.to_numpy())
                 width = int(sizes.max()) if len(sizes) else 0
                 vectors = np.zeros((part.num_rows, width))
-                flat = np.floor(256 * lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+                with np.errstate(over="ignore"):
+                    flat = np.clip(np.floor(256 * lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)), -HUGE, HUGE)
                 vectors[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
                 packed = [part.column(i).to_numpy(zero_copy_only=False).astype("<i8").tobytes() for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays(

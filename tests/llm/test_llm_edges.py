@@ -456,3 +456,63 @@ def test_salvage_looks_for_both_kinds_of_restart():
     stored = gzip.compress(a + b, 0)
     cut = stored[:-8] + b"\0" * 8
     assert names(warc.salvage(cut + packed)) == ["<urn:page:1>", "<urn:page:2>", (0, len(cut)), "<urn:page:3>"]
+
+
+# Edges found later ----------------------------------------------------------------------------
+
+
+def test_weights_of_zero_give_no_copies(spark):
+    rows = docs(spark, [(1, "a", "x"), (2, "b", "y"), (3, "c", None)])
+    assert mixing.mix(rows, weights={"x": 0.0, "y": 0.0}).count() == 0
+    kept = mixing.mix(rows, weights={"x": 0.0, "y": 1.0}, epochs=20).select("doc_id").distinct()
+    assert [r.doc_id for r in kept.collect()] == [2]
+
+
+def test_topk_of_huge_components(spark):
+    rows = [(0, [1.7e308, 1.0]), (1, [-1.7e308, 2.0]), (50, [1e306, 0.0]), (51, [0.5, 0.25])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.search(df, F.col("vec_id") % 50 == 0).collect()
+    top = {(r.query_id, r.rank): (r.vec_id, r.score) for r in got}
+    most = (1 << 63) - 1
+    assert top[0, 1] == (50, most) and top[0, 3] == (1, -most - 1) and len(got) == 6
+
+
+def test_quality_without_labels(spark):
+    rows = quality.with_statistics(docs(spark, [(1, "some words here"), (2, ""), (3, None)]))
+    labelled = rows.withColumn("label", F.lit(1))
+    for fitted, share in ((labelled.limit(0), 0.5), (labelled, 1.0)):
+        got = quality.score(rows, quality.fit(fitted)).collect()
+        assert len(got) == 3 and all(abs(r.score - share) < 1e-9 for r in got)
+    assert quality.score(rows.limit(0), quality.fit(labelled.limit(0))).count() == 0
+
+
+def test_langid_query_learns_every_language(spark, tmp_path):
+    """More languages than the operator's default: the query learns all of them."""
+    from flowsentry.llm import catalog
+
+    letters = [chr(0x4E00 + 7 * k) for k in range(110)]
+    rows = [(k * 20 + i, letters[k] * 6 + " " + letters[k] * (2 + i % 3), f"l{k:03}") for k in range(110) for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.op9_langid(spark, str(tmp_path)).collect()
+    right = sum(r.lang_pred == f"l{r.doc_id // 20:03}" for r in got)
+    assert len(got) == len(rows) and len({r.lang_pred for r in got}) >= 105 and right > 0.9 * len(rows)
+
+
+def test_discriminant_against_plain_formulas(spark):
+    """Shrunk covariances, log densities and scores written out row by row."""
+    rng = np.random.default_rng(4)
+    d = len(quality.STATISTICS)
+    x = rng.normal(size=(60, d)) + np.repeat([[0.0], [0.7]], 30, axis=0)
+    y = [0] * 30 + [1] * 30
+    df = spark.createDataFrame([(i, r.tolist(), k) for i, (r, k) in enumerate(zip(x, y))], "doc_id long, stats array<double>, label int")
+    got = {r.doc_id: r.score for r in quality.score(df, quality.fit(df, shrink=0.1, pooled=0.2)).collect()}
+    spreads = [np.cov(x[30 * k : 30 * k + 30].T, bias=True) for k in (0, 1)]
+    common = (spreads[0] + spreads[1]) / 2
+    logs = []
+    for k in (0, 1):
+        mixed = 0.8 * spreads[k] + 0.2 * common
+        s = 0.9 * mixed + 0.1 * np.diag(np.diag(mixed)) + 1e-4 * np.eye(d)
+        z = x - x[30 * k : 30 * k + 30].mean(axis=0)
+        logs.append(np.log(0.5) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * np.einsum("ij,jk,ik->i", z, np.linalg.inv(s), z))
+    want = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50)))
+    assert np.allclose([got[i] for i in range(60)], np.clip(want, 1e-12, 1 - 1e-12), atol=1e-8)
