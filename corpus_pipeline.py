@@ -1,4 +1,9 @@
-"""A corpus pipeline over documents; each stage calls one operator of ``flowsentry.llm``."""
+"""A corpus pipeline over documents; each stage calls one operator of ``flowsentry.llm``.
+
+Stages take and return the columns of documents; others that the input has are left out. Null texts are rejected by the first
+stage and count as empty in the others. Rows without an id are kept by the second and third stage as long as their text is
+theirs alone; rows that share an id stay or go together in the third. An empty table goes through as one.
+"""
 
 from __future__ import annotations
 
@@ -11,13 +16,16 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without a letter go, whatever their language and however sure it is."""
+    """Language ID: documents without a letter go, whatever their language and however sure it is.
+
+    Where the language was not known, the predicted one takes its place and stays to the end.
+    """
     docs = docs.select(*COLUMNS)
     model = langid.fit_if_labelled(docs.where(langid.bucket(F.col("doc_id"), 4) != 2), max_languages=None)
     if not model.languages:  # nothing is named, so the letters decide alone
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    named = langid.predict(docs, model)
-    return named.where(F.col("lang_pred") != langid.UNDETERMINED).select(*COLUMNS)
+    named = langid.predict(docs, model).where(F.col("lang_pred") != langid.UNDETERMINED)
+    return named.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +48,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE: the ids of each copy, and whether they decode to its text."""
-    made = bpe.round_trip(docs.select("doc_id", "source", "text"))
+    made = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"))
     return made.select(
         "doc_id",
+        "lang",
         "source",
         bpe.n_tokens().alias("n_tokens"),
         "token_ids",
