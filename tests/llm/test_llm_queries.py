@@ -194,3 +194,36 @@ def test_run_applies_the_stages_in_order(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
     assert corpus_pipeline.run(spark, SF_DIR).count() == 5
     assert calls == ["language_id", "exact_dedup", "near_duplicates", "mixing", "byte_bpe"]
+
+
+def test_language_id_names_what_had_no_language(spark):
+    docs = common.read(spark, SF_DIR, "documents")
+    kept = corpus_pipeline.keep_known_languages(spark, docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang"))), SF_DIR)
+    both = kept.select("doc_id", F.col("lang").alias("named")).join(docs.where("lang IS NOT NULL"), "doc_id").collect()
+    odd = [r.named == r.lang for r in both if r.doc_id % 2]
+    assert all(r.named == r.lang for r in both if r.doc_id % 2 == 0) and sum(odd) / len(odd) > 0.9
+
+
+def test_pipeline_edges(spark):
+    """Nulls, repeated ids, extra columns and an empty table go through every stage."""
+    text = "a few words that make a text of its own, number "
+    rows = [(i, text + "x" * i, "en", "s", 5, "extra") for i in range(1, 9)]
+    rows += [(None, "without an id this text stays", None, None, None, "extra"), (3, "the same id with another text", "en", "s", 5, "extra")]
+    rows += [(20, None, "en", "s", 0, "extra"), (21, "", None, "s", 0, "extra"), (22, "12 34", "en", "s", 5, "extra"), (23, rows[0][1], "en", "t", 5, "extra")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _node string"
+    docs, seen = spark.createDataFrame(rows, schema), {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = common.settle(stage(spark, docs, SF_DIR), name)
+        seen[name] = docs
+        assert name == "byte_bpe" or docs.columns == corpus_pipeline.COLUMNS
+    ids = {name: sorted((r.doc_id is None, r.doc_id) for r in df.select("doc_id").collect()) for name, df in seen.items()}
+    first = sorted([(False, i) for i in [*range(1, 9), 3, 23]] + [(True, None)])
+    assert ids["language_id"] == first
+    assert ids["exact_dedup"] == [x for x in first if x != (False, 1)]  # 23 has the text of 1
+    assert set(ids["near_duplicates"]) <= set(ids["exact_dedup"]) and (True, None) in ids["near_duplicates"]
+    assert set(ids["byte_bpe"]) <= set(ids["near_duplicates"])
+    assert all(r.round_trip for r in seen["byte_bpe"].collect())
+    empty = spark.createDataFrame([], schema)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = common.settle(stage(spark, empty, SF_DIR), "empty")
+        assert empty.count() == 0
