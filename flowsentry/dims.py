@@ -87,16 +87,19 @@ THRESHOLDS = [
     ("TCP", "syn_rate", 100.0),
     ("TCP", "conn_rate", 50.0),
     ("UDP", "flood_pps", 500.0),
+    ("UDP", "amp_factor", 10.0),
     ("HTTP", "req_rate", 200.0),
     ("HTTPS", "req_rate", 200.0),
     ("DNS", "query_rate", 100.0),
     ("ICMP", "ping_rate", 50.0),
     ("ICMP", "large_pkt", 1000.0),
+    ("FTP", "data_conn", 20.0),
     ("SSH", "session_rate", 10.0),
     ("SMTP", "relay_rate", 50.0),
     ("SMTP", "attach_size", 10000000.0),
     ("SNMP", "scan_rate", 20.0),
     ("NTP", "amp_pkt", 468.0),
+    ("ARP", "gratuitous", 5.0),
     ("ARP", "scan_rate", 30.0),
     ("QUIC", "stream_flood", 100.0),
 ]

@@ -150,6 +150,7 @@ _COUNTS = ["syn_rate", "req_rate", "query_rate", "ping_rate", "session_rate", "r
 _MAXIMA = ["large_pkt", "attach_size", "amp_pkt"]
 _DISTINCT = {"conn_rate": ["dst_ip", "dst_port"], "scan_rate": ["dst_ip"]}
 _GROUP = ["src_ip", "protocol", "minute"]
+FTP_DATA = 20  # fixed value: the port of FTP data connections
 
 
 def _metric_rows(grouped: DataFrame, values: dict[str, Column]) -> DataFrame:
@@ -190,7 +191,33 @@ def minute_metrics(packets: DataFrame) -> DataFrame:
         rows = keyed.where(F.col("protocol").isin(protocols_of([metric]))).select(*_GROUP, *columns)
         counts = rows.distinct().groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n"))
         parts.append(_metric_rows(counts, {metric: F.col("n")}))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [*parts, _gratuitous(keyed), _data_connections(keyed), _amplification(keyed)])
+
+
+def _gratuitous(keyed: DataFrame) -> DataFrame:
+    """ARP packets of an address about itself."""
+    own = keyed.where((F.col("protocol") == "ARP") & (F.col("src_ip") == F.col("dst_ip")))
+    return _metric_rows(own.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n")), {"gratuitous": F.col("n")})
+
+
+def _data_connections(keyed: DataFrame) -> DataFrame:
+    """Different targets of FTP packets from or to the data port."""
+    data = keyed.where((F.col("protocol") == "FTP") & ((F.col("src_port") == FTP_DATA) | (F.col("dst_port") == FTP_DATA)))
+    counts = data.select(*_GROUP, "dst_ip", "dst_port").distinct().groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n"))
+    return _metric_rows(counts, {"data_conn": F.col("n")})
+
+
+def _amplification(keyed: DataFrame) -> DataFrame:
+    """UDP bytes that an address gets in a minute, as a multiple of those it sends; who sends none has no factor."""
+    udp = keyed.where(F.col("protocol") == "UDP")
+    none = F.lit(0).cast("int")
+    ends = F.array(
+        F.struct(F.col("src_ip").alias("ip"), F.col("length").alias("sent"), none.alias("got")),
+        F.struct(F.col("dst_ip").alias("ip"), none.alias("sent"), F.col("length").alias("got")),
+    )
+    sums = udp.select("protocol", "minute", F.inline(ends)).groupBy(F.col("ip").alias("src_ip"), "protocol", "minute")
+    both = sums.agg(F.sum("sent").alias("sent"), F.sum("got").alias("got")).where("sent > 0 AND got > 0")
+    return _metric_rows(both, {"amp_factor": F.col("got") / F.col("sent")})
 
 
 def threshold_rules(packets: DataFrame) -> DataFrame:

@@ -393,7 +393,14 @@ def _metric(protocol: str, metric: str) -> str:
         "large_pkt": "max(length)",
         "attach_size": "max(length)",
         "amp_pkt": "max(length)",
+        "gratuitous": "count(*) FILTER (src_ip = dst_ip)",
+        "data_conn": "count(DISTINCT concat(dst_ip, '/', coalesce(CAST(dst_port AS VARCHAR), '-'))) FILTER (src_port = 20 OR dst_port = 20)",
     }.get(metric, "count(*)")
+    if metric == "amp_factor":
+        return """SELECT ip AS src_ip, 'UDP' AS protocol, minute, 'amp_factor' AS metric, sum(got) / sum(sent) AS value
+FROM (SELECT src_ip AS ip, ts_us // 60000000 * 60 AS minute, length AS sent, 0 AS got FROM packets WHERE protocol = 'UDP'
+  UNION ALL SELECT dst_ip, ts_us // 60000000 * 60, 0, length FROM packets WHERE protocol = 'UDP')
+GROUP BY 1, 3 HAVING sum(sent) > 0 AND sum(got) > 0"""
     return (
         f"SELECT src_ip, protocol, ts_us // 60000000 * 60 AS minute, '{metric}' AS metric, CAST({value} AS DOUBLE) AS value"
         f" FROM packets WHERE protocol = '{protocol}' GROUP BY 1, 2, 3"

@@ -457,3 +457,16 @@ def test_broken_messages_go_to_quarantine(spark):
     packets, broken = tables.parse_messages(raw)
     assert [(row["pid"], row["length"], row["flags"]) for row in packets.collect()] == [(1, 7, None)]
     assert broken.columns == ["value"] and broken.count() == 3
+
+
+def test_declared_thresholds_of_arp_ftp_and_udp(spark, packets_of):
+    arp = [{"protocol": "ARP", "src_ip": "10.0.0.1", "dst_ip": "10.0.0.1" if n < 6 else "10.0.0.3"} for n in range(9)]
+    few = [{"protocol": "ARP", "src_ip": "10.0.0.2", "dst_ip": "10.0.0.2"}] * 5
+    ftp = [{"protocol": "FTP", "src_ip": "10.0.0.4", "src_port": 20, "dst_port": 3000 + n} for n in range(21)]
+    control = [{"protocol": "FTP", "src_ip": "10.0.0.5", "src_port": 21, "dst_port": 3000 + n} for n in range(40)]
+    asked = [{"protocol": "UDP", "src_ip": "10.0.0.6", "dst_ip": "10.0.0.7", "length": 50}]
+    answers = [{"protocol": "UDP", "src_ip": "10.0.0.7", "dst_ip": "10.0.0.6", "length": 500 + n} for n in (0, 1)]
+    silent = [{"protocol": "UDP", "src_ip": "10.0.0.8", "dst_ip": "10.0.0.9", "length": 9000}]
+    packets = packets_of([{**row, "ts_us": n * 100_000} for n, row in enumerate(arp + few + ftp + control + asked + answers + silent)])
+    found = {(row["src_ip"], row["metric"]): row["value"] for row in rollups.threshold_rules(packets).collect()}
+    assert found == {("10.0.0.1", "gratuitous"): 6.0, ("10.0.0.4", "data_conn"): 21.0, ("10.0.0.6", "amp_factor"): 20.02}
