@@ -20,25 +20,31 @@ def rows(df):
     return sorted(tuple(row) for row in df.select(*detect.FINDING_COLUMNS).collect())
 
 
-def over_runs(packets, cuts, root, **options):
-    """All findings of runs that end at the cuts."""
-    edges = [-1, *cuts, 1 << 60]
+def chain(packets, cuts, root):
+    """Findings of runs that end at the cuts, and the connection parts of all runs."""
+    edges, found, parts, entry = [-1, *cuts, 1 << 60], [], [], None
     for number, (low, high) in enumerate(zip(edges, edges[1:])):
         part = packets.where((F.col("ts_us") > low) & (F.col("ts_us") <= high))
-        after = f"r{number - 1}" if number else None
-        batch_job.analyze(part, root, f"r{number}", after=after, goes_on=number < len(cuts), **options)
-    return packets.sparkSession.read.parquet(f"{root}/findings")
+        goes_on = number < len(cuts)
+        run = detect.run_findings(part, entry, goes_on)
+        found += rows(run.findings)
+        rollups.connection_parts(part, entry and entry.connections).write.parquet(f"{root}/parts/run={number}")
+        parts = packets.sparkSession.read.parquet(f"{root}/parts/run={number}")
+        if goes_on:
+            carry.write(detect.leaves(run, rollups.open_connections(parts, run.border_us)), root, f"run={number}")
+            entry = carry.read(packets.sparkSession, root, f"run={number}")
+    return sorted(found), packets.sparkSession.read.parquet(f"{root}/parts")
 
 
 def test_payload_packets_cut_inside_minutes(spark, tmp_path):
     packets = tables.to_table(view(spark, SF_DIR, "payload_packets"), "packets").withColumn("payload", F.unhex("payload_hex"))
     packets = packets.withColumn("length", F.octet_length("payload")).na.fill(0, ["length"]).cache()
     start = packets.agg(F.min("ts_us")).first()[0]
-    found = over_runs(packets, [start + 7 * SECOND + 3], str(tmp_path))
+    found, parts = chain(packets, [start + 7 * SECOND + 3], str(tmp_path))
     expected = rows(detect.all_findings(packets))
     assert {"ftp_auth_fail", "arp_spoof"} <= {row[5] for row in expected}
-    assert rows(found) == expected
-    connections = batch_job.connections(spark, str(tmp_path))
+    assert found == expected
+    connections = rollups.merged_connections(parts.where("pkt_count > 0"))
     whole = rollups.connections(packets)
     assert sorted(map(tuple, connections.collect())) == sorted(map(tuple, whole.select(*connections.columns).collect()))
 
@@ -74,19 +80,8 @@ def mixture(spark):
 
 def test_runs_cut_anywhere(spark, packets_of, mixture, tmp_path):
     """Cuts in the flood, between beacons, and late, with a run without packets among them."""
-    packets, root = packets_of(mixture).drop("payload").cache(), str(tmp_path)
-    times = [row["ts_us"] for row in mixture]
-    edges = [-1, 10_510 * SECOND + 7, 10_510 * SECOND + 8, times[1500], 1 << 60]
-    found, entry = [], None
-    for number, (low, high) in enumerate(zip(edges, edges[1:])):
-        part = packets.where((F.col("ts_us") > low) & (F.col("ts_us") <= high))
-        run = detect.run_findings(part, entry, goes_on=high < 1 << 60)
-        found += rows(run.findings)
-        if high < 1 << 60:
-            open_ = rollups.open_connections(rollups.connection_parts(part, entry and entry.connections), run.border_us)
-            carry.write(detect.leaves(run, open_), root, f"run={number}")
-            entry = carry.read(spark, root, f"run={number}")
-    found.sort()
+    packets = packets_of(mixture).drop("payload").cache()
+    found, _ = chain(packets, [10_510 * SECOND + 7, 10_510 * SECOND + 8, mixture[1500]["ts_us"]], str(tmp_path))
     expected = rows(detect.all_findings(packets))
     raised = {row[5] for row in expected}
     assert {"port_scan", "syn_flood", "icmp_flood", "c2_beacon", "dns_recon", "ssh_brute_force", "exfil"} <= raised
