@@ -706,7 +706,7 @@ def _stretches(df, parts: int):
         yield df.where(later if high is None else later & (F.col("ts_us") <= high))
 
 
-def in_runs(df, root: str, parts: int = 3, **options) -> None:
+def in_runs(df, root: str, parts: int = 2, **options) -> None:
     """The batch job over stretches of time, each run going on from the one before."""
     for number, part in enumerate(_stretches(df, parts)):
         before = f"{number - 1}" if number else None
@@ -715,7 +715,7 @@ def in_runs(df, root: str, parts: int = 3, **options) -> None:
 
 @query
 def d23_findings_over_runs(spark, sf_dir):
-    """All findings, from three runs of the batch job."""
+    """All findings, from two runs of the batch job."""
     root = scratch(spark, "runs")
     in_runs(_packets(spark, sf_dir), root)
     return alerting.with_techniques(spark.read.parquet(f"{root}/findings").drop("run"))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from flowsentry.operators import detect, filters
+from flowsentry.operators import detect, filters, stats
 from flowsentry.plans import catalog
 from flowsentry.plans.dashboard import Dashboard
 from flowsentry.plans.batch_job import acknowledge, analyze
@@ -55,6 +55,8 @@ REPORTS = [
     "recent_events",
     "search_events",
     "performance",
+    "threats",
+    "connections",
 ]
 
 
@@ -63,6 +65,17 @@ def test_report_has_rows(dashboard, report):
     assert getattr(dashboard, report)().count() > 0
 
 
+def test_totals_come_from_rollups(spark, root, dashboard):
+    """The same rows as over all packets, and no packet file is opened."""
+    packets = tables.scan_packets(spark, f"{root}/packets")
+    for found, whole in (
+        (dashboard.top_talkers(7), stats.top_talkers(packets, 7)),
+        (dashboard.protocol_distribution(), stats.protocol_distribution(packets)),
+    ):
+        assert [tuple(row) for row in found.collect()] == [tuple(row) for row in whole.select(*found.columns).collect()]
+        assert found.inputFiles() and not [name for name in found.inputFiles() if "/packets/" in name]
+
+
 def test_overview_counts(dashboard):
     row = dashboard.overview().first()
     assert row["total_packets"] == 10000 and row["unacked_alerts"] == 3423
@@ -71,7 +84,7 @@ def test_overview_counts(dashboard):
 def test_acknowledged_alerts(spark, root, dashboard):
     ids = [row["id"] for row in dashboard.recent_alerts(3).collect()]
     acknowledge(spark, root, [*ids, ids[0]], 1)
-    after = Dashboard(spark, root, dashboard.as_of_us, spark.read.parquet(f"{root}/acks"))
+    after = Dashboard(spark, root, dashboard.as_of_us)  # finds the table of acknowledgements
     assert after.overview().first()["unacked_alerts"] == 3420
     assert [row["acknowledged"] for row in after.recent_alerts(4).collect()] == [1, 1, 1, 0]
 
