@@ -197,7 +197,7 @@ def test_run_applies_the_stages_in_order(spark, monkeypatch):
 
 
 def test_language_id_names_what_had_no_language(spark):
-    docs = common.read(spark, SF_DIR, "documents")
+    docs = common.read(spark, "/root/testdata/sf0.1", "documents")  # enough rows to learn from
     kept = corpus_pipeline.keep_known_languages(spark, docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang"))), SF_DIR)
     both = kept.select("doc_id", F.col("lang").alias("named")).join(docs.where("lang IS NOT NULL"), "doc_id").collect()
     odd = [r.named == r.lang for r in both if r.doc_id % 2]
