@@ -1,6 +1,6 @@
 """Stateful detection on packet streams.
 
-State is kept per source and block of five minutes for floods, per source and target for port scans, else per
+State is kept per block of five minutes and bucket of sources for floods, per source and target for port scans, else per
 source; it holds a few numbers plus the times a rule still needs. A micro-batch brings the rows of one key together, so the limit per
 trigger of the stream is what bounds a task.
 """
@@ -22,13 +22,14 @@ from flowsentry.operators import detect
 from flowsentry.operators.detect import BEACON, EXFIL_LIMIT, SCAN_PORTS, SSH_ATTEMPTS, Beacon
 from flowsentry.operators.gaps import HORIZON_SECONDS
 from flowsentry.operators.ordered import ResettingSet, ResettingSum, RunningCount
-from flowsentry.operators.rates import CELL_SECONDS
 from flowsentry.operators.sessions import IDLE_SECONDS
 
 IDLE_US = IDLE_SECONDS * MICROS
 HORIZON_US = HORIZON_SECONDS * MICROS
 BLOCK_US = 300 * MICROS
-CELL_US = CELL_SECONDS * MICROS
+# Sources that share a flood state: a call and a timer per source and block cost more than what they count.
+RATE_BUCKETS = 16
+SOURCE_SPAN = 10 * BLOCK_US
 DNS_EVERY = 100
 
 # A hit: the packet, the rule, and up to two numbers for the description.
@@ -56,58 +57,65 @@ def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 class RateProcessor(StatefulProcessor):
-    """Sliding counts of a source in one block of time; the end of the block before is context.
+    """Sliding counts of a bucket of sources in one block of time; the end of the block before is context.
 
-    Times and their packets are kept per cell of a few seconds, so a micro-batch writes the cells of its own rows only.
+    All sources of the bucket are counted in one call. Each call appends the times and packets of its own rows to the state
+    of the block, as one entry, so a micro-batch writes what is new only.
     """
 
-    def __init__(self, rules, watermark_us: int):
+    def __init__(self, rules):
         self.rules = [rule._asdict() for rule in rules]
-        self.kept = max(rule.seconds for rule in rules) * MICROS + watermark_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.cells = handle.getMapState("cells", "cell bigint", "times array<bigint>, counts array<bigint>")
+        self.held = handle.getListState(
+            "held", "sources array<string>, sizes array<bigint>, times array<bigint>, counts array<bigint>"
+        )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = _in_order(rows)
-        now = frame["ts_us"].to_numpy(dtype=np.int64)
-        held = {cell: value for (cell,), value in self.cells.iterator()}
+        frame = pd.concat(list(rows), ignore_index=True)
+        held = list(self.held.get()) if self.held.exists() else []
         if not held:
-            self.handle.registerTimer((int(key[1]) + 1) * BLOCK_US // 1000 + 1)
-        times = [np.asarray(value[0], dtype=np.int64) for value in held.values()]
-        counts = [np.asarray(value[1], dtype=np.int64) for value in held.values()]
-        weights = np.concatenate([*counts, np.ones(len(now), dtype=np.int64)])
-        ticks, at = np.unique(np.concatenate([*times, now]), return_inverse=True)
-        weights = np.bincount(at, weights=weights).astype(np.int64)
-        # Packets that come late, within the watermark, still find their history and their block.
-        passed = (ticks[-1] - self.kept) // CELL_US
-        for cell in set((now // CELL_US).tolist()):
-            if cell >= passed:
-                part = slice(*np.searchsorted(ticks, [cell * CELL_US, (cell + 1) * CELL_US]).tolist())
-                self.cells.updateValue((cell,), (ticks[part].tolist(), weights[part].tolist()))
-        for cell in held:
-            if cell < passed:
-                self.cells.removeKey((cell,))
-
+            self.handle.registerTimer((int(key[0]) + 1) * BLOCK_US // 1000 + 1)
+        now = frame["ts_us"].to_numpy(dtype=np.int64)
+        sizes = np.concatenate([np.asarray(entry[1], dtype=np.int64) for entry in held] or [now[:0]])
+        times = np.concatenate([np.asarray(entry[2], dtype=np.int64) for entry in held] or [now[:0]])
+        counts = np.concatenate([np.asarray(entry[3], dtype=np.int64) for entry in held] or [now[:0]])
+        names = [source for entry in held for source in entry[0]]
+        codes, sources = pd.factorize(np.array([*names, *frame["src_ip"]], dtype=object), use_na_sentinel=False)
+        # A source's times follow those of the source before it, farther away than any window reaches.
+        zero = int(key[0]) * BLOCK_US - 2 * BLOCK_US
+        before = np.repeat(codes[: len(names)].astype(np.int64), sizes) * SOURCE_SPAN + (times - zero)
+        place = codes[len(names) :].astype(np.int64) * SOURCE_SPAN + (now - zero)
+
+        fresh, fresh_counts = np.unique(place, return_counts=True)
+        owners, starts = np.unique(fresh // SOURCE_SPAN, return_index=True)
+        self.held.appendValue(
+            (
+                [None if pd.isna(source) else source for source in sources[owners]],
+                np.diff([*starts, len(fresh)]).tolist(),
+                (fresh % SOURCE_SPAN + zero).tolist(),
+                fresh_counts.tolist(),
+            )
+        )
+        ticks, at = np.unique(np.concatenate([before, fresh]), return_inverse=True)
+        weights = np.bincount(at, weights=np.concatenate([counts, fresh_counts])).astype(np.int64)
         running = np.concatenate([[0], np.cumsum(weights)])
-        until = np.searchsorted(ticks, now, side="right")
+        until = np.searchsorted(ticks, place, side="right")
         own, protocol, flags = (frame[name].to_numpy() for name in ("own", "protocol", "flags"))
-        found = []
         for rule in self.rules:
-            since = np.searchsorted(ticks, now - rule["seconds"] * MICROS, side="right")
+            since = np.searchsorted(ticks, place - rule["seconds"] * MICROS, side="right")
             recent = running[until] - running[since]
             mask = own & (protocol == rule["protocol"]) & (recent > rule["threshold"])
             if rule["flags"] is not None:
                 mask &= flags == rule["flags"]
             hits = np.flatnonzero(mask)
             if len(hits):
-                found.append(_hits(frame, hits, rule["rule"], recent[hits]))
-        yield pd.concat(found, ignore_index=True) if found else _NO_HITS
+                yield _hits(frame, hits, rule["rule"], recent[hits])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.cells.clear()
-        yield _NO_HITS
+        self.held.clear()
+        yield from ()
 
     def close(self) -> None:
         pass
@@ -279,11 +287,11 @@ def _per_source(packets: DataFrame, processor: SourceProcessor) -> DataFrame:
     return _as_findings(grouped.transformWithStateInPandas(processor, HIT_SCHEMA, "append", "eventTime"))
 
 
-def stream_rates(packets: DataFrame, watermark_seconds: int = 60) -> DataFrame:
+def stream_rates(packets: DataFrame, *, buckets: int = RATE_BUCKETS) -> DataFrame:
     """Flood rules on sliding counts.
 
-    State is kept per source and block of five minutes: a packet goes to its own block, and as context to the next
-    one if it is still in a window there. A backlog of a busy source so spreads over its blocks.
+    State is kept per block of five minutes and bucket of sources: a packet goes to its own block, and as context to the
+    next one if it is still in a window there. A backlog of a busy source so spreads over its blocks.
     """
     longest_us = max(rule.seconds for rule in detect.RATE_RULES) * MICROS
     block = int_div("ts_us", BLOCK_US)
@@ -294,8 +302,9 @@ def stream_rates(packets: DataFrame, watermark_seconds: int = 60) -> DataFrame:
             F.when(reaches_on, F.struct((block + 1).alias("block"), F.lit(False).alias("own"))),
         )
     )
-    grouped = _rows(packets).select("*", F.inline(copies)).groupBy("src_ip", "block")
-    processor = RateProcessor(detect.RATE_RULES, watermark_seconds * MICROS)
+    bucket = F.pmod(F.hash("src_ip"), F.lit(buckets)).alias("bucket")
+    grouped = _rows(packets).select("*", F.inline(copies), bucket).groupBy("block", "bucket")
+    processor = RateProcessor(detect.RATE_RULES)
     return _as_findings(grouped.transformWithStateInPandas(processor, HIT_SCHEMA, "append", "eventTime"))
 
 
@@ -311,7 +320,7 @@ def stream_beacon(packets: DataFrame, watermark_seconds: int = 60, beacon: Beaco
 def stream_source_rules(packets: DataFrame, watermark_seconds: int = 60) -> DataFrame:
     """All rules on the history of a source."""
     history = _per_source(packets, SourceProcessor(True, BEACON, watermark_seconds * MICROS))
-    return stream_rates(packets, watermark_seconds).unionByName(history)
+    return stream_rates(packets).unionByName(history)
 
 
 def stream_port_scan(packets: DataFrame, limit: int = SCAN_PORTS, idle_seconds: int | None = None) -> DataFrame:
