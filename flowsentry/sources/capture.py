@@ -3,7 +3,7 @@
 ``register(spark)`` makes ``spark.read.format("capture").load(folder)``, ``readStream`` and ``write`` work. Files are opened where
 they lie, by Arrow's file systems (local and mounted folders, object stores, HDFS with its client), so no file goes through the driver.
 
-* A file is cut into byte ranges (``splitBytes``), each a task. A range starts at the first place behind its border where a chain
+* A file is cut into byte ranges (``splitBytes``); a task takes one, or neighbours if there are many. A range starts at the first place behind its border where a chain
   of plausible record headers begins, and owns the records that start in it; the range before ends there.
 * Nothing is dropped silently: bytes that are no record, and frames that are no IP or ARP packet, give a row whose
   ``broken`` says why; its ``offset`` says where. Reading goes on behind them.
@@ -19,6 +19,7 @@ import ipaddress
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -49,6 +50,7 @@ TRANSPORTS = {1: "ICMP", 6: "TCP", 17: "UDP", 58: "ICMP"}
 IPV4, IPV6, ARP, VLAN = 0x0800, 0x86DD, 0x0806, 0x8100
 
 SPLIT_BYTES = 64 << 20
+TASKS, TASK_BYTES = 256, 4 << 20  # beyond so many tasks short ranges share one, up to these bytes
 BUFFER = 4 << 20
 CHAIN = 6  # headers in a row that make a place a record's start
 DAY = 86_400
@@ -124,6 +126,27 @@ def ranges(root: str, files: list[tuple[str, int]], split_bytes: int) -> list[Ra
     ]
 
 
+class Ranges(InputPartition):
+    """Neighbouring ranges that one task reads, one after the other."""
+
+    def __init__(self, parts: list[Range]):
+        self.parts = parts
+
+
+def packed(parts: list[Range]) -> list[Ranges]:
+    """Ranges in their order: each a task, or neighbours in one if there are many."""
+    most = 0 if len(parts) <= TASKS else min(TASK_BYTES, sum(part.end - part.start for part in parts) // TASKS)
+    tasks, held = [], 0
+    for part in parts:
+        size = part.end - part.start
+        if not tasks or held + size > most:
+            tasks.append(Ranges([]))
+            held = 0
+        tasks[-1].parts.append(part)
+        held += size
+    return tasks
+
+
 def records(part: Range) -> Iterator[tuple[bytes, list[tuple[int, int, int, int, int]], Head, int, list[tuple[int, int, str]]]]:
     """Buffers of a range: their bytes, the records (place, length held, length, seconds, part of a second), the file's
     head, where the buffer starts, and the gaps (place, bytes, why)."""
@@ -137,7 +160,9 @@ def records(part: Range) -> Iterator[tuple[bytes, list[tuple[int, int, int, int,
             return
         at, aligned = (FILE_HEADER, True) if part.start < FILE_HEADER else (part.start, False)
         while at < min(part.end, size):
-            data = file.read_at(min(BUFFER + RECORD_HEADER + head.longest, size - at), at)
+            # The records that start in the range, and what tells a chain of them behind its end.
+            ahead = min(BUFFER, part.end - at + CHAIN * (RECORD_HEADER + 2048))
+            data = file.read_at(min(ahead + RECORD_HEADER + head.longest, size - at), at)
             ends = at + len(data) == size
             place, found, gaps = 0, [], []
             if not aligned:
@@ -255,18 +280,15 @@ class _Reading:
         self.per_trigger = int(options.get("filesPerTrigger", 16))
         self.columns = schema
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        for data, found, head, base, gaps in records(part):
-            yield decode(data, found, head, base, gaps, part.file, self.columns)
+    def read(self, task: Ranges) -> Iterator[pa.RecordBatch]:
+        for part in task.parts:
+            for data, found, head, base, gaps in records(part):
+                yield decode(data, found, head, base, gaps, part.file, self.columns)
 
 
 class CaptureReader(_Reading, DataSourceReader):
-    def partitions(self) -> list[Range]:
-        return ranges(self.path, files_of(self.path), self.split) or [Range(self.path, "", 0, 0)]
-
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        if part.file:
-            yield from super().read(part)
+    def partitions(self) -> list[Ranges]:
+        return packed(ranges(self.path, files_of(self.path), self.split)) or [Ranges([])]
 
 
 class CaptureStream(_Reading, DataSourceStreamReader):
@@ -285,9 +307,9 @@ class CaptureStream(_Reading, DataSourceStreamReader):
         self.offset = names[-1] if names else (self.offset or "")
         return {"file": self.offset}
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
         taken = [(name, size) for name, size in files_of(self.path) if start["file"] < name <= end["file"]]
-        return ranges(self.path, taken, self.split)
+        return packed(ranges(self.path, taken, self.split))
 
     def commit(self, end: dict) -> None:
         pass
@@ -298,9 +320,14 @@ class Written(WriterCommitMessage):
         self.file = file
 
 
+@lru_cache(1 << 16)
+def _octets(address: str) -> bytes:
+    return ipaddress.ip_address(address).packed
+
+
 def _frame(row: dict) -> bytes:
     """An Ethernet frame with IPv4 or ARP; parts that the row lacks are 0."""
-    source, target = (ipaddress.ip_address(row[name]).packed for name in ("src_ip", "dst_ip"))
+    source, target = _octets(row["src_ip"]), _octets(row["dst_ip"])
     macs = bytes([2, 0, *target, 2, 0, *source])
     if row["l4"] == "ARP":
         return macs + struct.pack(">HHHBBH", ARP, 1, IPV4, 6, 4, 1) + bytes([2, 0]) + source + source + bytes(6) + target

@@ -37,3 +37,26 @@ def test_flood_states_are_shared_by_sources(spark, packets_of, tmp_path):
     expected = detect.rate_findings(batches[0].unionByName(batches[1]), detect.RATE_RULES)
     assert expected.count() == 60
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_many_short_ranges_share_tasks():
+    """Their number follows the bytes, not the ranges; all ranges are read, in their order, and few ones are a task each."""
+    few, many = ([("a", size), ("b", 0), ("c", size + 7)] for size in (900_000, 90_000_000))
+    parts = capture.ranges("root", few, 30_000)
+    assert [len(task.parts) for task in capture.packed(parts)] == [1] * len(parts)
+    parts = capture.ranges("root", many, 30_000)
+    tasks = capture.packed(parts)
+    assert len(parts) > 6000 and len(tasks) <= 2 * capture.TASKS
+    assert [part for task in tasks for part in task.parts] == parts
+    assert max(sum(part.end - part.start for part in task.parts) for task in tasks) <= capture.TASK_BYTES
+
+
+def test_a_short_range_reads_little(tmp_path):
+    """What is read of a file follows the range, not the buffer."""
+    record = b"\x01\x00\x00\x00" + bytes(4) + (60).to_bytes(4, "little") * 2 + bytes(60)
+    head = b"\xd4\xc3\xb2\xa1\x02\x00\x04\x00" + bytes(8) + (capture.SNAPLEN).to_bytes(4, "little") + b"\x01\x00\x00\x00"
+    (tmp_path / "a.pcap").write_bytes(head + record * 100_000)
+    parts = capture.ranges(str(tmp_path), capture.files_of(str(tmp_path)), 30_000)
+    found = [[len(data), [base + at for at, *_ in rows]] for part in parts for data, rows, _, base, _ in capture.records(part)]
+    assert sorted(at for _, rows in found for at in rows) == [24 + 76 * n for n in range(100_000)]
+    assert max(size for size, _ in found) < 500_000
