@@ -24,6 +24,7 @@ from flowsentry import schemas
 from flowsentry.functions.scalar import MICROS, timestamp_of
 from flowsentry.operators import carry, detect, rollups as batch_rollups
 from flowsentry.operators.alerts import build_alerts, build_mitre_events
+from flowsentry.operators.pruning import settle
 from flowsentry.sources import tables
 from flowsentry.sources.tables import to_table
 from flowsentry.streaming import rollups, state
@@ -68,7 +69,8 @@ def _tables(findings: DataFrame) -> dict[str, DataFrame]:
 
 
 def _write(rows: DataFrame, path: str) -> None:
-    rows.write.partitionBy("dt").parquet(path)
+    """One task writes one range of time: a day is a file or a few, however many tasks the rows come from."""
+    rows.repartitionByRange("dt", "ts_us").sortWithinPartitions("dt", "ts_us").write.partitionBy("dt").parquet(path)
 
 
 def live_writer(findings: DataFrame, root: str, checkpoint: str) -> DataStreamWriter:
@@ -130,7 +132,8 @@ def runs_writer(
         due = tables.scan_packets(spark, f"{root}/packets/{here}")
 
         run = detect.run_findings(due, entry, goes_on=True, until_us=border_us)
-        _write(_tables(run.findings)["findings"], f"{root}/findings/{here}")
+        found = settle(run.findings, broadcast_rows=-1)  # the writer's ranges take a sample, which would find them twice
+        _write(_tables(found)["findings"], f"{root}/findings/{here}")
         findings = spark.read.schema(_columns("findings")).parquet(f"{root}/findings/{here}")
         for table in ("alerts", "mitre_events"):
             _write(_tables(findings)[table], f"{root}/{table}/{here}")
