@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from flowsentry.operators import detect
 from flowsentry.sources import capture, tables
-from flowsentry.streaming import jobs, live, state
+from flowsentry.streaming import live, state
 
 SECOND = 1_000_000
 DAY = 86_400 * SECOND
@@ -60,3 +60,14 @@ def test_a_short_range_reads_little(tmp_path):
     found = [[len(data), [base + at for at, *_ in rows]] for part in parts for data, rows, _, base, _ in capture.records(part)]
     assert sorted(at for _, rows in found for at in rows) == [24 + 76 * n for n in range(100_000)]
     assert max(size for size, _ in found) < 500_000
+
+
+def test_the_live_job_writes_a_day_from_one_task_or_a_few(spark, packets_of, tmp_path):
+    """Rows of forty days from eight tasks are about forty files, not one per day and task."""
+    rows = packets_of([{"ts_us": (n % 40) * DAY + n * SECOND} for n in range(800)]).repartition(8)
+    days = rows.select("pid", "ts_us", F.to_date(F.timestamp_micros("ts_us")).alias("dt"))
+    path = str(tmp_path / "out")
+    live._write(days, path)
+    written = spark.read.parquet(path)
+    assert len(written.inputFiles()) <= 40 + int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(map(tuple, written.select(*days.columns).collect())) == sorted(map(tuple, days.collect()))
