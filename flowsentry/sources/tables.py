@@ -8,6 +8,8 @@ a filter on one address.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -137,16 +139,42 @@ def to_table(df: DataFrame, table: str) -> DataFrame:
     return df.select(*columns).withColumn("dt", F.to_date(timestamp_of()))
 
 
-def append(df: DataFrame, table: str, path: str, mode: str = "append") -> None:
-    """Append rows, or with mode ``overwrite`` replace those under the path.
+@contextmanager
+def _small_ranges(spark: SparkSession) -> Iterator[None]:
+    """Adaptive execution joins ranges up to 16 KB, and leaves some for each core, while a table is written by day.
 
-    One task writes one range of time, so a busy day is many files.
+    By default it joins them up to a megabyte. That can be thousands of sparse days, whose files one task would write.
+    """
+    ranges = 4 * spark.sparkContext.defaultParallelism
+    names = {"minPartitionSize": "16KB", "minPartitionNum": str(ranges)}
+    settings = {f"spark.sql.adaptive.coalescePartitions.{name}": value for name, value in names.items()}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def write_days(rows: DataFrame, path: str, mode: str = "error", options: dict[str, str] | None = None) -> None:
+    """Write rows that have ``dt`` by day.
+
+    One task writes one range of time, so a busy day is many files, and many sparse days are many tasks.
     """
-    rows = to_table(df, table)
-    writer = rows.repartitionByRange("dt", "ts_us").sortWithinPartitions("dt", "ts_us").write.mode(mode).partitionBy("dt")
-    for name in INDEXED.get(table, []):
-        writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
-    writer.option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path)
+    ranges = rows.repartitionByRange("dt", "ts_us").sortWithinPartitions("dt", "ts_us")
+    with _small_ranges(rows.sparkSession):
+        ranges.write.mode(mode).partitionBy("dt").options(**(options or {})).parquet(path)
+
+
+def append(df: DataFrame, table: str, path: str, mode: str = "append") -> None:
+    """Append rows, or with mode ``overwrite`` replace those under the path."""
+    options = {f"parquet.bloom.filter.enabled#{name}": "true" for name in INDEXED.get(table, [])}
+    write_days(to_table(df, table), path, mode, {**options, "parquet.bloom.filter.adaptive.enabled": "true"})
 
 
 def sink_packets(packets: DataFrame, path: str, mode: str = "append") -> None:

@@ -139,3 +139,20 @@ def test_a_repeated_run_changes_nothing(spark, packets_of, tmp_path):
     stats = Dashboard(spark, root, 0).protocol_stats()
     assert stats.groupBy("bucket", "protocol").count().where("count > 1").count() == 0
     assert stats.agg(F.sum("pkt_count")).first()[0] == 9
+
+
+def test_sparse_days_are_written_by_many_tasks(spark, tmp_path):
+    """Many short days are few bytes; they spread over the tasks, and few rows still make one file a day."""
+    names = ["minPartitionSize", "minPartitionNum"]
+    before = [spark.conf.get(f"spark.sql.adaptive.coalescePartitions.{name}", None) for name in names]
+    day = 86_400_000_000
+    for number, days, least in ((0, 120, 3), (1, 3, 1)):
+        rows = spark.range(days * 48).select("id", (F.col("id") * (day // 48)).alias("ts_us"), F.rand(7).alias("cpu_pct"))
+        path = tmp_path / f"{number}"
+        tables.append(rows, "performance_metrics", str(path))
+        files = [file.name for file in path.glob("dt=*/*.parquet")]
+        tasks = {name.split("-")[1] for name in files}
+        assert days <= len(files) < days + len(tasks) and len(tasks) >= least
+        assert tables.scan_perf(spark, str(path)).count() == days * 48
+    assert len(tasks) == 1
+    assert before == [spark.conf.get(f"spark.sql.adaptive.coalescePartitions.{name}", None) for name in names]
