@@ -26,7 +26,7 @@ from flowsentry.operators import carry, detect, rollups as batch_rollups
 from flowsentry.operators.alerts import build_alerts, build_mitre_events
 from flowsentry.operators.pruning import settle
 from flowsentry.sources import tables
-from flowsentry.sources.tables import to_table
+from flowsentry.sources.tables import to_table, write_days
 from flowsentry.streaming import rollups, state
 from flowsentry.streaming.jobs import consume
 
@@ -70,7 +70,7 @@ def _tables(findings: DataFrame) -> dict[str, DataFrame]:
 
 def _write(rows: DataFrame, path: str) -> None:
     """One task writes one range of time: a day is a file or a few, however many tasks the rows come from."""
-    rows.repartitionByRange("dt", "ts_us").sortWithinPartitions("dt", "ts_us").write.partitionBy("dt").parquet(path)
+    write_days(rows, path)
 
 
 def live_writer(findings: DataFrame, root: str, checkpoint: str) -> DataStreamWriter:

@@ -71,3 +71,13 @@ def test_the_live_job_writes_a_day_from_one_task_or_a_few(spark, packets_of, tmp
     written = spark.read.parquet(path)
     assert len(written.inputFiles()) <= 40 + int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert sorted(map(tuple, written.select(*days.columns).collect())) == sorted(map(tuple, days.collect()))
+
+
+def test_the_live_job_writes_sparse_days_from_many_tasks(spark, tmp_path):
+    """A hundred and twenty short days are few bytes, but not one task's work."""
+    rows = spark.range(120 * 48).select("id", (F.col("id") * (DAY // 48)).alias("ts_us"), F.rand(7).alias("value"))
+    days = rows.withColumn("dt", F.to_date(F.timestamp_micros("ts_us")))
+    live._write(days, str(tmp_path / "out"))
+    files = spark.read.parquet(str(tmp_path / "out")).inputFiles()
+    tasks = {file.rsplit("/", 1)[1].split("-")[1] for file in files}
+    assert len(tasks) >= 3 and 120 <= len(files) < 120 + len(tasks)
