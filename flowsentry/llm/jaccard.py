@@ -12,6 +12,10 @@ passages which many documents share make few cells. Each cell that several sets
 points, in order of size, are packed into leaves; pairs of leaves are pruned by their boxes, pairs of points by
 their counts, and what survives is verified on the whole texts.
 
+The place of a cell in its set's order bounds the partners it is for: in the first hash that two sets share, at places ``i`` and
+``j`` from 0, no more than ``min(n - i, m - j)`` are shared, which is enough only if ``4 m <= 5 n - 9 i`` and ``4 n <= 5 m - 9 j``.
+Sets without such a partner leave the cell. Two sets that are similar enough both stay in the cell of their first shared hash.
+
 * Equal sets are one node, so copies cost nothing further on.
 * In a group of many near copies not all pairs are tried. First each node is compared with one other, the
   most connected of those in its cells, which shares cells with the most others. Links found make
@@ -27,6 +31,7 @@ component. An empty table gives an empty result. Other columns may have any name
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +47,8 @@ STRETCH = 200  # texts that follow one node's text in verification
 BROADCAST_NODES = 50_000  # rows of four short columns, some megabytes
 COARSE, FINE = (4, 256), (1, 4096)  # members per group, and most groups, of the two points of a set
 RANGE_BITS = 17  # hash ranges whose use is counted: a table of fixed size, half a megabyte
+BATCH_BYTES = "8m"  # a row of two leaves holds up to a megabyte, and tasks hold some batches at once
+PARTS = 1280  # of a set's size, for the places of its cells: a fifth of them, so a byte holds a place
 KNOWN = 100_000  # sets that a task remembers to have emitted
 
 
@@ -125,7 +132,7 @@ def _profiles(documents: DataFrame) -> DataFrame:
 
 
 def _cells(documents: DataFrame, use: np.ndarray) -> DataFrame:
-    """``_cell, _node`` of each cell that sets of similar size share."""
+    """``_cell, _node`` of each cell that sets share which may be similar enough, by their sizes and the cell's places."""
     import pyarrow as pa
 
     sent = documents.sparkSession.sparkContext.broadcast(use)
@@ -133,7 +140,7 @@ def _cells(documents: DataFrame, use: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
         for batch in batches:
-            cells, nodes, sizes = [], [], []
+            cells, nodes, places = [], [], []
             for own in sets(*buffers(batch.column(1))):
                 node = fingerprint(own)
                 if not len(own) or node in known:
@@ -143,18 +150,32 @@ def _cells(documents: DataFrame, use: np.ndarray) -> DataFrame:
                 known.add(node)
                 cells.append(cells_of(own, sent.value))
                 nodes.append(np.full(len(cells[-1]), node))
-                sizes.append(np.full(len(cells[-1]), len(own)))
+                at = np.arange(len(cells[-1])) * PARTS // len(own)
+                places.append((len(own) << 8) + np.minimum(at, 255))
             if cells:
-                made = [np.concatenate(cells).view(np.int64), np.concatenate(nodes), np.concatenate(sizes)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["_cell", "_node", "_n"])
+                made = [np.concatenate(cells).view(np.int64), np.concatenate(nodes), np.concatenate(places)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["_cell", "_node", "_place"])
+
+    # The size of the set and the cell's place in it, in parts of the size, travel as one short number.
+    emitted = documents.where("_id IS NOT NULL").mapInArrow(run, "_cell long, _node long, _place long")
+    # Copies in other tasks meet in the cell; one shuffle serves to drop them and to look at the others.
+    sets_of = emitted.repartition("_cell").dropDuplicates(["_cell", "_node", "_place"])
+    return _partnered(sets_of.select("_cell", "_node", F.shiftright("_place", 8).alias("_n"), F.col("_place").bitwiseAND(255).alias("_at")))
+
+
+def _partnered(places: DataFrame) -> DataFrame:
+    """``_cell, _node`` of the rows of ``places (_cell, _node, _n, _at)`` that may have a partner in their cell.
 
-    emitted = documents.where("_id IS NOT NULL").mapInArrow(run, "_cell long, _node long, _n long")
-    # Copies in other tasks meet in the cell; one shuffle serves to drop them and to look at neighbours: in
-    # order of size, a set that is no quarter away from the one before or after has no partner in the cell.
-    by_size = Window.partitionBy("_cell").orderBy("_n", "_node")
-    near = (4 * F.col("_n") <= 5 * F.lag("_n").over(by_size)) | (4 * F.lead("_n").over(by_size) <= 5 * F.col("_n"))
-    sets_of = emitted.repartition("_cell").dropDuplicates(["_cell", "_node", "_n"])
-    return sets_of.withColumn("_near", near).where("_near").select("_cell", "_node")
+    Exact for cells of two sets, up to the rounding of places, which is down; in larger ones each bound is held against the
+    best of all that come before or after by size.
+    """
+    by_size = Window.partitionBy("_cell").orderBy("_n", "_at", "_node")
+    before = by_size.rowsBetween(Window.unboundedPreceding, -1)
+    size = 4 * PARTS * F.col("_n")
+    most = F.col("_n") * (5 * PARTS - 9 * F.col("_at"))  # the size of a partner, in the same unit
+    smaller = (F.max(most).over(before) >= size) & (F.min(size).over(before) <= most)
+    larger = (F.lead(size).over(by_size) <= most) & ((F.lead(most).over(by_size) >= size) | F.lead("_n", 2).over(by_size).isNotNull())
+    return places.withColumn("_near", smaller | larger).where("_near").select("_cell", "_node")
 
 
 def _different(cells: DataFrame) -> DataFrame:
@@ -186,7 +207,7 @@ def _involved(documents: DataFrame, ids: DataFrame) -> DataFrame:
                     own.append((i, x))
             at = pa.array([i for i, _ in own], pa.int64())
             sizes = pa.array([len(x) for _, x in own], pa.int64())
-            points = [pa.array([point(x, scale).astype(_kind(len(x))).tobytes() for _, x in own], pa.binary()) for scale in (COARSE, FINE)]
+            points = [pa.array([_packed(point(x, scale), len(x)) for _, x in own], pa.binary()) for scale in (COARSE, FINE)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), sizes, *points, batch.column(1).take(at)], names)
 
     return found.mapInArrow(run, "_node long, _n long, _point binary, _fine binary, _text string")
@@ -197,8 +218,13 @@ def _kind(n: int) -> str:
     return "u1" if n < 1 << 8 else "<u2" if n < 1 << 16 else "<u4"
 
 
+def _packed(counts: np.ndarray, n: int) -> bytes:
+    """A point as it travels: with every cell of its set. Most counts are 0 to 3, which compress to a few bits."""
+    return zlib.compress(counts.astype(_kind(n)).tobytes(), 1)
+
+
 def _counts(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, _kind(n)).astype(np.int32)
+    return np.frombuffer(zlib.decompress(raw), _kind(n)).astype(np.int32)
 
 
 def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -285,7 +311,7 @@ def _tree_pairs(cells: DataFrame, points: DataFrame) -> DataFrame:
     )
     leaves = settle(leaves, "leaves")
     # Most cells are one leaf, which meets itself without a join.
-    alone = leaves.where("NOT _split").select(F.col("_members").alias("_members_a"), F.col("_members").alias("_members_b"))
+    alone = leaves.where("NOT _split").select(F.col("_members").alias("_members_a"), F.expr("slice(_members, 1, 0)").alias("_members_b"))
     leaves = leaves.where("_split")
     left = leaves.select("_cell", *[F.col(c).alias(c + "_a") for c in ("_leaf", "_members", "_low", "_high")])
     right = leaves.select("_cell", *[F.col(c).alias(c + "_b") for c in ("_leaf", "_members", "_low", "_high")])
@@ -299,6 +325,9 @@ def _tree_pairs(cells: DataFrame, points: DataFrame) -> DataFrame:
                 sides = []
                 for column in (0, 1):
                     own = batch.column(column)[i].values
+                    if not len(own):  # one leaf, which meets itself
+                        sides.append(sides[0])
+                        continue
                     n = own.field("_n").to_numpy(zero_copy_only=False)
                     raw = [_counts(x, k) for x, k in zip(own.field("_point").to_pylist(), n)]
                     nodes = own.field("_node").to_numpy(zero_copy_only=False)
@@ -327,6 +356,7 @@ def _tree_pairs(cells: DataFrame, points: DataFrame) -> DataFrame:
 def similar(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of ``df``: ``doc_id, n_shingles, component_id``."""
     short_batches(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     documents = df.select(df[doc_id].cast("long").alias("_id"), utf8(df[text]).alias("_text"))
     profiles = settle(_profiles(documents), "profiles")
     rows = profiles.where("_kind = 0").select("_id", "_n", "_print")

@@ -229,6 +229,47 @@ def test_jaccard_edges(spark):
     assert jaccard.similar(docs(spark, [])).count() == 0
 
 
+def test_jaccard_cells_have_a_partner_by_place(spark):
+    """Pairs of sets share a passage; only the cells in whose first place enough could be shared stay, and no linked pair loses all."""
+    rng = random.Random(5)
+    word = lambda: "w" + str(rng.randint(0, 10**6))
+    texts = []
+    for k in range(40):
+        shared = [word() for _ in range(rng.choice((25, 60, 190)))]
+        texts += [" ".join(shared + [word() for _ in range(10 + k % 7)]) for _ in range(2)]
+    rows = list(enumerate(texts, 1))
+    use = np.zeros(1 << jaccard.RANGE_BITS, np.int64)
+    own, places = {}, {}
+    for i, text in rows:
+        data = np.frombuffer(text.encode(), np.uint8)
+        own[i] = next(jaccard.sets(np.array([0, len(data)]), data))
+        for at, cell in enumerate(jaccard.cells_of(own[i], use).view(np.int64)):
+            places.setdefault(int(cell), []).append((i, len(own[i]), at))
+    node = {i: jaccard.fingerprint(x) for i, x in own.items()}
+    of_size, exact = set(), set()
+    for cell, both in places.items():
+        if len(both) == 2:
+            (a, n, i), (b, m, j) = both
+            if 4 * m <= 5 * n and 4 * n <= 5 * m:
+                of_size |= {(cell, node[a]), (cell, node[b])}
+            if 9 * min(n - i, m - j) >= 4 * (n + m):
+                exact |= {(cell, node[a]), (cell, node[b])}
+    documents = spark.createDataFrame(rows, "_id long, _text string")
+    got = {tuple(r) for r in jaccard._cells(documents, use).collect()}
+    assert exact <= got <= of_size and len(got) <= len(exact) + 0.05 * len(of_size) < 0.7 * len(of_size)
+    linked = [(a, a + 1) for a in range(1, 80, 2) if jaccard.enough(jaccard.overlap(own[a], own[a + 1]), len(own[a]), len(own[a + 1]))]
+    cells = {i: {c for c, x in got if x == node[i]} for i in own}
+    assert len(linked) > 5 and all(cells[a] & cells[b] for a, b in linked)
+
+
+def test_jaccard_points_travel_packed():
+    rng = np.random.default_rng(3)
+    for n in (1, 200, 4000, 70_000):
+        counts = jaccard.point(rng.integers(0, 1 << 64, n, dtype=np.uint64), jaccard.FINE)
+        raw = jaccard._packed(counts, n)
+        assert (jaccard._counts(raw, n) == counts).all() and (n < 4000 or len(raw) < 0.5 * counts.astype(jaccard._kind(n)).nbytes)
+
+
 def test_components_of_a_long_path(spark):
     links = [(i, i + 1) for i in range(10, 60)] + [(100, 101), (101, 102), (100, 102)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
