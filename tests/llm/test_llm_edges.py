@@ -270,6 +270,23 @@ def test_jaccard_points_travel_packed():
         assert (jaccard._counts(raw, n) == counts).all() and (n < 4000 or len(raw) < 0.5 * counts.astype(jaccard._kind(n)).nbytes)
 
 
+def test_jaccard_bounds_its_batches(spark):
+    """The session's batches are short in bytes, not in rows only, until the next query prepares it."""
+    import pyarrow as pa
+
+    from flowsentry.session import prepare
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    jaccard.similar(docs(spark, [(1, "a few words")])).count()
+    long = spark.range(0, 24, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    assert 0 < max(r.size for r in long.mapInArrow(sizes, "size long").collect()) < 12 << 20
+    prepare(spark)
+    assert max(r.size for r in long.mapInArrow(sizes, "size long").collect()) > 12 << 20
+
+
 def test_components_of_a_long_path(spark):
     links = [(i, i + 1) for i in range(10, 60)] + [(100, 101), (101, 102), (100, 102)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
